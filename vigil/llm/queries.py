@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vigil.llm import pii, secrets, sentencepiece_bpe
+from vigil.llm import pii, quality_rules, secrets, sentencepiece_bpe, winnowing
 from vigil.llm.common import table
 
 
@@ -27,19 +27,34 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "secrets.*")
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measures of every document and whether the rules keep it."""
+    found = quality_rules.keep(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data of every document, as counts, a digest and spans."""
     found = pii.digests(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "pii.*")
 
 
+def op10_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark passages in every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = winnowing.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "leak.n_words", "leak.n_hit", "leak.n_items", "leak.items_sha256", "leak.contaminated")
+
+
 def queries() -> dict:
     return {
         "op3_sentencepiece": op3_sentencepiece,
         "op4_secrets": op4_secrets,
+        "op6_quality_rules": op6_quality_rules,
         "op7_pii": op7_pii,
+        "op10_winnowing": op10_winnowing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_quality_rules": quality_rules.oracle(), "op10_winnowing": winnowing.oracle()}
