@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vigil.llm import pii, quality_rules, secrets, sentencepiece_bpe, winnowing
-from vigil.llm.common import table
+from vigil.llm import pii, quality_rules, secrets, sentencepiece_bpe, warc, winnowing
+from vigil.llm.common import shared_path, table
 
 
 def tokenizer_path() -> str:
@@ -39,6 +39,13 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "pii.*")
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to archives and read back as a capture."""
+    path = shared_path(spark, "warc")
+    warc.write(table(spark, sf_dir, "pages").select("page_id", "url", "html"), path)
+    return warc.captures(spark, path)
+
+
 def op10_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark passages in every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -52,9 +59,10 @@ def queries() -> dict:
         "op4_secrets": op4_secrets,
         "op6_quality_rules": op6_quality_rules,
         "op7_pii": op7_pii,
+        "op9_warc": op9_warc,
         "op10_winnowing": op10_winnowing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_quality_rules": quality_rules.oracle(), "op10_winnowing": winnowing.oracle()}
+    return {"op6_quality_rules": quality_rules.oracle(), "op9_warc": warc.oracle(), "op10_winnowing": winnowing.oracle()}
