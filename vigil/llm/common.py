@@ -18,8 +18,19 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SPACES = " \t\n\x0b\x0c\r"
 
 
+#: Rows of whole texts that go to a Python worker at once.
+ROWS_AT_ONCE = 1000
+
+
+def small_batches(spark: SparkSession, rows: int = ROWS_AT_ONCE) -> None:
+    """Send fewer rows at once than Spark's default of 10,000, as each row may hold a very long text."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the given tables."""
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vigil.llm import pii, quality_rules, secrets, sentencepiece_bpe, warc, winnowing
+from vigil.llm import near_dedup, pii, quality_rules, secrets, sentencepiece_bpe, warc, winnowing
 from vigil.llm.common import shared_path, table
 
 
@@ -39,6 +39,12 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "pii.*")
 
 
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate groups of every document by 3-word shingles at a similarity of 0.85."""
+    found = near_dedup.groups(table(spark, sf_dir, "documents").select("doc_id", "text"), k=3, percent=85)
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page written to archives and read back as a capture."""
     path = shared_path(spark, "warc")
@@ -59,10 +65,11 @@ def queries() -> dict:
         "op4_secrets": op4_secrets,
         "op6_quality_rules": op6_quality_rules,
         "op7_pii": op7_pii,
+        "op8_near_dedup": op8_near_dedup,
         "op9_warc": op9_warc,
         "op10_winnowing": op10_winnowing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_quality_rules": quality_rules.oracle(), "op9_warc": warc.oracle(), "op10_winnowing": winnowing.oracle()}
+    return {"op6_quality_rules": quality_rules.oracle(), "op8_near_dedup": near_dedup.oracle(), "op9_warc": warc.oracle(), "op10_winnowing": winnowing.oracle()}
