@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from vigil.llm import near_dedup, pii, quality_rules, secrets, sentencepiece_bpe, warc, winnowing
+from vigil.llm import near_dedup, pii, quality_rules, secrets, sentencepiece_bpe, url_rules, warc, winnowing
 from vigil.llm.common import shared_path, table
 
 
@@ -14,6 +15,12 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def op2_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every page's url. A page is labelled by the label of the document of its number."""
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad"))
+    return url_rules.judge(table(spark, sf_dir, "pages").select("page_id", "url"), labels).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids and decoded text of every document, as digests."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -61,6 +68,7 @@ def op10_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {
+        "op2_url_rules": op2_url_rules,
         "op3_sentencepiece": op3_sentencepiece,
         "op4_secrets": op4_secrets,
         "op6_quality_rules": op6_quality_rules,
@@ -72,4 +80,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_quality_rules": quality_rules.oracle(), "op8_near_dedup": near_dedup.oracle(), "op9_warc": warc.oracle(), "op10_winnowing": winnowing.oracle()}
+    return {"op2_url_rules": url_rules.oracle(), "op6_quality_rules": quality_rules.oracle(), "op8_near_dedup": near_dedup.oracle(), "op9_warc": warc.oracle(), "op10_winnowing": winnowing.oracle()}
