@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigil.llm import near_dedup, pii, quality_rules, secrets, sentencepiece_bpe, url_rules, warc, winnowing
+from vigil.llm import near_dedup, pii, quality_fm, quality_rules, secrets, sentencepiece_bpe, url_rules, warc, winnowing
 from vigil.llm.common import shared_path, table
 
 
@@ -34,6 +34,12 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "secrets.*")
 
 
+def op5_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document by a factorisation machine learned from two thirds of the labels."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality_fm.judge(docs, table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measures of every document and whether the rules keep it."""
     found = quality_rules.keep(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -71,6 +77,7 @@ def queries() -> dict:
         "op2_url_rules": op2_url_rules,
         "op3_sentencepiece": op3_sentencepiece,
         "op4_secrets": op4_secrets,
+        "op5_quality_fm": op5_quality_fm,
         "op6_quality_rules": op6_quality_rules,
         "op7_pii": op7_pii,
         "op8_near_dedup": op8_near_dedup,
