@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigil.llm import near_dedup, pii, quality_fm, quality_rules, secrets, sentencepiece_bpe, url_rules, warc, winnowing
+from vigil.llm import lm_bloom, near_dedup, pii, quality_fm, quality_rules, secrets, sentencepiece_bpe, url_rules, warc, winnowing
 from vigil.llm.common import shared_path, table
 
 
@@ -15,6 +15,11 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def op1_lm_bloom(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language-model score of every document, learned from four fifths of them."""
+    return lm_bloom.score(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op2_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict on every page's url. A page is labelled by the label of the document of its number."""
     labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad"))
@@ -74,6 +79,7 @@ def op10_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {
+        "op1_lm_bloom": op1_lm_bloom,
         "op2_url_rules": op2_url_rules,
         "op3_sentencepiece": op3_sentencepiece,
         "op4_secrets": op4_secrets,
