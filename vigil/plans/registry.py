@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from vigil.plans import pipeline
+
+MODULES = (pipeline,)
+
 
 def queries() -> dict:
-    return {}
+    return {name: f for m in MODULES for name, f in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: text for m in MODULES for name, text in m.SQL.items()}
