@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from vigil.plans import pipeline
+from vigil.plans import features, pipeline
 
-MODULES = (pipeline,)
+MODULES = (pipeline, features)
 
 
 def queries() -> dict:
