@@ -11,7 +11,7 @@ import sentencepiece
 from pyspark.sql import functions as F
 
 from tests.llm.helpers import AWKWARD, documents, store
-from vigil.llm import pii, queries, secrets, sentencepiece_bpe
+from vigil.llm import common, pii, queries, secrets, sentencepiece_bpe
 
 NAMES = ["password", "passwd", "secret", "token", "api_key"]
 NAME = "|".join("".join("_?" if c == "_" else f"[{c}{c.upper()}]" for c in w) for w in NAMES)
@@ -91,7 +91,7 @@ def test_scans_stay_linear():
 
 @pytest.fixture(scope="module")
 def model():
-    return sentencepiece_bpe.read_model(queries.tokenizer_path())
+    return sentencepiece_bpe.read_model(common.tokenizer_path())
 
 
 def test_codec_equals_library(model):

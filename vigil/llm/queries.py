@@ -5,14 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from vigil.llm import lm_bloom, near_dedup, pii, quality_fm, quality_rules, secrets, sentencepiece_bpe, url_rules, warc, winnowing
-from vigil.llm.common import shared_path, table
-
-
-def tokenizer_path() -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path("piece_bpe_32k.model")
+from vigil.llm.common import shared_path, table, tokenizer_path
 
 
 def op1_lm_bloom(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,6 +84,7 @@ def queries() -> dict:
         "op8_near_dedup": op8_near_dedup,
         "op9_warc": op9_warc,
         "op10_winnowing": op10_winnowing,
+        "pipeline": corpus_pipeline.run,
     }
 
 
