@@ -29,6 +29,7 @@ def sql(body: str, *needs: str) -> str:
     for n in needs:
         visit(n)
     ctes = ",\n".join(f"{n} AS MATERIALIZED ({FRAGMENTS[n]})" for n in order)
+    body = f"SELECT * FROM ({body}) q" if body.lstrip().startswith("WITH") else body
     return f"WITH RECURSIVE {ctes}\n{body}" if order else body
 
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from vigil.plans import features, pipeline
+from vigil.plans import features, investigation, pipeline
 
-MODULES = (pipeline, features)
+MODULES = (pipeline, features, investigation)
 
 
 def queries() -> dict:
