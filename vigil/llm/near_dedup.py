@@ -6,12 +6,13 @@
    that shares the largest buckets in sum: of an original and its edited copies, that is the original.
    So a bucket of n classes makes n - 1 pairs, not n * n / 2.
 3. Pairs whose full shingle sets are similar enough are links, and union-find stars group them.
-4. Where members of a bucket are still in different groups, those outside the pivot's group are compared
-   with the others, if sizes and signatures (five standard deviations below the threshold) allow a
-   link at all; these conditions are part of the join, which so emits few rows. Full sets decide again.
+4. Where a pivot's members are still in different groups, two of them may be linked without either being
+   linked to the pivot. Their sets differ from the pivot's by some shingles taken away and some added,
+   and how many of these two members must share for a link follows exactly from their numbers (see
+   ``_second_links``). So members are joined by rare shared differences instead of pair by pair, and the
+   shared differences decide, which is the same as comparing the full sets.
 
-A link is missed only if its documents share no band (at the threshold below 1 in 2 million) or differ
-from their similarity in the signature by five standard deviations.
+A link is missed only if its documents share no band: below 1 in 2 million at the threshold.
 
 Results for special input: a document without words is linked with nothing and is its own component; one
 with fewer than k words has one shingle, all its words; rows of one id are one document; a row with a
@@ -20,12 +21,10 @@ null id has a null component and is kept.
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vigil.llm.common import arrow_column, small_batches, written
@@ -34,55 +33,27 @@ from vigil.llm.minhash import band_hashes, shingles, signatures
 
 BANDS, ROWS = 26, 5
 REGISTERS = BANDS * ROWS
-NIBBLES = -(-REGISTERS // 16)
-_SKETCH = "struct<n:bigint,print:binary,bands:array<bigint>,low:array<bigint>>"
-
-
-def _low_bits(signature: np.ndarray) -> np.ndarray:
-    """Four bits of each register, sixteen registers to a 64-bit integer."""
-    padded = np.zeros((len(signature), NIBBLES * 16), np.uint64)
-    padded[:, : signature.shape[1]] = (signature >> np.uint64(3)) & np.uint64(15)
-    shift = (np.arange(16, dtype=np.uint64) * np.uint64(4))[None, None, :]
-    return np.bitwise_or.reduce(padded.reshape(len(signature), NIBBLES, 16) << shift, axis=2)
+_SKETCH = "struct<n:bigint,print:binary,bands:array<bigint>>"
 
 
 def sketches(docs: DataFrame, k: int, text: str) -> DataFrame:
-    """Adds a struct: number of shingles, fingerprint of the set, band hashes and low bits of the signature."""
+    """Adds a struct: number of shingles, fingerprint of the set and band hashes."""
 
     def work(texts: list) -> pa.Array:
         sets = [shingles(t, k) for t in texts]
-        signature = signatures(sets, REGISTERS)
-        bands, low = band_hashes(signature, BANDS).view(np.int64), _low_bits(signature).view(np.int64)
+        bands = band_hashes(signatures(sets, REGISTERS), BANDS).view(np.int64)
         return pa.StructArray.from_arrays(
             [
                 pa.array([len(s) for s in sets], pa.int64()),
                 pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
                 pa.array(list(bands), pa.list_(pa.int64())),
-                pa.array(list(low), pa.list_(pa.int64())),
             ],
-            ["n", "print", "bands", "low"],
+            ["n", "print", "bands"],
         )
 
     return docs.withColumn("sketch", arrow_column(work, _SKETCH)(F.col(text)))
 
 
-def _agreeing(a: Column, b: Column) -> Column:
-    """Number of registers whose low bits agree in two packed signatures."""
-    ones = 0x1111111111111111
-    total = F.lit(NIBBLES * 16)
-    for i in range(NIBBLES):
-        x = F.get(a, i).bitwiseXOR(F.get(b, i))
-        any_bit = x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseOR(F.shiftrightunsigned(x, 2)).bitwiseOR(F.shiftrightunsigned(x, 3))
-        total = total - F.bit_count(any_bit.bitwiseAND(F.lit(ones)))
-    return total - (NIBBLES * 16 - REGISTERS)
-
-
-def least_agreeing(threshold: float) -> int:
-    """Registers that agree at least, but for one in a million links."""
-    p = threshold + (1 - threshold) / 16
-    return math.floor(REGISTERS * p - 5 * math.sqrt(REGISTERS * p * (1 - p)))
-
-
 def _sizes_allow(a: str, b: str, percent: int) -> Column:
     """Whether sets of sizes from ``least`` to ``most`` can be similar enough; a node may have several texts."""
     return 100 * F.least(f"{a}most", f"{b}most") >= percent * F.greatest(f"{a}least", f"{b}least")
@@ -108,46 +79,123 @@ def linked(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFram
     return rows.withColumn("_same", same).where("_same").select("a", "b").distinct()
 
 
+_DIFFERENCE = "struct<s:bigint,m:bigint,a:bigint,delta:array<bigint>>"
+
+
+def _differences(pairs: DataFrame, texts: DataFrame, k: int) -> DataFrame:
+    """For (pivot, node): size of the pivot's set, shingles missing and added, and both in one array (added ones odd)."""
+
+    def work(rows: list) -> pa.Array:
+        out, last, of_last = [], None, None
+        for r in rows:
+            if r["x"] != last:
+                last, of_last = r["x"], shingles(r["x"], k)
+            other = shingles(r["y"], k)
+            missing, added = np.setdiff1d(of_last, other, True), np.setdiff1d(other, of_last, True)
+            delta = np.r_[missing & ~np.uint64(1), added | np.uint64(1)].view(np.int64)
+            out.append((len(of_last), len(missing), len(added), delta))
+        columns = [list(c) for c in zip(*out)] or [[], [], [], []]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
+        return pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["s", "m", "a", "delta"])
+
+    left = texts.select(F.col("node").alias("pivot"), F.col("version").alias("pivot_version"), F.col("text").alias("x"))
+    right = texts.select("node", "version", F.col("text").alias("y"))
+    rows = pairs.join(left, "pivot").join(right, "node")
+    return rows.withColumn("d", arrow_column(work, _DIFFERENCE, step=64)(F.struct("x", "y"))).drop("x", "y").select("*", "d.*").drop("d")
+
+
+def _second_links(grouped: DataFrame, so_far: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links (a, b) between members of one pivot's buckets that are in different groups so far.
+
+    For members x and y of a pivot with s shingles, which lack m and add a shingles: x and y share
+    ``s - m(x) - m(y)`` shingles and as many more as their differences have in common. So they are linked
+    if the differences share ``need = w(x) + w(y) - c * s`` elements at least, where
+    ``w = (1 - t) * m + t * a``, ``t = percent / (100 + percent)`` and ``c = 1 - 2 * t``. A member outside
+    the pivot's group has ``w > c * s`` (else it would be linked to the pivot), so ``need`` is above w of
+    the other. Two cases:
+
+    * ``need`` is above both numbers of missing shingles: an added shingle must be shared.
+    * Otherwise a difference of either kind must be.
+
+    In both, a pair that shares ``need`` elements shares one of the rarest ``size - need + 1`` of each
+    (with the same order of elements for all), so only these are joined.
+    """
+    t = percent / (100 + percent)
+    c = 1 - 2 * t
+    comp = lambda node, name: so_far.select(F.col("node").alias(node), F.col("component").alias(name))
+    rows = grouped.join(comp("node", "g"), "node", "left").join(comp("pivot", "pg"), "pivot", "left")
+    rows = rows.withColumn("g", F.coalesce("g", "node")).withColumn("pg", F.coalesce("pg", "pivot")).withColumn("minor", F.col("g") != F.col("pg"))
+    open_ = rows.groupBy("pivot").agg(F.count_if("minor").alias("minors"), F.count(F.lit(1)).alias("size")).where("minors > 0 AND size > 1").select("pivot")
+    diff = _differences(rows.join(open_, "pivot", "left_semi"), texts, k)
+    diff = written(diff.withColumn("w", (1 - t) * F.col("m") + t * F.col("a")).withColumn("n", F.col("s") - F.col("m") + F.col("a")), "differences")
+    of_pivot = ["pivot", "pivot_version"]
+    least = diff.groupBy(of_pivot).agg(F.min("w").alias("least_w"), F.min(F.when(F.col("minor"), F.col("w"))).alias("least_minor_w"))
+    # what a member needs to share with any partner: minors may pair with all, others with minors
+    partner = F.when(F.col("minor"), F.col("least_w")).otherwise(F.col("least_minor_w"))
+    bound = F.greatest(F.lit(1), F.ceil(F.col("w") + partner - c * F.col("s") - 1e-6)).cast("long")
+    size = F.col("m") + F.col("a")
+    each = diff.join(least, of_pivot).withColumn("bound", bound).where(size >= F.col("bound"))
+    member = [*of_pivot, "node", "version"]
+    elements = each.select(*member, "g", "minor", "n", "s", "m", "a", "bound", F.explode("delta").alias("e"))
+    common = elements.groupBy(*of_pivot, "e").agg(F.count(F.lit(1)).alias("seen")).where("seen > 1")
+    shared = elements.join(common, [*of_pivot, "e"]).withColumn("added", F.col("e").bitwiseAND(F.lit(1)) == 1)
+    # elements that no other member has are the rarest, so they come before these
+    own, rank = Window.partitionBy(*member), Window.partitionBy(*member).orderBy("seen", "e")
+    own_a, rank_a = Window.partitionBy(*member, "added"), Window.partitionBy(*member, "added").orderBy("seen", "e")
+    place = size - F.count(F.lit(1)).over(own) + F.row_number().over(rank)
+    place_a = F.when(F.col("added"), F.col("a") - F.count(F.lit(1)).over(own_a) + F.row_number().over(rank_a))
+    ranked = shared.withColumn("place", place).withColumn("place_a", place_a)
+    any_one = F.col("place") <= size - F.col("bound") + 1
+    added_one = F.coalesce(F.col("place_a") <= F.col("a") - F.greatest(F.lit(1), F.col("bound") - F.col("m")) + 1, F.lit(False))
+    keys = written(ranked.withColumn("any_one", any_one).withColumn("added_one", added_one).where("any_one OR added_one").drop("place", "place_a", "seen", "added", "a", "bound"), "keys")
+
+    x = keys.where("minor").select(*of_pivot, "e", *(F.col(q).alias(f"x_{q}") for q in ("node", "version", "g", "n", "m", "any_one", "added_one")), "s")
+    y = keys.select(*of_pivot, "e", *(F.col(q).alias(f"y_{q}") for q in ("node", "version", "g", "n", "m", "minor", "any_one", "added_one")))
+    need = F.ceil(F.lit(percent) * (F.col("x_n") + F.col("y_n")) / (100 + percent) - 1e-6) - F.col("s") + F.col("x_m") + F.col("y_m")
+    fewest = F.least("x_m", "y_m")
+    by_added = F.col("x_added_one") & F.col("y_added_one") & (need > fewest)
+    by_any = F.col("x_any_one") & F.col("y_any_one") & (need <= fewest)
+    sizes = 100 * F.least("x_n", "y_n") >= percent * F.greatest("x_n", "y_n")
+    once = ~F.col("y_minor") | (F.col("x_node") < F.col("y_node"))
+    left, right = x.alias("l"), y.alias("r")
+    on = [F.col(f"l.{q}") == F.col(f"r.{q}") for q in (*of_pivot, "e")]
+    met = left.join(right, on[0] & on[1] & on[2] & (F.col("x_g") != F.col("y_g")) & once & sizes & (by_added | by_any))
+    met = met.select(*(F.col(f"l.{q}").alias(q) for q in of_pivot), "x_node", "x_version", "y_node", "y_version", need.alias("need")).distinct()
+    side = lambda q: diff.select(*of_pivot, F.col("node").alias(f"{q}_node"), F.col("version").alias(f"{q}_version"), F.col("delta").alias(f"{q}_delta"))
+    both = met.join(side("x"), [*of_pivot, "x_node", "x_version"]).join(side("y"), [*of_pivot, "y_node", "y_version"])
+    return both.where(F.size(F.array_intersect("x_delta", "y_delta")) >= F.col("need")).select(F.col("x_node").alias("a"), F.col("y_node").alias("b")).distinct()
+
+
 def groups(docs: DataFrame, *, key: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
     """One row per document: key, ``n_shingles``, ``component_id`` (smallest key reachable) and ``kept``."""
     small_batches(docs.sparkSession, 256)
     source = docs.select(F.col(key).cast("long").alias("node"), F.col(text).alias("text")).withColumn("version", F.xxhash64("text"))
     sketch = written(sketches(source, k, "text").select("node", "version", "sketch.*"), "sketch")
     able = sketch.where("n > 0 AND node IS NOT NULL")
-    classes = written(able.groupBy("print").agg(F.min_by(F.struct("node", "version", "n", "bands", "low"), F.struct("node", "version")).alias("c")).select("print", "c.*"), "classes")
+    classes = written(able.groupBy("print").agg(F.min_by(F.struct("node", "version", "n", "bands"), F.struct("node", "version")).alias("c")).select("print", "c.*"), "classes")
 
-    # rows of one id are one document, and so are rows of equal sets: links that need no comparison
-    given = classes.select("print", F.col("node").alias("a")).join(able.select("print", F.col("node").alias("b")).join(able.groupBy("node").agg(F.count_distinct("print").alias("_n")).where("_n > 1").select(F.col("node").alias("b")), "b", "left_semi"), "print").where("a <> b").select("a", "b").distinct()
+    # rows of one id are one document: links that need no comparison
+    several = able.groupBy("node").agg(F.count_distinct("print").alias("prints")).where("prints > 1").select(F.col("node").alias("b"))
+    of_several = able.select("print", F.col("node").alias("b")).join(several, "b", "left_semi")
+    given = classes.select("print", F.col("node").alias("a")).join(of_several, "print").where("a <> b").select("a", "b").distinct()
 
     banded = classes.select("node", F.explode("bands").alias("h"))
     crowded = banded.groupBy("h").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     members = written(banded.join(crowded, "h"), "members")
     centre = members.groupBy("node").agg(F.sum("size").alias("centre"))
-    # the signature of a node with several texts is left out: such a node is compared whatever it is
-    sized = classes.groupBy("node").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.when(F.count(F.lit(1)) == 1, F.any_value("low")).alias("low"))
-    each = members.select("h", "node").distinct().join(centre, "node").join(sized.drop("low"), "node")
-    pivots = each.groupBy("h").agg(F.max(F.struct("centre", (-F.col("node")).alias("less"), "least", "most")).alias("p")).select("h", (-F.col("p.less")).alias("pivot"), F.col("p.least").alias("p_least"), F.col("p.most").alias("p_most"))
-    each, pivots = written(each, "each"), written(pivots, "pivots")
-    first = each.join(pivots, "h").where((F.col("node") != F.col("pivot")) & _sizes_allow("", "p_", percent))
-    first = first.select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
+    each = members.select("h", "node").distinct().join(centre, "node")
+    pivots = each.groupBy("h").agg(F.max(F.struct("centre", (-F.col("node")).alias("less"))).alias("p")).select("h", (-F.col("p.less")).alias("pivot"))
+    grouped = written(each.join(pivots, "h").where("node <> pivot").select("pivot", "node").distinct(), "grouped")
 
+    sized = lambda node, p: classes.groupBy(F.col("node").alias(node)).agg(F.min("n").alias(f"{p}least"), F.max("n").alias(f"{p}most"))
+    first = grouped.join(sized("node", ""), "node").join(sized("pivot", "p_"), "pivot").where(_sizes_allow("", "p_", percent))
+    first = first.select(F.col("pivot").alias("a"), F.col("node").alias("b"))
     asked = members.select("node").distinct().join(classes.select("node", "version"), "node")
     texts = written(source.join(asked, ["node", "version"]).groupBy("node", "version").agg(F.any_value("text").alias("text")), "texts")
     links = written(linked(first, texts, k, percent).unionByName(given), "links")
     so_far = written(components(links), "components")
 
-    # buckets whose members are in more than one group
-    held = each.join(so_far, "node", "left").withColumn("g", F.coalesce("component", "node")).drop("component", "centre")
-    open_ = held.groupBy("h").agg(F.min("g").alias("low_g"), F.max("g").alias("high_g")).where("low_g <> high_g").select("h")
-    held = held.join(open_, "h", "left_semi").join(pivots.select("h", "pivot"), "h")
-    held = held.join(so_far.select(F.col("node").alias("pivot"), F.col("component").alias("pg")), "pivot", "left").withColumn("pg", F.coalesce("pg", "pivot")).where("node <> pivot")
-    held = written(held.join(sized.select("node", "low"), "node"), "open")
-    side = lambda p: held.select(*(F.col(c).alias(f"{p}_{c}") for c in ("h", "node", "least", "most", "g", "pg", "low")))
-    # the pivot's group is one group already: only members outside it ask
-    x, y = side("x").where("x_g <> x_pg"), side("y")
-    may = (F.col("x_g") != F.col("y_g")) & ((F.col("y_g") == F.col("y_pg")) | (F.col("x_node") < F.col("y_node"))) & _sizes_allow("x_", "y_", percent) & F.coalesce(_agreeing(F.col("x_low"), F.col("y_low")) >= least_agreeing(percent / 100), F.lit(True))
-    second = x.join(y, (F.col("x_h") == F.col("y_h")) & may).select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct()
-    more = written(linked(second, texts, k, percent), "links")
+    more = written(_second_links(grouped, so_far, texts, k, percent), "links")
     stars = so_far.select(F.col("component").alias("a"), F.col("node").alias("b")).where("a <> b")
     final = components(stars.unionByName(more))
 
