@@ -4,16 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vigil.operators import context, normalize, rules
+from vigil.operators import context, evaluation, features, normalize, rules, stats, tensors
 from vigil.sources import adapter
 
-FRAGMENTS = {**adapter.SQL, **normalize.SQL, **context.SQL, **rules.SQL}
-NEEDS = {"checked": ["raw"], "accepted": ["checked"], "context": ["accepted"], "scored": ["context"], "detections": ["scored"]}
-
-
-def define(name: str, body: str, *needs: str) -> None:
-    """Adds a fragment for later queries."""
-    FRAGMENTS[name], NEEDS[name] = body, list(needs)
+_WITH_NEEDS = (features, stats, evaluation, tensors)
+FRAGMENTS = {k: v for m in (adapter, normalize, context, rules, *_WITH_NEEDS) for k, v in m.SQL.items()}
+NEEDS = {"checked": ["raw"], "accepted": ["checked"], "context": ["accepted"], "scored": ["context"], "detections": ["scored"]} | {k: v for m in _WITH_NEEDS for k, v in m.NEEDS.items()}
 
 
 def sql(body: str, *needs: str) -> str:

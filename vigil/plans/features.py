@@ -5,13 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from vigil.operators import features, normalize, stats
-from vigil.plans.common import accepted, define, sql
+from vigil.plans.common import accepted, sql
 from vigil.sources import adapter
 
 QUERIES, SQL = {}, {}
-for _m in (features, stats):
-    for _n, _body in _m.SQL.items():
-        define(_n, _body, *_m.NEEDS[_n])
 
 
 def query(oracle: str | None = None, *needs: str):

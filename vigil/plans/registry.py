@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from vigil.plans import features, investigation, pipeline
+from vigil.plans import evaluation, features, flows, investigation, pipeline
 
-MODULES = (pipeline, features, investigation)
+MODULES = (pipeline, features, investigation, evaluation, flows)
 
 
 def queries() -> dict:
