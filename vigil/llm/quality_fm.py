@@ -183,7 +183,8 @@ def train(labelled: DataFrame, *, text: str = "text", label: str = "label", key:
     if n > most_rows:
         rows = rows.where(F.pmod(F.xxhash64(key), F.lit(1_000_000)) < int(1_000_000 * most_rows / n))
     made = rows.select(F.xxhash64(key).alias("h"), F.col(label).cast("double").alias("y"), _features_column(text).alias("f"))
-    table = written(made.repartition(parts, "h").sortWithinPartitions("h").select("h", "y", "f.*", F.spark_partition_id().alias("part")), "features", by="part")
+    # rows go to parts by their hash, so that the number of models a round returns is ``parts`` on any cluster
+    table = written(made.select("h", "y", "f.*", F.pmod("h", F.lit(parts)).cast("int").alias("part")).repartition(parts, "part"), "features")
     model = Machine()
     for r in range(rounds):
         sent = model.packed()
