@@ -28,47 +28,56 @@ def parsed(lines: DataFrame, source: str, column: str = "value") -> DataFrame:
     return lines.select(F.from_json(column, SCHEMAS[source]).alias("r")).select("r.*")
 
 
-def _mapped(event: Column, known: dict[str, str]) -> Column:
-    out = F.lit(None)
-    for vendor, own in known.items():
-        out = F.when(event == vendor, own).otherwise(out)
-    return out
+def _or(value: Column | str, default: str) -> Column:
+    return F.coalesce(F.col(value) if isinstance(value, str) else value, F.lit(default))
+
+
+def _raw(source: str, ids: tuple[str, str, str], actor: tuple[str, Column, str, str], kind: Column, resource: tuple[Column, Column, Column, Column], vendor_kind: str, **extras: Column) -> list[Column]:
+    """The contract's columns, then what is special to the source. ``ids``: event id, time, time of ingestion."""
+    event_id, at, ingested = ids
+    email, name, department, role = actor
+    resource_id, title, resource_kind, sensitivity = resource
+    ts = lambda c: F.try_to_timestamp(c).cast("timestamp_ntz")
+    return [
+        F.lit(source).alias("source"), F.col(event_id).alias("source_event_id"), F.lit(None).cast("string").alias("integration_id"), ts(F.col(at)).alias("observed_at"), ts(F.coalesce(ingested, at)).alias("received_at"),
+        F.col(email).alias("actor_email"), name.alias("actor_name"), _or(department, "unknown").alias("department"), _or(role, "unknown").alias("role"), kind.alias("event_type"),
+        resource_id.alias("resource_id"), title.alias("resource_name"), resource_kind.alias("resource_kind"), sensitivity.alias("sensitivity"), F.col(vendor_kind).alias("vendor_event_type"), *(v.alias(k) for k, v in extras.items()),
+    ]
 
 
 def okta(df: DataFrame) -> DataFrame:
-    geo = F.concat_ws("-", F.coalesce("client.geographicalContext.country", F.lit("unknown")), F.coalesce("client.geographicalContext.state", F.lit("unknown")))
+    """Session starts are logins; the first target is the resource."""
     target = F.try_element_at("target", F.lit(1))
-    kind = F.when(F.col("eventType") == "user.session.start", "login").when(F.startswith("eventType", F.lit("user.account.privilege")) | F.startswith("eventType", F.lit("group.user_membership")), "admin_change")
-    return _common(df, "okta", "uuid", "published", "actor.alternateId", "actor.displayName", "actor.department", "actor.role", kind, target["id"], target["displayName"], F.lower(target["type"]), "debugContext.sensitivity").withColumn("geo", geo).withColumn("ip", F.col("_v.client.ipAddress")).withColumn("privileged", F.coalesce("_v.securityContext.isPrivileged", F.lit(False))).drop("_v")
+    geo = F.concat_ws("-", _or("client.geographicalContext.country", "unknown"), _or("client.geographicalContext.state", "unknown"))
+    kind = F.when(F.col("eventType") == "user.session.start", "login")
+    resource = _or(target["id"], "okta:unknown"), _or(target["displayName"], "Unknown Resource"), _or(target["type"], "app"), _or("debugContext.sensitivity", "high")
+    actor = "actor.alternateId", F.col("actor.displayName"), "actor.department", "actor.role"
+    return df.select(*_raw("okta", ("uuid", "published", "ingested_at"), actor, kind, resource, "eventType", geo=geo, ip=_or("client.ipAddress", "unknown"), privileged=F.coalesce("securityContext.isPrivileged", F.lit(False))))
 
 
 def gworkspace(df: DataFrame) -> DataFrame:
-    external = (F.col("activity") == "share") & (F.col("visibility") == "external")
-    kind = F.when(external, "share_external").when(F.col("activity") == "view", "view")
-    out = _common(df, "gworkspace", "id.uniqueQualifier", "id.time", "actor.email", "actor.profileName", "actor.department", "actor.role", kind, F.col("item.id"), F.col("item.title"), F.lit("document"), "item.sensitivity")
-    return out.withColumn("external", F.coalesce(F.col("event_type") == "share_external", F.lit(False))).withColumn("target_domain", F.col("_v.target_domain")).drop("_v")
+    """Views and shares; a share to outside is external."""
+    outside = F.coalesce(F.col("visibility") == "external", F.lit(False))
+    kind = F.when(F.col("activity").isin("view", "share"), F.when((F.col("activity") == "share") & outside, "share_external").otherwise("view"))
+    resource = F.concat(F.lit("gworkspace:doc/"), "item.id"), F.col("item.title"), F.lit("document"), _or("item.sensitivity", "internal")
+    actor = "actor.email", F.col("actor.profileName"), "actor.department", "actor.role"
+    return df.select(*_raw("gworkspace", ("id.uniqueQualifier", "id.time", "ingested_at"), actor, kind, resource, "activity", external=outside, target_domain=F.col("target_domain")))
 
 
 def github(df: DataFrame) -> DataFrame:
-    kind = _mapped(F.col("action"), {"repo.archive_download": "archive_download", "repo.clone": "clone", "git.clone": "clone", "repo.view": "view"})
-    out = _common(df, "github", "id", "created_at", "actor.email", "actor.display_name", "actor.department", "actor.role", kind, F.col("repo.name"), F.col("repo.name"), F.lit("repo"), "repo.sensitivity")
-    return out.withColumn("bytes_transferred_mb", F.col("_v.transfer.mb")).drop("_v")
+    """Repository views and archive downloads."""
+    kind = F.when(F.col("action") == "repo.archive_download", "archive_download").when(F.col("action") == "repo.view", "view")
+    resource = F.concat(F.lit("github:repo/"), "repo.name"), F.col("repo.name"), F.lit("repo"), _or("repo.sensitivity", "internal")
+    actor = "actor.email", F.col("actor.display_name"), "actor.department", "actor.role"
+    return df.select(*_raw("github", ("id", "created_at", "ingested_at"), actor, kind, resource, "action", bytes_transferred_mb=F.coalesce("transfer.mb", F.lit(0))))
 
 
 def snowflake(df: DataFrame) -> DataFrame:
-    kind = F.when(F.col("QUERY_TYPE").isin("COPY", "UNLOAD"), "export").when(F.col("QUERY_TYPE") == "SELECT", "query")
-    out = _common(df, "snowflake", "QUERY_ID", "START_TIME", "USER_NAME", "DISPLAY_NAME", "DEPARTMENT", "ROLE_NAME", kind, F.col("OBJECT_NAME"), F.col("OBJECT_NAME"), F.lit("dataset"), "SENSITIVITY")
-    return out.withColumn("rows_read", F.col("_v.ROWS_PRODUCED")).withColumn("warehouse", F.col("_v.WAREHOUSE_NAME")).drop("_v")
-
-
-def _common(df: DataFrame, source: str, event_id: str, at: str, email: str, name: str, department: str, role: str, kind: Column, resource: Column, title: Column, resource_kind: Column, sensitivity: str) -> DataFrame:
-    """The contract's columns; ``_v`` holds the vendor's record for what is special to it."""
-    ingested = "INGESTED_AT" if source == "snowflake" else "ingested_at"
-    return df.select(
-        F.lit(source).alias("source"), F.col(event_id).alias("source_event_id"), F.lit(None).cast("string").alias("integration_id"), F.try_to_timestamp(F.col(at)).cast("timestamp_ntz").alias("observed_at"),
-        F.try_to_timestamp(F.col(ingested)).cast("timestamp_ntz").alias("received_at"), F.col(email).alias("actor_email"), F.col(name).alias("actor_name"), F.col(department).alias("department"), F.col(role).alias("role"),
-        kind.alias("event_type"), resource.alias("resource_id"), title.alias("resource_name"), resource_kind.alias("resource_kind"), F.col(sensitivity).alias("sensitivity"), F.struct(*df.columns).alias("_v"),
-    )
+    """Queries; a copy is an export."""
+    kind = F.when(F.col("QUERY_TYPE") == "COPY", "export").when(F.col("QUERY_TYPE") == "SELECT", "query")
+    resource = F.concat(F.lit("snowflake:dataset/"), "OBJECT_NAME"), F.col("OBJECT_NAME"), F.lit("dataset"), _or("SENSITIVITY", "internal")
+    actor = "USER_NAME", F.coalesce("DISPLAY_NAME", "USER_NAME"), "DEPARTMENT", "ROLE_NAME"
+    return df.select(*_raw("snowflake", ("QUERY_ID", "START_TIME", "INGESTED_AT"), actor, kind, resource, "QUERY_TYPE", rows_read=F.coalesce("ROWS_PRODUCED", F.lit(0)), warehouse=_or("WAREHOUSE_NAME", "unknown")))
 
 
 MAPPERS = {"okta": okta, "gworkspace": gworkspace, "github": github, "snowflake": snowflake}
