@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from vigil.plans import evaluation, features, flows, investigation, pipeline
+from vigil.plans import evaluation, features, flows, investigation, model, pipeline
 
-MODULES = (pipeline, features, investigation, evaluation, flows)
+MODULES = (pipeline, features, investigation, evaluation, flows, model)
 
 
 def queries() -> dict:
