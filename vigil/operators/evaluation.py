@@ -117,8 +117,8 @@ def tpr_at_fpr(rows: DataFrame, by: str, key: str, target: float, score: str = "
     whole = Window.partitionBy(by)
     neg = (F.col(label) != 1).cast("long")
     rows = rows.withColumn("_fp", F.sum(neg).over(ordered)).withColumn("_neg", F.sum(neg).over(whole)).withColumn("_pos", F.sum(1 - neg).over(whole))
-    hit = F.count_if((F.col(label) == 1) & (F.col("_fp") / F.col("_neg") <= target))
-    return rows.groupBy(by).agg(F.when((F.max("_pos") > 0) & (F.max("_neg") > 0), hit / F.max("_pos")).otherwise(F.lit(0.0)).alias("tpr"))
+    hit = F.count_if((F.col(label) == 1) & (F.try_divide("_fp", "_neg") <= target))
+    return rows.groupBy(by).agg(F.when((F.max("_pos") > 0) & (F.max("_neg") > 0), F.try_divide(hit, F.max("_pos"))).otherwise(F.lit(0.0)).alias("tpr"))
 
 
 def hashed_order(key: str, seed: int) -> Column:
