@@ -81,5 +81,35 @@ def test_bound_raises_the_least_count(spark):
     check(lm_bloom.score(docs, most_bytes=4096).collect(), [(x.doc_id, x.text) for x in docs.collect()])
 
 
+def test_no_gram_is_lost_when_the_corpus_outgrows_the_filter(spark):
+    rows = list(enumerate(["", *corpus(5, 400)], 1))
+    learned = [lm_bloom.tokens(t) for i, t in rows if zlib.crc32(str(i).encode()) % 5 != 1]
+    n, v = sum(map(len, learned)), len({x for s in learned for x in s.tolist()})
+    least, _ = lm_bloom.least_count(n, 2048, 2)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = lm_bloom.build(docs.where(~lm_bloom.held_out("doc_id")).select("text"), n, most_bytes=2048)
+    assert least > 1
+    c = Counter(k for s in learned for o in (1, 2) for k in lm_bloom.grams(s, o).tolist())
+    c[lm_bloom.histories(learned[0], 2).tolist()[0]] = len(learned)
+    assert sum(0 < x < least for x in c.values()) > len(c) / 2
+
+    def of(keys):
+        counts = np.array([c[k] for k in keys.tolist()])
+        return np.where(counts >= least, kept.levels(keys), lm_bloom.level(counts))
+
+    def exact(text):
+        seen = lm_bloom.tokens(text)
+        one, two, history = (of(x) for x in (lm_bloom.grams(seen, 1), lm_bloom.grams(seen, 2), lm_bloom.histories(seen, 2)))
+        p = (lm_bloom.low(one) + 0.5) / (n + 0.5 * (v + 1))
+        whole = lm_bloom.low(two)
+        return float(np.log10((whole + lm_bloom.MU * p) / (np.maximum(lm_bloom.high(history), whole) + lm_bloom.MU)).sum())
+
+    found = lm_bloom.score(docs, most_bytes=2048).collect()
+    check(found, rows)
+    want = {i: exact(t) for i, t in rows}
+    near = [abs(x.score - want[x.doc_id]) < 1e-9 * max(1, abs(x.score)) for x in found]
+    assert np.mean(near) > 0.98, np.mean(near)  # an n-gram below L is a false hit at all levels of L about once in 100,000
+
+
 def test_empty(spark):
     assert lm_bloom.score(documents(spark, [])).count() == 0

@@ -5,7 +5,9 @@ Counts of n-grams are quantised: a count has as many levels as there are thresho
 asking for level 1, 2, ... until one is missing gives the quantised count. The filter goes to all tasks.
 
 Its size is bounded. At most N / L n-grams of one order are seen L times or more among N tokens, so with
-``least`` L high enough the pairs fit into ``most_bytes``; L is 1 until the corpus outgrows that.
+``least`` L high enough the pairs fit into ``most_bytes``; L is 1 until the corpus outgrows that. Beyond
+that, the n-grams below L stay in a table of exact counts: what the filter doesn't know of a text is
+joined with it. So every n-gram counts at any size, and no key joins more than L - 1 times as training text.
 
 Probabilities are smoothed from order to order, from the unigrams up:
 ``p(w | h) = (low(h w) + MU * p(w | shorter h)) / (high(h) + MU)``, where low and high are the least and
@@ -76,6 +78,11 @@ def grams(seen: np.ndarray, n: int) -> np.ndarray:
     return gram_hashes(np.r_[np.full(n - 1, BEGIN), seen], n) + np.uint64(n)
 
 
+def histories(seen: np.ndarray, n: int) -> np.ndarray:
+    """Keys of the n - 1 tokens before each token."""
+    return gram_hashes(np.r_[np.full(n - 1, BEGIN), seen[:-1]], n - 1) + np.uint64(n - 1)
+
+
 def held_out(key: str) -> Column:
     return F.coalesce(F.crc32(F.col(key).cast("string")) % 5 == 1, F.lit(False))
 
@@ -160,15 +167,21 @@ def least_count(n: int, most_bytes: int, order: int, bits_per_token: int = BITS_
         least *= 2
 
 
-def build(texts: DataFrame, n: int, *, order: int = ORDER, most_bytes: int = MOST_BYTES) -> Filter:
-    """The filter of all n-grams up to ``order`` of one text column with ``n`` tokens in all.
+def gram_counts(texts: DataFrame, order: int = ORDER) -> DataFrame:
+    """(segment, h, c): exact counts of all n-grams up to ``order``, dealt out by segment."""
+    segment = F.shiftrightunsigned(F.col("h"), 56).cast("int")
+    spread = counts(texts, range(1, order + 1)).withColumn("segment", segment).repartition("segment")
+    return spread.groupBy("segment", "h").agg(F.sum("c").alias("c"))
+
+
+def build(texts: DataFrame, n: int, *, order: int = ORDER, most_bytes: int = MOST_BYTES, summed: DataFrame | None = None) -> Filter:
+    """The filter of the n-grams up to ``order``, seen L times or more, of one text column with ``n`` tokens in all.
 
-    Partial counts are shuffled by segment and summed; each segment's bits are set as its rows stream by.
+    Partial counts are shuffled by segment and summed, unless given as ``summed``; each segment's bits are
+    set as its rows stream by.
     """
     least, width = least_count(n, most_bytes, order)
-    segment = F.shiftrightunsigned(F.col("h"), 56).cast("int")
-    spread = counts(texts, range(1, order + 1)).withColumn("segment", segment).repartition("segment")
-    summed = spread.groupBy("segment", "h").agg(F.sum("c").alias("c")).where(F.col("c") >= least)
+    summed = (gram_counts(texts, order) if summed is None else summed).where(F.col("c") >= least)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: dict[int, np.ndarray] = {}
@@ -201,26 +214,45 @@ class Model:
     n: int
     v: int
     order: int = ORDER
+    least: int = 1
 
-    def log10(self, texts: list[np.ndarray]) -> list[np.ndarray]:
+    def log10(self, texts: list[np.ndarray], rare: tuple[np.ndarray, np.ndarray] | None = None) -> list[np.ndarray]:
         """log10 of the probability of each token after those before it, for each text.
 
-        The filter is asked once for each different n-gram of all the texts.
+        The filter is asked once for each different n-gram of all the texts. ``rare`` has sorted keys of
+        n-grams below ``least`` and their counts.
         """
         if not texts:
             return []
         together = lambda f: np.concatenate([f(seen) for seen in texts])
-        before = lambda seen: np.r_[BEGIN, seen[:-1]]
-        p = (low(self._levels(together(lambda seen: grams(seen, 1)))) + 0.5) / (self.n + 0.5 * (self.v + 1))
+        p = (low(self._levels(together(lambda seen: grams(seen, 1)), rare)) + 0.5) / (self.n + 0.5 * (self.v + 1))
         for k in range(2, self.order + 1):
-            whole = low(self._levels(together(lambda seen: grams(seen, k))))
-            history = high(self._levels(together(lambda seen: gram_hashes(np.r_[np.full(k - 2, BEGIN), before(seen)], k - 1) + np.uint64(k - 1))))
+            whole = low(self._levels(together(lambda seen: grams(seen, k)), rare))
+            history = high(self._levels(together(lambda seen: histories(seen, k)), rare))
             p = (whole + MU * p) / (np.maximum(history, whole) + MU)
         return np.split(np.log10(p), np.cumsum([len(seen) for seen in texts])[:-1])
 
-    def _levels(self, keys: np.ndarray) -> np.ndarray:
+    def missing(self, texts: list[np.ndarray]) -> list[np.ndarray]:
+        """For each text, the different keys of its n-grams and histories that the filter doesn't hold."""
+        keys = [np.unique(np.concatenate([f(seen, k) for k in range(1, self.order + 1) for f in ((grams, histories) if k > 1 else (grams,))])) for seen in texts]
+        if not keys:
+            return []
+        different, place = np.unique(np.concatenate(keys), return_inverse=True)
+        gone = (self._held(different) == 0)[place]
+        return [x[g] for x, g in zip(keys, np.split(gone, np.cumsum([len(x) for x in keys])[:-1]))]
+
+    def _held(self, keys: np.ndarray) -> np.ndarray:
+        """Levels by the filter; fewer than those of ``least`` can only be false hits."""
+        found = self.filter.levels(keys)
+        return np.where(found >= level(self.least), found, 0)
+
+    def _levels(self, keys: np.ndarray, rare: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
         different, place = np.unique(keys, return_inverse=True)
-        return self.filter.levels(different)[place]
+        found = self._held(different)
+        if rare is not None and len(rare[0]):
+            at = np.minimum(np.searchsorted(rare[0], different), len(rare[0]) - 1)
+            found = np.where((found == 0) & (rare[0][at] == different), level(rare[1][at]), found)
+        return found[place]
 
 
 @dataclass
@@ -256,18 +288,30 @@ def score(docs: DataFrame, *, key: str = "doc_id", text: str = "text", order: in
     learned = docs.where(F.col(key).isNotNull() & ~held_out(key)).select(F.col(text).alias("text"))
     unigrams = written(counts(learned, range(1, 2), plain=True).groupBy("h").agg(F.sum("c").alias("c")), "unigrams")
     size = unigrams.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
-    model = Model(build(learned, size.n, order=order, most_bytes=most_bytes), size.n, size.v, order)
+    least, _ = least_count(size.n, most_bytes, order)
+    summed = written(gram_counts(learned, order), "grams") if least > 1 else None
+    model = Model(build(learned, size.n, order=order, most_bytes=most_bytes, summed=summed), size.n, size.v, order, least)
     heavy = heavy_words(unigrams, most_heavy)
     sent = docs.sparkSession.sparkContext.broadcast((model.filter.bits, model.filter.width, heavy.hashes, heavy.counts))
     n, v, threshold = model.n, model.v, heavy.threshold
     whole = n + 0.5 * (v + 1)
 
+    def asked(texts: list) -> pa.Array:
+        bits, width, _, _ = sent.value
+        keys = Model(Filter(bits, width), n, v, order, least).missing([tokens(t) for t in texts])
+        return pa.array([x.view(np.int64) for x in keys], pa.list_(pa.int64()))
+
     def work(texts: list) -> pa.Array:
         bits, width, hashes, exact = sent.value
-        own = Model(Filter(bits, width), n, v, order)
-        rows = []
+        own = Model(Filter(bits, width), n, v, order, least)
+        rows, rare = [], None
+        if least > 1:
+            h = np.array([x for t in texts for x in t["h"] or ()], np.int64).view(np.uint64)
+            h, at = np.unique(h, return_index=True)
+            rare = h, np.array([x for t in texts for x in t["c"] or ()], np.int64)[at]
+            texts = [t["text"] for t in texts]
         all_seen = [tokens(t) for t in texts]
-        for seen, p in zip(all_seen, own.log10(all_seen)):
+        for seen, p in zip(all_seen, own.log10(all_seen, rare)):
             words, times = np.unique(seen, return_counts=True)
             at = np.minimum(np.searchsorted(hashes, words), max(0, len(hashes) - 1))
             known = hashes[at] == words if len(hashes) else np.zeros(len(words), bool)
@@ -280,7 +324,14 @@ def score(docs: DataFrame, *, key: str = "doc_id", text: str = "text", order: in
         return pa.StructArray.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds)], ["n_tokens", "n_known", "base", "score", "rest", "times"])
 
     first = docs.select(F.col(key), held_out(key).alias("held_out"), F.monotonically_increasing_id().alias("row"), F.col(text).alias("text"))
-    scored = written(first.withColumn("s", arrow_column(work, _SCORED)(F.col("text"))).select(key, "held_out", "row", "s.*"), "scored")
+    given = F.col("text")
+    if least > 1:
+        first = written(first, "texts")  # the rows' numbers must stay
+        keys = first.select("row", F.explode(arrow_column(asked, "array<bigint>")(F.col("text"))).alias("h"))
+        known = keys.join(summed.where(F.col("c") < least).select("h", "c"), "h")
+        first = first.join(known.groupBy("row").agg(F.collect_list(F.struct("h", "c")).alias("rare")), "row", "left")
+        given = F.struct("text", F.col("rare.h").alias("h"), F.col("rare.c").alias("c"))
+    scored = written(first.withColumn("s", arrow_column(work, _SCORED)(given)).select(key, "held_out", "row", "s.*"), "scored")
     rare = scored.select("row", F.explode(F.arrays_zip("rest", "times")).alias("x")).select("row", F.col("x.rest").alias("h"), F.col("x.times").alias("times"))
     joined = rare.join(unigrams.where(F.col("c") < threshold), "h", "left").withColumn("c", F.coalesce("c", F.lit(0).cast("long")))
     added = joined.groupBy("row").agg(F.sum(F.col("times") * F.log10((F.col("c") + 0.5) / F.lit(whole))).alias("more"), F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("more_known"))
