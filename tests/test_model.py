@@ -48,6 +48,33 @@ def test_training_lowers_the_loss_and_scores(spark, sf):
     assert all(0.05 <= x.detection_threshold <= 0.95 for x in model.calibrated(scored).collect())
 
 
+def small_towers(spark):
+    """80 accessors of one resource, 40 of another, contexts of two fields, and the same in NumPy."""
+    acc = spark.createDataFrame([(f"r{k}", f"p{i}", 1.0 / n, "s") for k, n in ((0, 80), (1, 40)) for i in range(n)], "resource_key string, principal_key string, accessor_weight double, source string")
+    people = spark.createDataFrame([(f"p{i}", i) for i in range(80)], "key string, idx long")
+    fields = len(model.CONTEXT_FIELDS)
+    sets = {f"p{i}": [[(i % 7, 0.5), (i % 5, 0.25)] if f == 0 else [(i % 3, 1.0)] if f == 5 else [] for f in range(fields)] for i in range(80)}
+    context = spark.createDataFrame(list(sets.items()), f"principal_key string, context array<{model.SET}>")
+    t = model.towers(model.members(acc, people, context))
+    dense = model.TwoTower.unpacked(t.layers.packed())
+    for tower, first, sizes in ((dense.action, 0, (80,)), (dense.context, 1, (7, *(80,) * (fields - 1)))):
+        tower.sizes = sizes
+        tower.p |= {f"e{f}": np.zeros((n, 8)) for f, n in enumerate(sizes)}
+        for x in t.embeddings.collect():
+            if (x.f == 0) == (first == 0):
+                tower.p[f"e{x.f - first}"][x.i] = [x[f"e{j}"] for j in range(8)]
+    actions = {f"r{k}": [[(i, 1.0 / n) for i in range(n)]] for k, n in ((0, 80), (1, 40))}
+    pairs = [(f"r{i % 2}", f"p{i}", "s", [f"p{(i + j) % 80}" for j in (3, 11, 30)]) for i in range(40)]
+    return t, dense, actions, sets, pairs, spark.createDataFrame(pairs, "resource_key string, principal_key string, source string, others array<string>")
+
+
+def test_all_accessors_are_pooled(spark):
+    t, dense, actions, _, _, _ = small_towers(spark)
+    x = {r.key: r.x for r in model.pooled(t).where("side = 'a'").collect()}
+    for k, (own,) in actions.items():
+        assert np.allclose(x[k], sum(w * dense.action.p["e0"][i] for i, w in own))
+
+
 def test_multi_scale_scores():
     e = np.eye(3)
     assert model.multi_scale(e[:0], np.array([])) == 0 and model.multi_scale(e[:1], np.array([0.4])) == 0.4

@@ -3,8 +3,12 @@
 An action is a weighted set of the principals that access its resource; a context is a principal's
 history, its four kinds of peers and its static attributes. Each tower pools the embeddings of every
 field by weight, concatenates the fields, and applies one hidden layer and a projection to unit length.
-Distance is 1 less the cosine, within 0 and 1. Gradients are written out by hand for NumPy; a round sums
-those of all partitions, so a round over the same rows gives the same model however they are dealt out.
+Distance is 1 less the cosine, within 0 and 1. Gradients are written out by hand.
+
+The embeddings and their moments are tables, as their number grows with principals and resources. A round
+joins them with the members of every set and sums, sends the pooled rows through the layers, joins the
+pairs with the resulting unit vectors, and takes the gradients the same way back: all sums are Spark's.
+Only the layers and their gradients, which have a fixed size, pass the driver.
 """
 
 from __future__ import annotations
@@ -16,10 +20,12 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vigil.operators.evaluation import nearest_rank
+from vigil.session import written
 
 #: Fields of a context: mean over the history, then weighted sums of peers, then attributes.
 CONTEXT_FIELDS = ("history", "department", "manager", "group", "collaboration", "role", "location", "employment_duration_bucket", "privilege_level")
@@ -56,18 +62,26 @@ class Tower:
             np.add.at(total, owner, self.p[f"e{f}"][index] * weight[:, None])
             flat.append((owner, index, weight))
             pooled.append(total)
-        x = np.concatenate(pooled, axis=1)
+        unit, kept = self.layers(np.concatenate(pooled, axis=1))
+        return unit, (flat, *kept)
+
+    def layers(self, x: np.ndarray) -> tuple[np.ndarray, tuple]:
+        """Unit vectors of pooled rows."""
         h = np.maximum(0, x @ self.p["w1"] + self.p["b1"])
         z = h @ self.p["w2"] + self.p["b2"]
         norm = np.maximum(1e-12, np.linalg.norm(z, axis=1, keepdims=True))
-        return z / norm, (flat, x, h, z / norm, norm)
+        return z / norm, (x, h, z / norm, norm)
 
-    def backward(self, kept: tuple, d_unit: np.ndarray) -> dict[str, np.ndarray]:
-        flat, x, h, unit, norm = kept
+    def layers_back(self, kept: tuple, d_unit: np.ndarray) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+        """Gradients of the pooled rows and of the layers."""
+        x, h, unit, norm = kept
         d_z = (d_unit - unit * (d_unit * unit).sum(axis=1, keepdims=True)) / norm
         d_h = (d_z @ self.p["w2"].T) * (h > 0)
-        d_x = d_h @ self.p["w1"].T
-        out = {"w2": h.T @ d_z, "b2": d_z.sum(axis=0), "w1": x.T @ d_h, "b1": d_h.sum(axis=0)}
+        return d_h @ self.p["w1"].T, {"w2": h.T @ d_z, "b2": d_z.sum(axis=0), "w1": x.T @ d_h, "b1": d_h.sum(axis=0)}
+
+    def backward(self, kept: tuple, d_unit: np.ndarray) -> dict[str, np.ndarray]:
+        flat, *kept = kept
+        d_x, out = self.layers_back(tuple(kept), d_unit)
         for f, (owner, index, weight) in enumerate(flat):
             g = np.zeros_like(self.p[f"e{f}"])
             np.add.at(g, index, d_x[owner, f * self.dim : (f + 1) * self.dim] * weight[:, None])
@@ -101,16 +115,20 @@ class TwoTower:
         n, k = len(actions), len(contexts[0]) - 1
         a, kept_a = self.action.forward(actions)
         c, kept_c = self.context.forward([x for row in contexts for x in row])
-        c = c.reshape(n, k + 1, -1)
-        distance = 1 - np.einsum("nd,nkd->nk", a, c)
-        margin = np.maximum(0, MARGIN + distance[:, :1] - distance[:, 1:])
-        point = np.where(margin <= 1, 0.5 * margin**2, margin - 0.5)
-        mean = point.mean(axis=1)
-        slope = (OMEGA * mean ** (OMEGA - 1))[:, None] * np.minimum(margin, 1) / k
-        d_distance = np.concatenate([slope.sum(axis=1, keepdims=True), -slope], axis=1)
-        d_a = -np.einsum("nk,nkd->nd", d_distance, c)
-        d_c = -(d_distance[:, :, None] * a[:, None, :]).reshape(n * (k + 1), -1)
-        return float((mean**OMEGA).sum()), mean, self.action.backward(kept_a, d_a), self.context.backward(kept_c, d_c)
+        mean, d_a, d_c = margins(a, c.reshape(n, k + 1, -1))
+        return float((mean**OMEGA).sum()), mean, self.action.backward(kept_a, d_a), self.context.backward(kept_c, d_c.reshape(n * (k + 1), -1))
+
+
+def margins(a: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Means of the margins of actions (n, d) over contexts (n, k + 1, d), own ones first; gradients of both."""
+    k = c.shape[1] - 1
+    distance = 1 - np.einsum("nd,nkd->nk", a, c)
+    margin = np.maximum(0, MARGIN + distance[:, :1] - distance[:, 1:])
+    point = np.where(margin <= 1, 0.5 * margin**2, margin - 0.5)
+    mean = point.mean(axis=1)
+    slope = (OMEGA * mean ** (OMEGA - 1))[:, None] * np.minimum(margin, 1) / k
+    d_distance = np.concatenate([slope.sum(axis=1, keepdims=True), -slope], axis=1)
+    return mean, -np.einsum("nk,nkd->nd", d_distance, c), -(d_distance[:, :, None] * a[:, None, :])
 
 
 def contexts(static: DataFrame, history: DataFrame, peers: DataFrame, principals: DataFrame, resources: DataFrame, vocabularies: dict[str, DataFrame]) -> DataFrame:
@@ -139,84 +157,187 @@ def contexts(static: DataFrame, history: DataFrame, peers: DataFrame, principals
     return out.select("principal_key", F.array(*fields).alias("context"))
 
 
-def actions(accessors: DataFrame, principals: DataFrame, most: int = 64) -> DataFrame:
-    """(resource_key, action): the accessors with the largest weights as one weighted set."""
-    rows = accessors.join(principals.select(F.col("key").alias("principal_key"), "idx"), "principal_key")
-    place = F.row_number().over(Window.partitionBy("resource_key").orderBy(F.desc("accessor_weight"), "idx"))
-    return rows.withColumn("_p", place).where(F.col("_p") <= most).groupBy("resource_key").agg(F.array(F.sort_array(F.collect_list(F.struct(F.col("idx").alias("i"), F.col("accessor_weight").alias("w"))))).alias("action"))
+def members(accessors: DataFrame, principals: DataFrame, context: DataFrame) -> DataFrame:
+    """(side, key, f, i, w): all members of every set. Field 0 is a resource's accessors, the others are the contexts'."""
+    idx = principals.select(F.col("key").alias("principal_key"), F.col("idx").alias("i"))
+    a = accessors.join(idx, "principal_key").select(F.lit("a").alias("side"), F.col("resource_key").alias("key"), F.lit(0).alias("f"), "i", F.col("accessor_weight").cast("double").alias("w"))
+    each = context.select("principal_key", F.posexplode("context").alias("n", "s")).select("principal_key", "n", F.explode("s").alias("s"))
+    return a.unionByName(each.select(F.lit("c").alias("side"), F.col("principal_key").alias("key"), (F.col("n") + 1).alias("f"), "s.i", "s.w"))
 
 
-def examples(pairs: DataFrame, negatives: DataFrame, action: DataFrame, context: DataFrame) -> DataFrame:
-    """Per pair its action, its own context, and those of its negatives in order."""
-    other = negatives.join(context.select(F.col("principal_key").alias("negative_key"), F.col("context").alias("c")), "negative_key")
-    listed = other.groupBy("resource_key", "principal_key", "source").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "c"))), lambda x: x["c"]).alias("others"))
-    rows = pairs.join(action, "resource_key").join(context, "principal_key").join(listed, ["resource_key", "principal_key", "source"])
-    return rows.select("resource_key", "principal_key", "source", "action", F.concat(F.array("context"), "others").alias("contexts"))
+def examples(pairs: DataFrame, negatives: DataFrame) -> DataFrame:
+    """The pairs with their negatives' keys in order, as ``others``."""
+    keys = ["resource_key", "principal_key", "source"]
+    listed = negatives.groupBy(keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "negative_key"))), lambda x: x["negative_key"]).alias("others"))
+    return pairs.join(listed, keys)
 
 
-def _sets(x) -> list[list[tuple[int, float]]]:
-    return [[(int(e["i"]), float(e["w"])) for e in f] for f in x]
+@dataclass
+class Towers:
+    """Both towers. ``layers`` has no embeddings; they are rows (f, i, e0, ..., m0, ..., v0, ...) of a table."""
 
+    layers: TwoTower
+    members: DataFrame
+    embeddings: DataFrame
 
-def train(rows: DataFrame, model: TwoTower, epochs: int = 5, rate: float = 0.02) -> tuple[TwoTower, list[float]]:
-    """Synchronous rounds: partitions return sums of gradients, which Adam applies. Returns the losses before each round."""
-    moments: dict[str, tuple[np.ndarray, np.ndarray]] = {}
-    losses = []
-    for epoch in range(1, epochs + 1):
-        sent = model.packed()
-
-        def work(batches: Iterator[pa.RecordBatch], sent: bytes = sent) -> Iterator[pa.RecordBatch]:
-            m, total, n, sums = TwoTower.unpacked(sent), 0.0, 0, {}
-            for b in batches:
-                for at in range(0, b.num_rows, 256):
-                    part = b.slice(at, 256).to_pydict()
-                    loss, mean, g_a, g_c = m.loss([_sets(x) for x in part["action"]], [[_sets(c) for c in x] for x in part["contexts"]])
-                    total, n = total + loss, n + len(mean)
-                    for k, v in [*((f"a_{k}", v) for k, v in g_a.items()), *((f"c_{k}", v) for k, v in g_c.items())]:
-                        sums[k] = sums.get(k, 0) + v
-            if n:
-                out = io.BytesIO()
-                np.savez(out, **sums)
-                yield pa.RecordBatch.from_pydict({"loss": [total], "n": [n], "gradients": [out.getvalue()]})
-
-        found = rows.select("action", "contexts").mapInArrow(work, "loss double, n long, gradients binary").collect()  # one model's size per partition
-        if not found:
-            return model, losses
-        n = sum(r.n for r in found)
-        losses.append((sum(r.loss for r in found) / n) ** (1 / OMEGA))
-        sums: dict[str, np.ndarray] = {}
-        for r in found:
-            x = np.load(io.BytesIO(bytes(r.gradients)))
-            for k in x.files:
-                sums[k] = sums.get(k, 0) + x[k] / n
-        for k, g in sums.items():
-            p = (model.action if k[0] == "a" else model.context).p
-            m, v = moments.get(k, (np.zeros_like(g), np.zeros_like(g)))
-            m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-            moments[k] = m, v
-            p[k[2:]] = p[k[2:]] - rate * (m / (1 - 0.9**epoch)) / (np.sqrt(v / (1 - 0.999**epoch)) + 1e-8)
-    return model, losses
-
-
-def distances(rows: DataFrame, model: TwoTower) -> DataFrame:
-    """Adds ``distances`` of the action to each of the row's contexts."""
-    sent = model.packed()
-    keys = [c for c in rows.columns if c not in ("action", "contexts")]
-    schema = ", ".join(f"{c} {dict(rows.dtypes)[c]}" for c in keys) + ", distances array<double>"
+    def names(self, letter: str) -> list[str]:
+        return [f"{letter}{j}" for j in range(self.layers.action.dim)]
+
+
+def towers(members: DataFrame, seed: int = 3) -> Towers:
+    """Untrained towers: layers by NumPy, embeddings normal by the hash of field, number and place."""
+    layers = TwoTower(Tower((0,), seed=seed), Tower((0,) * len(CONTEXT_FIELDS), seed=seed + 1))
+    dim = layers.action.dim
+    even = lambda j, salt: (F.shiftrightunsigned(F.xxhash64("f", "i", F.lit(j), F.lit(salt), F.lit(seed)), 11) + F.lit(0.5)) / F.lit(2.0**53)
+    normal = lambda j: 0.3 * F.sqrt(-2.0 * F.log(even(j, 0))) * F.cos(2 * np.pi * even(j, 1))
+    start = [normal(j).alias(f"e{j}") for j in range(dim)] + [F.lit(0.0).alias(f"{x}{j}") for x in "mv" for j in range(dim)]
+    return Towers(layers, members, written(members.select("f", "i").distinct().select("f", "i", *start), "embeddings"))
+
+
+def pooled(t: Towers) -> DataFrame:
+    """(side, key, x): for each resource and principal its fields' weighted sums of embeddings, one after the other."""
+    e = t.names("e")
+    sums = t.members.join(t.embeddings.select("f", "i", *e), ["f", "i"]).groupBy("side", "key", "f").agg(*(F.sum(F.col("w") * F.col(x)).alias(x) for x in e))
+    by_field = sums.groupBy("side", "key").agg(F.map_from_entries(F.collect_list(F.struct("f", F.array(*e)))).alias("x"))
+    fields = F.when(F.col("side") == "a", F.array(F.lit(0))).otherwise(F.sequence(F.lit(1), F.lit(len(CONTEXT_FIELDS))))
+    zero = F.array_repeat(F.lit(0.0), len(e))
+    return by_field.select("side", "key", F.flatten(F.transform(fields, lambda f: F.coalesce(F.try_element_at("x", f), zero))).alias("x"))
+
+
+def _matrix(column: pa.Array, width: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+
+
+def _lists(x: np.ndarray) -> pa.Array:
+    return pa.array(list(x), pa.list_(pa.float64()))
+
+
+def _sides(b: pa.RecordBatch, layers: TwoTower):
+    """The batch's rows of each tower, with their pooled vectors."""
+    for side, tower in (("a", layers.action), ("c", layers.context)):
+        part = b.filter(pc.equal(b.column("side"), side))
+        if part.num_rows:
+            yield part, tower, _matrix(part.column("x"), tower.dim * len(tower.sizes))
+
+
+def units(x: DataFrame, layers: TwoTower) -> DataFrame:
+    """(side, key, u): unit vectors of pooled rows."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = TwoTower.unpacked(sent)
         for b in batches:
-            if b.num_rows:
-                part = b.to_pydict()
-                a, _ = m.action.forward([_sets(x) for x in part["action"]])
-                all_contexts = [[_sets(c) for c in x] for x in part["contexts"]]
-                c, _ = m.context.forward([x for row in all_contexts for x in row])
-                size = np.cumsum([len(x) for x in all_contexts])[:-1]
-                out = [np.clip(1 - own @ u, 0, 1).tolist() for u, own in zip(a, np.split(c, size))]
-                yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keys), pa.array(out, pa.list_(pa.float64()))], names=[*keys, "distances"])
-
-    return rows.mapInArrow(work, schema)
+            for part, tower, own in _sides(b, layers):
+                yield pa.RecordBatch.from_arrays([part.column("side"), part.column("key"), _lists(tower.layers(own)[0])], names=["side", "key", "u"])
+
+    return x.select("side", "key", "x").mapInArrow(work, "side string, key string, u array<double>")
+
+
+def _met(rows: DataFrame, unit: DataFrame) -> DataFrame:
+    """Pairs with their resource's unit vector ``a`` and, own ones first, keys ``who`` and unit vectors ``c`` of contexts."""
+    keys = [c for c in rows.columns if c != "others"]
+    slots = rows.select(*keys, F.posexplode(F.concat(F.array("principal_key"), "others")).alias("slot", "who"))
+    c = unit.where("side = 'c'").select(F.col("key").alias("who"), F.col("u").alias("c"))
+    listed = slots.join(c, "who").groupBy(keys).agg(F.sort_array(F.collect_list(F.struct("slot", "who", "c"))).alias("s"))
+    a = unit.where("side = 'a'").select(F.col("key").alias("resource_key"), F.col("u").alias("a"))
+    return listed.join(a, "resource_key").select(*keys, "a", F.col("s.who").alias("who"), F.flatten("s.c").alias("c"))
+
+
+def _unit_gradients(met: DataFrame, width: int) -> DataFrame:
+    """(side, key, d): gradients of unit vectors in sum; side "loss" has the losses' sum and their number."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            a, sizes = _matrix(b.column("a"), width), np.diff(b.column("who").offsets.to_numpy())
+            c, who = _matrix(b.column("c"), width), np.array(b.column("who").flatten().to_pylist(), object)
+            start = np.cumsum(sizes) - sizes
+            side, key, d, total = [], [], [], 0.0
+            for k in np.unique(sizes):
+                rows = np.flatnonzero(sizes == k)
+                at = (start[rows][:, None] + np.arange(k)).reshape(-1)
+                mean, d_a, d_c = margins(a[rows], c[at].reshape(len(rows), k, width))
+                total += float((mean**OMEGA).sum())
+                for name, keys, g in (("a", b.column("resource_key").take(pa.array(rows)).to_pylist(), d_a), ("c", who[at], d_c.reshape(-1, width))):
+                    one, place = np.unique(np.array(keys, object), return_inverse=True)
+                    sums = np.zeros((len(one), width))
+                    np.add.at(sums, place, g)
+                    side, key, d = [*side, *[name] * len(one)], [*key, *one], [*d, *sums]
+            d.append(np.r_[total, b.num_rows, np.zeros(width - 2)])
+            yield pa.RecordBatch.from_arrays([pa.array([*side, "loss"]), pa.array([*key, ""]), pa.array(d, pa.list_(pa.float64()))], names=["side", "key", "d"])
+
+    found = met.mapInArrow(work, "side string, key string, d array<double>")
+    return found.groupBy("side", "key").agg(F.array(*(F.sum(F.get("d", j)) for j in range(width))).alias("d"))
+
+
+def _layer_gradients(x: DataFrame, d: DataFrame, layers: TwoTower) -> DataFrame:
+    """Rows (side, key, d): gradients of pooled rows, and with a null key those of a batch's layers, flat."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for part, tower, own in _sides(b, layers):
+                _, kept = tower.layers(own)
+                d_x, g = tower.layers_back(kept, _matrix(part.column("d"), tower.out))
+                flat = np.concatenate([g[k].reshape(-1) for k in LAYERS])
+                side, key = part.column("side").to_pylist(), part.column("key").to_pylist()
+                yield pa.RecordBatch.from_arrays([pa.array([*side, side[0]]), pa.array([*key, None], pa.string()), pa.array([*d_x, flat], pa.list_(pa.float64()))], names=["side", "key", "d"])
+
+    return x.join(d, ["side", "key"]).select("side", "key", "x", "d").mapInArrow(work, "side string, key string, d array<double>")
+
+
+LAYERS = ("w1", "b1", "w2", "b2")
+
+
+def train(rows: DataFrame, start: Towers, epochs: int = 5, rate: float = 0.02) -> tuple[Towers, list[float]]:
+    """Synchronous rounds of Adam over all rows. Returns the losses before each round."""
+    t = Towers(TwoTower.unpacked(start.layers.packed()), start.members, start.embeddings)
+    moments: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+    losses = []
+    for epoch in range(1, epochs + 1):
+        x = written(pooled(t), "pooled")
+        d = written(_unit_gradients(_met(rows, written(units(x, t.layers), "units")), t.layers.action.out), "unit-gradients")
+        total = d.where("side = 'loss'").first()
+        if total is None:
+            return t, losses
+        loss, n = total.d[:2]
+        losses.append((loss / n) ** (1 / OMEGA))
+        back = written(_layer_gradients(x, d.where("side <> 'loss'"), t.layers), "layer-gradients")
+        flat = back.where("key IS NULL").select("side", F.posexplode("d").alias("j", "g")).groupBy("side", "j").agg(F.sum("g").alias("g"))
+        sums: dict[str, dict[int, float]] = {"a": {}, "c": {}}
+        for r in flat.collect():  # the layers' size
+            sums[r.side][r.j] = r.g / n
+        t = Towers(t.layers, t.members, _embeddings_after(t, back.where("key IS NOT NULL"), n, epoch, rate))
+        for side, tower in (("a", t.layers.action), ("c", t.layers.context)):
+            g, at = np.array([sums[side][j] for j in range(len(sums[side]))]), 0
+            for k in LAYERS:
+                own = g[at : at + tower.p[k].size].reshape(tower.p[k].shape)
+                at += own.size
+                m, v = moments.get(side + k, (np.zeros_like(own), np.zeros_like(own)))
+                v_new = 0.999 * v + 0.001 * own * own
+                m_new = 0.9 * m + 0.1 * own
+                moments[side + k] = m_new, v_new
+                tower.p[k] = tower.p[k] - rate * (m_new / (1 - 0.9**epoch)) / (np.sqrt(v_new / (1 - 0.999**epoch)) + 1e-8)
+    return t, losses
+
+
+def _embeddings_after(t: Towers, back: DataFrame, n: float, epoch: int, rate: float) -> DataFrame:
+    """The embeddings after a step of Adam: gradients of pooled rows go to all members by weight."""
+    e, m, v = (t.names(x) for x in "emv")
+    dim = len(e)
+    offset = F.greatest(F.col("f") - 1, F.lit(0)) * dim
+    shares = [F.sum(F.col("w") * F.get("d", (offset + j).cast("int"))).alias(f"g{j}") for j in range(dim)]
+    g = t.members.join(back, ["side", "key"]).groupBy("f", "i").agg(*shares)
+    rows = t.embeddings.join(g, ["f", "i"], "left")
+    grad = [F.coalesce(F.col(f"g{j}"), F.lit(0.0)) / n for j in range(dim)]
+    moved = rows.select("f", "i", *e, *((0.9 * F.col(m[j]) + 0.1 * grad[j]).alias(m[j]) for j in range(dim)), *((0.999 * F.col(v[j]) + 0.001 * grad[j] * grad[j]).alias(v[j]) for j in range(dim)))
+    step = lambda j: rate * (F.col(m[j]) / (1 - 0.9**epoch)) / (F.sqrt(F.col(v[j]) / (1 - 0.999**epoch)) + 1e-8)
+    return written(moved.select("f", "i", *((F.col(e[j]) - step(j)).alias(e[j]) for j in range(dim)), *m, *v), "embeddings")
+
+
+def distances(rows: DataFrame, t: Towers) -> DataFrame:
+    """Adds ``distances`` of the pair's resource to its own context and then to those of its negatives."""
+    met = _met(rows, written(units(pooled(t), t.layers), "units"))
+    width = t.layers.action.out
+    inner = lambda k: F.aggregate(F.zip_with("a", F.slice("c", k * width + 1, width), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    each = F.transform(F.sequence(F.lit(0), F.size("who") - 1), lambda k: F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - inner(k))))
+    return met.withColumn("distances", each).drop("a", "who", "c")
 
 
 def retrieval(scored: DataFrame) -> DataFrame:

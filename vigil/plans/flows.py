@@ -5,14 +5,12 @@ A stream reads a copy of the raw events that the query writes to the shared fold
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vigil.operators import context, features, normalize, rules, transforms
 from vigil.plans.common import accepted, detections, sql
+from vigil.session import shared_path
 from vigil.sources import adapter, lake
 from vigil.streaming import intake
 
@@ -29,17 +27,6 @@ def query(oracle: str | None = None, *needs: str):
     return add
 
 
-def shared_path(spark: SparkSession, label: str) -> str:
-    """A new path in the folder that all machines see; a temporary one only on a single machine."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/flows/{label}-{uuid.uuid4().hex}"
-
-
 def _stream(spark: SparkSession, d: str) -> DataFrame:
     raw = adapter.raw_events(spark, d)
     path = shared_path(spark, "raw")

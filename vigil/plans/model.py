@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 from vigil.functions import scalars
 from vigil.operators import features, model, tensors
 from vigil.plans.common import accepted
-from vigil.plans.flows import shared_path
-from vigil.session import table
+from vigil.session import table, written
 from vigil.sources import adapter
 
 QUERIES, SQL = {}, {}
@@ -20,24 +19,21 @@ def query(f):
 
 
 def _examples(spark, d, blank: tuple[str, ...] = ()):
-    """Examples with three negatives each, written down once, and the towers' sizes."""
+    """Examples with three negatives each, written down once, and untrained towers over all members."""
     e, org = accepted(spark, d), adapter.principals(spark, d)
     static = features.static_profiles(e, org)
     acc = features.accessors(e)
     people = tensors.vocabulary(tensors.key_union([(acc, "principal_key"), (static, "principal_key")]))
+    profiled = tensors.vocabulary(tensors.key_union([(static, "principal_key")]))  # those with a context
     resources = tensors.vocabulary(tensors.key_union([(acc, "resource_key")]))
     vocabularies = {n: tensors.categorical_vocabulary(static, n) for n in model.CONTEXT_FIELDS[5:]}
     peers = features.manager_peers(static, org).unionByName(features.team_peers(static, org, adapter.teams(spark, d)))
     context = model.contexts(static, features.history(e), peers, people, resources, vocabularies)
     context = model.blanked(context, blank) if blank else context
     pairs = tensors.held_out_pairs(tensors.training_pairs(acc, static))
-    negatives = tensors.negative_samples(pairs.drop("held_out"), people.withColumnRenamed("key", "principal_key"), 3)
-    rows = model.examples(pairs, negatives, model.actions(acc, people), context).join(pairs, ["resource_key", "principal_key", "source"])
-    path = shared_path(spark, "examples")
-    rows.write.parquet(path)
-    sizes = (people.count(), resources.count(), *(vocabularies[n].count() + 1 for n in model.CONTEXT_FIELDS[5:]))
-    towers = model.TwoTower(model.Tower((sizes[0],)), model.Tower((sizes[1], *(sizes[0],) * 4, *sizes[2:]), seed=4))
-    return spark.read.parquet(path), towers
+    negatives = tensors.negative_samples(pairs.drop("held_out"), profiled.withColumnRenamed("key", "principal_key"), 3)
+    rows = written(model.examples(pairs, negatives), "examples")
+    return rows, model.towers(written(model.members(acc, people, context), "members"))
 
 
 def _trained(spark, d, epochs: int = 4, blank: tuple[str, ...] = ()):
