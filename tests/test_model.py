@@ -75,6 +75,25 @@ def test_all_accessors_are_pooled(spark):
         assert np.allclose(x[k], sum(w * dense.action.p["e0"][i] for i, w in own))
 
 
+def test_rounds_on_tables_equal_dense_rounds(spark):
+    t, dense, actions, sets, pairs, rows = small_towers(spark)
+    trained, losses = model.train(rows, t, 3)
+    moments, want = {}, []
+    for epoch in (1, 2, 3):
+        total, _, g_a, g_c = dense.loss([actions[r] for r, *_ in pairs], [[sets[x] for x in (p, *o)] for _, p, _, o in pairs])
+        want.append((total / len(pairs)) ** 0.5)
+        for tower, own in ((dense.action, g_a), (dense.context, g_c)):
+            for k, g in own.items():
+                m, v = moments.get((id(tower), k), (0, 0))
+                moments[id(tower), k] = m, v = 0.9 * m + 0.1 * g / len(pairs), 0.999 * v + 0.001 * (g / len(pairs)) ** 2
+                tower.p[k] = tower.p[k] - 0.02 * (m / (1 - 0.9**epoch)) / (np.sqrt(v / (1 - 0.999**epoch)) + 1e-8)
+    assert np.allclose(losses, want, rtol=1e-6)
+    found = {(x.resource_key, x.principal_key): x.distances for x in model.distances(rows, trained).collect()}
+    for r, p, _, o in pairs:
+        a, c = dense.action.forward([actions[r]])[0][0], dense.context.forward([sets[x] for x in (p, *o)])[0]
+        assert np.allclose(found[r, p], np.clip(1 - c @ a, 0, 1), atol=1e-4)
+
+
 def test_multi_scale_scores():
     e = np.eye(3)
     assert model.multi_scale(e[:0], np.array([])) == 0 and model.multi_scale(e[:1], np.array([0.4])) == 0.4
