@@ -2,7 +2,10 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from vigil.operators import model
-from vigil.plans.model import _examples
+from vigil.operators import evaluation, features, tensors
+from vigil.plans.common import accepted, scored
+from vigil.plans.model import ABLATIONS, QUERIES, _examples
+from vigil.sources import adapter
 
 
 def rows(r, fields, n, size):
@@ -94,6 +97,26 @@ def test_rounds_on_tables_equal_dense_rounds(spark):
         assert np.allclose(found[r, p], np.clip(1 - c @ a, 0, 1), atol=1e-4)
 
 
+def test_all_pairs_are_scored(spark, sf):
+    e = accepted(spark, sf)
+    pairs = tensors.training_pairs(features.accessors(e), features.static_profiles(e, adapter.principals(spark, sf)))
+    found = QUERIES["batch_model_scores"](spark, sf).persist()
+    assert found.count() == pairs.count() and 0 < found.where("held_out").count() < found.count()
+    rows = scored(spark, sf).limit(50).persist()
+    policy = model.calibrated(found.where("held_out"))
+    both = model.observations(rows, found.limit(found.count() // 2), policy).collect()
+    assert len(both) == rows.count() and {x.scoring_mode for x in both} == {"model", "rules"}
+    by_rules = {x.event_id: x.score for x in rows.collect()}
+    assert all(abs(x.score - by_rules[x.event_id]) < 0.006 and x.threshold == 0.6 for x in both if x.scoring_mode == "rules")
+    assert len(ABLATIONS) == 7 and "model_observations" in QUERIES
+
+
+def test_embedding_equivalence_compares_two_ways(spark):
+    rows = spark.createDataFrame([(1, [3.0, 4.0]), (2, [0.0, 0.0])], "k long, e array<double>")
+    assert [x.v for x in evaluation.numpy_units(rows, "k", "e", "v").orderBy("k").collect()] == [[0.6, 0.8], [0.0, 0.0]]
+    assert evaluation.max_difference(rows.withColumnRenamed("e", "v"), evaluation.numpy_units(rows, "k", "e", "v"), "k", "v").first().max_difference > 3
+
+
 def test_multi_scale_scores():
     e = np.eye(3)
     assert model.multi_scale(e[:0], np.array([])) == 0 and model.multi_scale(e[:1], np.array([0.4])) == 0.4

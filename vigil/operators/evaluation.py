@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -143,6 +145,18 @@ def attackers(events: DataFrame) -> DataFrame:
     return events.where("coalesce(scenario, 'baseline') <> 'baseline'").groupBy("scenario").agg(F.sort_array(F.collect_set("actor_email")).alias("principals"))
 
 
+def numpy_units(rows: DataFrame, key: str, vector: str, to: str) -> DataFrame:
+    """The key and the vector at length 1, worked out by NumPy."""
+
+    def work(batches):
+        for b in batches:
+            v = [np.asarray(x, float) for x in b.column(1).to_pylist()]
+            out = [(x / n if (n := np.linalg.norm(x)) > 0 else x * 0).tolist() for x in v]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.float64()))], names=[key, to])
+
+    return rows.select(key, vector).mapInArrow(work, f"{key} {dict(rows.dtypes)[key]}, {to} array<double>")
+
+
 def max_difference(a: DataFrame, b: DataFrame, key: str, vector: str) -> DataFrame:
     """Largest absolute difference of two tables of vectors."""
     rows = a.select(key, F.col(vector).alias("_a")).join(b.select(key, F.col(vector).alias("_b")), key)

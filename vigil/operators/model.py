@@ -161,7 +161,8 @@ def members(accessors: DataFrame, principals: DataFrame, context: DataFrame) ->
     """(side, key, f, i, w): all members of every set. Field 0 is a resource's accessors, the others are the contexts'."""
     idx = principals.select(F.col("key").alias("principal_key"), F.col("idx").alias("i"))
     a = accessors.join(idx, "principal_key").select(F.lit("a").alias("side"), F.col("resource_key").alias("key"), F.lit(0).alias("f"), "i", F.col("accessor_weight").cast("double").alias("w"))
-    each = context.select("principal_key", F.posexplode("context").alias("n", "s")).select("principal_key", "n", F.explode("s").alias("s"))
+    none = F.array(F.struct(F.lit(0).cast("long").alias("i"), F.lit(0.0).alias("w")))  # weighs nothing, but keeps contexts without members
+    each = context.select("principal_key", F.posexplode("context").alias("n", "s")).select("principal_key", "n", F.explode(F.when((F.col("n") == 0) & (F.size("s") == 0), none).otherwise(F.col("s"))).alias("s"))
     return a.unionByName(each.select(F.lit("c").alias("side"), F.col("principal_key").alias("key"), (F.col("n") + 1).alias("f"), "s.i", "s.w"))
 
 
@@ -367,6 +368,15 @@ def with_policy(observations: DataFrame, policy: DataFrame, default: float = 0.6
     return observations.join(F.broadcast(policy.select("source", "detection_threshold")), "source", "left").withColumn("threshold", F.coalesce("detection_threshold", F.lit(default))).drop("detection_threshold")  # few sources
 
 
+def observations(events: DataFrame, found: DataFrame, policy: DataFrame, default: float = 0.60) -> DataFrame:
+    """One row per event scored by rules: the distance of its resource and principal if there is one, else the rules' score."""
+    pairs = found.select("resource_key", "principal_key", F.get("distances", 0).alias("_distance"))  # a resource has one source
+    rows = with_policy(events.join(pairs, ["resource_key", "principal_key"], "left"), policy, default)
+    modelled = F.col("_distance").isNotNull()
+    score, threshold = F.coalesce("_distance", "score"), F.when(modelled, F.col("threshold")).otherwise(F.lit(default))
+    return rows.select("event_id", "source", "truth", F.round(score, 2).alias("score"), threshold.alias("threshold"), (score >= threshold).alias("detected"), F.when(modelled, "model").otherwise("rules").alias("scoring_mode"))
+
+
 def average_linkage(vectors: np.ndarray, sizes: np.ndarray, delta: float) -> np.ndarray:
     """Cluster of each unit vector: the closest clusters by mean cosine distance merge while they are within ``delta``."""
     d = np.clip(1 - vectors @ vectors.T, 0, 2)

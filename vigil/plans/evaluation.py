@@ -157,5 +157,7 @@ def cosine_distance(spark, d):
 
 @query("SELECT count(*) AS n, 0::DOUBLE AS max_difference FROM embeddings")
 def embedding_equivalence(spark, d):
-    e = table(spark, d, "embeddings")
-    return evaluation.max_difference(e, table(spark, d, "embeddings"), "vec_id", "embedding").withColumn("max_difference", F.col("max_difference").cast("double"))
+    """Unit vectors by Spark's expressions against NumPy's."""
+    e = table(spark, d, "embeddings").select("vec_id", "embedding")
+    by_spark = e.select("vec_id", scalars.unit(F.col("embedding")).alias("v"))
+    return evaluation.max_difference(by_spark, evaluation.numpy_units(e, "vec_id", "embedding", "v"), "vec_id", "v").withColumn("max_difference", F.round("max_difference", 6))

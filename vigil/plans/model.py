@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from vigil.functions import scalars
 from vigil.operators import features, model, tensors
-from vigil.plans.common import accepted
+from vigil.plans.common import accepted, scored
 from vigil.session import table, written
 from vigil.sources import adapter
 
@@ -39,7 +39,11 @@ def _examples(spark, d, blank: tuple[str, ...] = ()):
 def _trained(spark, d, epochs: int = 4, blank: tuple[str, ...] = ()):
     rows, towers = _examples(spark, d, blank)
     trained, losses = model.train(rows.where("NOT held_out").drop("held_out"), towers, epochs)
-    return rows.where("held_out").drop("held_out"), trained, losses
+    return rows, trained, losses
+
+
+def _held_out(rows, trained):
+    return model.distances(rows.where("held_out").drop("held_out"), trained)
 
 
 @query
@@ -51,7 +55,7 @@ def train_two_tower(spark, d):
 
 @query
 def batch_model_scores(spark, d):
-    """Distance of held-out pairs and their samples."""
+    """Distance of every pair and its samples, and whether the pair was held out from training."""
     rows, trained, _ = _trained(spark, d)
     return model.distances(rows, trained)
 
@@ -59,22 +63,43 @@ def batch_model_scores(spark, d):
 @query
 def retrieval_metrics(spark, d):
     rows, trained, _ = _trained(spark, d)
-    return model.gate(model.retrieval(model.distances(rows, trained)))
+    return model.gate(model.retrieval(_held_out(rows, trained)))
 
 
 @query
 def calibrated_policy(spark, d):
     rows, trained, _ = _trained(spark, d)
-    return model.calibrated(model.distances(rows, trained))
+    return model.calibrated(_held_out(rows, trained))
+
+
+@query
+def model_observations(spark, d):
+    """Every event with its pair's distance and its source's threshold, or else its score by rules."""
+    rows, trained, _ = _trained(spark, d)
+    found = written(model.distances(rows, trained), "distances")
+    return model.observations(scored(spark, d), found, model.calibrated(found.where("held_out")))
+
+
+PEERS = ("department", "manager", "group", "collaboration")
+#: Configuration: fields that are left out.
+ABLATIONS = {
+    "full": (),
+    "no_history": ("history",),
+    "no_peers": PEERS,
+    "no_collaboration": ("collaboration",),
+    "no_static": model.CONTEXT_FIELDS[5:],
+    "history_only": (*PEERS, *model.CONTEXT_FIELDS[5:]),
+    "peers_only": ("history", *model.CONTEXT_FIELDS[5:]),
+}
 
 
 @query
 def ablation(spark, d):
     """Retrieval with groups of context fields left out."""
     out = None
-    for name, blank in (("full", ()), ("no_history", ("history",)), ("no_peers", ("department", "manager", "group", "collaboration"))):
-        rows, trained, _ = _trained(spark, d, 2, blank)
-        one = model.retrieval(model.distances(rows, trained)).where("source = '__all__'").withColumn("config", F.lit(name))
+    for name, blank in ABLATIONS.items():
+        rows, trained, _ = _trained(spark, d, blank=blank)
+        one = model.retrieval(_held_out(rows, trained)).where("source = '__all__'").withColumn("config", F.lit(name))
         out = one if out is None else out.unionByName(one)
     return out
 
