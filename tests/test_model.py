@@ -139,3 +139,19 @@ def test_cluster_scores_equal_one_principal(spark):
         if p == 0:
             vectors, scores = np.r_[vectors, v[:1]], np.r_[scores, 0.0]
         assert abs(found[p] - model.multi_scale(vectors, scores)) < 1e-9
+
+
+def test_cluster_scores_in_blocks_equal_one_matrix(spark):
+    r = np.random.default_rng(4)
+    v = r.normal(size=(150, 4))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    s = r.random(150)
+    own = lambda i: (0, 1, None)[0 if i < 90 else 1 if i < 140 else 2]
+    data = [(own(i), v[i].tolist(), float(s[i])) for i in range(150)] + [(0, v[0].tolist(), 0.0)] * 3
+    df = spark.createDataFrame(data, "principal long, vector array<double>, score double")
+    for most, delta in ((20, 0.3), (1, 0.3), (5, 0.05)):
+        found = {x.principal: x.score for x in model.cluster_scores(df, delta, most_local=most, block=16).collect()}
+        assert len(found) == 3
+        for p in (0, 1, None):
+            rows = [(np.array(x), y) for q, x, y in data if q == p]
+            assert abs(found[p] - model.multi_scale(np.array([x for x, _ in rows]), np.array([y for _, y in rows]), delta)) < 1e-9

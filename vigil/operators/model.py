@@ -405,20 +405,89 @@ def multi_scale(vectors: np.ndarray, scores: np.ndarray, delta: float = 0.3) ->
     return float(sum(best[label == c].max() for c in np.unique(label)))
 
 
-def cluster_scores(rows: DataFrame, delta: float = 0.3) -> DataFrame:
+#: Vectors of a principal that one task clusters at once, and vectors of a block when there are more.
+MOST_LOCAL, BLOCK = 2048, 1024
+
+
+def _nearest(clusters: DataFrame, block: int) -> DataFrame:
+    """(id, d, other): for each cluster the one of its principal at the least mean distance, of equal ones the least id.
+
+    A principal's clusters are cut into blocks; a task compares two blocks, for both sides at once.
+    """
+    number = clusters.groupBy("principal").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks")).withColumnRenamed("principal", "_p")
+    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    dealt = clusters.join(number, F.col("principal").eqNullSafe(F.col("_p"))).withColumn("own", own).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    pairs = dealt.select("principal", F.least("own", "with").alias("lo"), F.greatest("own", "with").alias("hi"), "own", "id", "v")
+
+    def work(t: pa.Table) -> pa.Table:
+        order = np.argsort(t.column("id").to_numpy())
+        ids, own = t.column("id").to_numpy()[order], t.column("own").to_numpy()[order]
+        v = np.array(t.column("v").to_pylist())[order]
+        lo, hi = t.column("lo")[0].as_py(), t.column("hi")[0].as_py()
+        a, b = np.flatnonzero(own == lo), np.flatnonzero(own == hi)
+        d = np.clip(1 - v[a] @ v[b].T, 0, 2)
+        if lo == hi:
+            d = np.triu(d, 1)
+            d += d.T
+            np.fill_diagonal(d, np.inf)
+        out = []
+        if len(a) and len(b):
+            out = [(ids[a], d.min(axis=1), ids[b][d.argmin(axis=1)])] + ([(ids[b], d.min(axis=0), ids[a][d.argmin(axis=0)])] if lo < hi else [])
+        columns = [np.concatenate(x) for x in zip(*out)] or [np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)]
+        return pa.table(dict(zip(("id", "d", "other"), columns)))
+
+    found = pairs.groupBy("principal", "lo", "hi").applyInArrow(work, "id long, d double, other long").where(F.col("d") <= 2)
+    return found.groupBy("id").agg(F.min(F.struct("d", "other")).alias("x")).select("id", "x.d", "x.other")
+
+
+def _merged(clusters: DataFrame, delta: float, block: int) -> tuple[DataFrame, bool]:
+    """The clusters after mutual nearest ones within ``delta`` have merged, and whether any have."""
+    near = written(_nearest(clusters, block).where(F.col("d") <= delta), "nearest")
+    back = near.select(F.col("id").alias("other"), F.col("other").alias("id"))
+    both = written(near.join(back, ["id", "other"]).where("id < other").select("id", "other"), "mutual")
+    if both.isEmpty():
+        return clusters, False
+    gone = clusters.select(F.col("id").alias("other"), F.col("v").alias("v2"), F.col("n").alias("n2"), F.col("score").alias("score2")).join(both, "other").drop("other")
+    rows = clusters.join(both.select(F.col("other").alias("id")), "id", "left_anti").join(gone, "id", "left")
+    mean = F.when(F.col("n2").isNull(), F.col("v")).otherwise(F.zip_with("v", "v2", lambda x, y: (x * F.col("n") + y * F.col("n2")) / (F.col("n") + F.col("n2"))))
+    out = rows.select("principal", "id", mean.alias("v"), (F.col("n") + F.coalesce("n2", F.lit(0))).alias("n"), F.greatest("score", "score2").alias("score"))
+    return written(out, "clusters"), True
+
+
+def cluster_scores(rows: DataFrame, delta: float = 0.3, most_local: int = MOST_LOCAL, block: int = BLOCK) -> DataFrame:
     """Multi-scale score per principal from rows (principal, vector, score), vectors of unit length.
 
-    Actions of a principal with equal vectors are made one row by Spark first. A principal's distinct
-    actions are clustered in one task, with memory that is quadratic in their number.
+    Actions of a principal with equal vectors are made one row by Spark first. A principal with up to
+    ``most_local`` of these is clustered in one task. For others, mutual nearest clusters merge in rounds:
+    the mean distance of two clusters is 1 less the product of their mean vectors, and it never falls by a
+    merger below the least of both parts' distances, so the clusters are those of merging the closest first.
     """
+    kind = dict(rows.dtypes)["principal"]
     each = rows.groupBy("principal", "vector").agg(F.max("score").alias("score"), F.count(F.lit(1)).alias("n"))
+    clusters = written(each.select("principal", F.monotonically_increasing_id().alias("id"), F.col("vector").cast("array<double>").alias("v"), "n", "score"), "clusters")
 
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        v, s = np.stack(pdf["vector"].to_list()).astype(float), pdf["score"].to_numpy()
+        v, s = np.stack(pdf["v"].to_list()).astype(float), pdf["score"].to_numpy()
         label = average_linkage(v, pdf["n"].to_numpy(), delta)
         return pd.DataFrame({"principal": [pdf["principal"].iloc[0]], "clusters": [len(np.unique(label))], "score": [float(sum(s[label == c].max() for c in np.unique(label)))]})
 
-    return each.groupBy("principal").applyInPandas(work, f"principal {dict(rows.dtypes)['principal']}, clusters long, score double")
+    def split(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+        sizes = df.groupBy(F.col("principal").alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
+        sized = df.join(sizes, F.col("principal").eqNullSafe(F.col("_p")))
+        return (sized.where(F.col("_n") <= most_local).drop("_p", "_n"), sized.where(F.col("_n") > most_local).drop("_p", "_n"))
+
+    small, large = split(clusters)
+    out = small.groupBy("principal").applyInPandas(work, f"principal {kind}, clusters long, score double")
+    more = not large.isEmpty()
+    while more:
+        large, more = _merged(written(large, "clusters"), delta, block)
+        if more:
+            small, large = split(large)
+            out = out.unionByName(small.groupBy("principal").applyInPandas(work, f"principal {kind}, clusters long, score double"))
+            more = not large.isEmpty()
+        else:
+            out = out.unionByName(large.groupBy("principal").agg(F.count(F.lit(1)).alias("clusters"), F.sum("score").alias("score")))
+    return out
 
 
 def blanked(context: DataFrame, names: tuple[str, ...]) -> DataFrame:
