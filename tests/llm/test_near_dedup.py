@@ -88,3 +88,10 @@ def test_keep_one(spark):
     out = near_dedup.keep_one(df)
     assert sorted(map(str, (x.doc_id for x in out.collect()))) == ["1", "2", "4", "5", "None"] and out.columns == df.columns
     assert near_dedup.keep_one(documents(spark, [])).count() == 0
+
+
+def test_bands_keep_the_chance_of_a_miss():
+    for percent in (60, 80, 85, 95, 100):
+        n = near_dedup.bands(percent)
+        assert (1 - (percent / 100) ** near_dedup.ROWS) ** n <= 1 / 2_000_000
+    assert near_dedup.bands(85) == 26 and near_dedup.bands(80) == 37

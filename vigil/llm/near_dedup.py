@@ -12,7 +12,8 @@
    ``_second_links``). So members are joined by rare shared differences instead of pair by pair, and the
    shared differences decide, which is the same as comparing the full sets.
 
-A link is missed only if its documents share no band: below 1 in 2 million at the threshold.
+A link is missed only if its documents share no band. The number of bands follows from the threshold, so
+that this is below 1 in 2 million there: 26 for 0.85, 37 for 0.8.
 
 Results for special input: a document without words is linked with nothing and is its own component; one
 with fewer than k words has one shingle, all its words; rows of one id are one document; a row with a
@@ -31,22 +32,29 @@ from vigil.llm.common import arrow_column, small_batches, written
 from vigil.llm.components import components
 from vigil.llm.minhash import band_hashes, shingles, signatures
 
-BANDS, ROWS = 26, 5
-REGISTERS = BANDS * ROWS
+ROWS, MOST_MISSED = 5, 4.2e-7
 _SKETCH = "struct<n:bigint,print:binary,bands:array<bigint>>"
 
 
-def sketches(docs: DataFrame, k: int, text: str) -> DataFrame:
+def bands(percent: int) -> int:
+    """The least number of bands with which a link at the threshold is missed with a chance of ``MOST_MISSED`` at most."""
+    same = (percent / 100) ** ROWS
+    return 1 if same >= 1 else int(np.ceil(np.log(MOST_MISSED) / np.log1p(-same)))
+
+
+def sketches(docs: DataFrame, k: int, text: str, percent: int) -> DataFrame:
     """Adds a struct: number of shingles, fingerprint of the set and band hashes."""
 
+    n_bands = bands(percent)
+
     def work(texts: list) -> pa.Array:
         sets = [shingles(t, k) for t in texts]
-        bands = band_hashes(signatures(sets, REGISTERS), BANDS).view(np.int64)
+        hashes = band_hashes(signatures(sets, n_bands * ROWS), n_bands).view(np.int64)
         return pa.StructArray.from_arrays(
             [
                 pa.array([len(s) for s in sets], pa.int64()),
                 pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
-                pa.array(list(bands), pa.list_(pa.int64())),
+                pa.array(list(hashes), pa.list_(pa.int64())),
             ],
             ["n", "print", "bands"],
         )
@@ -170,7 +178,7 @@ def groups(docs: DataFrame, *, key: str = "doc_id", text: str = "text", k: int =
     """One row per document: key, ``n_shingles``, ``component_id`` (smallest key reachable) and ``kept``."""
     small_batches(docs.sparkSession, 256)
     source = docs.select(F.col(key).cast("long").alias("node"), F.col(text).alias("text")).withColumn("version", F.xxhash64("text"))
-    sketch = written(sketches(source, k, "text").select("node", "version", "sketch.*"), "sketch")
+    sketch = written(sketches(source, k, "text", percent).select("node", "version", "sketch.*"), "sketch")
     able = sketch.where("n > 0 AND node IS NOT NULL")
     classes = written(able.groupBy("print").agg(F.min_by(F.struct("node", "version", "n", "bands"), F.struct("node", "version")).alias("c")).select("print", "c.*"), "classes")
 
