@@ -68,3 +68,15 @@ def test_empty_and_clashing_columns(spark):
     rows = {r.doc_id: r for r in quality_rules.keep(docs, labels).collect()}
     assert rows[1].n_words == 60 and rows[2].n_words == 0 and not rows[2].kept
     assert quality_rules.keep(documents(spark, []), labels).count() == 0
+
+
+def test_every_stratum_has_cutoffs(spark):
+    zeros = {x: F.lit(0).cast("long") for pair in quality_rules.RULES.values() for x in pair}
+    bad = F.col("id") % 10 >= 8
+    rows = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("s"), (F.col("id") / 10).cast("int")).alias("lang"), *(v.alias(k) for k, v in zeros.items()))
+    rows = rows.withColumn("word_chars", F.lit(100).cast("long")).withColumn("n_symbols", F.when(F.col("doc_id") % 10 >= 8, 90).otherwise(0).cast("long"))
+    labels = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(bad, 0).otherwise(1).alias("quality"))
+    chosen = quality_rules.cutoffs(rows, labels, key="doc_id", stratum="lang", risk=4.0, level=0.5)
+    assert chosen.select("stratum").distinct().count() == 300
+    judged = quality_rules.judged(rows, chosen, stratum="lang").where(F.size("rejected_by") > 0)
+    assert judged.count() == 600 and judged.where("doc_id % 10 < 8").count() == 0

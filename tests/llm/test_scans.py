@@ -140,3 +140,12 @@ def test_extra_columns_stay(spark, model):
     assert set(out.columns) == {*docs.columns, "pii", "secrets", "tokens"}
     rows = {r.doc_id: r for r in out.collect()}
     assert rows[1].text == "mail [EMAIL]" and rows[1].tokens.decoded == "mail [EMAIL]" and rows[2].text is None
+
+
+def test_long_private_key_blocks_are_found():
+    body = base64.b64encode(bytes(range(256)) * 120).decode()
+    block = f"-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\n\n{body}\n-----END RSA PRIVATE KEY-----"
+    assert len(body) > 40_000
+    for text in (block, f"a {block} b\n{block}", "-----BEGIN RSA PRIVATE KEY-----\n" + block):
+        found = [text[s:e] for k, s, e in secrets.spans(text)[1] if k == "pem"]
+        assert found == [block] * text.count("-----END")

@@ -33,7 +33,7 @@ RULES = {
 }
 #: Cutoffs in thousandths, fixed before any label is seen.
 GRID = (5, 10, 20, 30, 50, 75, 100, 150, 200, 300, 400, 500, 600, 700, 800, 900, 1000, 1500)
-RISK, LEVEL, PRICE, MOST_STRATA = 0.02, 0.05, 20, 256
+RISK, LEVEL, PRICE = 0.02, 0.05, 20
 
 
 def _without(col: Column, chars: str) -> Column:
@@ -116,11 +116,10 @@ def cutoffs(measured: DataFrame, labels: DataFrame, *, key: str, stratum: str, r
     passed = F.array(*(F.struct(F.lit(r).alias("rule"), above(share(r)).alias("above")) for r in RULES))
     counted = known.select("_stratum", "_good", F.explode(passed).alias("x")).groupBy("_stratum", "x.rule", "x.above").agg(F.count_if(F.col("_good") == 1).alias("good"), F.count_if(F.col("_good") != 1).alias("bad"))
     size = counted.groupBy("_stratum").agg((F.sum("good") / len(RULES)).cast("long").alias("n"))
-    size = size.orderBy(F.desc("n"), "_stratum").limit(MOST_STRATA)
     strata = size.agg(F.count(F.lit(1)).alias("strata"))
     at = counted.where("above > 0").select("_stratum", "rule", "good", "bad", F.explode(F.sequence(F.lit(0), F.col("above") - 1)).alias("j")).groupBy("_stratum", "rule", "j").agg(F.sum("good").alias("k"), F.sum("bad").alias("caught"))
     share_of_risk = risk / len(RULES)
-    tested = at.join(F.broadcast(size), "_stratum").join(F.broadcast(strata)).where(F.col("k") < F.col("n") * F.lit(share_of_risk))
+    tested = at.join(size, "_stratum").join(F.broadcast(strata)).where(F.col("k") < F.col("n") * F.lit(share_of_risk))
     good = tested.where(binomial_tail(F.col("k"), F.col("n"), share_of_risk) <= F.lit(level / len(RULES)) / F.col("strata"))
     gain = F.col("caught") - PRICE * F.col("k")
     best = good.where(gain > 0).groupBy("_stratum", "rule").agg(F.max_by("j", F.struct(gain, F.col("j"))).alias("j"))
@@ -128,9 +127,14 @@ def cutoffs(measured: DataFrame, labels: DataFrame, *, key: str, stratum: str, r
 
 
 def judged(measured: DataFrame, chosen: DataFrame, *, stratum: str) -> DataFrame:
-    """The measured documents with ``rejected_by``, the rules that reject each. At most MOST_STRATA rows of cutoffs are sent to all tasks."""
+    """The measured documents with ``rejected_by``, the rules that reject each.
+
+    The cutoffs, a row per stratum, are written down, so that Spark knows their size and sends them to all
+    tasks only while they are few.
+    """
     table = chosen.groupBy("stratum").agg(*(F.max(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"_{r}") for r in RULES))
-    out = measured.withColumn("_stratum", F.coalesce(F.col(stratum), F.lit(""))).join(F.broadcast(table), F.col("_stratum") == F.col("stratum"), "left")
+    table = written(table, "cutoffs")
+    out = measured.withColumn("_stratum", F.coalesce(F.col(stratum), F.lit(""))).join(table, F.col("_stratum") == F.col("stratum"), "left")
     hits = F.array_compact(F.array(*(F.when(share(r) > F.col(f"_{r}"), F.lit(r)) for r in RULES)))
     return out.withColumn("rejected_by", hits).drop("_stratum", "stratum", *(f"_{r}" for r in RULES))
 

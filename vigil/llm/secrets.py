@@ -165,7 +165,8 @@ def confirmed(text: str, long64: bool) -> list[tuple[str, int, int]]:
     if "-----BEGIN " in text:
         for m in _PEM.finditer(text):
             close = f"-----END {m[1]}-----"
-            end = text.find(close, m.end(), m.end() + 20_000)
+            begin = text.find("-----BEGIN ", m.end())  # up to the next block, so that the search stays linear
+            end = text.find(close, m.end(), begin if begin >= 0 else len(text))
             if end >= 0:
                 lines = [x.strip() for x in text[m.end() : end].splitlines()]
                 data = decoded64("".join(x for x in lines if ":" not in x))
