@@ -1,13 +1,18 @@
 """Language-model scoring with a log-frequency Bloom filter (operator 1).
 
-Counts of n-grams are quantised: a count has as many levels as there are thresholds 1, 2, 3, 4, 6, 8, ...
+Counts of n-grams are quantised: a count has as many levels as there are thresholds 1, 2, 3, 4, 6, 9, ...
 (growing by half) that it reaches. A Bloom filter holds the pairs (n-gram, level) for all its levels, so
-asking for level 1, 2, ... until one is missing gives the quantised count. The filter goes to all tasks.
+asking for level 1, 2, ... until one is missing gives the quantised count. The filter is blocked: the bits
+of a pair are in one 64-bit word, so asking for a pair reads memory once. It goes to all tasks.
 
-Its size is bounded. At most N / L n-grams of one order are seen L times or more among N tokens, so with
-``least`` L high enough the pairs fit into ``most_bytes``; L is 1 until the corpus outgrows that. Beyond
-that, the n-grams below L stay in a table of exact counts: what the filter doesn't know of a text is
-joined with it. So every n-gram counts at any size, and no key joins more than L - 1 times as training text.
+Its size follows from the number of pairs, which is counted first, and is bounded by ``most_bytes``. When
+all pairs don't fit, it holds the n-grams seen L times or more, L the least power of two that fits. Those
+below L stay in a table of exact counts: what the filter doesn't know of a text is joined with it. So every
+n-gram counts at any size, and no key joins more than L - 1 times as training text.
+
+Counting is by slices of the keys' range: a task counts some millions of n-grams, and hands on one row for
+each slice with its keys and counts packed. A slice is summed in one task; there are as many slices as the
+corpus needs for each to be small.
 
 Probabilities are smoothed from order to order, from the unigrams up:
 ``p(w | h) = (low(h w) + MU * p(w | shorter h)) / (high(h) + MU)``, where low and high are the least and
@@ -19,6 +24,9 @@ the threshold, go to all tasks; tokens of rarer words are joined with their coun
 
 A text's tokens are its words (A-Z in lower case) and one end. Results for special input: a null or empty
 text has the end alone; a null id is never held out nor learned from; with no training text N and V are 0.
+Rows are scored one by one, so repeated rows and ids each give a row (and each is learned from). Texts of
+any length are cut into windows at white space, never shortened. Other columns, whatever their names, are
+not read.
 """
 
 from __future__ import annotations
@@ -28,21 +36,22 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vigil.llm.common import WordHashes, arrow_column, gram_hashes, mix, written
+from vigil.llm.common import GOLD, arrow_column, each_text, mix, text_batches, word_hashes, written
 
-ORDER, PROBES, SEGMENTS, BITS_PER_TOKEN, MU = 2, 5, 256, 5, 20.0
+ORDER, PROBES, BITS_PER_PAIR, MU = 2, 5, 10, 20.0
 #: Bytes of the filter, and number of words whose counts go to all tasks, at most.
 MOST_BYTES, MOST_HEAVY = 128 << 20, 1 << 20
-#: n-grams that a task counts before it hands them on.
-_HELD = 1 << 21
-_GOLD = np.uint64(0x9E3779B97F4A7C15)
-#: No word has white space, so these are no words' hashes but by accident.
-END, BEGIN = (np.uint64(xxhash.xxh3_64_intdigest(x)) for x in (b"\nend", b"\nbegin"))
-_hashes = WordHashes()
+#: n-grams that a task counts before it hands them on; bytes of text for which there is a slice; least number of slices.
+_HELD, _SLICE_BYTES, _LEAST_SLICES = 1 << 21, 32 << 20, 1024
+#: Parts of the filter; each has its own part of the keys' range.
+_MOST_REGIONS = 1 << 14
+#: Hashes that stand for no word but by accident.
+END, BEGIN = np.uint64(0x9AE16A3B2F90404F), np.uint64(0xC3A5C85C97CB3127)
+_S32, _S33 = np.uint64(32), np.uint64(33)
+_POWERS = 41
 
 
 def _thresholds() -> np.ndarray:
@@ -67,145 +76,245 @@ def high(levels: np.ndarray) -> np.ndarray:
     return THRESHOLDS[levels] - 1
 
 
-def tokens(text: str | None) -> np.ndarray:
-    """Hashes of the words and of the end."""
-    words = (text or "").encode("utf-8", "replace").lower().split()
-    return np.r_[_hashes.of(words, len(words)), END]
+@dataclass
+class Tokens:
+    """The tokens of some texts: hashes one after the other, each one's place in its text, the texts' sizes."""
+
+    flat: np.ndarray
+    place: np.ndarray
+    sizes: np.ndarray
+
+    @classmethod
+    def of(cls, column: pa.Array) -> Tokens:
+        words, n = word_hashes(column)
+        flat, sizes = np.insert(words, np.cumsum(n), END), n + 1
+        return cls(flat, np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes), sizes)
+
+    def back(self, i: int) -> np.ndarray:
+        """For each token the one ``i`` before it; begin marks stand before a text."""
+        return np.where(self.place >= i, np.roll(self.flat, i), BEGIN) if i else self.flat
+
+    def sums(self, values: np.ndarray) -> np.ndarray:
+        """Sum of the tokens' values for each text; no text is without a token."""
+        return np.add.reduceat(values, np.cumsum(self.sizes) - self.sizes) if len(self.sizes) else np.zeros(0)
+
 
+def keys(parts: list[np.ndarray]) -> np.ndarray:
+    """Keys of n-grams given their first tokens, second tokens and so on."""
+    with np.errstate(over="ignore"):
+        h = parts[0].copy()
+        for x in parts[1:]:
+            h = (h ^ (h >> _S33)) * GOLD + x
+        return mix(h) + np.uint64(len(parts))
 
-def grams(seen: np.ndarray, n: int) -> np.ndarray:
-    """Keys of the n-grams that end in each token; begin marks stand before the text."""
-    return gram_hashes(np.r_[np.full(n - 1, BEGIN), seen], n) + np.uint64(n)
 
+def grams(t: Tokens, n: int) -> np.ndarray:
+    """Keys of the n-grams that end in each token."""
+    return keys([t.back(i) for i in range(n - 1, -1, -1)])
 
-def histories(seen: np.ndarray, n: int) -> np.ndarray:
-    """Keys of the n - 1 tokens before each token."""
-    return gram_hashes(np.r_[np.full(n - 1, BEGIN), seen[:-1]], n - 1) + np.uint64(n - 1)
+
+def begin(n: int) -> np.ndarray:
+    """Key of ``n`` begin marks, the history of a first token."""
+    return keys([np.array([BEGIN])] * n)
 
 
 def held_out(key: str) -> Column:
     return F.coalesce(F.crc32(F.col(key).cast("string")) % 5 == 1, F.lit(False))
 
 
-def _counter(orders: range, plain: bool):
-    """Counts n-grams of a task's texts, some millions at a time, into rows (h, c)."""
+_PARTIAL = "slice int, kind int, h binary, c binary"
+#: ``top``: highest count; ``pairs``: pairs of the n-grams that are seen 1, 2, 4, 8, ... times or more.
+GATHERED = f"{_PARTIAL}, n bigint, total bigint, top bigint, pairs array<bigint>"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [], 0
 
-        def counted() -> pa.RecordBatch:
-            h, c = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c.astype(np.int64))], names=["h", "c"])
+def _binaries(values: np.ndarray, cuts: np.ndarray) -> pa.Array:
+    """The values between cuts as binaries, without a copy."""
+    at = (cuts * values.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer(at), pa.py_buffer(np.ascontiguousarray(values))])
 
-        for b in batches:
-            for i in range(0, b.num_rows, 64):
-                for text in b.column(0).slice(i, 64).to_pylist():
-                    seen = tokens(text)
-                    found = [seen] if plain else [grams(seen, k) for k in orders]
-                    if not plain:  # histories that no token ends: the begin marks
-                        found += [grams(np.array([BEGIN]), k)[:1] for k in range(1, orders.stop - 1)]
-                    held += found
-                    n += sum(map(len, found))
-                    if n >= _HELD:
-                        yield counted()
-                        held, n = [], 0
-        if held:
-            yield counted()
+
+def _counter(order: int, bits: int):
+    """Counts a task's tokens (kind 0) and longer n-grams (kind 1), some millions at a time, by the first bits of their keys."""
+
+    def packed(kind: int, held: list[np.ndarray]) -> pa.RecordBatch:
+        h, c = np.unique(np.concatenate(held), return_counts=True)
+        part = ((keys([h]) if kind == 0 else h) >> np.uint64(64 - bits)).astype(np.int32)
+        if kind == 0:
+            way = np.argsort(part, kind="stable")
+            h, c, part = h[way], c[way], part[way]
+        cuts = np.flatnonzero(np.r_[True, part[1:] != part[:-1], True])
+        first = part[cuts[:-1]]
+        return pa.RecordBatch.from_arrays([pa.array(first), pa.array(np.full(len(first), kind, np.int32)), _binaries(h, cuts), _binaries(c.astype(np.uint32), cuts)], names=["slice", "kind", "h", "c"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: tuple[list, list] = ([], [])
+        n = 0
+        for column in text_batches(batches):
+            t = Tokens.of(column)
+            held[0].append(t.flat)
+            held[1].extend([grams(t, k) for k in range(2, order + 1)] + [np.repeat(begin(k), len(t.sizes)) for k in range(1, order)])
+            n += len(t.flat) * order
+            if n >= _HELD:
+                yield from (packed(k, x) for k, x in enumerate(held) if x)
+                held, n = ([], []), 0
+        if held[0]:
+            yield from (packed(k, x) for k, x in enumerate(held) if x)
 
     return run
 
 
-def counts(texts: DataFrame, orders: range, *, plain: bool = False) -> DataFrame:
-    """(h, c) partial counts of one text column; ``plain`` counts the tokens themselves."""
-    return texts.mapInArrow(_counter(orders, plain), "h long, c long")
+def unpacked(h: bytes, c: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and counts; counts take 4 or 8 bytes each."""
+    h = np.frombuffer(h, np.uint64)
+    return h, np.frombuffer(c, np.uint32 if len(c) == 4 * len(h) else np.uint64).astype(np.int64)
+
+
+def _summed(rows: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    h, place = np.unique(np.concatenate([h for h, _ in rows]), return_inverse=True)
+    c = np.zeros(len(h), np.int64)
+    np.add.at(c, place, np.concatenate([c for _, c in rows]))
+    return h, c
+
+
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums rows of one slice and kind, which come one after the other."""
+
+    def done(slice_: int, kind: int, rows: list) -> pa.RecordBatch:
+        h, c = _summed(rows)
+        own = np.bincount(np.log2(c + 0.5).astype(np.int64), level(c), _POWERS).astype(np.int64)
+        pairs = np.cumsum(own[::-1])[::-1][:_POWERS]
+        small = int(c.max()) < 1 << 32
+        row = {"slice": slice_, "kind": kind, "h": h.tobytes(), "c": c.astype(np.uint32 if small else np.uint64).tobytes(), "n": len(h), "total": int(c.sum()), "top": int(c.max()), "pairs": pairs.tolist()}
+        return pa.RecordBatch.from_pylist([row], _SCHEMA)
+
+    now, rows, n = None, [], 0
+    for b in batches:
+        for slice_, kind, h, c in zip(*(b.column(i).to_pylist() for i in range(4))):
+            if (slice_, kind) != now:
+                if rows:
+                    yield done(*now, rows)
+                now, rows, n = (slice_, kind), [], 0
+            rows.append(unpacked(h, c))
+            n += len(rows[-1][0])
+            if n > 2 * _HELD:
+                rows = [_summed(rows)]
+                n = len(rows[0][0]) // 2  # so that the next sum comes after as many new ones at least
+    if rows:
+        yield done(*now, rows)
+
+
+_SCHEMA = pa.schema([("slice", pa.int32()), ("kind", pa.int32()), ("h", pa.binary()), ("c", pa.binary()), ("n", pa.int64()), ("total", pa.int64()), ("top", pa.int64()), ("pairs", pa.list_(pa.int64()))])
+
+
+def gathered(texts: DataFrame, order: int = ORDER, *, slice_bytes: int = _SLICE_BYTES, least_slices: int = _LEAST_SLICES) -> tuple[DataFrame, int]:
+    """Exact counts of all tokens and n-grams of one text column, a row for each slice and kind, and bits of a slice."""
+    size = texts.agg(F.coalesce(F.sum(F.octet_length(texts.columns[0])), F.lit(0))).first()[0]
+    bits = min(24, (max(least_slices, -(-size // slice_bytes)) - 1).bit_length())
+    partial = texts.mapInArrow(_counter(order, bits), _PARTIAL)
+    return written(partial.repartition("slice").sortWithinPartitions("slice", "kind").mapInArrow(_merged, GATHERED), "grams"), bits
+
+
+@dataclass
+class Size:
+    """Tokens, different tokens, and pairs of the n-grams that are seen 1, 2, 4, 8, ... times or more."""
+
+    n: int
+    v: int
+    pairs: list[int]
+
+    @classmethod
+    def of(cls, table: DataFrame) -> Size:
+        plain = F.col("kind") == 0
+        sums = [F.coalesce(F.sum(F.get("pairs", j)), F.lit(0)).alias(f"p{j}") for j in range(_POWERS)]
+        r = table.agg(F.coalesce(F.sum(F.when(plain, F.col("total"))), F.lit(0)).alias("n"), F.coalesce(F.sum(F.when(plain, F.col("n"))), F.lit(0)).alias("v"), *sums).first()
+        return cls(r.n, r.v, [r[f"p{j}"] for j in range(_POWERS)])
+
+    def least(self, most_bytes: int, bits_per_pair: int = BITS_PER_PAIR) -> tuple[int, int]:
+        """The least count that the filter holds, and its size in 64-bit words."""
+        for j, pairs in enumerate(self.pairs):
+            words = max(1, -(-pairs * bits_per_pair // 64))
+            if words * 8 <= most_bytes:
+                return 1 << j, words
+        return 1 << _POWERS, 1
 
 
 @dataclass
 class Filter:
-    """A Bloom filter of pairs (key, level) in segments by the key's first bits."""
+    """A Bloom filter of pairs (key, level): 64-bit words, region after region by the keys' first bits."""
+
+    words: np.ndarray
+    bits: int
 
-    bits: np.ndarray  # bytes, segment after segment
-    width: int  # bits of a segment
+    @property
+    def width(self) -> int:
+        return len(self.words) >> self.bits
 
     @staticmethod
-    def places(keys: np.ndarray, step: int | np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-        """First place and stride of the probes of pairs."""
+    def places(keys: np.ndarray, step: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """Word in the region and bits in the word of pairs."""
+        one, low6 = np.uint64(1), np.uint64(63)
         with np.errstate(over="ignore"):
-            x = mix(keys + np.asarray(step).astype(np.uint64) * _GOLD)
-        return (x >> np.uint64(32)) % np.uint64(width), (x & np.uint64(0xFFFFFFFF)) | np.uint64(1)
+            x = mix(keys + np.uint64(step) * GOLD)
+        mask = one << (x & low6)
+        for i in range(1, PROBES):
+            mask |= one << (x >> np.uint64(6 * i) & low6)
+        return (x >> _S32) * np.uint64(width) >> _S32, mask
 
     def levels(self, keys: np.ndarray) -> np.ndarray:
         """For each key, how many levels are there one after the other."""
         found = np.zeros(len(keys), np.int64)
-        active, base = np.arange(len(keys)), (keys >> np.uint64(56)) * np.uint64(self.width)
-        step = 1
+        base = (keys >> np.uint64(64 - self.bits)) * np.uint64(self.width) if self.bits else np.zeros(len(keys), np.uint64)
+        active, step = np.arange(len(keys)), 1
         while len(active):
-            at, stride = self.places(keys[active], step, self.width)
-            there = np.ones(len(active), bool)
-            left = np.arange(len(active))
-            for i in range(PROBES):
-                bit = base[active[left]] + (at[left] + np.uint64(i) * stride[left]) % np.uint64(self.width)
-                good = (self.bits[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1 == 1
-                there[left[~good]] = False
-                left = left[good]
-                if not len(left):
-                    break
-            active = active[there]
+            at, mask = self.places(keys, step, self.width)
+            there = self.words[base + at] & mask == mask
+            active, keys, base = active[there], keys[there], base[there]
             found[active] = step
             step += 1
         return found
 
 
-def least_count(n: int, most_bytes: int, order: int, bits_per_token: int = BITS_PER_TOKEN) -> tuple[int, int]:
-    """The least count that is kept, and bits of a segment, for ``n`` tokens."""
-    least = 1
-    while True:
-        pairs = n * order * ((1 + np.log(least) / np.log(1.5)) / least if least > 1 else 1)
-        width = max(64, -(-int(pairs * bits_per_token) // SEGMENTS // 8) * 8)
-        if width * SEGMENTS // 8 <= max(most_bytes, 8 * SEGMENTS):
-            return least, width
-        least *= 2
+def build(table: DataFrame, slice_bits: int, least: int, words: int) -> Filter:
+    """The filter of the n-grams seen ``least`` times or more; ``words`` bounds what the driver gets."""
+    bits = min(slice_bits, _MOST_REGIONS.bit_length() - 1, max(0, words.bit_length() - 4))
+    width = -(-words // (1 << bits))
+    rows = table.where(F.col("top") >= least).select(F.shiftright("slice", slice_bits - bits).alias("region"), "kind", "h", "c")
+    if slice_bits > bits:
+        rows = rows.repartition("region")
 
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own: dict[int, np.ndarray] = {}
+        for b in batches:
+            for region, kind, h, c in zip(*(b.column(i).to_pylist() for i in range(4))):
+                place = own.setdefault(region, np.zeros(width, np.uint64))
+                h, c = unpacked(h, c)
+                key, top = (keys([h]) if kind == 0 else h)[c >= least], level(c[c >= least])
+                step = 1
+                while len(key):
+                    at, mask = Filter.places(key, step, width)
+                    np.bitwise_or.at(place, at.astype(np.int64), mask)
+                    step += 1
+                    key, top = key[top >= step], top[top >= step]
+        for region, place in own.items():
+            yield pa.RecordBatch.from_arrays([pa.array([region], pa.int32()), pa.array([place.tobytes()], pa.binary())], names=["region", "words"])
 
-def gram_counts(texts: DataFrame, order: int = ORDER) -> DataFrame:
-    """(segment, h, c): exact counts of all n-grams up to ``order``, dealt out by segment."""
-    segment = F.shiftrightunsigned(F.col("h"), 56).cast("int")
-    spread = counts(texts, range(1, order + 1)).withColumn("segment", segment).repartition("segment")
-    return spread.groupBy("segment", "h").agg(F.sum("c").alias("c"))
-
+    out = np.zeros(width << bits, np.uint64)
+    for row in rows.mapInArrow(work, "region int, words binary").toLocalIterator():
+        out[row.region * width : (row.region + 1) * width] |= np.frombuffer(row.words, np.uint64)
+    return Filter(out, bits)
 
-def build(texts: DataFrame, n: int, *, order: int = ORDER, most_bytes: int = MOST_BYTES, summed: DataFrame | None = None) -> Filter:
-    """The filter of the n-grams up to ``order``, seen L times or more, of one text column with ``n`` tokens in all.
 
-    Partial counts are shuffled by segment and summed, unless given as ``summed``; each segment's bits are
-    set as its rows stream by.
-    """
-    least, width = least_count(n, most_bytes, order)
-    summed = (gram_counts(texts, order) if summed is None else summed).where(F.col("c") >= least)
+def exact(table: DataFrame) -> DataFrame:
+    """(key, h, c): key of each token or n-gram and its count; h is a token's own hash, null for longer n-grams."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own: dict[int, np.ndarray] = {}
         for b in batches:
-            seg, h, top = b.column(0).to_numpy(), b.column(1).to_numpy().view(np.uint64), level(b.column(2).to_numpy())
-            for s in np.unique(seg):
-                bits = own.setdefault(int(s), np.zeros(width // 8, np.uint8))
-                mine = seg == s
-                keys, levels = h[mine], top[mine]
-                step = 1
-                while len(keys):
-                    at, stride = Filter.places(keys, step, width)
-                    for i in range(PROBES):
-                        bit = (at + np.uint64(i) * stride) % np.uint64(width)
-                        np.bitwise_or.at(bits, (bit >> np.uint64(3)).astype(np.int64), np.uint8(1) << (bit & np.uint64(7)).astype(np.uint8))
-                    step += 1
-                    keys, levels = keys[levels >= step], levels[levels >= step]
-        for s, bits in own.items():
-            yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([bits.tobytes()], pa.binary())], names=["segment", "bits"])
+            for kind, h, c in zip(*(b.column(i).to_pylist() for i in range(3))):
+                h, c = unpacked(h, c)
+                own = pa.array(h.view(np.int64)) if kind == 0 else pa.nulls(len(h), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array((keys([h]) if kind == 0 else h).view(np.int64)), own, pa.array(c)], names=["key", "h", "c"])
 
-    bits = np.zeros(SEGMENTS * width // 8, np.uint8)
-    for row in summed.select("segment", "h", "c").mapInArrow(work, "segment int, bits binary").collect():  # most_bytes in all
-        bits[row.segment * (width // 8) : (row.segment + 1) * (width // 8)] |= np.frombuffer(row.bits, np.uint8)
-    return Filter(bits, width)
+    return table.select("kind", "h", "c").mapInArrow(work, "key long, h long, c long")
 
 
 @dataclass
@@ -216,30 +325,31 @@ class Model:
     order: int = ORDER
     least: int = 1
 
-    def log10(self, texts: list[np.ndarray], rare: tuple[np.ndarray, np.ndarray] | None = None) -> list[np.ndarray]:
-        """log10 of the probability of each token after those before it, for each text.
+    def log10(self, t: Tokens, rare: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+        """log10 of the probability of each token after those before it in its text.
 
-        The filter is asked once for each different n-gram of all the texts. ``rare`` has sorted keys of
-        n-grams below ``least`` and their counts.
+        The filter is asked once for each different n-gram. ``rare`` has sorted keys of n-grams below
+        ``least`` and their counts.
         """
-        if not texts:
-            return []
-        together = lambda f: np.concatenate([f(seen) for seen in texts])
-        p = (low(self._levels(together(lambda seen: grams(seen, 1)), rare)) + 0.5) / (self.n + 0.5 * (self.v + 1))
+        found = self._levels(grams(t, 1), rare)
+        p = (low(found) + 0.5) / (self.n + 0.5 * (self.v + 1))
         for k in range(2, self.order + 1):
-            whole = low(self._levels(together(lambda seen: grams(seen, k)), rare))
-            history = high(self._levels(together(lambda seen: histories(seen, k)), rare))
-            p = (whole + MU * p) / (np.maximum(history, whole) + MU)
-        return np.split(np.log10(p), np.cumsum([len(seen) for seen in texts])[:-1])
-
-    def missing(self, texts: list[np.ndarray]) -> list[np.ndarray]:
+            # a token's history is the shorter n-gram that ends in the token before
+            history = np.where(t.place > 0, np.roll(found, 1), self._levels(begin(k - 1), rare))
+            found = self._levels(grams(t, k), rare)
+            whole = low(found)
+            p = (whole + MU * p) / (np.maximum(high(history), whole) + MU)
+        return np.log10(p)
+
+    def missing(self, t: Tokens) -> list[np.ndarray]:
         """For each text, the different keys of its n-grams and histories that the filter doesn't hold."""
-        keys = [np.unique(np.concatenate([f(seen, k) for k in range(1, self.order + 1) for f in ((grams, histories) if k > 1 else (grams,))])) for seen in texts]
-        if not keys:
+        first = [begin(k) for k in range(1, self.order)]
+        out = [np.unique(np.concatenate([*first, *x])) for x in zip(*(each_text(grams(t, k), t.sizes) for k in range(1, self.order + 1)))]
+        if not out:
             return []
-        different, place = np.unique(np.concatenate(keys), return_inverse=True)
-        gone = (self._held(different) == 0)[place]
-        return [x[g] for x, g in zip(keys, np.split(gone, np.cumsum([len(x) for x in keys])[:-1]))]
+        every = np.concatenate(out)
+        gone = self._held(every) == 0
+        return [x[g] for x, g in zip(out, each_text(gone, np.array([len(x) for x in out])))]
 
     def _held(self, keys: np.ndarray) -> np.ndarray:
         """Levels by the filter; fewer than those of ``least`` can only be false hits."""
@@ -263,6 +373,14 @@ class Heavy:
     counts: np.ndarray
     threshold: int
 
+    def of(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the words are here, and the counts of those; 0 for others."""
+        if not len(self.hashes):
+            return np.zeros(len(words), bool), np.zeros(len(words), np.int64)
+        at = np.minimum(np.searchsorted(self.hashes, words), len(self.hashes) - 1)
+        known = self.hashes[at] == words
+        return known, np.where(known, self.counts[at], 0)
+
 
 def heavy_words(unigrams: DataFrame, most: int = MOST_HEAVY) -> Heavy:
     """The words with the highest counts. The threshold is a power of two that ``most`` words reach at most."""
@@ -280,62 +398,66 @@ def heavy_words(unigrams: DataFrame, most: int = MOST_HEAVY) -> Heavy:
     return Heavy(h[order], c[order] if len(c) else np.zeros(0, np.int64), threshold)
 
 
-_SCORED = "struct<n_tokens:bigint,n_known:bigint,base:double,score:double,rest:array<bigint>,times:array<bigint>>"
+_SCORED = "struct<n_tokens:bigint,n_known:bigint,base:double,score:double,rest:array<bigint>>"
+
+
+def _scored(t: Tokens, model: Model, heavy: Heavy, rare: tuple[np.ndarray, np.ndarray] | None) -> pa.StructArray:
+    words, place = np.unique(t.flat, return_inverse=True)
+    known, c = heavy.of(words)
+    now = known if heavy.threshold > 1 else np.ones(len(words), bool)
+    base = np.where(now, np.log10((c + 0.5) / (model.n + 0.5 * (model.v + 1))), 0.0)[place]
+    left = ~now[place]
+    cuts = np.r_[0, np.cumsum(t.sums(left.astype(np.int64)))].astype(np.int32)
+    rest = pa.ListArray.from_arrays(pa.array(cuts), pa.array(t.flat[left].view(np.int64)))
+    columns = [pa.array(t.sizes), pa.array(t.sums(known[place].astype(np.int64)).astype(np.int64)), pa.array(t.sums(base)), pa.array(t.sums(model.log10(t, rare))), rest]
+    return pa.StructArray.from_arrays(columns, ["n_tokens", "n_known", "base", "score", "rest"])
+
+
+def _of_rare(h: pa.Array, c: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted keys and counts from lists of some texts."""
+    keys_, at = np.unique(h.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64), return_index=True)
+    return keys_, c.flatten().to_numpy(zero_copy_only=False).astype(np.int64)[at]
 
 
 def score(docs: DataFrame, *, key: str = "doc_id", text: str = "text", order: int = ORDER, most_bytes: int = MOST_BYTES, most_heavy: int = MOST_HEAVY) -> DataFrame:
     """One row per document: key, held_out, n_tokens, n_known, train_tokens, base_score and score."""
     learned = docs.where(F.col(key).isNotNull() & ~held_out(key)).select(F.col(text).alias("text"))
-    unigrams = written(counts(learned, range(1, 2), plain=True).groupBy("h").agg(F.sum("c").alias("c")), "unigrams")
-    size = unigrams.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
-    least, _ = least_count(size.n, most_bytes, order)
-    summed = written(gram_counts(learned, order), "grams") if least > 1 else None
-    model = Model(build(learned, size.n, order=order, most_bytes=most_bytes, summed=summed), size.n, size.v, order, least)
+    table, slice_bits = gathered(learned, order)
+    size = Size.of(table)
+    least, words = size.least(most_bytes)
+    unigrams = exact(table.where("kind = 0")).select("h", "c")
     heavy = heavy_words(unigrams, most_heavy)
-    sent = docs.sparkSession.sparkContext.broadcast((model.filter.bits, model.filter.width, heavy.hashes, heavy.counts))
-    n, v, threshold = model.n, model.v, heavy.threshold
-    whole = n + 0.5 * (v + 1)
-
-    def asked(texts: list) -> pa.Array:
-        bits, width, _, _ = sent.value
-        keys = Model(Filter(bits, width), n, v, order, least).missing([tokens(t) for t in texts])
-        return pa.array([x.view(np.int64) for x in keys], pa.list_(pa.int64()))
-
-    def work(texts: list) -> pa.Array:
-        bits, width, hashes, exact = sent.value
-        own = Model(Filter(bits, width), n, v, order, least)
-        rows, rare = [], None
-        if least > 1:
-            h = np.array([x for t in texts for x in t["h"] or ()], np.int64).view(np.uint64)
-            h, at = np.unique(h, return_index=True)
-            rare = h, np.array([x for t in texts for x in t["c"] or ()], np.int64)[at]
-            texts = [t["text"] for t in texts]
-        all_seen = [tokens(t) for t in texts]
-        for seen, p in zip(all_seen, own.log10(all_seen, rare)):
-            words, times = np.unique(seen, return_counts=True)
-            at = np.minimum(np.searchsorted(hashes, words), max(0, len(hashes) - 1))
-            known = hashes[at] == words if len(hashes) else np.zeros(len(words), bool)
-            c = np.where(known, exact[at] if len(hashes) else 0, 0)
-            now = known if threshold > 1 else np.ones(len(words), bool)
-            base = float((times[now] * np.log10((c[now] + 0.5) / whole)).sum())
-            rows.append((len(seen), int(times[known].sum()), base, float(p.sum()), words[~now].view(np.int64).tolist(), times[~now].tolist()))
-        columns = [list(x) for x in zip(*rows)] or [[] for _ in range(6)]
-        kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
-        return pa.StructArray.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds)], ["n_tokens", "n_known", "base", "score", "rest", "times"])
+    model = Model(build(table, slice_bits, least, words), size.n, size.v, order, least)
+    sent = docs.sparkSession.sparkContext.broadcast((model, heavy))
+
+    def asked(texts: pa.Array) -> pa.Array:
+        return pa.array([x.view(np.int64) for x in sent.value[0].missing(Tokens.of(texts))], pa.list_(pa.int64()))
+
+    def work(given: pa.Array) -> pa.Array:
+        model, heavy = sent.value
+        if model.least == 1:
+            return _scored(Tokens.of(given), model, heavy, None)
+        texts, h, c = given.flatten()
+        return _scored(Tokens.of(texts), model, heavy, _of_rare(h, c))
 
     first = docs.select(F.col(key), held_out(key).alias("held_out"), F.monotonically_increasing_id().alias("row"), F.col(text).alias("text"))
     given = F.col("text")
     if least > 1:
         first = written(first, "texts")  # the rows' numbers must stay
-        keys = first.select("row", F.explode(arrow_column(asked, "array<bigint>")(F.col("text"))).alias("h"))
-        known = keys.join(summed.where(F.col("c") < least).select("h", "c"), "h")
-        first = first.join(known.groupBy("row").agg(F.collect_list(F.struct("h", "c")).alias("rare")), "row", "left")
-        given = F.struct("text", F.col("rare.h").alias("h"), F.col("rare.c").alias("c"))
-    scored = written(first.withColumn("s", arrow_column(work, _SCORED)(given)).select(key, "held_out", "row", "s.*"), "scored")
-    rare = scored.select("row", F.explode(F.arrays_zip("rest", "times")).alias("x")).select("row", F.col("x.rest").alias("h"), F.col("x.times").alias("times"))
-    joined = rare.join(unigrams.where(F.col("c") < threshold), "h", "left").withColumn("c", F.coalesce("c", F.lit(0).cast("long")))
-    added = joined.groupBy("row").agg(F.sum(F.col("times") * F.log10((F.col("c") + 0.5) / F.lit(whole))).alias("more"), F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("more_known"))
-    out = scored.join(added, "row", "left")
-    return out.select(
-        key, "held_out", "n_tokens", (F.col("n_known") + F.coalesce("more_known", F.lit(0))).cast("long").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"), "score"
-    )
+        asks = first.select("row", F.explode(arrow_column(asked, "array<bigint>", plain=True)(F.col("text"))).alias("key"))
+        known = asks.join(exact(table).where(F.col("c") < least).select("key", "c"), "key")
+        first = first.join(known.groupBy("row").agg(F.collect_list(F.struct("key", "c")).alias("rare")), "row", "left")
+        none = F.array().cast("array<bigint>")
+        given = F.struct(F.coalesce("text", F.lit("")).alias("text"), F.coalesce("rare.key", none).alias("h"), F.coalesce("rare.c", none).alias("c"))
+    scored = first.withColumn("s", arrow_column(work, _SCORED, plain=True)(given)).select(key, "held_out", "row", "s.*")
+    whole = size.n + 0.5 * (size.v + 1)
+    if heavy.threshold > 1:
+        scored = written(scored, "scored")
+        rest = scored.select("row", F.explode("rest").alias("h"))
+        joined = rest.join(unigrams.where(F.col("c") < heavy.threshold), "h", "left").withColumn("c", F.coalesce("c", F.lit(0).cast("long")))
+        added = joined.groupBy("row").agg(F.sum(F.log10((F.col("c") + 0.5) / F.lit(whole))).alias("more"), F.count_if(F.col("c") > 0).alias("more_known"))
+        scored = scored.join(added, "row", "left")
+    else:
+        scored = scored.withColumn("more", F.lit(0.0)).withColumn("more_known", F.lit(0))
+    n_known, base = F.col("n_known") + F.coalesce("more_known", F.lit(0)), F.col("base") + F.coalesce("more", F.lit(0.0))
+    return scored.select(key, "held_out", "n_tokens", n_known.cast("long").alias("n_known"), F.lit(size.n).cast("long").alias("train_tokens"), base.alias("base_score"), "score")

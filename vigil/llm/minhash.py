@@ -11,24 +11,20 @@ for large sets is after the first step.
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 
-from vigil.llm.common import WordHashes, gram_hashes, mix
+from vigil.llm.common import each_text, gram_hashes, mix, word_hashes
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _LOW = np.uint64(0xFFFFFFFF)
 _S32 = np.uint64(32)
 #: Entries of the orders of elements that are held at once.
 _AT_ONCE = 8 << 20
-_hashes = WordHashes()
 
 
-def shingles(text: str | None, k: int) -> np.ndarray:
-    """Hashes of the distinct k-word shingles in order; of the whole sequence if it has fewer words."""
-    words = (text or "").encode("utf-8", "replace").lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    h = _hashes.of(words, len(words))
-    return np.unique(gram_hashes(h, min(k, len(words))))
+def shingles(texts: pa.Array, k: int) -> list[np.ndarray]:
+    """For each text, hashes of the distinct k-word shingles in order; of the whole sequence if it has fewer words."""
+    return [np.unique(gram_hashes(words, min(k, len(words)))) if len(words) else words for words in each_text(*word_hashes(texts))]
 
 
 def _offer(elements: np.ndarray, step: int, m: int) -> tuple[np.ndarray, np.ndarray]:

@@ -22,17 +22,21 @@ null id has a null component and is kept.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vigil.llm.common import arrow_column, small_batches, written
+from vigil.llm.common import arrow_column, written
 from vigil.llm.components import components
 from vigil.llm.minhash import band_hashes, shingles, signatures
 
 ROWS, MOST_MISSED = 5, 4.2e-7
+#: Partners that a copy of a pivot's text serves, about.
+PARTNERS = 64
 _SKETCH = "struct<n:bigint,print:binary,bands:array<bigint>>"
 
 
@@ -47,8 +51,8 @@ def sketches(docs: DataFrame, k: int, text: str, percent: int) -> DataFrame:
 
     n_bands = bands(percent)
 
-    def work(texts: list) -> pa.Array:
-        sets = [shingles(t, k) for t in texts]
+    def work(texts: pa.Array) -> pa.Array:
+        sets = shingles(texts, k)
         hashes = band_hashes(signatures(sets, n_bands * ROWS), n_bands).view(np.int64)
         return pa.StructArray.from_arrays(
             [
@@ -59,7 +63,7 @@ def sketches(docs: DataFrame, k: int, text: str, percent: int) -> DataFrame:
             ["n", "print", "bands"],
         )
 
-    return docs.withColumn("sketch", arrow_column(work, _SKETCH)(F.col(text)))
+    return docs.withColumn("sketch", arrow_column(work, _SKETCH, plain=True)(F.col(text)))
 
 
 def _sizes_allow(a: str, b: str, percent: int) -> Column:
@@ -67,49 +71,75 @@ def _sizes_allow(a: str, b: str, percent: int) -> Column:
     return 100 * F.least(f"{a}most", f"{b}most") >= percent * F.greatest(f"{a}least", f"{b}least")
 
 
-def linked(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets reach the similarity."""
+def _beside(pairs: DataFrame, texts: DataFrame, pivot: list[str], node: list[str]) -> DataFrame:
+    """Rows of (pivot, slice): the pivot's text with null ``node`` columns, then the texts of some of its partners.
+
+    A pivot's partners are cut into slices, each with one copy of the pivot's text, so that a pivot with very
+    many partners is no trouble.
+    """
+    own = lambda names, other: texts.select(*(F.col(c).alias(n) for c, n in zip(("node", "version"), names)), "text", *other)
+    slices = pairs.groupBy(*pivot).agg(F.ceil(F.count(F.lit(1)) / PARTNERS).cast("int").alias("slices"))
+    dealt = pairs.join(slices, pivot).withColumn("slice", F.pmod(F.xxhash64(*node), F.col("slices")).cast("int")).drop("slices")
+    members = dealt.join(own(node, []), node)
+    heads = slices.withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).join(own(pivot, []), pivot)
+    heads = heads.select(*(F.col(c) if c in heads.columns else F.lit(None).cast(t).alias(c) for c, t in members.dtypes))
+    return members.unionByName(heads).repartition(*pivot, "slice").sortWithinPartitions(*pivot, "slice", F.col(node[0]).asc_nulls_first())
+
+
+def _compared(batches: Iterator[pa.RecordBatch], k: int, first: str) -> Iterator[tuple[pa.RecordBatch, list[tuple[int, np.ndarray, np.ndarray]]]]:
+    """For each batch of rows of ``_beside``: number of row, pivot's shingles and row's shingles, for rows of partners."""
+    head = None
+    for b in batches:
+        for i in range(0, b.num_rows, 64):
+            part = b.slice(i, 64)
+            out = []
+            for j, (own, node) in enumerate(zip(shingles(part.column("text"), k), part.column(first).is_null().to_pylist())):
+                if node:
+                    head = own
+                else:
+                    out.append((j, head, own))
+            yield part, out
 
-    def work(rows: list) -> pa.Array:
-        out, last, of_last = [], None, None
-        for r in rows:
-            if r["x"] != last:
-                last, of_last = r["x"], shingles(r["x"], k)
-            other = shingles(r["y"], k)
-            both = len(np.intersect1d(of_last, other, assume_unique=True))
-            out.append(100 * both >= percent * (len(of_last) + len(other) - both))
-        return pa.array(out, pa.bool_())
 
-    left = texts.select(F.col("node").alias("a"), F.col("text").alias("x"))
-    right = texts.select(F.col("node").alias("b"), F.col("text").alias("y"))
-    rows = pairs.join(left, "a").join(right, "b")
-    same = arrow_column(work, "boolean", step=64)(F.struct("x", "y"))
-    return rows.withColumn("_same", same).where("_same").select("a", "b").distinct()
+def linked(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of which some texts' full shingle sets reach the similarity."""
 
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, rows in _compared(batches, k, "b"):
+            good = []
+            for j, x, y in rows:
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                if 100 * both >= percent * (len(x) + len(y) - both):
+                    good.append(j)
+            yield part.select(["a", "b"]).take(pa.array(good, pa.int64()))
 
-_DIFFERENCE = "struct<s:bigint,m:bigint,a:bigint,delta:array<bigint>>"
+    versions = texts.select("node", "version")
+    of = lambda n: versions.select(F.col("node").alias(n), F.col("version").alias(f"{n}_version"))
+    rows = pairs.join(of("a"), "a").join(of("b"), "b")  # an id that has several texts has several versions
+    dealt = _beside(rows, texts, ["a", "a_version"], ["b", "b_version"])
+    return dealt.mapInArrow(work, "a long, b long").distinct()
 
 
 def _differences(pairs: DataFrame, texts: DataFrame, k: int) -> DataFrame:
     """For (pivot, node): size of the pivot's set, shingles missing and added, and both in one array (added ones odd)."""
-
-    def work(rows: list) -> pa.Array:
-        out, last, of_last = [], None, None
-        for r in rows:
-            if r["x"] != last:
-                last, of_last = r["x"], shingles(r["x"], k)
-            other = shingles(r["y"], k)
-            missing, added = np.setdiff1d(of_last, other, True), np.setdiff1d(other, of_last, True)
-            delta = np.r_[missing & ~np.uint64(1), added | np.uint64(1)].view(np.int64)
-            out.append((len(of_last), len(missing), len(added), delta))
-        columns = [list(c) for c in zip(*out)] or [[], [], [], []]
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
-        return pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["s", "m", "a", "delta"])
-
-    left = texts.select(F.col("node").alias("pivot"), F.col("version").alias("pivot_version"), F.col("text").alias("x"))
-    right = texts.select("node", "version", F.col("text").alias("y"))
-    rows = pairs.join(left, "pivot").join(right, "node")
-    return rows.withColumn("d", arrow_column(work, _DIFFERENCE, step=64)(F.struct("x", "y"))).drop("x", "y").select("*", "d.*").drop("d")
+    versions = texts.select("node", "version")
+    rows = pairs.join(versions.select(F.col("node").alias("pivot"), F.col("version").alias("pivot_version")), "pivot").join(versions, "node")
+    dealt = _beside(rows, texts, ["pivot", "pivot_version"], ["node", "version"])
+    kept = [c for c in dealt.columns if c not in ("text", "slice")]
+    kinds = ", ".join(f"{c} {t}" for c, t in dealt.dtypes if c in kept)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, rows in _compared(batches, k, "node"):
+            found = []
+            for _, x, y in rows:
+                missing, added = np.setdiff1d(x, y, True), np.setdiff1d(y, x, True)
+                found.append((len(x), len(missing), len(added), np.r_[missing & ~np.uint64(1), added | np.uint64(1)].view(np.int64)))
+            columns = [list(c) for c in zip(*found)] or [[], [], [], []]
+            new = [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())))]
+            own = part.select(kept).take(pa.array([j for j, _, _ in rows], pa.int64()))
+            yield pa.RecordBatch.from_arrays([*own.columns, *new], names=[*kept, "s", "m", "a", "delta"])
+
+    return dealt.mapInArrow(work, f"{kinds}, s long, m long, a long, delta array<long>")
 
 
 def _second_links(grouped: DataFrame, so_far: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
@@ -176,7 +206,6 @@ def _second_links(grouped: DataFrame, so_far: DataFrame, texts: DataFrame, k: in
 
 def groups(docs: DataFrame, *, key: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
     """One row per document: key, ``n_shingles``, ``component_id`` (smallest key reachable) and ``kept``."""
-    small_batches(docs.sparkSession, 256)
     source = docs.select(F.col(key).cast("long").alias("node"), F.col(text).alias("text")).withColumn("version", F.xxhash64("text"))
     sketch = written(sketches(source, k, "text", percent).select("node", "version", "sketch.*"), "sketch")
     able = sketch.where("n > 0 AND node IS NOT NULL")

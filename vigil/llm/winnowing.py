@@ -24,20 +24,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vigil.llm.common import WordHashes, arrow_column, gram_hashes, written
+from vigil.llm.common import arrow_column, byte_codes, each_text, gram_hashes, word_hashes, written
 
 SPAN, K = 10, 5
 #: Bytes of benchmark text up to which its index goes to all tasks; it takes about four times as much.
 BOUND = 32 << 20
 #: A word is a run of 0-9, a-z after lower-casing, and characters beyond ASCII.
-_WORDS = bytes(i + 32 if 65 <= i <= 90 else i if 48 <= i <= 57 or 97 <= i <= 122 or i >= 128 else 32 for i in range(256))
-_hashes = WordHashes()
+_WORDS = byte_codes(i for i in range(128) if not chr(i).isalnum())
 FOUND = "struct<n_words:bigint,n_hit:bigint,n_items:bigint,items:array<string>,items_sha256:string,contaminated:boolean>"
 
 
-def word_hashes(text: str | None) -> np.ndarray:
-    words = (text or "").encode("utf-8", "replace").translate(_WORDS).split()
-    return _hashes.of(words, len(words))
+def words_of(texts: pa.Array) -> list[np.ndarray]:
+    """Hashes of the words of each text."""
+    return each_text(*word_hashes(texts, _WORDS))
 
 
 def fingerprints(words: np.ndarray, span: int = SPAN, k: int = K) -> tuple[np.ndarray, np.ndarray]:
@@ -112,8 +111,7 @@ class Index:
         ids = sorted({i for i, _ in items})
         number = {x: i for i, x in enumerate(ids)}
         prints, by_length = [np.zeros(0, np.uint64)], {}
-        for i, text in items:
-            words = word_hashes(text)
+        for (i, _), words in zip(items, words_of(pa.array([text for _, text in items], pa.string()))):
             if len(words):
                 size = min(SPAN, len(words))
                 by_length.setdefault(size, []).append((gram_hashes(words, size), number[i]))
@@ -166,15 +164,14 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text: str = "text",
         return _joined(docs, items, text, to)
     sent = docs.sparkSession.sparkContext.broadcast(Index.of([(r.item, r.item_text) for r in items.collect()]))
 
-    def work(texts: list) -> pa.Array:
+    def work(texts: pa.Array) -> pa.Array:
         rows = []
-        for t in texts:
-            words = word_hashes(t)
+        for words in words_of(texts):
             hit, found = sent.value.match(words)
             rows.append((len(words), hit, len(found), found, digest(found), hit > 0))
         return _struct(rows)
 
-    return docs.withColumn(to, arrow_column(work, FOUND)(F.col(text)))
+    return docs.withColumn(to, arrow_column(work, FOUND, plain=True)(F.col(text)))
 
 
 def _signed(h: np.ndarray) -> pa.Array:
@@ -185,10 +182,9 @@ _LISTS = "struct<n_words:bigint,prints:array<bigint>,ats:array<bigint>>"
 _GRAMS = "array<struct<size:int,at:bigint,h:bigint>>"
 
 
-def _prints(texts: list) -> pa.Array:
+def _prints(texts: pa.Array) -> pa.Array:
     rows = []
-    for t in texts:
-        words = word_hashes(t)
+    for words in words_of(texts):
         at, prints = fingerprints(words)
         rows.append((len(words), prints.view(np.int64).tolist(), at.tolist()))
     columns = [list(c) for c in zip(*rows)] or [[], [], []]
@@ -203,10 +199,9 @@ def _grams(size: int, words: np.ndarray, starts: np.ndarray) -> list[dict]:
     return [{"size": size, "at": int(s), "h": int(h[s])} for s in starts]
 
 
-def _item_windows(texts: list) -> pa.Array:
+def _item_windows(texts: pa.Array) -> pa.Array:
     out = []
-    for t in texts:
-        words = word_hashes(t)
+    for words in words_of(texts):
         size = min(SPAN, len(words))
         out.append(_grams(size, words, np.arange(len(words) - size + 1)) if size else [])
     return pa.array(out, _GRAM)
@@ -216,18 +211,18 @@ def _joined(docs: DataFrame, items: DataFrame, text: str, to: str) -> DataFrame:
     """The same by joins of tables, for a benchmark of any size."""
     key = F.sha2(F.concat_ws("|", F.coalesce(F.col(text), F.lit(""))), 256)
     keyed = docs.withColumn("_key", key)
-    one = written(keyed.select("_key", F.col(text).alias("_text")).dropDuplicates(["_key"]).withColumn("_p", arrow_column(_prints, _LISTS)(F.col("_text"))), "prints")
-    windows = written(items.select("item", F.explode(arrow_column(_item_windows, _GRAMS)(F.col("item_text"))).alias("g")).select("item", "g.size", "g.h").distinct(), "windows")
-    own = items.select(F.explode(arrow_column(_prints, _LISTS)(F.col("item_text"))["prints"]).alias("print")).distinct()
+    one = written(keyed.select("_key", F.col(text).alias("_text")).dropDuplicates(["_key"]).withColumn("_p", arrow_column(_prints, _LISTS, plain=True)(F.col("_text"))), "prints")
+    windows = written(items.select("item", F.explode(arrow_column(_item_windows, _GRAMS, plain=True)(F.col("item_text"))).alias("g")).select("item", "g.size", "g.h").distinct(), "windows")
+    own = items.select(F.explode(arrow_column(_prints, _LISTS, plain=True)(F.col("item_text"))["prints"]).alias("print")).distinct()
     seen = one.select("_key", F.explode(F.arrays_zip(F.col("_p.prints").alias("print"), F.col("_p.ats").alias("at"))).alias("x")).select("_key", "x.print", "x.at")
     hits = seen.join(own, "print", "left_semi").groupBy("_key").agg(F.collect_set("at").alias("ats"))
     sizes = [r.size for r in windows.where(F.col("size") < SPAN).select("size").distinct().collect()]  # at most SPAN - 1
 
-    def candidates(rows: list) -> pa.Array:
+    def candidates(rows: pa.Array) -> pa.Array:
         out = []
-        for r in rows:
-            words = word_hashes(r["text"])
-            found = _grams(SPAN, words, around(np.array(r["ats"], np.int64), len(words))) if r["ats"] else []
+        texts, ats = rows.flatten()
+        for words, at in zip(words_of(texts), ats.to_pylist()):
+            found = _grams(SPAN, words, around(np.array(at, np.int64), len(words))) if at else []
             for size in sizes:
                 if len(words) >= size:
                     found += _grams(size, words, np.arange(len(words) - size + 1))
@@ -235,7 +230,7 @@ def _joined(docs: DataFrame, items: DataFrame, text: str, to: str) -> DataFrame:
         return pa.array(out, _GRAM)
 
     asked = one.join(hits, "_key", "left" if sizes else "inner").select("_key", F.struct(F.col("_text").alias("text"), "ats").alias("r"))
-    grams = asked.select("_key", F.explode(arrow_column(candidates, _GRAMS)(F.col("r"))).alias("g")).select("_key", "g.size", "g.at", "g.h")
+    grams = asked.select("_key", F.explode(arrow_column(candidates, _GRAMS, plain=True)(F.col("r"))).alias("g")).select("_key", "g.size", "g.at", "g.h")
     found = grams.join(windows, ["size", "h"]).groupBy("_key").agg(F.collect_set(F.struct("at", "size")).alias("spans"), F.sort_array(F.collect_set("item")).alias("items"))
     hit = F.size(F.array_distinct(F.flatten(F.transform("spans", lambda x: F.sequence(x["at"], x["at"] + x["size"] - 1)))))
     each = one.select("_key", F.col("_p.n_words").alias("n_words")).join(found.select("_key", hit.cast("long").alias("n_hit"), "items"), "_key", "left")
