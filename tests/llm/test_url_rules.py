@@ -1,8 +1,14 @@
 import itertools
+import os
+import shutil
+import time
 from collections import Counter
 
+import duckdb
+import pytest
 from pyspark.sql import functions as F
 
+from tests import oracle
 from tests.llm.helpers import store
 from vigil.llm import queries, url_rules
 
@@ -37,19 +43,58 @@ def test_hosts_paths_and_given_rules(spark, tmp_path):
     assert queries.op2_url_rules(spark, empty).count() == 0
 
 
-def test_mined_rules_equal_counting(spark):
-    pages = [(i, f"https://{'spam' if i % 5 == 0 else 'good'}.example.net/{'a' if i % 2 else 'b'}/{i}?k{i % 4}=1") for i in range(400)]
-    df = spark.createDataFrame(pages, "page_id long, url string").withColumn("rule", F.lit("clash"))
-    bad = {i: (i % 10 == 0) or i % 7 == 3 and i % 2 == 1 for i in range(0, 360)}
+def site(n=400):
+    pages = [(i, f"https://{'spam' if i % 5 == 0 else 'good'}.example.net/{'a' if i % 2 else 'b'}/{i}?k{i % 4}=1") for i in range(n)]
+    bad = {i: (i % 10 == 0) or i % 7 == 3 and i % 2 == 1 for i in range(n - 40)}
+    return pages, bad
+
+
+@pytest.mark.parametrize("most_items,most_rules", [(12, 50_000), (1, 0)])
+def test_mined_rules_equal_counting(spark, most_items, most_rules):
+    pages, bad = site()
+    df = spark.createDataFrame(pages, "page_id long, url string")
+    df = df.select("*", *(F.lit("clash").alias(c) for c in ("rule", "_tokens", "_given", "tokens", "given", "own", "_own", "_first")))
     labels = spark.createDataFrame(list(bad.items()) + [(1, None)], "page_id long, bad boolean")
-    out = {r.page_id: r for r in url_rules.judge(df, labels).collect()}
-    own = {r.page_id: set(r._tokens) for r in url_rules.parts(df, "url").collect()}
+    found = url_rules.judge(df, labels, most_items=most_items, most_rules=most_rules)
+    assert set(found.columns) == {*df.columns, "host", "path", "mined", "verdict"}
+    out = {r.page_id: r for r in found.collect()}
+    assert all(r._tokens == r._given == r.own == r.tokens == "clash" for r in out.values()) and len(out) == len(pages)
+    own = {r.page_id: set(r.tokens) for r in url_rules.parts(df.select("page_id", "url"), "url").collect()}
     seen, wrong = Counter(), Counter()
     for i, is_bad in bad.items():
         for n in (1, 2, 3):
             for c in itertools.combinations(sorted(own[i]), n):
                 seen[c] += 1
                 wrong[c] += is_bad
-    rules = [set(c) for c in seen if wrong[c] >= 20 and wrong[c] / seen[c] >= 0.6]
-    assert rules and all((out[i].verdict == "block") == any(r <= own[i] for r in rules) for i in own)
+    cut = 2 * sum(bad.values()) / len(bad)
+    rules = {c: wrong[c] / seen[c] for c in seen if wrong[c] >= 20 and wrong[c] / seen[c] >= cut}
+    assert {len(c) for c in rules if not any(set(r) < set(c) for r in rules)} >= {2, 3} or {len(c) for c in rules} >= {2}
+    least = {c: x for c, x in rules.items() if not any(set(r) < set(c) for r in rules)}
+    best = lambda i: min(((len(c), -x, " & ".join(c)) for c, x in least.items() if set(c) <= own[i]), default=(0, 0, None))[2]
+    assert all(out[i].mined == best(i) and (out[i].verdict == "block") == (best(i) is not None) for i in own)
     assert any(r.verdict == "block" for r in out.values()) and any(r.verdict == "allow" for r in out.values())
+
+
+def test_sql_agrees_where_mined_rules_decide(spark, tmp_path):
+    pages, bad = site()
+    rows = [(1000 + i, u.split("?")[0] + (".html" if i % 3 else "/"), "h") for i, u in pages] + [(5000 + i, u, "h") for i, u in enumerate(URLS)]
+    store(spark.createDataFrame([(i, int(not b), int(i % 50 == 0)) for i, b in bad.items()] + [(3, None, None)], "doc_id long, quality int, toxic int"), tmp_path, "labels")
+    sf = store(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(1), tmp_path, "pages")
+    for name in ("labels", "pages"):  # DuckDB reads the files of a folder by a pattern
+        duckdb.sql(f"COPY (SELECT * FROM '{sf}/{name}.parquet/*.parquet') TO '{tmp_path}/{name}-1.parquet'")
+        shutil.rmtree(f"{sf}/{name}.parquet")
+        os.rename(f"{tmp_path}/{name}-1.parquet", f"{sf}/{name}.parquet")
+    oracle.same(spark, sf, queries.op2_url_rules, queries.oracle_sql()["op2_url_rules"])
+    verdicts = Counter((r.rule, r.verdict) for r in queries.op2_url_rules(spark, sf).collect())
+    assert verdicts[None, "block"] > 20 and verdicts[None, "allow"] > 20
+
+
+def test_many_equal_and_almost_equal_long_urls(spark):
+    long = "/".join(f"part{i}" for i in range(60))
+    wide = [(1000 + i, "https://w.net/?" + "&".join(f"key{j}=1" for j in range(30) if (i * 7 + j) % 9)) for i in range(80)]
+    pages = [(i, f"https://a.net/{long}") for i in range(40)] + [(100 + i, f"https://b.net/{long}") for i in range(60)] + wide
+    labels = [(i, i < 100 or i % 4 == 0) for i, _ in pages]
+    began = time.time()
+    out = url_rules.judge(spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(labels, "page_id long, bad boolean"), least=15, lift=1.2).collect()
+    assert time.time() - began < 60
+    assert all(r.verdict == "block" for r in out if r.page_id < 100)

@@ -16,9 +16,11 @@ def op1_lm_bloom(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Verdict on every page's url. A page is labelled by the label of the document of its number."""
-    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad"))
-    return url_rules.judge(table(spark, sf_dir, "pages").select("page_id", "url"), labels).select("page_id", "host", "path", "rule", "verdict")
+    """Verdict on every page's url. A page has the label of the document that it holds, whose number ends its path."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    number = F.regexp_extract(url_rules.path(F.col("url")), url_rules.NUMBER, 1).try_cast("long").alias("doc_id")
+    labels = pages.select("page_id", number).join(table(spark, sf_dir, "labels"), "doc_id").select("page_id", ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad"))
+    return url_rules.judge(pages, labels).select("page_id", "host", "path", "rule", "verdict")
 
 
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

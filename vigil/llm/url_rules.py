@@ -1,14 +1,27 @@
 """URL filter by given rules and mined association rules (operator 2).
 
 A given rule (host and beginning of the path) fits its host, all subdomains and all paths that begin so;
-the longest rule that fits a url decides. For other urls, association rules decide: Spark's FP-growth
-finds combinations of url tokens that are frequent among labelled pages together with the label "bad";
-combinations of up to ``most_tokens`` tokens with enough support and confidence block a url that has all
-their tokens. A rule is found through an inverted index by its rarest token, so a url looks at few rules.
+the longest rule that fits a url decides. For other urls, association rules decide: combinations of up to
+three url tokens that are frequent among labelled pages together with the label "bad". A combination
+needs support (bad pages that have it) and confidence (share of bad pages among those that have it), the
+latter ``lift`` times the share of bad pages among all, or ``most_confidence`` if that is less. It blocks
+urls that have all its tokens. A combination of which a part is a rule too adds nothing and is left out.
+
+Mining is bounded. Single tokens are counted first: those that are rules, and those with too little
+support, can't be part of a longer rule and leave. Spark's FP-growth mines what is left of the pages. As it
+lists sets of any length, pages of which more than ``most_items`` tokens are left would make it list a
+power of two of sets; where there are such pages, pairs and then triples of pairs with enough support are
+counted instead, which gives the same rules.
+
+A rule is found through an inverted index by its rarest token, so a url looks at few rules. The index goes
+to all tasks; if there are more than ``most_rules`` rules it is a table that the urls' tokens are joined with.
 
 Results for special input: a null url, or one without ``://``, has an empty host and path and no tokens,
 so it is allowed; labels of one page that differ count as bad if any is; pages without a label teach
-nothing. With fewer than ``least`` bad pages that share tokens there are no mined rules.
+nothing; repeated rows are judged (and, with a label, learned from) one by one. With fewer than ``least``
+bad pages that share tokens there are no mined rules. Of several rules that fit, the one of fewest tokens
+is named, of these the most confident, then the first in the alphabet. Urls of any length are used as a
+whole. Columns host, path, rule, mined and verdict of the input are replaced, all others stay.
 """
 
 from __future__ import annotations
@@ -20,13 +33,13 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vigil.llm.common import arrow_column, lowered, written
+from vigil.llm.common import arrow_column, lowered, unused, written
 
 #: (verdict, host, beginning of the path)
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
-SUPPORT, LEAST, CONFIDENCE, MOST_TOKENS = 0.005, 20, 0.6, 3
-#: Mined rules sent to all tasks, the most confident first. FP-growth's support bounds how many there can be.
-MOST_RULES = 50_000
+SUPPORT, LEAST, LIFT, MOST_CONFIDENCE = 0.005, 20, 2.0, 0.9
+#: Tokens of a page that FP-growth gets at most, and rules whose index goes to all tasks.
+MOST_ITEMS, MOST_RULES = 12, 50_000
 BAD = "label:bad"
 
 
@@ -75,48 +88,82 @@ def tokens(url: Column, host: Column, path: Column) -> Column:
     return F.coalesce(F.array_distinct(every), F.array().cast("array<string>"))
 
 
-def parts(pages: DataFrame, url: str) -> DataFrame:
+def parts(pages: DataFrame, url: str, to: str = "tokens") -> DataFrame:
     out = pages.withColumn("host", host(F.col(url))).withColumn("path", path(F.col(url)))
-    return out.withColumn("_tokens", tokens(F.col(url), F.col("host"), F.col("path")))
-
-
-def mined(labelled: DataFrame, *, support: float = SUPPORT, least: int = LEAST, confidence: float = CONFIDENCE, most_tokens: int = MOST_TOKENS) -> list[tuple[list[str], float]]:
-    """Token combinations that mean "bad", with their confidence, from rows (tokens, bad).
-
-    A combination of which a part is a rule too adds nothing and is left out.
-    """
-    baskets = written(labelled.select(F.when(F.col("bad"), F.array_append("tokens", F.lit(BAD))).otherwise(F.col("tokens")).alias("items")), "baskets")
-    n = baskets.count()
-    if not n:
-        return []
-    count = max(least, -(-int(n * support * 1000) // 1000))
-    model = FPGrowth(itemsCol="items", minSupport=min(1.0, (count - 0.5) / n), minConfidence=confidence).fit(baskets)
-    rules = model.associationRules.where(F.array_contains("consequent", BAD) & (F.size("antecedent") <= most_tokens))
-    found = rules.orderBy(F.desc("confidence"), F.size("antecedent"), F.concat_ws(" ", F.sort_array("antecedent"))).limit(MOST_RULES).collect()
-    kept: list[tuple[list[str], float]] = []
-    known: set[frozenset] = set()
-    for r in sorted(found, key=lambda r: len(r.antecedent)):
-        own = frozenset(r.antecedent)
-        if not any(own - {a} - {b} in known or own - {a} in known for a in own for b in own):
-            kept.append((sorted(own), r.confidence))
-            known.add(own)
-    return kept
-
-
-def inverted(rules: list[tuple[list[str], float]]) -> dict[str, list[tuple[int, frozenset]]]:
+    return out.withColumn(to, tokens(F.col(url), F.col("host"), F.col("path")))
+
+
+def _counted(sets: DataFrame, least: int, confidence: float) -> tuple[DataFrame, DataFrame]:
+    """Of rows (tokens, bad) the different token sets that are rules, and those that longer rules may have as parts."""
+    seen = sets.groupBy("tokens").agg(F.count_if("bad").alias("wrong"), F.count(F.lit(1)).alias("seen")).where(F.col("wrong") >= least)
+    seen = written(seen.select("tokens", (F.col("wrong") / F.col("seen")).alias("confidence")), "sets")
+    return seen.where(F.col("confidence") >= confidence), seen.where(F.col("confidence") < confidence).select("tokens")
+
+
+def _by_growth(pages: DataFrame, least: int, confidence: float) -> DataFrame:
+    """Rules (tokens, confidence) of two and three tokens by FP-growth, from rows (tokens, bad)."""
+    baskets = written(pages.select(F.when(F.col("bad"), F.array_append("tokens", F.lit(BAD))).otherwise(F.col("tokens")).alias("items")), "baskets")
+    n = max(1, baskets.count())
+    model = FPGrowth(itemsCol="items", minSupport=min(1.0, (least - 0.5) / n), minConfidence=confidence).fit(baskets)
+    found = model.associationRules.where(F.array_contains("consequent", BAD) & (F.size("antecedent") <= 3))
+    found = written(found.select(F.sort_array("antecedent").alias("tokens"), "confidence"), "rules")
+    pairs, triples = found.where(F.size("tokens") == 2), found.where(F.size("tokens") == 3)
+    return pairs.unionByName(_without(triples, pairs))
+
+
+def _pairs_of(triple: str) -> Column:
+    x = lambda i, j: F.array(F.get(triple, i), F.get(triple, j))
+    return F.array(x(0, 1), x(0, 2), x(1, 2))
+
+
+def _without(triples: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The triples that have none of the pairs as a part."""
+    gone = triples.select("tokens", F.explode(_pairs_of("tokens")).alias("pair")).join(pairs.select(F.col("tokens").alias("pair")), "pair", "left_semi").select("tokens").distinct()
+    return triples.join(gone, "tokens", "left_anti")
+
+
+def _by_counting(pages: DataFrame, least: int, confidence: float) -> DataFrame:
+    """As ``_by_growth``, by counting pairs and then triples of pairs with enough support."""
+    one = pages.select("page", "bad", F.explode("tokens").alias("token"))
+    other = one.select("page", F.col("token").alias("other"))
+    pairs = one.join(other, "page").where("token < other").select("page", "bad", F.array("token", "other").alias("tokens"))
+    rules, open_ = _counted(pairs, least, confidence)
+    kept = written(pairs.join(open_, "tokens").select("page", "bad", F.get("tokens", 0).alias("a"), F.get("tokens", 1).alias("b")), "pairs")
+    second = kept.select("page", "a", F.col("b").alias("c"))
+    last = kept.select("page", F.col("a").alias("b"), F.col("b").alias("c"))
+    triples = kept.join(second, ["page", "a"]).where("b < c").join(last, ["page", "b", "c"], "left_semi")
+    longer, _ = _counted(triples.select("bad", F.array("a", "b", "c").alias("tokens")), least, confidence)
+    return rules.unionByName(_without(longer, rules))
+
+
+def mined(labelled: DataFrame, *, support: float = SUPPORT, least: int = LEAST, lift: float = LIFT, most_confidence: float = MOST_CONFIDENCE, most_items: int = MOST_ITEMS) -> DataFrame:
+    """Token combinations that mean "bad", with their confidence, from rows (tokens, bad)."""
+    pages = written(labelled.select(F.monotonically_increasing_id().alias("page"), "tokens", "bad"), "pages")
+    size = pages.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.avg(F.col("bad").cast("double")), F.lit(0.0)).alias("share")).first()
+    least = max(least, -(-int(size.n * support * 1000) // 1000))
+    confidence = min(most_confidence, lift * size.share)
+    each = pages.select("page", "bad", F.explode("tokens").alias("token"))
+    rules, open_ = _counted(each.select("bad", F.array("token").alias("tokens")), least, confidence)
+    left = each.join(open_.select(F.get("tokens", 0).alias("token")), "token", "left_semi")
+    left = written(left.groupBy("page", "bad").agg(F.collect_list("token").alias("tokens")), "left")
+    widest = left.agg(F.max(F.size("tokens"))).first()[0] or 0
+    if widest < 2:
+        return rules
+    return rules.unionByName((_by_growth if widest <= most_items else _by_counting)(left, least, confidence))
+
+
+def inverted(rules: list[list[str]]) -> dict[str, list[tuple[int, frozenset]]]:
     """Rules by the token that fewest rules have."""
-    n = Counter(t for tokens, _ in rules for t in tokens)
+    n = Counter(t for own in rules for t in own)
     index: dict[str, list[tuple[int, frozenset]]] = {}
-    for i, (own, _) in enumerate(rules):
+    for i, own in enumerate(rules):
         index.setdefault(min(own, key=lambda t: (n[t], t)), []).append((i, frozenset(own)))
     return index
 
 
-def judge(pages: DataFrame, labels: DataFrame, *, page: str = "page_id", url: str = "url", rules=RULES) -> DataFrame:
-    """Adds host, path, the given rule, the mined rule and the verdict. ``labels`` has (page, bad)."""
-    seen = parts(pages.select(page, url), url).select(page, F.col("_tokens").alias("tokens"))
-    known = labels.where(F.col("bad").isNotNull()).groupBy(F.col(page).alias("_page")).agg(F.max("bad").alias("bad"))
-    found = mined(seen.join(known, F.col(page) == F.col("_page")).where(F.size("tokens") > 0).select("tokens", "bad"))
+def _hits_sent(pages: DataFrame, rules: DataFrame, tokens: str, to: str) -> DataFrame:
+    """Adds the name of the first rule that fits, from an index that all tasks have."""
+    found = [r.tokens for r in rules.orderBy(F.size("tokens"), F.desc("confidence"), F.array_join("tokens", " & ")).collect()]
     sent = pages.sparkSession.sparkContext.broadcast((found, inverted(found)))
 
     def work(rows: list) -> pa.Array:
@@ -125,13 +172,39 @@ def judge(pages: DataFrame, labels: DataFrame, *, page: str = "page_id", url: st
         for own in rows:
             has = set(own)
             hit = min((i for t in own for i, needed in index.get(t, ()) if needed <= has), default=None)
-            out.append(None if hit is None else " & ".join(all_rules[hit][0]))
+            out.append(None if hit is None else " & ".join(all_rules[hit]))
         return pa.array(out, pa.string())
 
-    out = parts(pages.drop("host", "path", "rule", "verdict", "mined"), url).withColumn("mined", arrow_column(work, "string")(F.col("_tokens")))
-    out = out.withColumn("_given", given(F.col("host"), F.col("path"), rules))
-    verdict = F.coalesce("_given.verdict", F.when(F.col("mined").isNotNull(), "block").otherwise("allow"))
-    return out.withColumn("rule", F.col("_given.rule")).withColumn("verdict", verdict).drop("_given", "_tokens")
+    return pages.withColumn(to, arrow_column(work, "string")(F.col(tokens)))
+
+
+def _hits_joined(pages: DataFrame, rules: DataFrame, tokens: str, to: str) -> DataFrame:
+    """As ``_hits_sent``, from an index that is a table."""
+    each = rules.select("tokens", "confidence", F.explode("tokens").alias("token"))
+    rare = each.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    index = each.join(rare, "token").groupBy("tokens", "confidence").agg(F.min_by("token", F.struct("n", "token")).alias("rarest"))
+    seen = pages.select(F.col(tokens).alias("own")).distinct()
+    met = seen.withColumn("rarest", F.explode("own")).join(index, "rarest").where(F.size(F.array_intersect("own", "tokens")) == F.size("tokens"))
+    best = F.min(F.struct(F.size("tokens").alias("n"), (-F.col("confidence")).alias("less"), F.array_join("tokens", " & ").alias("name")))
+    names = met.groupBy(F.col("own").alias(tokens)).agg(best["name"].alias(to))
+    return pages.join(names, tokens, "left").select(*pages.columns, to)
+
+
+def judge(pages: DataFrame, labels: DataFrame, *, page: str = "page_id", url: str = "url", rules=RULES, most_rules: int = MOST_RULES, **mining) -> DataFrame:
+    """Adds host, path, the given rule, the mined rule and the verdict. ``labels`` has (page, bad)."""
+    seen = parts(pages.select(F.col(page).alias("page"), F.col(url).alias("url")), "url").select("page", "tokens")
+    known = labels.where(F.col("bad").isNotNull()).groupBy(F.col(page).alias("page")).agg(F.max("bad").alias("bad"))
+    found = written(mined(seen.join(known, "page").where(F.size("tokens") > 0).select("tokens", "bad"), **mining), "rules")
+    rest = pages.drop("host", "path", "rule", "verdict", "mined")
+    own, given_ = unused(rest, "tokens"), unused(rest, "given")
+    hits = _hits_sent if found.count() <= most_rules else _hits_joined
+    out = hits(parts(rest, url, own), found, own, "mined").withColumn(given_, given(F.col("host"), F.col("path"), rules))
+    verdict = F.coalesce(F.col(given_)["verdict"], F.when(F.col("mined").isNotNull(), "block").otherwise("allow"))
+    return out.withColumn("rule", F.col(given_)["rule"]).withColumn("verdict", verdict).drop(given_, own)
+
+
+#: The number of the document that a page holds stands at the end of its path.
+NUMBER = r"/([0-9]+)(?:\.html)?/?$"
 
 
 def oracle() -> str:
@@ -148,13 +221,14 @@ t AS (SELECT page_id, host, path, CASE WHEN host = '' THEN [] ELSE list_distinct
   CASE WHEN len(l) >= 3 THEN ['sub:' || l[1]] ELSE [] END,
   list_transform(list_filter(string_split_regex({low("path")}, '[/._-]'), lambda x: x <> ''), lambda x: 'path:' || CASE WHEN regexp_full_match(x, '[0-9]+') THEN '#' ELSE x END),
   list_transform(list_filter(list_transform(string_split(regexp_extract(url, '^[^?#]*\\?([^#]*)', 1), '&'), lambda x: regexp_extract(x, '^[^=]*')), lambda x: x <> ''), lambda x: 'key:' || x))) END AS tokens FROM s),
-lab AS (SELECT doc_id AS page_id, max((quality = 0 OR toxic = 1)::INT) AS bad FROM labels WHERE quality IS NOT NULL OR toxic IS NOT NULL GROUP BY doc_id),
+lab AS (SELECT page_id, max((quality = 0 OR toxic = 1)::INT) AS bad FROM t JOIN labels ON doc_id = try_cast(regexp_extract(path, '{NUMBER}', 1) AS BIGINT) WHERE (quality = 0 OR toxic = 1) IS NOT NULL GROUP BY page_id),
 k AS (SELECT row_number() OVER () AS id, tokens, bad FROM t JOIN lab USING (page_id) WHERE len(tokens) > 0),
 e AS (SELECT id, bad, unnest(tokens) AS tok FROM k),
 c AS (SELECT id, bad, [tok] AS c FROM e
   UNION ALL SELECT a.id, a.bad, [a.tok, b.tok] FROM e a JOIN e b ON a.id = b.id AND a.tok < b.tok
   UNION ALL SELECT a.id, a.bad, [a.tok, b.tok, d.tok] FROM e a JOIN e b ON a.id = b.id AND a.tok < b.tok JOIN e d ON d.id = a.id AND b.tok < d.tok),
-m AS (SELECT c FROM c GROUP BY c HAVING sum(bad) >= greatest({LEAST}, ceil((SELECT count(*) FROM k) * {SUPPORT})) AND sum(bad)::DOUBLE / count(*) >= {CONFIDENCE}::DOUBLE),
+m AS (SELECT c FROM c GROUP BY c HAVING sum(bad) >= greatest({LEAST}, ceil((SELECT count(*) FROM k) * {SUPPORT}))
+  AND sum(bad)::DOUBLE / count(*) >= least({MOST_CONFIDENCE}::DOUBLE, {LIFT}::DOUBLE * (SELECT avg(bad) FROM k))),
 g AS (SELECT page_id, host, path, tokens, CASE {case} END AS g FROM t)
 SELECT page_id, host, path, g.rule AS rule,
   coalesce(g.verdict, CASE WHEN EXISTS (SELECT 1 FROM m WHERE list_has_all(g_.tokens, m.c)) THEN 'block' ELSE 'allow' END) AS verdict
