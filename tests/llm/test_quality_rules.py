@@ -3,6 +3,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from tests import oracle
 from tests.llm.helpers import AWKWARD, documents, store
 from vigil.llm import queries, quality_rules
 
@@ -64,7 +65,7 @@ def test_few_labels_give_no_cutoff(spark):
 
 def test_empty_and_clashing_columns(spark):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
-    docs = documents(spark, ["a " * 60, None]).withColumn("n_words", F.lit("x")).withColumn("stratum", F.lit("y"))
+    docs = documents(spark, ["a " * 60, None]).withColumn("n_words", F.lit("x")).withColumn("stratum", F.lit("y")).withColumn("_text", F.lit("z")).withColumn("cutoff_marks", F.lit("c"))
     rows = {r.doc_id: r for r in quality_rules.keep(docs, labels).collect()}
     assert rows[1].n_words == 60 and rows[2].n_words == 0 and not rows[2].kept
     assert quality_rules.keep(documents(spark, []), labels).count() == 0
@@ -72,11 +73,45 @@ def test_empty_and_clashing_columns(spark):
 
 def test_every_stratum_has_cutoffs(spark):
     zeros = {x: F.lit(0).cast("long") for pair in quality_rules.RULES.values() for x in pair}
-    bad = F.col("id") % 10 >= 8
-    rows = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("s"), (F.col("id") / 10).cast("int")).alias("lang"), *(v.alias(k) for k, v in zeros.items()))
-    rows = rows.withColumn("word_chars", F.lit(100).cast("long")).withColumn("n_symbols", F.when(F.col("doc_id") % 10 >= 8, 90).otherwise(0).cast("long"))
-    labels = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(bad, 0).otherwise(1).alias("quality"))
-    chosen = quality_rules.cutoffs(rows, labels, key="doc_id", stratum="lang", risk=4.0, level=0.5)
-    assert chosen.select("stratum").distinct().count() == 300
+    strata, each = 300, 60
+    bad = F.col("id") % each >= 40
+    rows = spark.range(strata * each).select(F.col("id").alias("doc_id"), F.concat(F.lit("s"), (F.col("id") / each).cast("int")).alias("lang"), *(v.alias(k) for k, v in zeros.items()))
+    rows = rows.withColumn("word_chars", F.lit(100).cast("long")).withColumn("n_symbols", F.when(F.col("doc_id") % each >= 40, 90).otherwise(0).cast("long"))
+    labels = spark.range(strata * each).select(F.col("id").alias("doc_id"), F.when(bad, 0).otherwise(1).alias("quality"))
+    chosen = quality_rules.cutoffs(rows, labels, key="doc_id", stratum="lang", risk=0.4, level=0.5)
+    assert chosen.select("stratum").distinct().count() == strata
     judged = quality_rules.judged(rows, chosen, stratum="lang").where(F.size("rejected_by") > 0)
-    assert judged.count() == 600 and judged.where("doc_id % 10 < 8").count() == 0
+    assert judged.count() == strata * 20 and judged.where(f"doc_id % {each} < 40").count() == 0
+
+
+def test_cutoffs_lose_no_more_than_the_risk_in_most_draws(spark):
+    """Good documents that a generous cutoff would lose: over strata, those with a greater true loss are few."""
+    zero = [f"0L AS {c}" for c in ("n_dup_lines", "n_repeat_words", "n_upper", "n_marks")]
+    rows = spark.range(40 * 1500).selectExpr("id AS doc_id", "concat('s', id % 40) AS lang", "100L AS n_words", "1000L AS word_chars", "10L AS n_lines", "CASE WHEN rand(5) < 0.05 THEN 60 + cast(rand(6) * 300 AS long) WHEN rand(7) < 0.3 THEN 450 ELSE 0 END AS n_symbols", *zero)
+    rows = rows.cache()
+    labels = rows.selectExpr("doc_id", "CASE WHEN n_symbols < 400 THEN 1 ELSE cast(rand(8) < 0.005 AS int) END AS quality")
+    chosen = quality_rules.cutoffs(rows, labels, key="doc_id", stratum="lang")
+    assert chosen.select("stratum").distinct().count() > 30
+    out = quality_rules.judged(rows, chosen, stratum="lang").join(labels, "doc_id").where("quality = 1").groupBy("lang").agg(F.avg((F.size("rejected_by") > 0).cast("double")).alias("loss")).collect()
+    assert max(r.loss for r in out) <= quality_rules.RISK
+
+
+def corpus_with_bad(r, n):
+    texts, labels = [], []
+    for i in range(n):
+        words = [f"w{r.randrange(3000)}" for _ in range(r.randint(60, 90))]
+        bad = i % 5 == 0
+        if bad:
+            words = [w + "#" if r.random() < 0.7 else w for w in words]
+        texts.append((i, " ".join(words), r.choice(["en", "de", None]) if i % 9 else "rare"))
+        labels.append((i, int(not bad), 0))
+    return texts, labels
+
+
+def test_sql_agrees_where_cutoffs_reject(spark, tmp_path):
+    texts, labels = corpus_with_bad(random.Random(4), 2600)
+    for name, rows, kind in (("documents", texts, "doc_id long, text string, lang string"), ("labels", labels + [(5, 0, 0), (7, None, 1)], "doc_id long, quality int, toxic int")):
+        spark.createDataFrame(rows, kind).toPandas().astype({"quality": "Int32"} if name == "labels" else {}).to_parquet(f"{tmp_path}/{name}.parquet")
+    oracle.same(spark, str(tmp_path), queries.op6_quality_rules, queries.oracle_sql()["op6_quality_rules"])
+    found = queries.op6_quality_rules(spark, str(tmp_path)).where("NOT base_failed")
+    assert 300 < found.where("NOT kept").count() <= 540 and found.where("NOT kept AND doc_id % 5 <> 0").count() == 0

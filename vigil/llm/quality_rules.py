@@ -1,25 +1,35 @@
 """Quality rules with risk-controlled thresholds (operator 6), in DataFrame functions alone.
 
 Every document gets integer measures of its whole text. A rule rejects a document whose measure, a
-ratio in thousandths, is above a cutoff. Cutoffs are chosen per stratum from a fixed grid, on labelled
-documents: a cutoff may be used if the exact binomial test rejects "this rule discards more than
-``risk / number of rules`` of the good documents", at level ``level / (rules * strata)``. As a stricter
-cutoff never discards fewer good documents, the tests of one rule form a fixed sequence and need no
-further correction; the division by rules and strata is Bonferroni's. So with probability 1 - ``level``
-no stratum loses more than ``risk`` of its good documents to the rules. Of the usable cutoffs the one
-with the best gain is taken (bad documents caught less ``PRICE`` times good ones lost; the loosest at a
-tie). A stratum with too few labels for any test keeps all its documents.
-
-Results for special input: a null or empty text has measures of 0; a null stratum is one stratum of its
-own; a document without a label counts for no cutoff; of several labels of a document the highest counts.
+ratio in thousandths, is above a cutoff from a fixed grid. Cutoffs are chosen per stratum from labelled
+documents, of which a quarter, by the hash of the id, proposes and the others, the holdout, decide:
+
+1. The first part gives for each rule one cutoff at each of five budgets, from strict to generous: the one
+   of the best gain (bad documents caught less ``PRICE`` times good ones lost, the loosest at a tie) among
+   those that lose at most that share of the good documents. So the documents that all rules together
+   reject at one budget are among those that they reject at the next.
+2. On the holdout, the exact binomial test asks of all rules together, budget after budget, whether they
+   discard more than ``risk`` of the good documents. As the first test that doesn't reject this ends the
+   sequence, the tests of a stratum need no correction; the level is divided by the number of strata that
+   have enough good documents for any test to succeed (others can't give a wrong result).
+3. Of the budgets that passed, the one of the best gain on the holdout is used.
+
+So with probability 1 - ``level`` no stratum loses more than ``risk`` of its good documents to the rules. A
+stratum with too few labels for any test keeps all its documents.
+
+Results for special input: a null or empty text has measures of 0; a null stratum is one with the empty
+string; a document without a label counts for no cutoff; of several labels of a document the highest
+counts; repeated rows are measured one by one, and each counts for the cutoffs. Measures of long texts are
+taken of the whole. Columns of the input with the names of measures or results are replaced, all others
+may have any name.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vigil.llm.common import SPACES, UPPER, written
+from vigil.llm.common import SPACES, UPPER, unused, written
 
 SEPARATOR = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
@@ -34,6 +44,10 @@ RULES = {
 #: Cutoffs in thousandths, fixed before any label is seen.
 GRID = (5, 10, 20, 30, 50, 75, 100, 150, 200, 300, 400, 500, 600, 700, 800, 900, 1000, 1500)
 RISK, LEVEL, PRICE = 0.02, 0.05, 20
+#: Thousandths of the good documents that each rule may lose, by which cutoffs are proposed.
+BUDGETS = (0, 2, 5, 10, 20)
+#: First characters of the ids' md5 of the documents that propose.
+PROPOSING = ("0", "1", "2", "3")
 
 
 def _without(col: Column, chars: str) -> Column:
@@ -70,21 +84,21 @@ def _repeat_words(words: Column) -> Column:
 
 def measures(docs: DataFrame, *, text: str = "text") -> DataFrame:
     """The documents with the measures instead of the text."""
-    t = F.coalesce(F.col(text), F.lit(""))
-    lines = F.filter(F.split(F.col("_text"), "\n"), lambda x: F.length(F.translate(x, SPACES, "")) > 0)
-    out = docs.withColumn("_text", t).withColumn("_words", F.array_remove(F.split("_text", SEPARATOR), "")).withColumn("_lines", lines)
-    chars = F.length(_without(F.col("_text"), SPACES))
+    own, words, lines = (unused(docs, n) for n in ("own_text", "own_words", "own_lines"))
+    out = docs.withColumn(own, F.coalesce(F.col(text), F.lit("")))
+    out = out.withColumn(words, F.array_remove(F.split(own, SEPARATOR), "")).withColumn(lines, F.filter(F.split(F.col(own), "\n"), lambda x: F.length(F.translate(x, SPACES, "")) > 0))
+    of = lambda chars: F.length(own) - F.length(_without(F.col(own), chars))
     counted = {
-        "n_words": F.size("_words"),
-        "word_chars": chars,
-        "n_symbols": F.length("_text") - F.length(_without(F.col("_text"), SYMBOLS)),
-        "n_lines": F.size("_lines"),
-        "n_dup_lines": F.size("_lines") - F.size(F.array_distinct("_lines")),
-        "n_repeat_words": _repeat_words(F.col("_words")),
-        "n_upper": F.length("_text") - F.length(_without(F.col("_text"), UPPER)),
-        "n_marks": F.length("_text") - F.length(_without(F.col("_text"), "!?")),
+        "n_words": F.size(words),
+        "word_chars": F.length(_without(F.col(own), SPACES)),
+        "n_symbols": of(SYMBOLS),
+        "n_lines": F.size(lines),
+        "n_dup_lines": F.size(lines) - F.size(F.array_distinct(lines)),
+        "n_repeat_words": _repeat_words(F.col(words)),
+        "n_upper": of(UPPER),
+        "n_marks": of("!?"),
     }
-    kept = [c for c in docs.columns if c not in counted and c != text]
+    kept = [c for c in docs.columns if c.lower() not in counted and c != text]
     return out.select(*kept, *(v.cast("long").alias(k) for k, v in counted.items()))
 
 
@@ -107,23 +121,51 @@ def binomial_tail(k: Column, n: Column, p: float) -> Column:
     return F.exp(F.aggregate(F.when(k > 0, F.sequence(F.lit(1).cast("long"), k)).otherwise(F.array().cast("array<bigint>")), start, add)["total"])
 
 
-def cutoffs(measured: DataFrame, labels: DataFrame, *, key: str, stratum: str, risk: float = RISK, level: float = LEVEL) -> DataFrame:
-    """One row per stratum and rule with a usable cutoff: stratum, rule, cutoff."""
-    label = labels.where(F.col("quality").isNotNull()).groupBy(F.col(key).alias("_key")).agg(F.max("quality").alias("_good"))
-    known = measured.join(label, measured[key] == label["_key"]).withColumn("_stratum", F.coalesce(F.col(stratum), F.lit("")))
+def _gain(caught: str, lost: str) -> Column:
+    return F.col(caught) - PRICE * F.col(lost)
+
+
+def proposals(known: DataFrame) -> DataFrame:
+    """Cutoffs (stratum, budget, rule, cutoff) from rows (stratum, good, measures); ``budget`` is its number."""
     grid = F.array(*map(F.lit, GRID))
     above = lambda m: F.size(F.filter(grid, lambda c: c < m))
     passed = F.array(*(F.struct(F.lit(r).alias("rule"), above(share(r)).alias("above")) for r in RULES))
-    counted = known.select("_stratum", "_good", F.explode(passed).alias("x")).groupBy("_stratum", "x.rule", "x.above").agg(F.count_if(F.col("_good") == 1).alias("good"), F.count_if(F.col("_good") != 1).alias("bad"))
-    size = counted.groupBy("_stratum").agg((F.sum("good") / len(RULES)).cast("long").alias("n"))
-    strata = size.agg(F.count(F.lit(1)).alias("strata"))
-    at = counted.where("above > 0").select("_stratum", "rule", "good", "bad", F.explode(F.sequence(F.lit(0), F.col("above") - 1)).alias("j")).groupBy("_stratum", "rule", "j").agg(F.sum("good").alias("k"), F.sum("bad").alias("caught"))
-    share_of_risk = risk / len(RULES)
-    tested = at.join(size, "_stratum").join(F.broadcast(strata)).where(F.col("k") < F.col("n") * F.lit(share_of_risk))
-    good = tested.where(binomial_tail(F.col("k"), F.col("n"), share_of_risk) <= F.lit(level / len(RULES)) / F.col("strata"))
-    gain = F.col("caught") - PRICE * F.col("k")
-    best = good.where(gain > 0).groupBy("_stratum", "rule").agg(F.max_by("j", F.struct(gain, F.col("j"))).alias("j"))
-    return best.select(F.col("_stratum").alias("stratum"), "rule", F.get(grid, F.col("j")).alias("cutoff"))
+    counted = known.select("stratum", "good", F.explode(passed).alias("x")).groupBy("stratum", "x.rule", "x.above").agg(F.count_if("good").alias("good"), F.count_if(~F.col("good")).alias("bad"))
+    size = counted.groupBy("stratum").agg((F.sum("good") / len(RULES)).cast("long").alias("n"))
+    at = counted.where("above > 0").withColumn("j", F.explode(F.sequence(F.lit(0), F.col("above") - 1))).groupBy("stratum", "rule", "j").agg(F.sum("good").alias("lost"), F.sum("bad").alias("caught"))
+    each = at.join(size, "stratum").where(_gain("caught", "lost") > 0).withColumn("budget", F.explode(F.sequence(F.lit(0), F.lit(len(BUDGETS) - 1))))
+    allowed = each.where(1000 * F.col("lost") <= F.get(F.array(*map(F.lit, BUDGETS)), F.col("budget")) * F.col("n"))
+    best = allowed.groupBy("stratum", "budget", "rule").agg(F.max_by("j", F.struct(_gain("caught", "lost"), F.col("j"))).alias("j"))
+    return best.select("stratum", "budget", "rule", F.get(grid, F.col("j")).alias("cutoff"))
+
+
+def _by_rule(chosen: DataFrame, keys: list[str]) -> DataFrame:
+    """A row for each of the keys with a column for each rule's cutoff, null if it has none."""
+    return chosen.groupBy(*keys).agg(*(F.max(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"cutoff_{r}") for r in RULES))
+
+
+def cutoffs(measured: DataFrame, labels: DataFrame, *, key: str, stratum: str, risk: float = RISK, level: float = LEVEL) -> DataFrame:
+    """One row per stratum and rule with a usable cutoff: stratum, rule, cutoff."""
+    label = labels.where(F.col("quality").isNotNull()).groupBy(F.col(key).alias("key")).agg((F.max("quality") == 1).alias("good"))
+    own = measured.select(F.col(key).alias("key"), F.coalesce(F.col(stratum).cast("string"), F.lit("")).alias("stratum"), *sorted({x for pair in RULES.values() for x in pair}))
+    known = written(own.join(label, "key").withColumn("proposes", F.substring(F.md5(F.col("key").cast("string").cast("binary")), 1, 1).isin(*PROPOSING)), "known")
+    proposed = written(proposals(known.where("proposes")), "proposals")
+    held = known.where("NOT proposes")
+    size = held.where("good").groupBy("stratum").agg(F.count(F.lit(1)).alias("n"))
+    testable = size.where(F.pow(F.lit(1 - risk), F.col("n")) <= level).agg(F.greatest(F.count(F.lit(1)), F.lit(1)).alias("strata"))
+    hit = F.coalesce(F.greatest(*((share(r) > F.col(f"cutoff_{r}")) for r in RULES)), F.lit(False))
+    tried = held.join(_by_rule(proposed, ["stratum", "budget"]), "stratum").where(hit)
+    lost = tried.groupBy("stratum", "budget").agg(F.count_if("good").alias("lost"), F.count_if(~F.col("good")).alias("caught"))
+    # a budget whose cutoffs reject nothing of the holdout has no row there
+    lost = proposed.select("stratum", "budget").distinct().join(lost, ["stratum", "budget"], "left").fillna(0, ["lost", "caught"])
+    tested = lost.join(size, "stratum").join(F.broadcast(testable))  # one row
+    fits = F.col("lost") < F.col("n") * F.lit(risk)
+    tail = binomial_tail(F.when(fits, F.col("lost")).otherwise(F.lit(0)).cast("long"), F.col("n"), risk)
+    good = tested.withColumn("passes", fits & (tail <= F.lit(level) / F.col("strata")))
+    in_order = Window.partitionBy("stratum").orderBy("budget")
+    good = good.withColumn("passes", F.bool_and("passes").over(in_order)).where(F.col("passes") & (_gain("caught", "lost") > 0))
+    best = good.groupBy("stratum").agg(F.min_by("budget", F.struct(-_gain("caught", "lost"), F.col("budget"))).alias("budget"))
+    return proposed.join(best, ["stratum", "budget"], "left_semi").select("stratum", "rule", "cutoff")
 
 
 def judged(measured: DataFrame, chosen: DataFrame, *, stratum: str) -> DataFrame:
@@ -132,11 +174,13 @@ def judged(measured: DataFrame, chosen: DataFrame, *, stratum: str) -> DataFrame
     The cutoffs, a row per stratum, are written down, so that Spark knows their size and sends them to all
     tasks only while they are few.
     """
-    table = chosen.groupBy("stratum").agg(*(F.max(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"_{r}") for r in RULES))
-    table = written(table, "cutoffs")
-    out = measured.withColumn("_stratum", F.coalesce(F.col(stratum), F.lit(""))).join(table, F.col("_stratum") == F.col("stratum"), "left")
-    hits = F.array_compact(F.array(*(F.when(share(r) > F.col(f"_{r}"), F.lit(r)) for r in RULES)))
-    return out.withColumn("rejected_by", hits).drop("_stratum", "stratum", *(f"_{r}" for r in RULES))
+    table = _by_rule(chosen, ["stratum"])
+    own, names = unused(measured, "stratum"), {r: unused(measured, f"cutoff_{r}") for r in RULES}
+    table = written(table.select(F.col("stratum").alias(own), *(F.col(f"cutoff_{r}").alias(n) for r, n in names.items())), "cutoffs")
+    kept = [c for c in measured.columns if c.lower() != "rejected_by"]
+    out = measured.select(*kept, F.coalesce(F.col(stratum).cast("string"), F.lit("")).alias(own)).join(table, own, "left")
+    hits = F.array_compact(F.array(*(F.when(share(r) > F.col(n), F.lit(r)) for r, n in names.items())))
+    return out.select(*kept, hits.alias("rejected_by"))
 
 
 def base_failed() -> Column:
@@ -153,7 +197,6 @@ def keep(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", stratum: st
 def oracle() -> str:
     """The query in DuckDB's SQL."""
     shares = " UNION ALL ".join(f"SELECT doc_id, stratum, '{r}' AS rule, 1000 * {a} // greatest({b}, 1) AS m FROM measured" for r, (a, b) in RULES.items())
-    p = RISK / len(RULES)
     return rf"""
 WITH t AS (SELECT doc_id, coalesce(lang, '') AS stratum, coalesce(text, '') AS t FROM documents),
 w AS (SELECT *, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words,
@@ -170,18 +213,23 @@ measured AS (SELECT w.doc_id, stratum, len(words) AS n_words,
   FROM w LEFT JOIN c ON w.doc_id = c.doc_id),
 shares AS ({shares}),
 lab AS (SELECT doc_id, max(quality) AS q FROM labels WHERE quality IS NOT NULL GROUP BY doc_id),
-known AS (SELECT s.*, q FROM shares s JOIN lab USING (doc_id)),
-sizes AS (SELECT stratum, count(*) // {len(RULES)} AS n FROM known WHERE q = 1 GROUP BY stratum),
-strata AS (SELECT count(DISTINCT stratum) AS strata FROM known),
+known AS (SELECT s.*, q, substr(md5(doc_id::VARCHAR), 1, 1) IN ({", ".join(f"'{x}'" for x in PROPOSING)}) AS proposes FROM shares s JOIN lab USING (doc_id)),
 grid AS (SELECT unnest([{", ".join(map(str, GRID))}]) AS cutoff),
-cand AS (SELECT stratum, rule, cutoff, count(*) FILTER (q = 1) AS k, count(*) FILTER (q <> 1) AS caught
-  FROM known, grid WHERE m > cutoff GROUP BY ALL),
-tested AS (SELECT cand.*, n, strata FROM cand JOIN sizes USING (stratum), strata WHERE k < n * {p}::DOUBLE),
-tails AS (SELECT stratum, rule, cutoff, any_value(caught) - {PRICE} * any_value(k) AS gain, any_value(strata) AS strata,
-  sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({p}::DOUBLE) + (n - i) * ln(1 - {p}::DOUBLE))) AS tail
-  FROM (SELECT *, unnest(range(0, k + 1)) AS i FROM tested) GROUP BY stratum, rule, cutoff),
-best AS (SELECT stratum, rule, arg_max(cutoff, struct_pack(gain, cutoff)) AS cutoff FROM tails
-  WHERE tail <= {LEVEL / len(RULES)}::DOUBLE / strata AND gain > 0 GROUP BY stratum, rule),
+budgets AS (SELECT unnest([{", ".join(map(str, BUDGETS))}]) AS share, unnest(range({len(BUDGETS)})) AS budget),
+psize AS (SELECT stratum, count(*) FILTER (q = 1) // {len(RULES)} AS n FROM known WHERE proposes GROUP BY stratum),
+tuned AS (SELECT stratum, rule, cutoff, count(*) FILTER (q = 1) AS k, count(*) FILTER (q <> 1) AS c FROM known, grid WHERE proposes AND m > cutoff GROUP BY ALL),
+picks AS (SELECT stratum, budget, rule, arg_max(cutoff, struct_pack(gain := c - {PRICE} * k, cutoff := cutoff)) AS cutoff
+  FROM tuned JOIN psize USING (stratum), budgets WHERE 1000 * k <= share * n AND c - {PRICE} * k > 0 GROUP BY ALL),
+sizes AS (SELECT stratum, count(*) // {len(RULES)} AS n FROM known WHERE NOT proposes AND q = 1 GROUP BY stratum),
+strata AS (SELECT greatest(1, count(*)) AS strata FROM sizes WHERE pow(1 - {RISK}::DOUBLE, n) <= {LEVEL}::DOUBLE),
+held AS (SELECT stratum, budget, doc_id, q, bool_or(m > cutoff) AS hit FROM known JOIN picks USING (stratum, rule) WHERE NOT proposes GROUP BY ALL),
+tried AS (SELECT stratum, budget, count(*) FILTER (hit AND q = 1) AS k, count(*) FILTER (hit AND q <> 1) AS c FROM held GROUP BY ALL),
+tails AS (SELECT stratum, budget, any_value(k) AS k, any_value(c) AS c, any_value(n) AS n, any_value(strata) AS strata,
+  sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({RISK}::DOUBLE) + (n - i) * ln(1 - {RISK}::DOUBLE))) AS tail
+  FROM (SELECT *, unnest(range(0, k + 1)) AS i FROM tried JOIN sizes USING (stratum), strata) GROUP BY stratum, budget),
+passed AS (SELECT *, bool_and(k < n * {RISK}::DOUBLE AND tail <= {LEVEL}::DOUBLE / strata) OVER (PARTITION BY stratum ORDER BY budget) AS good FROM tails),
+chosen AS (SELECT stratum, arg_min(budget, struct_pack(loss := {PRICE} * k - c, budget := budget)) AS budget FROM passed WHERE good AND c - {PRICE} * k > 0 GROUP BY stratum),
+best AS (SELECT stratum, rule, cutoff FROM picks JOIN chosen USING (stratum, budget)),
 hit AS (SELECT DISTINCT doc_id FROM shares JOIN best USING (stratum, rule) WHERE m > best.cutoff)
 SELECT m.doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols,
   n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words,
