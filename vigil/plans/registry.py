@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from vigil.plans import evaluation, features, flows, investigation, model, pipeline
+from vigil.plans import evaluation, features, flows, investigation, model, pipeline, vendor
 
-MODULES = (pipeline, features, investigation, evaluation, flows, model)
+MODULES = (pipeline, features, investigation, evaluation, flows, model, vendor)
 
 
 def queries() -> dict:

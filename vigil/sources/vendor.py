@@ -101,3 +101,8 @@ def page(records: DataFrame, after: tuple[str, str] | None, limit: int) -> DataF
         at, last = F.lit(after[0]).cast("timestamp_ntz"), F.lit(after[1])
         records = records.where((F.col("observed_at") > at) | ((F.col("observed_at") == at) & (F.col("source_event_id") > last)))
     return records.orderBy("observed_at", "source_event_id").limit(limit + 1)
+
+
+def page_rows(found: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:
+    """A page's own rows, and a row that tells whether more follow. ``found`` has a row more than the page if so."""
+    return found.orderBy("observed_at", "source_event_id").limit(limit), found.agg((F.count(F.lit(1)) > limit).alias("has_more"))
