@@ -44,8 +44,8 @@ def contains_folded(text: Column, part: str) -> Column:
 
 
 def escape_query(text: Column) -> Column:
-    """Backslashes before the characters that a search language reserves."""
-    return F.regexp_replace(text, r'([+\-!(){}\[\]^"~*?:\\/&|<>= ])', r"\\$1")
+    """Backslashes before the characters that a search language reserves (fixed values: + ^ ` : { } " [ ] ( ) ~ ! \\ *)."""
+    return F.regexp_replace(text, r'([+^`:{}"\[\]()~!\\*])', r"\\$1")
 
 
 def epoch_ceiling(ts: Column) -> Column:
@@ -81,11 +81,20 @@ def canonical_json(text: Column) -> Column:
 
 
 def encode_cursor(fields: Column) -> Column:
-    return F.base64(F.to_json(fields).cast("binary"))
+    """Base64 of JSON in one line, with the alphabet that is safe in urls."""
+    return F.translate(F.base64(F.to_json(fields).cast("binary")), "+/\r\n", "-_")
 
 
 def decode_cursor(text: Column, schema: str) -> Column:
-    return F.from_json(F.unbase64(text).cast("string"), schema)
+    return F.from_json(F.unbase64(F.translate(text, "-_", "+/")).cast("string"), schema)
+
+
+def attribute(json: Column, name: str, kind: str, default) -> Column:
+    """A typed attribute of a JSON object; the default where it is missing or of another type."""
+    value = F.parse_json(json)
+    own = {"boolean": "BOOLEAN", "string": "STRING", "bigint": "BIGINT"}[kind]
+    typed = F.startswith(F.schema_of_variant(F.try_variant_get(value, f"$.{name}", "variant")), F.lit(own))
+    return F.coalesce(F.when(typed, F.try_variant_get(value, f"$.{name}", kind)), F.lit(default))
 
 
 def padded(values: Column, n: int, pad: Column) -> Column:

@@ -113,14 +113,19 @@ def tpr_at_fpr(rows: DataFrame, by: str, key: str, target: float, score: str = "
     """True positive rate while the false positive rate stays within the target; ties go by key.
 
     A prefix ends at the first negative beyond the target, so what counts is how many positives stand
-    before the (floor(target * N) + 1)-th negative.
+    before the (floor(target * N) + 1)-th negative. The score of that negative is found over counted scores;
+    only the rows of that one score are ordered.
     """
-    ordered = Window.partitionBy(by).orderBy(F.desc(score), key)
-    whole = Window.partitionBy(by)
+    c = _cumulative(rows, by, score, label).withColumn("allowed", F.floor(F.col("neg") * F.lit(target) + F.lit(1e-9)).cast("long"))
+    # the group's row of the score at which the first negative too many stands; without one, all positives count
+    at = c.where((F.col("fp") > F.col("allowed")) & (F.col("fp") - F.col("n") <= F.col("allowed"))).select(F.col(by).alias("_by"), F.col(score).alias("_at"), (F.col("tp") - F.col("p")).alias("_above"), (F.col("allowed") - F.col("fp") + F.col("n")).alias("_left"))
+    tied = rows.join(at, (F.col(by) == F.col("_by")) & (F.col(score) == F.col("_at")))
     neg = (F.col(label) != 1).cast("long")
-    rows = rows.withColumn("_fp", F.sum(neg).over(ordered)).withColumn("_neg", F.sum(neg).over(whole)).withColumn("_pos", F.sum(1 - neg).over(whole))
-    hit = F.count_if((F.col(label) == 1) & (F.try_divide("_fp", "_neg") <= target))
-    return rows.groupBy(by).agg(F.when((F.max("_pos") > 0) & (F.max("_neg") > 0), F.try_divide(hit, F.max("_pos"))).otherwise(F.lit(0.0)).alias("tpr"))
+    tied = tied.withColumn("_fp", F.sum(neg).over(Window.partitionBy(by).orderBy(key)))
+    more = tied.groupBy(by).agg(F.count_if((F.col(label) == 1) & (F.col("_fp") <= F.col("_left"))).alias("_more"), F.max("_above").alias("_above"))
+    whole = c.groupBy(by).agg(F.max("pos").alias("pos"), F.max("neg").alias("neg"))
+    hit = F.coalesce(F.col("_above") + F.col("_more"), F.col("pos"))
+    return whole.join(more, by, "left").select(by, F.when((F.col("pos") > 0) & (F.col("neg") > 0), F.try_divide(hit, F.col("pos"))).otherwise(F.lit(0.0)).alias("tpr"))
 
 
 def hashed_order(key: str, seed: int) -> Column:
@@ -128,14 +133,25 @@ def hashed_order(key: str, seed: int) -> Column:
     return F.sha2(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed))), 256)
 
 
+def held_share(keys: DataFrame, key: str, share: float, seed: int = 7) -> DataFrame:
+    """(key, held_out): the first share of the distinct keys in a seeded order.
+
+    The hash at which the share ends is found over counts of the hashes' first four digits, so no task orders all keys.
+    """
+    people = keys.select(key).distinct().withColumn("_h", hashed_order(key, seed)).withColumn("_d", F.substring("_h", 1, 4))
+    first = people.groupBy("_d").agg(F.count(F.lit(1)).alias("_c"))
+    before = first.withColumn("_before", F.coalesce(F.sum("_c").over(Window.orderBy("_d").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("_all", F.sum("_c").over(Window.partitionBy(F.lit(1))))  # 65,536 rows at most
+    place = F.row_number().over(Window.partitionBy("_d").orderBy("_h"))
+    rows = people.withColumn("_place", place).join(before.drop("_c"), "_d")
+    return rows.select(key, (F.col("_before") + F.col("_place") <= F.floor(F.col("_all") * F.lit(share))).alias("held_out"))
+
+
 def temporal_spatial_split(events: DataFrame, cut: str, share: float, seed: int = 7) -> DataFrame:
     """Train before the date; test from it on, for the held-out share of principals alone.
 
     The held-out principals are the first of a seeded order of distinct principals.
     """
-    people = events.select("actor_email").distinct().withColumn("_h", hashed_order("actor_email", seed))
-    n = people.agg(F.count(F.lit(1)).alias("_all"))
-    held = people.withColumn("_place", F.row_number().over(Window.orderBy("_h"))).join(F.broadcast(n)).select("actor_email", (F.col("_place") <= F.floor(F.col("_all") * F.lit(share))).alias("held_out"))
+    held = held_share(events, "actor_email", share, seed)
     rows = events.join(held, "actor_email").withColumn("early", F.col("observed_at") < F.lit(cut).cast("timestamp_ntz"))
     part = F.when(F.col("early") & ~F.col("held_out"), "train").when(~F.col("early") & F.col("held_out"), "test").otherwise("unused")
     return rows.withColumn("part", part)

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vigil.session import written
+
 FACETS = ("severity", "status", "source", "scenario", "principal_id")
 CASE_GAP_HOURS = 6
 
@@ -38,12 +40,24 @@ def _signal() -> list[Column]:
 
 
 def queue(detections: DataFrame, group: str) -> DataFrame:
-    """Place of each detection in its group by signal, and the group's place by its first detection."""
+    """Place of each detection in its group by signal, and the group's place by its first detection.
+
+    Groups can be many (principals), so their places come from ranges that are numbered one by one.
+    """
     in_group = Window.partitionBy(group).orderBy(*_signal())
     rows = detections.withColumn("place", F.row_number().over(in_group))
     tops = rows.where("place = 1").select(group, *(F.col(c).alias(f"top_{c}") for c in ("severity", "score", "confidence", "title")))
-    by_top = Window.orderBy(severity_rank(F.col("top_severity")).desc(), F.desc("top_score"), F.desc("top_confidence"), F.asc("top_title"), F.asc(group))
-    return rows.join(tops.withColumn("group_place", F.row_number().over(by_top)).select(group, "group_place"), group)
+    order = [severity_rank(F.col("top_severity")).desc(), F.desc("top_score"), F.desc("top_confidence"), F.asc("top_title"), F.asc(group)]
+    return rows.join(numbered(tops, order).select(group, "group_place"), group)
+
+
+def numbered(rows: DataFrame, order: list[Column], to: str = "group_place") -> DataFrame:
+    """The rows' places in an order, from 1, without bringing them into one task."""
+    ranged = written(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranges")
+    sizes = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_part", "_before")
+    own = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    return ranged.withColumn("_own", own).join(F.broadcast(before), "_part").withColumn(to, (F.col("_before") + F.col("_own")).cast("int")).drop("_part", "_own", "_before")  # one row per partition
 
 
 def open_page(detections: DataFrame, offset: int, limit: int) -> DataFrame:
@@ -51,6 +65,33 @@ def open_page(detections: DataFrame, offset: int, limit: int) -> DataFrame:
     return detections.where("status = 'open'").orderBy(F.desc("observed_at"), F.desc("detection_id")).offset(offset).limit(limit)
 
 
+def page_info(detections: DataFrame, offset: int, limit: int) -> DataFrame:
+    """One row: open detections in all, and whether there are more after the page."""
+    return detections.where("status = 'open'").agg(F.count(F.lit(1)).alias("total")).withColumn("has_more", F.col("total") > offset + limit)
+
+
+def anchors(detections: DataFrame, events: DataFrame) -> DataFrame:
+    """(detection_id, event_id, observed_at, anchor): the events of each detection, and which of them is its anchor."""
+    each = detections.select("detection_id", F.col("event_id").alias("first"), F.explode("event_ids").alias("event_id"))
+    return each.join(events.select("event_id", "observed_at"), "event_id").select("detection_id", "event_id", "observed_at", (F.col("event_id") == F.col("first")).alias("anchor"))
+
+
+def merged_cases(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Cases of both tables: ids and timelines in union, evidence by object key, of which the first table's stays."""
+    old = a.select("case_id", *(F.col(c).alias(f"a_{c}") for c in ("detection_ids", "timeline", "evidence")))
+    both = old.join(b, "case_id", "full_outer")
+    none = lambda c, t: F.coalesce(c, F.array().cast(t))
+    union = lambda c: F.array_sort(F.array_union(none(f"a_{c}", "array<string>"), none(c, "array<string>"))).alias(c)
+    had, new = (none(c, "array<struct<object_key:string,state:string>>") for c in ("a_evidence", "evidence"))
+    fresh = F.filter(new, lambda x: ~F.exists(had, lambda y: y["object_key"] == x["object_key"]))
+    return both.select("case_id", union("detection_ids"), union("timeline"), F.concat(had, fresh).alias("evidence"))
+
+
+def active(detections: DataFrame) -> DataFrame:
+    """Open detections, in all and by source."""
+    return detections.rollup("source").agg(F.count_if(F.col("status") == "open").alias("active")).select(F.coalesce("source", F.lit("__all__")).alias("source"), "active")
+
+
 def facets(detections: DataFrame, columns=FACETS) -> DataFrame:
     """Count of each value of each column: one pass over the detections."""
     pair = F.explode(F.array(*(F.struct(F.lit(c).alias("facet"), F.col(c).alias("value")) for c in columns)))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vigil.functions.keys import entity_key, event_key, semantic_key
-from vigil.functions.scalars import is_late, iso, nonempty, partition_value
+from vigil.functions.scalars import ISO, is_late, iso, nonempty, partition_value
 
 #: Fixed values of the raw contract, in its order.
 REQUIRED = ("source", "source_event_id", "observed_at", "actor_email", "actor_name", "department", "role", "event_type", "resource_id", "resource_name", "resource_kind", "sensitivity")
@@ -136,6 +136,12 @@ def lake_rows(events: DataFrame, tenant: str = "default") -> DataFrame:
     )
 
 
+def new_dead_letters(dead: DataFrame, counted: DataFrame) -> DataFrame:
+    """Dead letters, once each, that earlier runs haven't counted. Both have source and source_event_id."""
+    keys = ["source", "source_event_id"]
+    return dead.dropDuplicates(keys).join(counted.select(*keys), keys, "left_anti")
+
+
 def run_counters(raw: DataFrame, events: DataFrame) -> DataFrame:
     """One row: rows seen, dead letters (rows and distinct ids), accepted, duplicates skipped, late."""
     found = checked(raw).agg(
@@ -148,12 +154,13 @@ def run_counters(raw: DataFrame, events: DataFrame) -> DataFrame:
 
 
 def envelopes(raw: DataFrame, tenant: str = "default", batch: str = "batch") -> DataFrame:
-    """Raw envelope rows: the record as JSON with its place in the batch."""
+    """Raw envelope rows: the record as JSON with its place in the batch. A batch is an hour of a source, so that none grows with the table."""
     fields = [c for c in raw.columns if c not in ("received_at", "actor_idx")]
-    place = Window.partitionBy("source").orderBy(F.length("source_event_id"), "source_event_id")
+    hour = F.coalesce(F.date_format("received_at", "yyyyMMddHH"), F.lit("none"))
+    place = Window.partitionBy("source", hour).orderBy(F.length("source_event_id"), "source_event_id")
     return raw.select(
         F.lit(1).alias("raw_envelope_version"), F.lit(tenant).alias("tenant_id"), "source", F.coalesce("integration_id", F.lit("default")).alias("integration_id"), F.lit("push").alias("intake_kind"),
-        F.concat_ws("-", F.lit(batch), "source").alias("batch_id"), iso(F.col("received_at")).alias("received_at"), (F.row_number().over(place) - 1).alias("record_ordinal"), F.lit("{}").alias("metadata_json"), F.to_json(F.struct(*fields)).alias("record_json"),
+        F.concat_ws("-", F.lit(batch), "source", hour).alias("batch_id"), iso(F.col("received_at")).alias("received_at"), (F.row_number().over(place) - 1).alias("record_ordinal"), F.lit("{}").alias("metadata_json"), F.to_json(F.struct(*fields), {"timestampNTZFormat": ISO}).alias("record_json"),
     )
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from vigil.functions.keys import sort_key
 from vigil.functions.scalars import contains_folded, iso
 
-#: Columns whose text a search looks at.
+#: Columns whose text a search looks at.
 SEARCHED = ("event_id", "source", "source_event_id", "actor_email", "actor_name", "department", "role", "resource_id", "resource_name", "resource_kind", "sensitivity", "verb", "category", "geo", "incident_ticket", "scenario")
 #: Order of sensitivities.
 SENSITIVITY_RANK = {"critical": 4, "high": 3, "internal": 2, "low": 1}
@@ -50,6 +50,16 @@ def filtered(events: DataFrame, *, start=None, end=None, sources=None, categorie
     return events
 
 
+def in_postings(events: DataFrame, *postings: DataFrame) -> DataFrame:
+    """Events whose id is in all of the id lists."""
+    return reduce(lambda df, ids: df.join(ids.select("event_id"), "event_id", "left_semi"), postings, events)
+
+
+def by_receipt(raw: DataFrame) -> DataFrame:
+    """Raw rows by the time they came in, or else happened; latest first."""
+    return raw.withColumn("received", F.coalesce("received_at", "observed_at")).orderBy(F.desc("received"), "source", "source_event_id")
+
+
 def has_tokens(tokens: Sequence[str]) -> Column:
     """All tokens are among the words of the searched text."""
     words = F.split(F.lower(search_text()), "[^a-z0-9_]+")
@@ -69,7 +79,7 @@ def page_by_hash(events: DataFrame, limit: int, after: tuple[str, int] | None =
     rows = events.withColumn("tie", sort_key(F.col("event_id")))
     if after is not None:
         at = F.lit(after[0]).cast("timestamp_ntz")
-        rows = rows.where((F.col("observed_at") < at) | ((F.col("observed_at") == at) & (F.col("tie") < F.lit(after[1]).cast("decimal(20,0)"))))
+        rows = rows.where((F.col("observed_at") < at) | ((F.col("observed_at") == at) & (F.col("tie") < F.lit(str(after[1])).cast("decimal(20,0)"))))
     return rows.orderBy(F.desc("observed_at"), F.desc("tie")).limit(limit)
 
 

@@ -85,10 +85,18 @@ def health(matrix: DataFrame) -> DataFrame:
     return matrix.select("source", issues.alias("issues"), label.alias("health"))
 
 
-def batch_manifest(envelopes: DataFrame, id_column: str = "source_event_id") -> DataFrame:
-    """Per batch: rows, first and last id, first and last time, and a digest of the ids in order."""
-    ids = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("record_ordinal", id_column))), lambda x: x[id_column]), "|")
-    return envelopes.groupBy("batch_id").agg(F.count(F.lit(1)).alias("records"), F.min(id_column).alias("first_id"), F.max(id_column).alias("last_id"), F.min("received_at").alias("first_received"), F.max("received_at").alias("last_received"), F.sha2(ids, 256).alias("digest"))
+def batch_manifest(envelopes: DataFrame) -> DataFrame:
+    """Per batch: records, first and last id, bounds of observation and receipt, distinct upstream batches, and a digest of the ids in order.
+
+    A batch is bounded (an hour of a source), so its ids fit in one row.
+    """
+    field = lambda name: F.get_json_object("record_json", f"$.{name}")
+    rows = envelopes.select("batch_id", "record_ordinal", "received_at", field("source_event_id").alias("id"), field("observed_at").alias("at"), F.get_json_object("metadata_json", "$.upstream_batch").alias("upstream"))
+    ids = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("record_ordinal", "id"))), lambda x: x["id"]), "|")
+    return rows.groupBy("batch_id").agg(
+        F.count(F.lit(1)).alias("records"), F.min("id").alias("first_id"), F.max("id").alias("last_id"), F.min("at").alias("first_observed"), F.max("at").alias("last_observed"), F.min("received_at").alias("first_received"), F.max("received_at").alias("last_received"),
+        F.sort_array(F.collect_set("upstream")).alias("upstream_batches"), F.sha2(ids, 256).alias("digest"),
+    )
 
 
 def fixture_report(spark: SparkSession, checked: DataFrame) -> DataFrame:
@@ -98,6 +106,28 @@ def fixture_report(spark: SparkSession, checked: DataFrame) -> DataFrame:
     return rows.select("source", "valid", "invalid", F.array_except("required_event_types", "seen").alias("missing_event_types"))
 
 
+def invalid_rows(checked: DataFrame) -> DataFrame:
+    """Of a fixture bundle: every invalid row with its reason."""
+    return checked.where("reason IS NOT NULL").select("source", "source_event_id", "reason")
+
+
+def ops_metadata(events: DataFrame, dead: DataFrame) -> DataFrame:
+    """Events and dead letters by source, of sources that have either."""
+    one = events.groupBy("source").agg(F.count(F.lit(1)).alias("events"))
+    other = dead.groupBy("source").agg(F.count(F.lit(1)).alias("dead_letters"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return one.join(other, "source", "full_outer").select("source", zero("events"), zero("dead_letters"))
+
+
+def report(matrix: DataFrame, detections: DataFrame) -> DataFrame:
+    """One row: sources, those with events, those that meet the contract, detections, and their scenarios."""
+    seeded = F.col("normalized_events") > 0
+    ready = seeded & (F.size("missing_event_types") == 0) & (F.size("missing_fields") == 0) & (F.col("dead_letters") == 0)
+    sources = matrix.agg(F.count(F.lit(1)).alias("sources"), F.count_if(seeded).alias("seeded_sources"), F.count_if(ready).alias("contract_ready_sources"))
+    found = detections.agg(F.count(F.lit(1)).alias("detections"), F.array_join(F.sort_array(F.collect_set("scenario")), ",").alias("scenarios"))
+    return sources.join(F.broadcast(found))  # one row
+
+
 def expired(events: DataFrame, days: int) -> DataFrame:
     """Rows older than so many days before the latest one; retention drops them."""
     last = events.agg(F.max("observed_at").alias("_last"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from vigil.functions.scalars import padded
 from vigil.operators.evaluation import hashed_order
+from vigil.session import written
 
 
 def key_union(columns: Sequence[tuple[DataFrame, str]]) -> DataFrame:
@@ -24,8 +25,7 @@ def vocabulary(keys: DataFrame) -> DataFrame:
     which there are few, are added. So no single task sees all keys. The ranges are written down, since
     the sampling that finds them could fall differently when a lost task is run again.
     """
-    ranged = keys.select("key").repartitionByRange("key").sortWithinPartitions("key").withColumn("_part", F.spark_partition_id())
-    ranged = ranged.checkpoint() if keys.sparkSession.sparkContext.getCheckpointDir() else ranged
+    ranged = written(keys.select("key").repartitionByRange("key").sortWithinPartitions("key").withColumn("_part", F.spark_partition_id()), "ranges")
     sizes = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"), F.min("key").alias("_first"))
     before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_first").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_part", "_before")
     own = F.row_number().over(Window.partitionBy("_part").orderBy("key")) - 1
@@ -40,6 +40,21 @@ def indexed(df: DataFrame, column: str, vocabulary: DataFrame, to: str, default:
     return df.join(vocab, column, "left").withColumn(to, F.coalesce(to, F.lit(default)))
 
 
+def by_number(table: DataFrame, vocabularies: dict[str, DataFrame]) -> DataFrame:
+    """The table with numbers in place of keys, columns named ``..._idx`` for ``..._key``; for export to trainers."""
+    for column, vocab in vocabularies.items():
+        table = indexed(table, column, vocab, column.removesuffix("_key") + "_idx").drop(column)
+    return table
+
+
+def by_key(table: DataFrame, vocabularies: dict[str, DataFrame]) -> DataFrame:
+    """The other way round."""
+    for column, vocab in vocabularies.items():
+        number = column.removesuffix("_key") + "_idx"
+        table = table.join(vocab.select(F.col("idx").alias(number), F.col("key").alias(column)), number).drop(number)
+    return table
+
+
 def top_n(df: DataFrame, group: Sequence[str], order: Sequence[Column], n: int) -> DataFrame:
     """The first ``n`` rows of each group."""
     return df.withColumn("_place", F.row_number().over(Window.partitionBy(*group).orderBy(*order))).where(F.col("_place") <= n).drop("_place")

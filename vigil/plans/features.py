@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from vigil.functions import scalars
 from vigil.operators import features, normalize, stats
 from vigil.plans.common import accepted, sql
 from vigil.sources import adapter
@@ -112,9 +113,9 @@ def _matrix(spark, d):
     return stats.capability(spark, normalize.checked(raw), raw, normalize.normalized(raw))
 
 
-@query(f"SELECT source, display_name, {_JOINED}, raw_events, normalized_events, dead_letters, raw_24h, normalized_24h, dead_letter_7d FROM matrix", "matrix")
+@query(f"SELECT source, display_name, {_JOINED}, (3 - len(missing_fields))::BIGINT AS covered_fields, raw_events, normalized_events, dead_letters, raw_24h, normalized_24h, dead_letter_7d FROM matrix", "matrix")
 def capability_matrix(spark, d):
-    return _matrix(spark, d).drop("covered_fields").withColumns({c: F.array_join(c, ",") for c in ("missing_event_types", "missing_fields")})
+    return _matrix(spark, d).withColumn("covered_fields", F.col("covered_fields").cast("long")).withColumns({c: F.array_join(c, ",") for c in ("missing_event_types", "missing_fields")})
 
 
 @query("SELECT source, (len(missing_event_types) + len(missing_fields) + (dead_letters > 0)::INT)::BIGINT AS issues, CASE WHEN raw_events = 0 THEN 'not seeded' WHEN len(missing_event_types) > 0 THEN 'blocked' WHEN len(missing_event_types) + len(missing_fields) + (dead_letters > 0)::INT > 0 THEN 'attention' ELSE 'healthy' END AS health FROM matrix ORDER BY issues DESC, source", "matrix")
@@ -122,10 +123,15 @@ def source_health(spark, d):
     return stats.health(_matrix(spark, d)).withColumn("issues", F.col("issues").cast("long")).orderBy(F.desc("issues"), "source")
 
 
-@query("SELECT 'batch-' || source AS batch_id, count(*) AS records, min(source_event_id) AS first_id, max(source_event_id) AS last_id, sha256(string_agg(source_event_id, '|' ORDER BY length(source_event_id), source_event_id)) AS digest FROM raw GROUP BY source", "raw")
+@query(
+    """SELECT 'batch-' || source || '-' || strftime(received_at, '%Y%m%d%H') AS batch_id, count(*) AS records, min(source_event_id) AS first_id, max(source_event_id) AS last_id, min(observed_at) AS first_observed, max(observed_at) AS last_observed,
+  strftime(min(received_at), '%Y-%m-%dT%H:%M:%S.%fZ') AS first_received, 'up' AS upstream_batches, sha256(string_agg(source_event_id, '|' ORDER BY length(source_event_id), source_event_id)) AS digest FROM raw GROUP BY source, strftime(received_at, '%Y%m%d%H')""",
+    "raw",
+)
 def batch_manifest(spark, d):
-    rows = normalize.envelopes(adapter.raw_events(spark, d)).withColumn("source_event_id", F.get_json_object("record_json", "$.source_event_id"))
-    return stats.batch_manifest(rows).select("batch_id", "records", "first_id", "last_id", "digest")
+    rows = normalize.envelopes(adapter.raw_events(spark, d)).withColumn("metadata_json", F.lit('{"upstream_batch":"up"}'))
+    found = stats.batch_manifest(rows).drop("last_received").withColumn("upstream_batches", F.array_join("upstream_batches", ","))
+    return found.withColumns({c: scalars.parse_iso(F.col(c)).cast("timestamp_ntz") for c in ("first_observed", "last_observed")})
 
 
 @query("SELECT c.source, count(*) FILTER (reason IS NULL) AS valid, count(*) FILTER (reason IS NOT NULL) AS invalid, array_to_string(list_sort(list_filter(any_value(c.required_event_types), lambda x: NOT list_contains(list(event_type) FILTER (reason IS NULL), x))), ',') AS missing_event_types FROM contract c JOIN checked k ON k.source = c.source GROUP BY c.source", "contract", "checked")

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from vigil.plans import evaluation, features, flows, investigation, model, pipeline, vendor
+from vigil.plans import evaluation, features, flows, investigation, lakes, lookups, model, pipeline, vendor
 
-MODULES = (pipeline, features, investigation, evaluation, flows, model, vendor)
+MODULES = (pipeline, features, investigation, evaluation, flows, model, vendor, lakes, lookups)
 
 
 def queries() -> dict:
