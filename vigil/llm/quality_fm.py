@@ -54,12 +54,14 @@ _SPACE_TABLE = {ord(c): " " for c in SPACES}
 
 
 class _Buckets(dict):
-    """Bucket by word, bounded."""
+    """Bucket by word, some 10 MB at most: it starts anew when it is full, and long words aren't kept."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) >= 300_000:
-            self.clear()
-        b = self[word] = zlib.crc32(word.encode("utf-8", "replace")) % BUCKETS
+        b = zlib.crc32(word.encode("utf-8", "replace")) % BUCKETS
+        if len(word) <= 64:
+            if len(self) >= 1 << 16:
+                self.clear()
+            self[word] = b
         return b
 
 
@@ -173,7 +175,7 @@ def _features_column(text: str) -> Column:
         found = [features(t) for t in texts]
         return pa.StructArray.from_arrays([pa.array([i for i, _ in found], pa.list_(pa.int32())), pa.array([v for _, v in found], pa.list_(pa.float32()))], ["index", "value"])
 
-    return arrow_column(work, _FEATURES)(F.col(text))
+    return arrow_column(work, _FEATURES, after=_buckets.clear)(F.col(text))
 
 
 def train(labelled: DataFrame, *, text: str = "text", label: str = "label", key: str = "key", most_rows: int = MOST_ROWS, rounds: int = ROUNDS, parts: int = PARTS) -> Machine | None:
@@ -223,7 +225,7 @@ def score(docs: DataFrame, model: Machine | None, *, text: str = "text", to: str
             cache["m"] = Machine.unpacked(sent.value)
         return pa.array(cache["m"].scores(texts), pa.float64())
 
-    return docs.withColumn(to, arrow_column(work, "double")(F.col(text)))
+    return docs.withColumn(to, arrow_column(work, "double", after=_buckets.clear)(F.col(text)))
 
 
 def remainder(key: str, by: int) -> Column:

@@ -81,7 +81,7 @@ class _Runs(dict):
 class Codec:
     """Encodes and decodes with a merge-type SentencePiece model given as the bytes of its file."""
 
-    def __init__(self, model: bytes, most_runs: int = 1_000_000, most_pairs: int = 500_000):
+    def __init__(self, model: bytes, most_runs: int = 1 << 17, most_pairs: int = 1 << 17):
         pieces, plain = [], {}
         for number, value in _fields(model):
             if number == 1:
@@ -243,6 +243,11 @@ class Codec:
         out.append(edge[1])
         return b"".join(out)
 
+    def forget(self) -> None:
+        """Drops the runs and pairs seen so far, some 30 MB each at most."""
+        self.seen.clear()
+        self.pairs.clear()
+
     def _surface(self, piece: str, kind: int) -> bytes:
         if kind == CONTROL:
             return b""
@@ -312,7 +317,7 @@ def encode(docs: DataFrame, model: bytes, *, text: str = "text", to: str = "toke
         ids = [memoryview(c.packed(t)).cast("I").tolist() for t in texts]
         return pa.StructArray.from_arrays([pa.array(ids, pa.list_(pa.int32())), pa.array([c.decode(x) for x in ids], pa.string())], ["ids", "decoded"])
 
-    return docs.withColumn(to, arrow_column(work, ENCODED)(F.col(text)))
+    return docs.withColumn(to, arrow_column(work, ENCODED, after=lambda: codec(model).forget())(F.col(text)))
 
 
 def digests(docs: DataFrame, model: bytes, *, text: str = "text", to: str = "tokens") -> DataFrame:
@@ -329,4 +334,4 @@ def digests(docs: DataFrame, model: bytes, *, text: str = "text", to: str = "tok
             of_text.append(hashlib.sha256(c.decode(ids).encode("utf-8", "surrogatepass")).hexdigest())
         return pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())], ["n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.withColumn(to, arrow_column(work, DIGESTS)(F.col(text)))
+    return docs.withColumn(to, arrow_column(work, DIGESTS, after=lambda: codec(model).forget())(F.col(text)))
