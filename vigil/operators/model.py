@@ -13,6 +13,7 @@ Only the layers and their gradients, which have a fixed size, pass the driver.
 
 from __future__ import annotations
 
+import hashlib
 import io
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -185,11 +186,26 @@ class Towers:
         return [f"{letter}{j}" for j in range(self.layers.action.dim)]
 
 
+def _seeded(*parts) -> float:
+    """A normal number by hash of the parts, the same in every engine."""
+    even = lambda salt: (int(hashlib.md5("|".join(map(str, (*parts, salt))).encode()).hexdigest()[:12], 16) + 0.5) / 2.0**48
+    return float(np.sqrt(-2.0 * np.log(even(0))) * np.cos(2 * np.pi * even(1)))
+
+
+def seeded_tower(side: str, fields: int, seed: int) -> Tower:
+    """A tower without embeddings whose layers are normal by hash."""
+    t = Tower((0,) * fields, seed=seed)
+    for name in ("w1", "w2"):
+        n, m = t.p[name].shape
+        t.p[name] = np.array([[_seeded(side, name, i, j, seed) for j in range(m)] for i in range(n)]) / np.sqrt(n)
+    return t
+
+
 def towers(members: DataFrame, seed: int = 3) -> Towers:
-    """Untrained towers: layers by NumPy, embeddings normal by the hash of field, number and place."""
-    layers = TwoTower(Tower((0,), seed=seed), Tower((0,) * len(CONTEXT_FIELDS), seed=seed + 1))
+    """Untrained towers: layers and embeddings normal by hash of their names, numbers and places."""
+    layers = TwoTower(seeded_tower("a", 1, seed), seeded_tower("c", len(CONTEXT_FIELDS), seed))
     dim = layers.action.dim
-    even = lambda j, salt: (F.shiftrightunsigned(F.xxhash64("f", "i", F.lit(j), F.lit(salt), F.lit(seed)), 11) + F.lit(0.5)) / F.lit(2.0**53)
+    even = lambda j, salt: (F.conv(F.substring(F.md5(F.concat_ws("|", F.lit("e"), "f", "i", F.lit(str(j)), F.lit(str(seed)), F.lit(str(salt))).cast("binary")), 1, 12), 16, 10).cast("double") + F.lit(0.5)) / F.lit(2.0**48)
     normal = lambda j: 0.3 * F.sqrt(-2.0 * F.log(even(j, 0))) * F.cos(2 * np.pi * even(j, 1))
     start = [normal(j).alias(f"e{j}") for j in range(dim)] + [F.lit(0.0).alias(f"{x}{j}") for x in "mv" for j in range(dim)]
     return Towers(layers, members, written(members.select("f", "i").distinct().select("f", "i", *start), "embeddings"))
@@ -342,10 +358,15 @@ def distances(rows: DataFrame, t: Towers) -> DataFrame:
 
 
 def retrieval(scored: DataFrame) -> DataFrame:
-    """Per source and in all: top-1 share, pairwise win rate and mean margin of own over sampled contexts."""
+    """Per source and in all: top-1 share, pairwise win rate and mean margin of own over sampled contexts, and medians and 95th percentiles of both distances."""
     own, others = F.get("distances", 0), F.slice("distances", 2, 1_000_000)
-    rows = scored.select("source", (own < F.array_min(others)).cast("double").alias("top"), (F.size(F.filter(others, lambda x: x > own)) / F.size(others)).alias("wins"), (F.aggregate(others, F.lit(0.0), lambda s, x: s + x) / F.size(others) - own).alias("margin"))
-    return rows.rollup("source").agg(F.count(F.lit(1)).alias("pairs"), F.avg("top").alias("top_1"), F.avg("wins").alias("win_rate"), F.avg("margin").alias("mean_margin")).withColumn("source", F.coalesce("source", F.lit("__all__")))
+    rows = scored.select("source", own.alias("own"), others.alias("others"), (own < F.array_min(others)).cast("double").alias("top"), (F.size(F.filter(others, lambda x: x > own)) / F.size(others)).alias("wins"), (F.aggregate(others, F.lit(0.0), lambda s, x: s + x) / F.size(others) - own).alias("margin"))
+    both = written(rows.unionByName(rows.withColumn("source", F.lit("__all__"))), "retrieval")
+    means = both.groupBy("source").agg(F.count(F.lit(1)).alias("pairs"), F.avg("top").alias("top_1"), F.avg("wins").alias("win_rate"), F.avg("margin").alias("mean_margin"))
+    wanted = {"p50": 0.5, "p95": 0.95}
+    at = lambda df, name: nearest_rank(df, "source", "x", wanted).groupBy("source").agg(*(F.max(F.when(F.col("quantile") == q, F.col("value"))).alias(f"{name}_{q}") for q in wanted))
+    found = means.join(at(both.select("source", F.col("own").alias("x")), "own"), "source")
+    return found.join(at(both.select("source", F.explode("others").alias("x")), "other"), "source")
 
 
 def gate(metrics: DataFrame, top_1: float = 0.15, win_rate: float = 0.55, least_pairs: int = 5) -> DataFrame:
@@ -355,6 +376,29 @@ def gate(metrics: DataFrame, top_1: float = 0.15, win_rate: float = 0.55, least_
     return metrics.withColumn("passes", F.when(enough, good))
 
 
+def activation(gated: DataFrame, coverage: DataFrame, least_coverage: float = 0.5) -> DataFrame:
+    """One row: whether the model may be switched on, the sources that fail, and both coverages.
+
+    All sources together and every source with enough pairs must pass, and the model must know enough of the
+    principals (identity) and of the resources; ``coverage`` has one row with both shares.
+    """
+    whole = F.col("source") == "__all__"
+    flags = gated.agg(
+        F.coalesce(F.bool_and("passes"), F.lit(False)).alias("sources_pass"), F.count_if(whole & F.col("passes")).alias("overall"),
+        F.sort_array(F.collect_list(F.when(~whole & ~F.col("passes"), F.col("source")))).alias("failing"), F.count_if(~whole & F.col("passes").isNotNull()).alias("judged_sources"),
+    )
+    out = flags.join(F.broadcast(coverage))  # one row
+    covered = (F.col("identity_coverage") >= least_coverage) & (F.col("resource_coverage") >= least_coverage)
+    return out.withColumn("eligible", F.col("sources_pass") & (F.col("overall") > 0) & covered).drop("overall")
+
+
+def coverage(pairs: DataFrame, static: DataFrame, accessors: DataFrame) -> DataFrame:
+    """One row: shares of the profiled principals and of the resources that have a pair."""
+    share = lambda own, every, key: own.select(key).distinct().agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(every.select(key).distinct().agg(F.count(F.lit(1)).alias("all")))).select(F.try_divide("n", "all"))  # noqa: E731  one row
+    people = share(pairs, static, "principal_key").toDF("identity_coverage")
+    return people.join(F.broadcast(share(pairs, accessors, "resource_key").toDF("resource_coverage")))
+
+
 def calibrated(scored: DataFrame, default: float = 0.60) -> DataFrame:
     """Threshold per source: midway between own pairs' 95th and samples' 50th percentile, if these are apart."""
     own = nearest_rank(scored.select("source", F.get("distances", 0).alias("score")), "source", quantiles={"p95": 0.95}).select("source", F.col("value").alias("p95"))

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from vigil.functions import scalars
-from vigil.operators import features, model, tensors
-from vigil.plans.common import accepted, scored
+from vigil.operators import features, model, modes, rules, tensors
+from vigil.plans.common import accepted, detections, scored, sql
 from vigil.session import table, written
 from vigil.sources import adapter
 
@@ -18,6 +18,59 @@ def query(f):
     return f
 
 
+def checked(oracle: str, *needs: str):
+    def add(f):
+        SQL[f.__name__] = sql(f"WITH {_FORWARD} {oracle}", *_NEEDS, *needs)
+        return query(f)
+
+    return add
+
+
+_NEEDS = ("accessors", "static", "history", "manager_peers", "team_peers", "vocab", "pairs")
+_HALF = "(('0x' || substr(md5({} || '|3|{}'), 1, 12))::BIGINT + 0.5::DOUBLE) / 281474976710656::DOUBLE"
+
+
+def _sql_normal(key: str) -> str:
+    return f"sqrt(-2::DOUBLE * ln({_HALF.format(key, 0)})) * cos(2 * pi() * {_HALF.format(key, 1)})"
+
+
+_STATIC = model.CONTEXT_FIELDS[5:]
+#: The forward pass of untrained towers in SQL: pooling, layers, unit vectors, distances of pairs and samples.
+_FORWARD = f"""
+  rvocab AS (SELECT key, row_number() OVER (ORDER BY key) - 1 AS idx FROM (SELECT DISTINCT resource_key AS key FROM accessors)),
+  windows AS (SELECT principal_key, resource_key, count(*) OVER (PARTITION BY principal_key, window_start) AS n, window_start FROM history),
+  whist AS (SELECT principal_key, count(DISTINCT window_start) AS windows FROM history GROUP BY principal_key),
+  mpeers AS (SELECT principal_key, peer_key, peer_type, peer_weight / sum(peer_weight) OVER (PARTITION BY principal_key, peer_type) AS w FROM (SELECT * FROM manager_peers UNION ALL SELECT * FROM team_peers)),
+  members AS (SELECT 'a' AS side, resource_key AS key, 0 AS f, idx AS i, accessor_weight AS w FROM accessors JOIN vocab ON vocab.key = principal_key
+    UNION ALL SELECT 'c', principal_key, 1, idx, sum(1::DOUBLE / n / windows) FROM windows JOIN whist USING (principal_key) JOIN rvocab ON rvocab.key = resource_key JOIN static USING (principal_key) GROUP BY ALL
+    UNION ALL SELECT 'c', principal_key, CASE peer_type WHEN 'manager' THEN 3 ELSE 4 END, idx, w FROM mpeers JOIN vocab ON vocab.key = peer_key
+    {" ".join(f"UNION ALL SELECT 'c', principal_key, {6 + k}, coalesce(i, 0), 1 FROM static LEFT JOIN (SELECT {c} AS v, row_number() OVER (ORDER BY {c}) AS i FROM (SELECT DISTINCT {c} FROM static)) ON v = {c}" for k, c in enumerate(_STATIC))}),
+  emb AS (SELECT f, i, j, 0.3::DOUBLE * {_sql_normal("'e|' || f || '|' || i || '|' || j")} AS e FROM (SELECT DISTINCT f, i FROM members), range(0, 8) r(j)),
+  x AS (SELECT side, key, greatest(f - 1, 0) * 8 + j AS c, sum(w * e) AS x FROM members JOIN emb USING (f, i) GROUP BY ALL),
+  w1 AS (SELECT side, c, h, {_sql_normal("side || '|w1|' || c || '|' || h")} / sqrt(n) AS w FROM (SELECT 'a' AS side, unnest(range(0, 8)) AS c, 8 AS n UNION ALL SELECT 'c', unnest(range(0, 72)), 72), range(0, 32) r(h)),
+  w2 AS (SELECT side, h, o, {_sql_normal("side || '|w2|' || h || '|' || o")} / sqrt(32) AS w FROM (VALUES ('a'), ('c')) s(side), range(0, 32) r(h), range(0, 16) q(o)),
+  hid AS (SELECT side, key, h, greatest(0, sum(x * w)) AS v FROM x JOIN w1 USING (side, c) GROUP BY ALL),
+  z AS (SELECT side, key, o, sum(v * w) + 0.01::DOUBLE AS z FROM hid JOIN w2 USING (side, h) GROUP BY ALL),
+  u AS (SELECT side, key, list(z / greatest(1e-12, n) ORDER BY o) AS u FROM (SELECT *, sqrt(sum(z * z) OVER (PARTITION BY side, key)) AS n FROM z) GROUP BY side, key),
+  held AS (SELECT resource_key, principal_key, source, row_number() OVER (ORDER BY sha256(resource_key || '|' || principal_key || '|' || source || ':7')) <= greatest(1, floor(count(*) OVER () * 0.2::DOUBLE)) AS held_out FROM pairs),
+  people_ AS (SELECT principal_key, row_number() OVER (ORDER BY principal_key) - 1 AS idx, count(*) OVER () AS n FROM static),
+  drawn AS (SELECT q.*, p.idx, p.n, unnest(range(1, 4)) AS i FROM pairs q JOIN people_ p USING (principal_key)),
+  sampled AS (SELECT *, ('0x' || substr(sha256(resource_key || ':' || principal_key || ':' || source || ':' || i || ':7'), 1, 8))::BIGINT % (n - 1) AS y FROM drawn),
+  slots AS (SELECT resource_key, principal_key, source, 0 AS slot, principal_key AS who FROM pairs
+    UNION ALL SELECT s.resource_key, s.principal_key, s.source, s.i, o.principal_key FROM sampled s JOIN people_ o ON o.idx = CASE WHEN y >= s.idx THEN y + 1 ELSE y END),
+  dist AS (SELECT resource_key, principal_key, source, slot, greatest(0, least(1, 1 - list_inner_product(a.u, c.u))) AS d FROM slots JOIN u a ON a.side = 'a' AND a.key = resource_key JOIN u c ON c.side = 'c' AND c.key = who),
+  own AS (SELECT resource_key, principal_key, source, d FROM dist WHERE slot = 0),
+  metric AS (SELECT o.source, o.d, (o.d < min(s.d))::INT::DOUBLE AS top, count(*) FILTER (s.d > o.d) / count(*)::DOUBLE AS wins, avg(s.d) - o.d AS margin FROM own o JOIN dist s USING (resource_key, principal_key, source) WHERE slot > 0 GROUP BY o.resource_key, o.principal_key, o.source, o.d),
+  metric2 AS (SELECT * FROM metric UNION ALL SELECT '__all__', d, top, wins, margin FROM metric),
+  samples2 AS (SELECT source, d FROM dist WHERE slot > 0 UNION ALL SELECT '__all__', d FROM dist WHERE slot > 0),
+  pct AS (SELECT source, list(d ORDER BY d)[floor((count(*) - 1) * 0.5::DOUBLE + 0.5)::BIGINT + 1] AS p50, list(d ORDER BY d)[floor((count(*) - 1) * 0.95::DOUBLE + 0.5)::BIGINT + 1] AS p95 FROM metric2 GROUP BY source),
+  pct_o AS (SELECT source, list(d ORDER BY d)[floor((count(*) - 1) * 0.5::DOUBLE + 0.5)::BIGINT + 1] AS p50, list(d ORDER BY d)[floor((count(*) - 1) * 0.95::DOUBLE + 0.5)::BIGINT + 1] AS p95 FROM samples2 GROUP BY source),
+  metrics AS (SELECT m.source, count(*) AS pairs, avg(top) AS top_1, avg(wins) AS win_rate, avg(margin) AS mean_margin, any_value(p.p50) AS own_p50, any_value(p.p95) AS own_p95, any_value(q.p50) AS other_p50, any_value(q.p95) AS other_p95
+    FROM metric2 m JOIN pct p ON p.source = m.source JOIN pct_o q ON q.source = m.source GROUP BY m.source),
+  gated AS (SELECT *, CASE WHEN pairs >= 5 THEN top_1 >= 0.15 AND win_rate >= 0.55 AND mean_margin > 0 END AS passes FROM metrics),
+  policy AS (SELECT p.source, greatest(0.05::DOUBLE, least(0.95::DOUBLE, CASE WHEN p.p95 < q.p50 THEN (p.p95 + q.p50) / 2 ELSE 0.6::DOUBLE END)) AS detection_threshold FROM pct p JOIN pct_o q ON q.source = p.source WHERE p.source <> '__all__')"""
+
+
 def _examples(spark, d, blank: tuple[str, ...] = ()):
     """Examples with three negatives each, written down once, and untrained towers over all members."""
     e, org = accepted(spark, d), adapter.principals(spark, d)
@@ -111,3 +164,106 @@ def cluster_score(spark, d):
     first = e.agg(F.min_by("vector", "vec_id").alias("c"))
     rows = e.join(F.broadcast(first)).select(F.col("label").alias("principal"), "vector", scalars.cosine_distance(F.col("vector"), F.col("c")).alias("score"))  # one row
     return model.cluster_scores(rows, delta=0.9)
+
+
+def _seeded(spark, d):
+    """All pairs with their distances by untrained towers, whose weights follow from hashes, so that SQL has them too."""
+    rows, towers = _examples(spark, d)
+    return written(model.distances(rows, towers), "distances")
+
+
+@checked("SELECT resource_key, principal_key, source, slot, round(d, 6) AS distance FROM dist")
+def seeded_distances(spark, d):
+    found = _seeded(spark, d).select("resource_key", "principal_key", "source", F.posexplode("distances").alias("slot", "distance"))
+    return found.withColumn("slot", F.col("slot").cast("long")).withColumn("distance", F.round("distance", 6))
+
+
+@checked("SELECT source, pairs, round(top_1, 6) AS top_1, round(win_rate, 6) AS win_rate, round(mean_margin, 6) AS mean_margin, round(own_p50, 6) AS own_p50, round(own_p95, 6) AS own_p95, round(other_p50, 6) AS other_p50, round(other_p95, 6) AS other_p95, passes FROM gated")
+def seeded_retrieval(spark, d):
+    found = model.gate(model.retrieval(_seeded(spark, d)))
+    return found.select("source", "pairs", "passes", *(F.round(c, 6).alias(c) for c in found.columns if c not in ("source", "pairs", "passes")))
+
+
+@checked("SELECT source, round(detection_threshold, 6) AS detection_threshold FROM policy")
+def seeded_policy(spark, d):
+    return model.calibrated(_seeded(spark, d)).withColumn("detection_threshold", F.round("detection_threshold", 6))
+
+
+@checked(
+    """SELECT coalesce(bool_and(passes), false) AS sources_pass, coalesce(string_agg(source, ',' ORDER BY source) FILTER (source <> '__all__' AND NOT passes), '') AS failing, count(*) FILTER (source <> '__all__' AND passes IS NOT NULL) AS judged_sources,
+  round(any_value(ic), 6) AS identity_coverage, round(any_value(rc), 6) AS resource_coverage, coalesce(bool_and(passes), false) AND any_value(ic) >= 0.5 AND any_value(rc) >= 0.5 AS eligible
+  FROM gated, (SELECT (SELECT count(DISTINCT principal_key) FROM pairs WHERE source <> 'okta') / (SELECT count(*) FROM static)::DOUBLE AS ic, (SELECT count(DISTINCT resource_key) FROM pairs WHERE source <> 'okta') / (SELECT count(DISTINCT resource_key) FROM accessors)::DOUBLE AS rc)"""
+)
+def activation_gate(spark, d):
+    """Whether the untrained model would be switched on, if it knew the pairs of three sources alone."""
+    found, e = _seeded(spark, d), accepted(spark, d)
+    covered = model.coverage(found.where("source <> 'okta'"), features.static_profiles(e, adapter.principals(spark, d)), features.accessors(e))
+    out = model.activation(model.gate(model.retrieval(found)), covered)
+    return out.withColumn("failing", F.array_join("failing", ",")).withColumns({c: F.round(c, 6) for c in ("identity_coverage", "resource_coverage")})
+
+
+def _by_model(spark, d):
+    """Events scored by rules, with the model's scores of pairs that aren't held out; for the others the rules decide."""
+    e, found = accepted(spark, d), _seeded(spark, d)
+    requests = modes.scoring_requests(e, features.accessors(e), features.static_profiles(e, adapter.principals(spark, d)))
+    known = found.where("NOT held_out").select("resource_key", "principal_key", F.round(F.get("distances", 0), 4).alias("model_score"))
+    policy = model.calibrated(found).where("source <> 'okta'").withColumn("detection_threshold", F.round("detection_threshold", 4))
+    return written(modes.with_model_scores(scored(spark, d), requests, known, policy), "modes")
+
+
+_MODES = """, requests AS (SELECT a.event_id, a.resource_key, a.principal_key FROM accepted a SEMI JOIN accessors c ON c.resource_key = a.resource_key AND c.source = a.source SEMI JOIN static s ON s.principal_key = a.principal_key),
+  known AS (SELECT resource_key, principal_key, round(d, 4) AS model_score FROM own JOIN held USING (resource_key, principal_key, source) WHERE NOT held_out),
+  modes AS (SELECT s.*, k.model_score, coalesce(p.t, 0.6::DOUBLE) AS detection_threshold, CASE WHEN p.t IS NULL THEN 'global' ELSE s.source END AS policy_scope, greatest(0.8::DOUBLE, coalesce(p.t, 0.6::DOUBLE)) AS high_severity_threshold
+    FROM scored s LEFT JOIN (SELECT event_id, model_score FROM requests JOIN known USING (resource_key, principal_key)) k ON k.event_id = s.event_id LEFT JOIN (SELECT source, round(detection_threshold, 4) AS t FROM policy WHERE source <> 'okta') p ON p.source = s.source),
+  final AS (SELECT *, coalesce(model_score, score) AS s, CASE WHEN model_score IS NULL THEN 0.6::DOUBLE ELSE detection_threshold END AS t FROM modes),
+  found AS (SELECT 'det-' || substr(sha256(event_id || ':' || scenario), 1, 12) AS detection_id, event_id, source, scenario, floor(s * 100 + 0.5::DOUBLE) / 100 AS score, CASE WHEN s >= CASE WHEN model_score IS NULL THEN 0.8::DOUBLE ELSE high_severity_threshold END THEN 'high' ELSE 'medium' END AS severity,
+    CASE WHEN model_score IS NULL THEN 'rules-heuristics-fusion-v1' ELSE 'two-tower-v1' END AS model_version, CASE WHEN model_score IS NOT NULL THEN policy_scope END AS policy_scope, CASE WHEN model_score IS NOT NULL THEN round(greatest(0, s - t), 4) END AS score_margin, CASE WHEN model_score IS NULL THEN 'no_model_score' END AS fallback_reason FROM final WHERE s >= t)"""
+
+
+@checked(f"{_MODES} SELECT * FROM found", "accepted", "scored")
+def model_detections(spark, d):
+    """Detections by the model, with its policy by source, and by the rules where it has no score."""
+    found = modes.model_detections(_by_model(spark, d))
+    return found.select("detection_id", "event_id", "source", "scenario", "score", "severity", "model_version", "model_rationale.policy_scope", F.round("model_rationale.score_margin", 4).alias("score_margin"), "fallback_reason")
+
+
+@checked(
+    f"""{_MODES} SELECT 'event' AS by, count(*) FILTER (a AND b) AS "both", count(*) FILTER (a AND NOT b) AS left_only, count(*) FILTER (b AND NOT a) AS right_only FROM (SELECT score >= 0.6::DOUBLE AS a, s >= t AS b FROM final)
+  UNION ALL SELECT 'detection', count(*) FILTER (a AND b), count(*) FILTER (a AND NOT b), count(*) FILTER (b AND NOT a) FROM (SELECT score >= 0.6::DOUBLE AS a, s >= t AS b FROM final)""",
+    "accepted", "scored",
+)
+def detection_modes(spark, d):
+    """Rules against the model: detections of both and of either alone."""
+    return modes.comparison(written(detections(spark, d).select("detection_id", "event_id"), "rules"), written(modes.model_detections(_by_model(spark, d)).select("detection_id", "event_id"), "model"))
+
+
+@checked(
+    f"""{_MODES} SELECT 'all' AS kind, '' AS value, count(*) AS detections, count(DISTINCT event_id) AS events FROM found UNION ALL SELECT 'source', source, count(*), count(DISTINCT event_id) FROM found GROUP BY source
+  UNION ALL SELECT 'scenario', scenario, count(*), count(DISTINCT event_id) FROM found GROUP BY scenario UNION ALL SELECT 'backing', CASE WHEN fallback_reason IS NULL THEN 'model' ELSE 'fallback' END, count(*), count(DISTINCT event_id) FROM found GROUP BY ALL""",
+    "accepted", "scored",
+)
+def model_detection_summary(spark, d):
+    return modes.summary(modes.model_detections(_by_model(spark, d)))
+
+
+def _sql_report(mode: str, rows: str) -> str:
+    rate = lambda of: f"floor(coalesce(count(*) FILTER ({of} AND detected)::DOUBLE / nullif(count(*) FILTER ({of}), 0), 0) * 100 + 0.5::DOUBLE) / 100"
+    from vigil.operators.evaluation import QUANTILES
+
+    ranks = " UNION ALL ".join(f"SELECT source, 'score_{n}' AS name, list(score ORDER BY score)[floor((count(*) - 1) * {p}::DOUBLE + 0.5)::BIGINT + 1] AS value FROM {rows} GROUP BY source" for n, p in QUANTILES.items())
+    base, attack = "truth = 'baseline'", "truth <> 'baseline'"
+    return f"""SELECT '{mode}' AS mode, * FROM (SELECT source, 'baseline_alert_rate' AS name, {rate(base)} AS value FROM {rows} GROUP BY source UNION ALL SELECT source, 'attack_recall', {rate(attack)} FROM {rows} GROUP BY source
+  UNION ALL SELECT truth, 'scenario_recall', {rate("true")} FROM {rows} WHERE {attack} GROUP BY truth UNION ALL {ranks})"""
+
+
+@checked(
+    f"""{_MODES}, ro AS (SELECT source, truth, floor(score * 100 + 0.5::DOUBLE) / 100 AS score, score >= 0.6::DOUBLE AS detected FROM final), mo AS (SELECT source, truth, floor(s * 100 + 0.5::DOUBLE) / 100 AS score, s >= t AS detected FROM final)
+  {_sql_report("rules", "ro")} UNION ALL {_sql_report("model", "mo")}""",
+    "accepted", "scored",
+)
+def mode_report(spark, d):
+    """Alert rates, recalls and score quantiles of both modes."""
+    from vigil.operators import evaluation
+
+    rows = _by_model(spark, d)
+    return modes.report(written(evaluation.observations(rows, rules.MEDIUM), "obs"), "rules").unionByName(modes.report(written(modes.observations(rows), "obs"), "model"))
