@@ -17,7 +17,8 @@ that this is below 1 in 2 million there: 26 for 0.85, 37 for 0.8.
 
 Results for special input: a document without words is linked with nothing and is its own component; one
 with fewer than k words has one shingle, all its words; rows of one id are one document; a row with a
-null id has a null component and is kept.
+null id has a null component and is kept. Of equal texts the smallest id stands for all. Texts of any length
+are compared as a whole. No other column of the input is read, so names can't clash.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vigil.llm.common import arrow_column, written
+from vigil.llm.common import arrow_column, unused, written
 from vigil.llm.components import components
 from vigil.llm.minhash import band_hashes, shingles, signatures
 
@@ -244,14 +245,13 @@ def groups(docs: DataFrame, *, key: str = "doc_id", text: str = "text", k: int =
 
 
 def keep_one(docs: DataFrame, *, key: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
-    """The documents of which no near-duplicate has a smaller id; of repeated rows of one id, one."""
+    """The documents of which no near-duplicate has a smaller id; of repeated rows of one id, one. Other columns, whatever their names, stay."""
     found = groups(docs, key=key, text=text, k=k, percent=percent)
-    kept = found.where("kept").select(F.col(key).alias("_key")).distinct()
-    one = docs.where(F.col(key).isNotNull()).withColumn("_rest", F.xxhash64(text)).dropDuplicates([key, "_rest"])
-    first = F.min(F.col("_rest")).alias("_least")
-    chosen = one.groupBy(F.col(key).alias("_key")).agg(first).join(kept, "_key", "left_semi")
-    named = one.join(chosen, (one[key] == chosen["_key"]) & (one["_rest"] == chosen["_least"])).drop("_key", "_rest", "_least")
-    return named.unionByName(docs.where(F.col(key).isNull()))
+    own, rest = unused(docs, "own"), unused(docs, "rest")
+    kept = found.where("kept").select(F.col(key).alias(own)).distinct()
+    one = docs.where(F.col(key).isNotNull()).withColumn(own, F.col(key).cast("long")).withColumn(rest, F.xxhash64(text)).dropDuplicates([own, rest])
+    chosen = one.groupBy(own).agg(F.min(rest).alias(rest)).join(kept, own, "left_semi")
+    return one.join(chosen, [own, rest]).select(*docs.columns).unionByName(docs.where(F.col(key).isNull()))
 
 
 def oracle(k: int = 3, percent: int = 85) -> str:

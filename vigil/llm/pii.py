@@ -9,7 +9,8 @@ move its score. Kinds, in this order in digests:
   Luhn, and a payment word nearby), ``ssn`` (valid ranges and a word such as "ssn" nearby)
 
 Spans count code points, the end is exclusive; spans of one kind don't overlap, leftmost first. A null
-or empty text has none. Matching is linear in the text.
+or empty text has none. Matching is linear in the text, so long texts are read as a whole. Rows are scanned
+one by one, repeated or not. The column that is added replaces one of its name; all other columns stay.
 """
 
 from __future__ import annotations

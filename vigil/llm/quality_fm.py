@@ -11,7 +11,10 @@ of AdaGrad from the current model, and the partitions' models are averaged by th
 are no features.
 
 Results for special input: a null or empty text has bins alone as features and so one fixed score;
-without any labelled row all scores are 0.5 (predicted 1).
+without any labelled row all scores are 0.5 (predicted 1). Rows are scored one by one, so repeated rows get
+equal scores; of several labels of an id the highest counts, and each row of a labelled id is learned from.
+Features are taken of whole texts of any length. The columns that are added (score, held_out, predicted, or
+the name given as ``to``) replace those of the same name; all other columns stay.
 """
 
 from __future__ import annotations

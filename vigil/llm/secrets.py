@@ -11,7 +11,9 @@ Kinds, in this order where spans begin at one place:
   ``ssh`` (key in SSH's wire format)
 
 Spans count code points, the end is exclusive. A null or empty text has none. All matching is linear
-in the text: candidates are found by their separators or literal beginnings.
+in the text: candidates are found by their separators or literal beginnings, so long texts are read as a
+whole. Spans of different kinds may overlap and are all kept; rows are scanned one by one, repeated or not.
+The column that is added replaces one of its name; all other columns stay.
 """
 
 from __future__ import annotations

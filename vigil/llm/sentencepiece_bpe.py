@@ -12,7 +12,9 @@ No piece holds a space mark after another character, so a text is encoded run by
 other characters) and runs seen before come from a bounded table.
 
 Results for special input: a null or empty text has the begin and end ids alone and decodes to an
-empty text. Characters without a piece become byte pieces.
+empty text. Characters without a piece become byte pieces. Equal texts, repeated or not, get equal ids; ties
+of scores are merged leftmost first. A text of any length is encoded as a whole, in time that grows with its
+length. The struct column replaces a column of its name; all other columns stay.
 """
 
 from __future__ import annotations

@@ -11,7 +11,8 @@ payload that has such a line itself is put together again.
 
 Results for special input: a null html is an empty payload; a null url gives ``urn:page:`` and the id;
 line breaks in a url become spaces; a null page id stays null; repeated rows are captures of their own,
-of which one is the response.
+of which one is the response. Payloads of any length are kept whole. Only the page id, url and html are read,
+so other columns, whatever their names, don't matter.
 """
 
 from __future__ import annotations

@@ -11,7 +11,9 @@ Two ways give the same rows. While the benchmark is below ``bound`` bytes its in
 tasks; above it, both sides' fingerprints are shuffled and joined as tables.
 
 Results for special input: a null text has no words; an item without words or without an id takes no
-part; items with one id count once; rows of documents are judged one by one, repeated or not.
+part; items with one id count once; rows of documents are judged one by one, repeated or not. A span that
+several items share counts for each. Texts of any length are read as a whole. The struct column is added under
+the given name, in place of a column of that name; all other columns stay, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vigil.llm.common import arrow_column, byte_codes, each_text, gram_hashes, word_hashes, written
+from vigil.llm.common import arrow_column, byte_codes, each_text, gram_hashes, unused, word_hashes, written
 
 SPAN, K = 10, 5
 #: Bytes of benchmark text up to which its index goes to all tasks; it takes about four times as much.
@@ -209,9 +211,10 @@ def _item_windows(texts: pa.Array) -> pa.Array:
 
 def _joined(docs: DataFrame, items: DataFrame, text: str, to: str) -> DataFrame:
     """The same by joins of tables, for a benchmark of any size."""
-    key = F.sha2(F.concat_ws("|", F.coalesce(F.col(text), F.lit(""))), 256)
-    keyed = docs.withColumn("_key", key)
-    one = written(keyed.select("_key", F.col(text).alias("_text")).dropDuplicates(["_key"]).withColumn("_p", arrow_column(_prints, _LISTS, plain=True)(F.col("_text"))), "prints")
+    key = unused(docs, "key")
+    keyed = docs.withColumn(key, F.sha2(F.coalesce(F.col(text), F.lit("")), 256))
+    one = keyed.select(F.col(key).alias("_key"), F.col(text).alias("_text")).dropDuplicates(["_key"])
+    one = written(one.withColumn("_p", arrow_column(_prints, _LISTS, plain=True)(F.col("_text"))), "prints")
     windows = written(items.select("item", F.explode(arrow_column(_item_windows, _GRAMS, plain=True)(F.col("item_text"))).alias("g")).select("item", "g.size", "g.h").distinct(), "windows")
     own = items.select(F.explode(arrow_column(_prints, _LISTS, plain=True)(F.col("item_text"))["prints"]).alias("print")).distinct()
     seen = one.select("_key", F.explode(F.arrays_zip(F.col("_p.prints").alias("print"), F.col("_p.ats").alias("at"))).alias("x")).select("_key", "x.print", "x.at")
@@ -236,7 +239,8 @@ def _joined(docs: DataFrame, items: DataFrame, text: str, to: str) -> DataFrame:
     each = one.select("_key", F.col("_p.n_words").alias("n_words")).join(found.select("_key", hit.cast("long").alias("n_hit"), "items"), "_key", "left")
     each = each.withColumns({"n_hit": F.coalesce("n_hit", F.lit(0).cast("long")), "items": F.coalesce("items", F.array().cast("array<string>"))})
     result = F.struct("n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
-    return keyed.join(each.select("_key", result.alias(to)), "_key").drop("_key")
+    kept = [c for c in docs.columns if c.lower() != to.lower()]
+    return keyed.select(*kept, key).join(each.select(F.col("_key").alias(key), result.alias(to)), key).select(*kept, to)
 
 
 def oracle() -> str:
