@@ -157,6 +157,19 @@ def temporal_spatial_split(events: DataFrame, cut: str, share: float, seed: int
     return rows.withColumn("part", part)
 
 
+def by_scenario(obs: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:
+    """Rows (for, event_id, score, label): each scenario's events and all baseline ones, and everything for ``__all__``.
+
+    ``more`` names scenarios that are reported even if no event has them.
+    """
+    written_ = obs.select("event_id", "score", "truth")
+    names = written_.where("truth <> 'baseline'").select(F.col("truth").alias("for")).distinct()
+    extra = written_.sparkSession.createDataFrame([(x,) for x in (*more, "__all__")], "`for` string")
+    attack = written_.where("truth <> 'baseline'").select(F.explode(F.array("truth", F.lit("__all__"))).alias("for"), "event_id", "score", F.lit(1).alias("label"))
+    base = written_.where("truth = 'baseline'").join(F.broadcast(names.unionByName(extra))).select("for", "event_id", "score", F.lit(0).alias("label"))  # a row per scenario
+    return attack.unionByName(base)
+
+
 def attackers(events: DataFrame) -> DataFrame:
     return events.where("coalesce(scenario, 'baseline') <> 'baseline'").groupBy("scenario").agg(F.sort_array(F.collect_set("actor_email")).alias("principals"))
 

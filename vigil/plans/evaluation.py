@@ -161,3 +161,23 @@ def embedding_equivalence(spark, d):
     e = table(spark, d, "embeddings").select("vec_id", "embedding")
     by_spark = e.select("vec_id", scalars.unit(F.col("embedding")).alias("v"))
     return evaluation.max_difference(by_spark, evaluation.numpy_units(e, "vec_id", "embedding", "v"), "vec_id", "v").withColumn("max_difference", F.round("max_difference", 6))
+
+
+_AUC = "CASE WHEN count(*) FILTER (label = 1) > 0 AND count(*) FILTER (label <> 1) > 0 THEN (sum(r) FILTER (label = 1) - count(*) FILTER (label = 1) * (count(*) FILTER (label = 1) + 1) / 2.0::DOUBLE) / (count(*) FILTER (label = 1) * count(*) FILTER (label <> 1))::DOUBLE ELSE 0 END"
+
+
+@query(
+    f"""WITH s AS (SELECT DISTINCT truth AS scenario FROM obs WHERE truth <> 'baseline' UNION ALL SELECT 'none' UNION ALL SELECT '__all__'),
+  l AS (SELECT scenario, event_id, score, (truth <> 'baseline')::INT AS label FROM s JOIN obs ON truth = 'baseline' OR truth = scenario OR scenario = '__all__'),
+  a AS (SELECT scenario, round({_AUC}, 9) AS roc_auc, count(*) FILTER (label = 1) AS attacks FROM (SELECT *, rank() OVER (PARTITION BY scenario ORDER BY score) + (count(*) OVER (PARTITION BY scenario, score) - 1) / 2.0::DOUBLE AS r FROM l) GROUP BY scenario),
+  k AS (SELECT *, sum((label <> 1)::INT) OVER (PARTITION BY scenario ORDER BY score DESC, event_id) AS fp, sum((label <> 1)::INT) OVER (PARTITION BY scenario) AS neg, sum(label) OVER (PARTITION BY scenario) AS pos FROM l),
+  t AS (SELECT scenario, CASE WHEN max(pos) > 0 AND max(neg) > 0 THEN round(count(*) FILTER (label = 1 AND fp <= floor(neg * 0.01::DOUBLE + 1e-9)) / max(pos)::DOUBLE, 9) ELSE 0 END AS tpr FROM k GROUP BY scenario)
+  SELECT a.scenario, attacks, roc_auc, tpr FROM a JOIN t ON t.scenario = a.scenario""",
+    "obs",
+)
+def scenario_metrics(spark, d):
+    """Area under the curve and true positive rate at 1 % false ones, per scenario and in all; 0 where a class is empty."""
+    obs = _obs(spark, d)
+    rows = evaluation.by_scenario(obs, ("none",))
+    found = evaluation.roc_auc(rows, "for").join(evaluation.tpr_at_fpr(rows, "for", "event_id", 0.01), "for").join(rows.groupBy("for").agg(F.count_if(F.col("label") == 1).alias("attacks")), "for")
+    return found.select(F.col("for").alias("scenario"), "attacks", F.round("roc_auc", 9).alias("roc_auc"), F.round("tpr", 9).alias("tpr"))

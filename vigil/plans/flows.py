@@ -12,7 +12,7 @@ from vigil.operators import context, features, normalize, rules, transforms
 from vigil.plans.common import accepted, detections, sql
 from vigil.session import shared_path
 from vigil.sources import adapter, lake
-from vigil.streaming import intake
+from vigil.streaming import intake, service
 
 QUERIES, SQL = {}, {}
 
@@ -35,6 +35,20 @@ def _stream(spark: SparkSession, d: str) -> DataFrame:
     return intake.read_raw(spark, path, raw.schema)
 
 
+#: Where a stream's input is cut; each part is a batch.
+CUTS = ("2024-01-08", "2024-01-15", "2024-01-22")
+
+
+def _parts(df: DataFrame, path: str, first: int, last: int) -> None:
+    """Writes the rows between the cuts of these numbers, a file for each part, one after the other in time."""
+    bounds = [None, *CUTS, None]
+    for i in range(first, last):
+        low, high = bounds[i], bounds[i + 1]
+        rows = df if low is None else df.where(F.col("observed_at") >= F.lit(low).cast("timestamp_ntz"))
+        rows = rows if high is None else rows.where(F.col("observed_at") < F.lit(high).cast("timestamp_ntz"))
+        rows.coalesce(1).write.mode("append").parquet(path)
+
+
 def _run(df: DataFrame, label: str, mode: str = "append") -> DataFrame:
     """The rows that a stream gives over all files that are there, as a table."""
     spark, path = df.sparkSession, shared_path(df.sparkSession, label)
@@ -125,11 +139,11 @@ def stream_history_windows(spark, d):
 
 
 def _accepted_stream(spark, d):
+    """Accepted events in four batches in order of time."""
     events = accepted(spark, d).select("actor_email", "department", "event_id", "observed_at", "verb", "resource_id", "geo")
     path = shared_path(spark, "events")
-    events.repartitionByRange(3, "observed_at").write.parquet(path)
-    # one batch: files are read in no order of time
-    return intake.read_raw(spark, path, events.schema, files_at_once=1000)
+    _parts(events, path, 0, 4)
+    return intake.read_raw(spark, path, events.schema)
 
 
 @query("SELECT event_id, prior_events, prior_actions, prior_resource, prior_geos, geo_seen FROM context", "context")
@@ -148,3 +162,24 @@ def context_parity(spark, d):
     batch = context.detection_context(accepted(spark, d)).select("event_id", "prior_events", "prior_geos", "geo_seen").withColumn("prior_events", F.col("prior_events").cast("long")).withColumn("prior_geos", F.col("prior_geos").cast("long"))
     stream = _run(intake.context_stream(_accepted_stream(spark, d)), "context").select("event_id", "prior_events", "prior_geos", "geo_seen")
     return transforms.parity(batch, stream).agg(F.count(F.lit(1)).alias("differences"))
+
+
+@query("SELECT detection_id, event_id, score, severity FROM detections", "detections")
+def stream_pipeline(spark, d):
+    """The whole path in four batches, stopped after two and started again; equal to the batch path."""
+    raw, root = adapter.raw_events(spark, d), shared_path(spark, "service")
+    for first, last in ((0, 2), (2, 4)):
+        _parts(raw, f"{root}/in", first, last)
+        service.start(intake.read_raw(spark, f"{root}/in", raw.schema), root).awaitTermination()
+    return service.table(spark, root, "detections").select("detection_id", "event_id", "score", "severity")
+
+
+@query("SELECT source, count(*) AS raw_events, count(*) FILTER (reason IS NOT NULL) AS dead_letters, (SELECT count(*) FROM accepted a WHERE a.source = checked.source) AS accepted FROM checked GROUP BY source", "checked", "accepted")
+def stream_statistics(spark, d):
+    """Counts of all batches of the streamed path, summed."""
+    raw, root = adapter.raw_events(spark, d), shared_path(spark, "service")
+    _parts(raw, f"{root}/in", 0, 4)
+    service.start(intake.read_raw(spark, f"{root}/in", raw.schema), root).awaitTermination()
+    counted = service.table(spark, root, "stats").groupBy("source").agg(F.sum("raw_events").alias("raw_events"), F.sum("dead_letters").alias("dead_letters"))
+    kept = service.table(spark, root, "accepted").groupBy("source").agg(F.count(F.lit(1)).alias("accepted"))
+    return counted.join(kept, "source", "left").fillna(0, ["accepted"])

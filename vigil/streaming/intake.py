@@ -90,22 +90,21 @@ _STATE = "events long, verbs map<string,long>, resources map<string,long>, geos
 
 def _context(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
     """Counters of one principal. Rows of a batch go in order of time; what came in earlier batches is history."""
-    if state.exists:
-        n, verbs, resources, geos = state.get
-        verbs, resources, geos = dict(verbs), dict(resources), dict(geos)
-    else:
-        n, verbs, resources, geos = 0, {}, {}, {}
-    out = []
-    for r in pd.concat(list(frames)).sort_values(["observed_at", "event_id"]).itertuples():
-        geo = r.geo or None
-        out.append((r.event_id, n, verbs.get(r.verb, 0), resources.get(r.resource_id, 0), len(geos), geo in geos))
-        n += 1
-        verbs[r.verb] = verbs.get(r.verb, 0) + 1
-        resources[r.resource_id] = resources.get(r.resource_id, 0) + 1
-        if geo:
-            geos[geo] = geos.get(geo, 0) + 1
-    state.update((n, verbs, resources, geos))
-    yield pd.DataFrame(out, columns=[c.strip().split(" ")[0] for c in CONTEXT.split(",")])
+    n, *maps = state.get if state.exists else (0, {}, {}, {})
+    maps = dict(zip(("verb", "resource_id", "geo"), map(dict, maps)))
+    pdf = pd.concat(list(frames)).sort_values(["observed_at", "event_id"])
+    pdf["geo"] = pdf["geo"].where(pdf["geo"] != "")
+    # before a row: what earlier batches had of its value, and its earlier rows here
+    prior = {name: (pdf[name].map(had).fillna(0) + pdf.groupby(name).cumcount()).where(pdf[name].notna(), 0).astype("int64") for name, had in maps.items()}
+    fresh = pdf["geo"].notna() & (prior["geo"] == 0)
+    out = pd.DataFrame({"event_id": pdf["event_id"], "prior_events": range(n, n + len(pdf)), "prior_actions": prior["verb"], "prior_resource": prior["resource_id"]})
+    out["prior_geos"] = len(maps["geo"]) + fresh.cumsum() - fresh
+    out["geo_seen"] = prior["geo"] > 0
+    for name, had in maps.items():
+        for value, more in pdf[name].value_counts().items():
+            had[value] = had.get(value, 0) + int(more)
+    state.update((n + len(pdf), *maps.values()))
+    yield out
 
 
 def context_stream(events: DataFrame) -> DataFrame:
