@@ -267,3 +267,12 @@ def mode_report(spark, d):
 
     rows = _by_model(spark, d)
     return modes.report(written(evaluation.observations(rows, rules.MEDIUM), "obs"), "rules").unionByName(modes.report(written(modes.observations(rows), "obs"), "model"))
+
+
+@query
+def principal_scores(spark, d):
+    """Every active principal over its distinct resources: distances of untrained towers, clustered by the resources' vectors."""
+    rows, towers = _examples(spark, d)
+    unit = written(model.units(model.pooled(towers), towers.layers), "units").where("side = 'a'").select(F.col("key").alias("resource_key"), F.col("u").alias("vector"))
+    own = model.distances(rows, towers).select("principal_key", "resource_key", "source", F.get("distances", 0).alias("score")).distinct()
+    return model.cluster_scores(own.join(unit, "resource_key").select(F.col("principal_key").alias("principal"), "vector", "score"))
