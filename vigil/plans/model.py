@@ -89,20 +89,37 @@ def _examples(spark, d, blank: tuple[str, ...] = ()):
     return rows, model.towers(written(model.members(acc, people, context), "members"))
 
 
-def _trained(spark, d, epochs: int = 4, blank: tuple[str, ...] = ()):
+#: Models by application and input, so that queries on one model train it once; their tables are in the shared folder.
+_MODELS: dict[tuple, tuple] = {}
+
+
+def _once(spark, key: tuple, make):
+    full = (spark.sparkContext.applicationId, *key)
+    if full not in _MODELS:
+        _MODELS[full] = make()
+    return _MODELS[full]
+
+
+def _train(spark, d, epochs: int = 4, blank: tuple[str, ...] = ()):
     rows, towers = _examples(spark, d, blank)
     trained, losses = model.train(rows.where("NOT held_out").drop("held_out"), towers, epochs)
     return rows, trained, losses
 
 
+def _trained(spark, d, blank: tuple[str, ...] = ()):
+    return _once(spark, ("trained", d, blank), lambda: _train(spark, d, blank=blank))
+
+
 def _held_out(rows, trained):
     return model.distances(rows.where("held_out").drop("held_out"), trained)
 
 
 @query
 def train_two_tower(spark, d):
-    """Loss before each round."""
-    _, _, losses = _trained(spark, d)
+    """Loss before each round. Always trains, and leaves the model to the queries below."""
+    found = _train(spark, d)
+    _MODELS[spark.sparkContext.applicationId, "trained", d, ()] = found
+    losses = found[2]
     return spark.createDataFrame(list(enumerate(losses)), "round long, loss double")
 
 
@@ -168,8 +185,12 @@ def cluster_score(spark, d):
 
 def _seeded(spark, d):
     """All pairs with their distances by untrained towers, whose weights follow from hashes, so that SQL has them too."""
-    rows, towers = _examples(spark, d)
-    return written(model.distances(rows, towers), "distances")
+
+    def make():
+        rows, towers = _examples(spark, d)
+        return (written(model.distances(rows, towers), "distances"),)
+
+    return _once(spark, ("seeded", d), make)[0]
 
 
 @checked("SELECT resource_key, principal_key, source, slot, round(d, 6) AS distance FROM dist")
@@ -203,6 +224,10 @@ def activation_gate(spark, d):
 
 
 def _by_model(spark, d):
+    return _once(spark, ("modes", d), lambda: (_scored_by_model(spark, d),))[0]
+
+
+def _scored_by_model(spark, d):
     """Events scored by rules, with the model's scores of pairs that aren't held out; for the others the rules decide."""
     e, found = accepted(spark, d), _seeded(spark, d)
     requests = modes.scoring_requests(e, features.accessors(e), features.static_profiles(e, adapter.principals(spark, d)))
