@@ -35,6 +35,7 @@ def _sql_normal(key: str) -> str:
 
 
 _STATIC = model.CONTEXT_FIELDS[5:]
+_DISTANCE = "greatest(0, least(1, 1 - list_inner_product(a.u, c.u)))"
 #: The forward pass of untrained towers in SQL: pooling, layers, unit vectors, distances of pairs and samples.
 _FORWARD = f"""
   rvocab AS (SELECT key, row_number() OVER (ORDER BY key) - 1 AS idx FROM (SELECT DISTINCT resource_key AS key FROM accessors)),
@@ -46,7 +47,7 @@ _FORWARD = f"""
     UNION ALL SELECT 'c', principal_key, CASE peer_type WHEN 'manager' THEN 3 ELSE 4 END, idx, w FROM mpeers JOIN vocab ON vocab.key = peer_key
     {" ".join(f"UNION ALL SELECT 'c', principal_key, {6 + k}, coalesce(i, 0), 1 FROM static LEFT JOIN (SELECT {c} AS v, row_number() OVER (ORDER BY {c}) AS i FROM (SELECT DISTINCT {c} FROM static)) ON v = {c}" for k, c in enumerate(_STATIC))}),
   emb AS (SELECT f, i, j, 0.3::DOUBLE * {_sql_normal("'e|' || f || '|' || i || '|' || j")} AS e FROM (SELECT DISTINCT f, i FROM members), range(0, 8) r(j)),
-  x AS (SELECT side, key, greatest(f - 1, 0) * 8 + j AS c, sum(w * e) AS x FROM members JOIN emb USING (f, i) GROUP BY ALL),
+  x AS (SELECT side, key, greatest(f - 1, 0) * 8 + j AS c, sum(w * e) AS x FROM members JOIN emb USING (f, i) WHERE f NOT IN (-1) GROUP BY ALL),
   w1 AS (SELECT side, c, h, {_sql_normal("side || '|w1|' || c || '|' || h")} / sqrt(n) AS w FROM (SELECT 'a' AS side, unnest(range(0, 8)) AS c, 8 AS n UNION ALL SELECT 'c', unnest(range(0, 72)), 72), range(0, 32) r(h)),
   w2 AS (SELECT side, h, o, {_sql_normal("side || '|w2|' || h || '|' || o")} / sqrt(32) AS w FROM (VALUES ('a'), ('c')) s(side), range(0, 32) r(h), range(0, 16) q(o)),
   hid AS (SELECT side, key, h, greatest(0, sum(x * w)) AS v FROM x JOIN w1 USING (side, c) GROUP BY ALL),
@@ -58,7 +59,7 @@ _FORWARD = f"""
   sampled AS (SELECT *, ('0x' || substr(sha256(resource_key || ':' || principal_key || ':' || source || ':' || i || ':7'), 1, 8))::BIGINT % (n - 1) AS y FROM drawn),
   slots AS (SELECT resource_key, principal_key, source, 0 AS slot, principal_key AS who FROM pairs
     UNION ALL SELECT s.resource_key, s.principal_key, s.source, s.i, o.principal_key FROM sampled s JOIN people_ o ON o.idx = CASE WHEN y >= s.idx THEN y + 1 ELSE y END),
-  dist AS (SELECT resource_key, principal_key, source, slot, greatest(0, least(1, 1 - list_inner_product(a.u, c.u))) AS d FROM slots JOIN u a ON a.side = 'a' AND a.key = resource_key JOIN u c ON c.side = 'c' AND c.key = who),
+  dist AS (SELECT resource_key, principal_key, source, slot, {_DISTANCE} AS d FROM slots JOIN u a ON a.side = 'a' AND a.key = resource_key JOIN u c ON c.side = 'c' AND c.key = who),
   own AS (SELECT resource_key, principal_key, source, d FROM dist WHERE slot = 0),
   metric AS (SELECT o.source, o.d, (o.d < min(s.d))::INT::DOUBLE AS top, count(*) FILTER (s.d > o.d) / count(*)::DOUBLE AS wins, avg(s.d) - o.d AS margin FROM own o JOIN dist s USING (resource_key, principal_key, source) WHERE slot > 0 GROUP BY o.resource_key, o.principal_key, o.source, o.d),
   metric2 AS (SELECT * FROM metric UNION ALL SELECT '__all__', d, top, wins, margin FROM metric),
@@ -301,3 +302,24 @@ def principal_scores(spark, d):
     unit = written(model.units(model.pooled(towers), towers.layers), "units").where("side = 'a'").select(F.col("key").alias("resource_key"), F.col("u").alias("vector"))
     own = model.distances(rows, towers).select("principal_key", "resource_key", "source", F.get("distances", 0).alias("score")).distinct()
     return model.cluster_scores(own.join(unit, "resource_key").select(F.col("principal_key").alias("principal"), "vector", "score"))
+
+
+def _ablated_sql(config: str) -> str:
+    gone = ", ".join(str(model.CONTEXT_FIELDS.index(n) + 1) for n in ABLATIONS[config])
+    return f"SELECT '{config}' AS config, * FROM (WITH {_FORWARD.replace('NOT IN (-1)', f'NOT IN ({gone})').replace(_DISTANCE, f'round({_DISTANCE}, 9)')} SELECT pairs, round(top_1, 6) AS top_1, round(win_rate, 6) AS win_rate, round(mean_margin, 6) AS mean_margin FROM metrics WHERE source = '__all__')"
+
+
+def seeded_ablation(spark, d):
+    """Retrieval by untrained towers without histories, and without static attributes."""
+    out = None
+    for config in ("no_history", "no_static"):
+        rows, towers = _examples(spark, d, ABLATIONS[config])
+        # contexts that became equal must tie, whatever the order of the sums
+        found = model.distances(rows, towers).withColumn("distances", F.transform("distances", lambda x: F.round(x, 9)))
+        one = model.retrieval(found).where("source = '__all__'").select(F.lit(config).alias("config"), "pairs", *(F.round(c, 6).alias(c) for c in ("top_1", "win_rate", "mean_margin")))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+QUERIES["seeded_ablation"] = seeded_ablation
+SQL["seeded_ablation"] = sql(" UNION ALL ".join(map(_ablated_sql, ("no_history", "no_static"))), *_NEEDS)
