@@ -83,7 +83,7 @@ class _Runs(dict):
 class Codec:
     """Encodes and decodes with a merge-type SentencePiece model given as the bytes of its file."""
 
-    def __init__(self, model: bytes, most_runs: int = 1 << 18, most_pairs: int = 400_000):
+    def __init__(self, model: bytes, most_runs: int = 1_000_000, most_pairs: int = 400_000):
         pieces, plain = [], {}
         for number, value in _fields(model):
             if number == 1:
@@ -247,7 +247,7 @@ class Codec:
         return b"".join(out)
 
     def forget(self) -> None:
-        """Drops the runs seen so far, some 50 MB at most. Pairs, 60 MB at most, stay: all texts have the same."""
+        """Drops the runs seen so far, some 200 MB at most. Pairs, 60 MB at most, stay: all texts have the same."""
         self.seen.clear()
 
     def _surface(self, piece: str, kind: int) -> bytes:
@@ -312,7 +312,10 @@ def read_model(path: str) -> bytes:
 
 
 def encode(docs: DataFrame, model: bytes, *, text: str = "text", to: str = "tokens") -> DataFrame:
-    """Adds a struct column: the ids with begin and end, and the text that they decode to."""
+    """Adds a struct column: the ids with begin and end, and the text that they decode to.
+
+    Made for pipelines: the worker drops the runs it has seen when a task ends, so that other stages have the memory.
+    """
 
     def work(texts: list) -> pa.Array:
         c = codec(model)
@@ -323,7 +326,7 @@ def encode(docs: DataFrame, model: bytes, *, text: str = "text", to: str = "toke
 
 
 def digests(docs: DataFrame, model: bytes, *, text: str = "text", to: str = "tokens") -> DataFrame:
-    """Adds a struct column: number of ids, SHA-256 of the ids and of the text that they decode to."""
+    """Adds a struct column: number of ids, SHA-256 of the ids and of the text that they decode to. Runs are kept from task to task."""
 
     def work(texts: list) -> pa.Array:
         c = codec(model)
@@ -336,4 +339,4 @@ def digests(docs: DataFrame, model: bytes, *, text: str = "text", to: str = "tok
             of_text.append(hashlib.sha256(c.decode(ids).encode("utf-8", "surrogatepass")).hexdigest())
         return pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())], ["n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.withColumn(to, arrow_column(work, DIGESTS, after=lambda: codec(model).forget())(F.col(text)))
+    return docs.withColumn(to, arrow_column(work, DIGESTS)(F.col(text)))
