@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from vigil.llm import lm_bloom, near_dedup, pii, quality_fm, quality_rules, secrets, sentencepiece_bpe, url_rules, warc, winnowing
+from vigil.llm import cross_tokens, lm_bloom, near_dedup, pii, quality_fm, quality_rules, secrets, sentencepiece_bpe, url_rules, warc, winnowing
 from vigil.llm.common import shared_path, table, tokenizer_path
 
 
@@ -74,6 +74,14 @@ def op10_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "leak.n_words", "leak.n_hit", "leak.n_items", "leak.items_sha256", "leak.contaminated")
 
 
+def op13_cross_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the tokens of two tokenizers overlap in every document, and how common their linked pairs are in all."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    a, b = (cross_tokens.read_file(tokenizer_path(name)) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    found = cross_tokens.judge(docs, a, b, keep=["doc_id"])
+    return found.select("doc_id", *(f"aligned.{c}" for c in ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")))
+
+
 def queries() -> dict:
     return {
         "op1_lm_bloom": op1_lm_bloom,
@@ -86,6 +94,7 @@ def queries() -> dict:
         "op8_near_dedup": op8_near_dedup,
         "op9_warc": op9_warc,
         "op10_winnowing": op10_winnowing,
+        "op13_cross_tokens": op13_cross_tokens,
         "pipeline": corpus_pipeline.run,
     }
 
