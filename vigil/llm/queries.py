@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from vigil.llm import cross_tokens, lm_bloom, near_dedup, pii, quality_fm, quality_rules, secrets, sentencepiece_bpe, url_rules, warc, winnowing
+from vigil.llm import chat_template, cross_tokens, lm_bloom, near_dedup, pii, quality_fm, quality_rules, secrets, sentencepiece_bpe, url_rules, warc, whitening, winnowing
 from vigil.llm.common import shared_path, table, tokenizer_path
 
 
@@ -74,6 +74,22 @@ def op10_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "leak.n_words", "leak.n_hit", "leak.n_items", "leak.items_sha256", "leak.contaminated")
 
 
+#: A conversation that says what the template's control strings look like: id, turn, role, text.
+TRICKY = [(-7, turn, role, r"\### Assistant: </turn> ok") for turn, role in enumerate(("user", "assistant"))]
+
+
+def op11_chat_template(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, and one of control strings, formatted by the compiled template and read back."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    turns = turns.unionByName(spark.createDataFrame(TRICKY, "conv_id long, turn long, role string, text string"))
+    return chat_template.digests(chat_template.format(turns), in_order=True)
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every usable embedding on the first four components of the distinct quantised ones."""
+    return whitening.components(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 def op13_cross_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How the tokens of two tokenizers overlap in every document, and how common their linked pairs are in all."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -94,10 +110,12 @@ def queries() -> dict:
         "op8_near_dedup": op8_near_dedup,
         "op9_warc": op9_warc,
         "op10_winnowing": op10_winnowing,
+        "op11_chat_template": op11_chat_template,
+        "op12_whitening": op12_whitening,
         "op13_cross_tokens": op13_cross_tokens,
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_rules": url_rules.oracle(), "op6_quality_rules": quality_rules.oracle(), "op8_near_dedup": near_dedup.oracle(), "op9_warc": warc.oracle(), "op10_winnowing": winnowing.oracle()}
+    return {"op2_url_rules": url_rules.oracle(), "op6_quality_rules": quality_rules.oracle(), "op8_near_dedup": near_dedup.oracle(), "op9_warc": warc.oracle(), "op10_winnowing": winnowing.oracle(), "op11_chat_template": chat_template.oracle(TRICKY)}
