@@ -149,3 +149,34 @@ def test_long_private_key_blocks_are_found():
     for text in (block, f"a {block} b\n{block}", "-----BEGIN RSA PRIVATE KEY-----\n" + block):
         found = [text[s:e] for k, s, e in secrets.spans(text)[1] if k == "pem"]
         assert found == [block] * text.count("-----END")
+
+
+def der_of(tag, body):
+    n = len(body)
+    return bytes([tag]) + (bytes([n]) if n < 128 else bytes([0x80 + (n.bit_length() + 7) // 8]) + n.to_bytes((n.bit_length() + 7) // 8, "big")) + body
+
+
+def strings(*parts):
+    return b"".join(len(p).to_bytes(4, "big") + p for p in parts)
+
+
+def test_kinds_of_keys_by_their_structure():
+    num = lambda b: der_of(2, b)
+    zero, big, half, e, oid = num(b"\0"), num(b"\x01" * 128), num(b"\x03" * 64), num(b"\x01\0\x01"), der_of(0x30, der_of(6, b"\x2a\x86\x48\x01") + b"\x05\0")
+    keys = [
+        zero + big + e + big + half * 5, zero + big + e + big, big + e, zero + big + num(b"\x05" * 20) + big + big + num(b"\x07" * 20),
+        zero + oid + der_of(4, b"k" * 48), num(b"\x01") + der_of(4, b"k" * 32) + der_of(0xA0, der_of(6, b"\x2b\x81\x04\0\x22")), oid + der_of(3, b"\0" + b"k" * 65), oid + der_of(4, b"k" * 64),
+    ]
+    others = [zero * 10, num(b"\x01") * 12, zero + big + e, big + big, zero + oid, zero + oid + der_of(4, b"k"), num(b"\x02") + der_of(4, b"k" * 32), oid + der_of(3, b"\x01" + b"k" * 40), der_of(0x30, zero) + der_of(3, b"\0" * 40), big + num(b"\x02")]
+    assert all(secrets.is_der_key(der_of(0x30, k)) for k in keys) and not any(secrets.is_der_key(der_of(0x30, k)) for k in others)
+    public = strings(b"ssh-ed25519", b"k" * 32)
+    head = b"openssh-key-v1\0" + strings(b"none", b"none", b"")
+    good = head + (1).to_bytes(4, "big") + strings(public, b"p" * 136)
+    bad = [b"openssh-key-v1\0" + bytes(4), head + (2).to_bytes(4, "big") + strings(public, b"p" * 136), good[:-1], good + b"\0", head + (1).to_bytes(4, "big") + strings(b"x" * 51, b"p" * 136), strings(b"ssh-rsa", b"")]
+    assert secrets.is_ssh_key(good) and secrets.is_ssh_key(public) and not any(map(secrets.is_ssh_key, bad))
+    block = lambda data, kind: f"-----BEGIN {kind}PRIVATE KEY-----\n{base64.b64encode(data).decode()}\n-----END {kind}PRIVATE KEY-----"
+    found = lambda t: [k for k, _, _ in secrets.spans(t)[1] if secrets.RANK[k] >= secrets.BASE]
+    assert found(block(good, "OPENSSH ")) == found(block(good, "A VERY LONG NAME OF A KIND OF KEY THAT NO ONE USES BUT FOR TESTS ")) == ["pem"]
+    assert found(block(bad[0], "OPENSSH ")) == found(block(der_of(0x30, zero * 10), "")) == []
+    url = base64.urlsafe_b64encode(der_of(0x30, zero + oid + der_of(4, b"\xfb\xff\xfe" * 40))).decode()
+    assert "-" in url and "_" in url and found(f"x {url} y") == ["der"] and found("_-" * 400) == []

@@ -1,8 +1,8 @@
 """Secret scans (operator 4).
 
 Patterns propose spans; what a pattern alone can't tell is confirmed by structure before it is added:
-base64 and hex candidates are decoded and read as keys (DER with nested lengths that add up, OpenSSH
-and SSH wire strings), and signed tokens must have a JSON header that names its algorithm.
+base64 (of either alphabet) and hex candidates are decoded and read as keys (DER with nested lengths that add up and the
+elements of a kind of key, OpenSSH files whose strings fill them, SSH wire strings), and signed tokens must have a JSON header that names its algorithm.
 
 Kinds, in this order where spans begin at one place:
 
@@ -40,11 +40,12 @@ _ASSIGN = re.compile(r"""(?ai:password|passwd|secret|token|api_?key)["']?\x20*[:
 _ACCESS = re.compile("AKIA[A-Z0-9]+")
 _HEX = re.compile("[0-9a-f]{24,}")
 _JWT = re.compile(r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
-_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,40}PRIVATE KEY)-----")
+_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----")
 _BASE64 = re.compile(r"[A-Za-z0-9+/]{40,}={0,2}")
+_URL64 = re.compile(r"[A-Za-z0-9_-]{40,}={0,2}")
 _LONG_HEX = re.compile(r"[0-9A-Fa-f]{64,}")
-#: For a quick look whether a text has a long run at all: hex digits become "h", other base64 "b".
-_CLASS = bytes(104 if chr(i) in "0123456789abcdef" else 98 if chr(i) in "ABCDEFGHIJKLMNOPQRSTUVWXYZghijklmnopqrstuvwxyz+/" else 32 for i in range(256))
+#: For a quick look whether a text has a long run at all: hex digits become "h", other base64 "b", what only urls' base64 has "-".
+_CLASS = bytes(104 if chr(i) in "0123456789abcdef" else 98 if chr(i) in "ABCDEFGHIJKLMNOPQRSTUVWXYZghijklmnopqrstuvwxyz+/" else 45 if chr(i) in "-_" else 32 for i in range(256))
 _ONE_CLASS = bytes(98 if x != 32 else 32 for x in _CLASS)
 #: Names of key types in SSH's wire format.
 SSH_TYPES = (b"ssh-rsa", b"ssh-dss", b"ssh-ed25519", b"ecdsa-sha2-nistp256", b"ecdsa-sha2-nistp384", b"ecdsa-sha2-nistp521")
@@ -90,42 +91,94 @@ def der_length(data: bytes, at: int) -> tuple[int, int] | None:
     return (at + n, at + n + size) if size >= 128 else None
 
 
-def is_der_key(data: bytes) -> bool:
-    """A SEQUENCE that fills the data, whose elements' lengths add up, beginning with a version or an algorithm."""
-    if len(data) < 32 or data[0] != 0x30 or (outer := der_length(data, 1)) is None or outer[1] != len(data):
-        return False
-    at, end = outer
-    tags = []
+def elements(data: bytes, at: int, end: int) -> list[tuple[int, int, int]] | None:
+    """Tag, start and end of the DER elements that fill this range, or none if their lengths don't add up."""
+    out = []
     while at < end:
-        tag = data[at]
         inner = der_length(data, at + 1)
-        if inner is None or inner[1] > end or tag & 0x1F == 0x1F:
-            return False
-        tags.append(tag)
-        if tag == 0x30:  # an algorithm: its elements must add up too
-            i, stop = inner
-            while i < stop:
-                deep = der_length(data, i + 1)
-                if deep is None or deep[1] > stop:
-                    return False
-                i = deep[1]
+        if inner is None or inner[1] > end or data[at] & 0x1F == 0x1F:
+            return None
+        out.append((data[at], *inner))
         at = inner[1]
-    return len(tags) >= 2 and (tags[:2] in ([0x02, 0x30], [0x02, 0x02], [0x02, 0x04], [0x30, 0x03]))
+    return out
 
 
-def is_ssh_key(data: bytes) -> bool:
-    """Strings with their lengths before them, the first a key type, that fill the data; or an OpenSSH key file."""
-    if data.startswith(b"openssh-key-v1\0"):
-        n = int.from_bytes(data[15:19], "big")
-        return len(data) >= 19 + n and n <= 64
-    at, parts = 0, []
-    while at + 4 <= len(data):
+def _names_algorithm(data: bytes, start: int, end: int) -> bool:
+    """A SEQUENCE's content that begins with an object identifier."""
+    inner = elements(data, start, end)
+    return bool(inner) and inner[0][0] == 0x06 and inner[0][2] - inner[0][1] >= 3 and data[inner[0][2] - 1] < 0x80
+
+
+def _integers(data: bytes, found: list[tuple[int, int, int]]) -> bool:
+    """RSA public (2), RSA private (4, or 9 with both primes), DSA private (6): sizes that fit each other."""
+    sizes = [e - s for _, s, e in found]
+    value = lambda i: int.from_bytes(data[found[i][1] : found[i][2]], "big")
+    if not all(sizes):
+        return False
+    if len(sizes) == 2:
+        return sizes[0] >= 64 and 1 <= sizes[1] <= 9 and value(1) % 2 == 1 and value(1) >= 3
+    if len(sizes) == 6:  # version, p, q, g, y, x
+        return value(0) == 0 and sizes[1] >= 64 and 20 <= sizes[2] <= 65 and all(1 <= sizes[i] <= sizes[1] + 1 for i in (3, 4)) and 1 <= sizes[5] <= sizes[2] + 1
+    if len(sizes) not in (4, 9):
+        return False
+    whole = value(0) in (0, 1) and sizes[1] >= 64 and value(2) % 2 == 1 and 3 <= value(2) < value(1) and sizes[1] // 4 <= sizes[3] <= sizes[1] + 1
+    return whole and (len(sizes) == 4 or (all(1 <= x <= sizes[1] // 2 + 2 for x in sizes[4:]) and value(4) > 1 and value(5) > 1))
+
+
+def is_der_key(data: bytes) -> bool:
+    """A SEQUENCE that fills the data and whose elements are those of a kind of key.
+
+    Integers as RSA and DSA keys have them; a version, an algorithm and an octet string (PKCS#8); a version of 1 and the octets
+    of an elliptic curve's private key; an algorithm and a bit string (public) or an octet string (encrypted).
+    """
+    if len(data) < 32 or data[0] != 0x30 or (outer := der_length(data, 1)) is None or outer[1] != len(data):
+        return False
+    found = elements(data, *outer)
+    if not found or len(found) < 2:
+        return False
+    tags = [t for t, _, _ in found]
+    if set(tags) == {0x02}:
+        return _integers(data, found)
+    (_, start, end), (_, start2, end2) = found[:2]
+    if tags[0] == 0x02:
+        version = int.from_bytes(data[start:end], "big")
+        if tags[1] == 0x30:
+            return version in (0, 1) and tags[2:3] == [0x04] and found[2][2] - found[2][1] >= 16 and _names_algorithm(data, start2, end2)
+        return tags[1] == 0x04 and version == 1 and 20 <= end2 - start2 <= 72
+    # an unused-bits byte of 0 before a public key's bits
+    return tags[0] == 0x30 and len(tags) == 2 and _names_algorithm(data, start, end) and end2 - start2 >= 16 and (tags[1] == 0x04 or (tags[1] == 0x03 and data[start2] == 0))
+
+
+def _strings(data: bytes, at: int, end: int, most: int | None = None) -> tuple[list[bytes], int] | None:
+    """Strings with their lengths before them up to the end, or so many of them, and where they end."""
+    out = []
+    while at < end if most is None else len(out) < most:
         n = int.from_bytes(data[at : at + 4], "big")
-        if at + 4 + n > len(data):
-            return False
-        parts.append(data[at + 4 : at + 4 + n])
+        if at + 4 + n > end:
+            return None
+        out.append(data[at + 4 : at + 4 + n])
         at += 4 + n
-    return at == len(data) and len(parts) >= 2 and parts[0] in SSH_TYPES
+    return out, at
+
+
+def _is_wire_key(data: bytes) -> bool:
+    found = _strings(data, 0, len(data))
+    return bool(found) and len(found[0]) >= 2 and found[0][0] in SSH_TYPES and sum(map(len, found[0][1:])) >= 32
+
+
+def is_ssh_key(data: bytes) -> bool:
+    """Strings with their lengths before them, the first a key type, that fill the data; or an OpenSSH key file.
+
+    The file holds the names of cipher and key derivation, its options, the number of keys, so many public keys, and the private part.
+    """
+    if not data.startswith(b"openssh-key-v1\0"):
+        return _is_wire_key(data)
+    names = _strings(data, 15, len(data), 3)
+    if not names or not all(re.fullmatch(rb"[a-z0-9@.-]{1,64}", n) for n in names[0][:2]):
+        return False
+    number = int.from_bytes(data[names[1] : names[1] + 4], "big")
+    keys = _strings(data, names[1] + 4, len(data))
+    return bool(keys) and 1 <= number == len(keys[0]) - 1 and all(map(_is_wire_key, keys[0][:-1])) and len(keys[0][-1]) >= 32 and len(keys[0][-1]) % 8 == 0
 
 
 def decoded64(text: str) -> bytes | None:
@@ -176,7 +229,8 @@ def confirmed(text: str, long64: bool) -> list[tuple[str, int, int]]:
                     out.append(("pem", m.start(), end + len(close)))
     if long64:
         inside = [(s, e) for k, s, e in out if k in ("pem", "jwt")]
-        for m in _BASE64.finditer(text):
+        both = [m for p in (_BASE64, _URL64) for m in p.finditer(text) if p is _BASE64 or "-" in m[0] or "_" in m[0]]
+        for m in both:
             found = m[0]
             if any(s <= m.start() < e for s, e in inside):
                 continue
