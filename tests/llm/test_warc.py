@@ -47,3 +47,21 @@ def test_nested_rows_have_payload_and_request(spark):
 
 def test_empty(spark, tmp_path):
     assert queries.op9_warc(spark, store(spark.createDataFrame([], "page_id long, url string, html string"), tmp_path, "pages")).count() == 0
+
+
+def test_own_names_in_the_input_and_repeats(spark, monkeypatch):
+    rows, df = pages(spark)
+    own = ("_stored", "_row", "_payload", "_bytes", "_sha1", "_revisit", "_page", "_url", "_nth", "_copies", "_n", "value", "page", "file", "piece")
+    twice = df.unionByName(df)
+    expected = None
+    for most in (warc.MOST_REPEATS, 0):
+        monkeypatch.setattr(warc, "MOST_REPEATS", most)
+        for frame in (twice, twice.orderBy(F.rand(3)).repartition(7).select("*", *(F.lit("own").alias(c) for c in own))):
+            path = shared_path(spark, "warc-test")
+            warc.write(frame, path)
+            found = sorted(map(tuple, warc.captures(spark, path).collect()), key=repr)
+            expected = expected or found
+            assert found == expected and len(found) == 2 * len(rows)
+    # each group of equal payloads of 1000 bytes has one response
+    big = [r for r in expected if r[1] >= 1000]
+    assert all(sum(r[3] == "response" for r in big if r[2] == d) == 1 for d in {r[2] for r in big})

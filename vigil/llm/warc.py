@@ -11,7 +11,8 @@ payload that has such a line itself is put together again.
 
 Results for special input: a null html is an empty payload; a null url gives ``urn:page:`` and the id;
 line breaks in a url become spaces; a null page id stays null; repeated rows are captures of their own,
-of which one is the response. Payloads of any length are kept whole. Only the page id, url and html are read,
+of which one is the response; of rows with the
+largest id and equal payloads but several urls the last url is it. Payloads of any length are kept whole. Only the page id, url and html are read,
 so other columns, whatever their names, don't matter.
 """
 
@@ -24,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vigil.llm.common import written
+
 VERSION = "WARC/1.1"
 LEAST = 1000
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -37,9 +40,9 @@ _ARROW = pa.schema(
 )
 
 
-def _urn(kind: str, page: Column, row: Column) -> Column:
-    """A record id from the page, the row and the kind of record."""
-    h = F.md5(F.concat_ws("|", F.lit(kind), page.cast("string"), row.cast("string")))
+def _urn(kind: str, *parts: Column) -> Column:
+    """A record id from the kind of record and what tells its page from others."""
+    h = F.md5(F.concat_ws("|", F.lit(kind), *(F.coalesce(F.concat(F.lit("="), p.cast("string")), F.lit("")) for p in parts)))
     part = [F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]
     return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *part), F.lit(">"))
 
@@ -51,38 +54,62 @@ def _record(head: dict[str, Column], block: Column) -> Column:
     return F.concat(F.concat_ws("\r\n", F.lit(VERSION), *lines, size), F.lit("\r\n\r\n"), block)
 
 
-def plan_captures(pages: DataFrame, *, page: str = "page_id", html: str = "html", least: int = LEAST) -> DataFrame:
-    """The pages with payload, its size and digest, and the capture that each revisit refers to.
+#: Repeated rows up to which their keys are broadcast.
+MOST_REPEATS = 100_000
+_KEYS = ["_sha1", "_bytes", "_page", "_url"]
+
 
-    The payloads are shuffled once, by digest; a digest that many rows have is split by adaptive execution.
+def plan_captures(pages: DataFrame, *, page: str = "page_id", url: str = "url", html: str = "html", least: int = LEAST) -> DataFrame:
+    """Id, url, payload, its size and digest, the number among equal rows, and the capture that each revisit refers to.
+
+    Everything is told by content, so a task that runs again gives the same. Keys without payloads are counted and written
+    down first; payloads are shuffled once, by digest, and a digest that many rows have is split by adaptive execution.
+    Rows equal in all three columns are brought together, counted, and numbered; there are none in most tables.
     """
-    rows = pages.withColumn("_row", F.monotonically_increasing_id()).withColumn("_payload", F.coalesce(F.col(html), F.lit("")))
+    rows = pages.select(F.col(page).alias("_page"), F.col(url).cast("string").alias("_url"), F.coalesce(F.col(html), F.lit("")).alias("_payload"))
     rows = rows.withColumn("_bytes", F.octet_length("_payload").cast("long")).withColumn("_sha1", F.sha1(F.col("_payload").cast("binary")))
-    stored = rows.where(F.col("_bytes") >= least).groupBy("_sha1", "_bytes").agg(F.max(F.struct(F.col(page).alias("page"), F.col("_row").alias("row"))).alias("_stored"), F.count(F.lit(1)).alias("_n"))
+    keys = written(rows.groupBy(*_KEYS).agg(F.count(F.lit(1)).alias("_copies")), "warc-keys")
+    stored = keys.where(F.col("_bytes") >= least).groupBy("_sha1", "_bytes").agg(F.max(F.struct(F.col("_page").alias("page"), F.col("_url").alias("url"))).alias("_stored"), F.sum("_copies").alias("_n"))
     stored = stored.where("_n > 1").select("_sha1", "_bytes", "_stored")
-    return rows.join(stored, ["_sha1", "_bytes"], "left").withColumn("_revisit", F.coalesce(F.col("_stored.row") != F.col("_row"), F.lit(False)))
+    repeats = keys.where("_copies > 1")
+    n_repeats = repeats.count()
+    single = rows.withColumn("_nth", F.lit(1))
+    if n_repeats:
+        repeats = F.broadcast(repeats) if n_repeats <= MOST_REPEATS else repeats
+        same = [F.col(f"r.{c}").eqNullSafe(F.col(f"k.{c}")) for c in _KEYS]
+        which = same[0] & same[1] & same[2] & same[3]
+        many = rows.alias("r").join(repeats.alias("k"), which).select("r.*", "k._copies").groupBy(*_KEYS).agg(F.first("_payload").alias("_payload"), F.first("_copies").alias("_copies"))
+        many = many.select("_page", "_url", "_payload", "_bytes", "_sha1", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))).alias("_nth"))
+        single = rows.alias("r").join(repeats.alias("k"), which, "left_anti").withColumn("_nth", F.lit(1)).unionByName(many)
+    first = (F.col("_nth") == 1) & F.col("_page").eqNullSafe(F.col("_stored.page")) & F.col("_url").eqNullSafe(F.col("_stored.url"))
+    return single.join(stored, ["_sha1", "_bytes"], "left").withColumn("_revisit", F.col("_stored").isNotNull() & ~first)
 
 
 def write(pages: DataFrame, path: str, *, page: str = "page_id", url: str = "url", html: str = "html", date: str = "2024-01-01T00:00:00Z", least: int = LEAST) -> None:
     """Writes three records for each page."""
-    rows = plan_captures(pages, page=page, html=html, least=least)
-    uri = F.coalesce(F.regexp_replace(F.col(url), r"[\r\n]", " "), F.concat(F.lit("urn:page:"), F.coalesce(F.col(page).cast("string"), F.lit(""))))
-    response = _urn("response", F.col(page), F.col("_row"))
+    rows = plan_captures(pages, page=page, url=url, html=html, least=least)
+    uri = F.coalesce(F.regexp_replace(F.col("_url"), r"[\r\n]", " "), F.concat(F.lit("urn:page:"), F.coalesce(F.col("_page").cast("string"), F.lit(""))))
+    of = lambda kind: _urn(kind, F.col("_page"), F.col("_url"), F.col("_sha1"), F.col("_nth"))
+    response = of("response")
     digest = F.concat(F.lit("sha1:"), F.col("_sha1"))
     common = {"WARC-Date": F.lit(date), "WARC-Target-URI": uri}
     host, rest = F.regexp_extract(uri, r"^[^:]*://([^/?#]*)", 1), F.regexp_extract(uri, r"^[^:]*://[^/?#]*([^#]*)", 1)
     request = _record(
-        {"WARC-Type": F.lit("request"), "WARC-Record-ID": _urn("request", F.col(page), F.col("_row")), **common, "WARC-Concurrent-To": response, "Content-Type": F.lit("application/http; msgtype=request")},
+        {"WARC-Type": F.lit("request"), "WARC-Record-ID": of("request"), **common, "WARC-Concurrent-To": response, "Content-Type": F.lit("application/http; msgtype=request")},
         F.concat(F.lit("GET "), F.when(rest.startswith("/"), rest).otherwise(F.concat(F.lit("/"), rest)), F.lit(" HTTP/1.1\r\nHost: "), host, F.lit("\r\n\r\n")),
     )
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("_bytes").cast("string"), F.lit("\r\n\r\n"))
+    refers = _urn("response", F.col("_stored.page"), F.col("_stored.url"), F.col("_sha1"), F.lit(1))
     captured = _record(
-        {"WARC-Type": F.when(F.col("_revisit"), "revisit").otherwise("response"), "WARC-Record-ID": response, **common, "WARC-Payload-Digest": digest, "WARC-Profile": F.when(F.col("_revisit"), PROFILE), "WARC-Refers-To": F.when(F.col("_revisit"), _urn("response", F.col("_stored.page"), F.col("_stored.row"))), "Content-Type": F.lit("application/http; msgtype=response")},
+        {
+            "WARC-Type": F.when(F.col("_revisit"), "revisit").otherwise("response"), "WARC-Record-ID": response, **common, "WARC-Payload-Digest": digest,
+            "WARC-Profile": F.when(F.col("_revisit"), PROFILE), "WARC-Refers-To": F.when(F.col("_revisit"), refers), "Content-Type": F.lit("application/http; msgtype=response"),
+        },
         F.when(F.col("_revisit"), http).otherwise(F.concat(http, F.col("_payload"))),
-    )
+    )
     about = _record(
-        {"WARC-Type": F.lit("metadata"), "WARC-Record-ID": _urn("metadata", F.col(page), F.col("_row")), **common, "WARC-Concurrent-To": response, "Content-Type": F.lit("application/warc-fields")},
-        F.coalesce(F.concat(F.lit("page-id: "), F.col(page).cast("string"), F.lit("\r\n")), F.lit("")),
+        {"WARC-Type": F.lit("metadata"), "WARC-Record-ID": of("metadata"), **common, "WARC-Concurrent-To": response, "Content-Type": F.lit("application/warc-fields")},
+        F.coalesce(F.concat(F.lit("page-id: "), F.col("_page").cast("string"), F.lit("\r\n")), F.lit("")),
     )
     records = rows.select(F.explode(F.array(request, captured, about)).alias("value"))
     records.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").text(path)
