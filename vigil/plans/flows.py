@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from vigil.operators import context, features, normalize, rules, transforms
 from vigil.plans.common import accepted, detections, sql
-from vigil.session import shared_path
+from vigil.session import shared_path, written
 from vigil.sources import adapter, lake
 from vigil.streaming import intake, service
 
@@ -122,6 +122,26 @@ def stream_accept(spark, d):
     return spark.read.parquet(path).agg(F.count(F.lit(1)).alias("n"))
 
 
+#: Three deliveries of each hour of a source: as it is, again, and in every third hour with another payload first or in between.
+_DELIVERIES = """SELECT kind, count(*) AS n FROM (SELECT unnest(CASE WHEN hour % 3 = 0 THEN ['new', 'repeat', 'repeat'] WHEN hour % 3 = 1 THEN ['new', 'conflict', 'repeat'] ELSE ['new', 'repeat', 'conflict'] END) AS kind
+  FROM (SELECT DISTINCT source, strftime(received_at, '%Y%m%d%H') AS h, strftime(received_at, '%H')::INT AS hour FROM raw)) GROUP BY kind"""
+
+
+@query(_DELIVERIES, "raw")
+def stream_batch_acceptance(spark, d):
+    """Batches of raw rows delivered three times, the second time within a micro-batch of the first, the third in a later one after a restart."""
+    found = normalize.envelopes(adapter.raw_events(spark, d)).groupBy("batch_id").agg(F.sum(F.xxhash64("record_json").cast("decimal(38,0)")).cast("string").alias("payload_sha256"))
+    first, root = written(found.withColumnRenamed("batch_id", "idempotency_key"), "batches"), shared_path(spark, "acceptance")
+    hour = F.substring("idempotency_key", -2, 2).cast("int") % 3
+    other = lambda n: F.when(hour == n, F.lit(None).cast("string")).otherwise(F.col("payload_sha256"))
+    times = [first.withColumn("delivery", F.lit(1)), first.withColumn("payload_sha256", other(1)).withColumn("delivery", F.lit(2)), first.withColumn("payload_sha256", other(2)).withColumn("delivery", F.lit(3))]
+    for part in (times[0].unionByName(times[1]), times[2]):
+        part.coalesce(1).write.mode("append").parquet(f"{root}/in")
+        intake.accept_batch_stream(intake.read_raw(spark, f"{root}/in", part.schema), root, "delivery").awaitTermination()
+    refused = spark.read.parquet(f"{root}/refused").groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+    return refused.unionByName(spark.read.parquet(f"{root}/accepted").agg(F.lit("new").alias("kind"), F.count(F.lit(1)).alias("n")))
+
+
 @query("SELECT source, count(DISTINCT (actor_email, event_type, resource_id, observed_at)) AS n FROM checked WHERE reason IS NULL GROUP BY source", "checked")
 def stream_deduplicate(spark, d):
     return _run(intake.deduplicated_stream(_stream(spark, d)).select("source", "semantic_key"), "dedupe").groupBy("source").agg(F.count(F.lit(1)).alias("n"))
@@ -171,15 +191,30 @@ def stream_pipeline(spark, d):
     for first, last in ((0, 2), (2, 4)):
         _parts(raw, f"{root}/in", first, last)
         service.start(intake.read_raw(spark, f"{root}/in", raw.schema), root).awaitTermination()
-    return service.table(spark, root, "detections").select("detection_id", "event_id", "score", "severity")
+    return service.detections(spark, root).select("detection_id", "event_id", "score", "severity")
+
+
+@query("SELECT detection_id, event_id, score, severity, array_to_string(reasons, ',') AS reasons FROM detections", "detections")
+def stream_late_pipeline(spark, d):
+    """The whole path in four batches dealt by a hash, not by time, so that each has rows older than those before it; stopped after two.
+
+    Semantic duplicates come in one batch.
+    """
+    raw, root = adapter.raw_events(spark, d), shared_path(spark, "service")
+    part = F.pmod(F.xxhash64("actor_email", "event_type", "resource_id", "observed_at"), F.lit(4))
+    for numbers in ((0, 1), (2, 3)):
+        for i in numbers:
+            raw.where(part == i).coalesce(1).write.mode("append").parquet(f"{root}/in")
+        service.start(intake.read_raw(spark, f"{root}/in", raw.schema), root).awaitTermination()
+    return service.detections(spark, root).select("detection_id", "event_id", "score", "severity", F.array_join("reasons", ",").alias("reasons"))
 
 
-@query("SELECT source, count(*) AS raw_events, count(*) FILTER (reason IS NOT NULL) AS dead_letters, (SELECT count(*) FROM accepted a WHERE a.source = checked.source) AS accepted FROM checked GROUP BY source", "checked", "accepted")
+@query("SELECT source, count(*) AS raw_events, count(*) FILTER (reason IS NOT NULL) AS dead_letters, count(*) FILTER (reason IS NULL AND received_at > observed_at + INTERVAL 12 HOUR) AS late_events, (SELECT count(*) FROM accepted a WHERE a.source = checked.source) AS accepted FROM checked GROUP BY source", "checked", "accepted")
 def stream_statistics(spark, d):
     """Counts of all batches of the streamed path, summed."""
     raw, root = adapter.raw_events(spark, d), shared_path(spark, "service")
     _parts(raw, f"{root}/in", 0, 4)
     service.start(intake.read_raw(spark, f"{root}/in", raw.schema), root).awaitTermination()
-    counted = service.table(spark, root, "stats").groupBy("source").agg(F.sum("raw_events").alias("raw_events"), F.sum("dead_letters").alias("dead_letters"))
+    counted = service.table(spark, root, "stats").groupBy("source").agg(F.sum("raw_events").alias("raw_events"), F.sum("dead_letters").alias("dead_letters"), F.sum("late_events").alias("late_events"))
     kept = service.table(spark, root, "accepted").groupBy("source").agg(F.count(F.lit(1)).alias("accepted"))
     return counted.join(kept, "source", "left").fillna(0, ["accepted"])
