@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vigil.functions.scalars import rounded
+from vigil.operators import prefix
+from vigil.session import written
 
 QUANTILES = {"min": 0.0, "p50": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99, "max": 1.0}
 #: Thresholds that a sweep always looks at.
@@ -43,18 +45,17 @@ def source_behaviour(obs: DataFrame) -> DataFrame:
     return obs.groupBy("source").agg(F.count_if(base).alias("baseline_events"), F.count_if(attack).alias("attack_events"), rounded(rate(base), 2).alias("baseline_alert_rate"), rounded(rate(attack), 2).alias("attack_recall"))
 
 
-def nearest_rank(obs: DataFrame, by: str, value: str = "score", quantiles: dict[str, float] | None = None) -> DataFrame:
+def nearest_rank(obs: DataFrame, by: str, value: str = "score", quantiles: dict[str, float] | None = None, *, most_rows: int = prefix.MOST_ROWS) -> DataFrame:
     """Exact nearest-rank quantiles: (group, quantile, value).
 
-    Values are counted first, so the running sum sees each distinct value once; scores have at most 101.
+    Values are counted first, so the running sum sees each distinct value once; a group with many is summed by ranges.
     """
     wanted = quantiles or QUANTILES
     counted = obs.groupBy(by, value).agg(F.count(F.lit(1)).alias("_n"))
-    group = Window.partitionBy(by)
-    last = F.sum("_n").over(group.orderBy(value)) - 1
-    rows = counted.withColumn("_last", last).withColumn("_all", F.sum("_n").over(group))
-    ask = F.explode(F.array(*(F.struct(F.lit(n).alias("quantile"), F.floor((F.col("_all") - 1) * F.lit(p) + F.lit(0.5)).cast("long").alias("rank")) for n, p in wanted.items())))
-    found = rows.select(by, value, "_n", "_last", ask.alias("q")).where((F.col("q.rank") <= F.col("_last")) & (F.col("q.rank") > F.col("_last") - F.col("_n")))
+    rows = prefix.running(counted, [by], [F.col(value)], {"_upto": "_n"}, most_rows=most_rows)
+    last = F.col("_upto") - 1
+    ask = F.explode(F.array(*(F.struct(F.lit(n).alias("quantile"), F.floor((F.col("_upto_all") - 1) * F.lit(p) + F.lit(0.5)).cast("long").alias("rank")) for n, p in wanted.items())))
+    found = rows.select(by, value, "_n", last.alias("_last"), ask.alias("q")).where((F.col("q.rank") <= F.col("_last")) & (F.col("q.rank") > F.col("_last") - F.col("_n")))
     return found.select(by, F.col("q.quantile").alias("quantile"), F.col(value).alias("value"))
 
 
@@ -85,11 +86,11 @@ def recommended(sweep: DataFrame, budget: float = BUDGET) -> DataFrame:
     return sweep.groupBy("source").agg(F.coalesce(best, least).alias("r"), F.count(F.lit(1)).alias("candidates")).select("source", "candidates", F.col("r.threshold").alias("threshold"), F.col("r.attack_recall").alias("attack_recall"))
 
 
-def _cumulative(rows: DataFrame, by: str, score: str, label: str) -> DataFrame:
+def _cumulative(rows: DataFrame, by: str, score: str, label: str, most_rows: int = prefix.MOST_ROWS) -> DataFrame:
     """Per group and distinct score, from the highest: positives, negatives, and both so far and in all."""
     counted = rows.groupBy(by, score).agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) != 1).alias("n"))
-    down, whole = Window.partitionBy(by).orderBy(F.desc(score)), Window.partitionBy(by)
-    return counted.withColumns({"tp": F.sum("p").over(down), "fp": F.sum("n").over(down), "pos": F.sum("p").over(whole), "neg": F.sum("n").over(whole)})
+    found = prefix.running(counted, [by], [F.desc(score)], {"tp": "p", "fp": "n"}, most_rows=most_rows)
+    return found.withColumnsRenamed({"tp_all": "pos", "fp_all": "neg"})
 
 
 def _both(value: Column) -> Column:
@@ -97,35 +98,65 @@ def _both(value: Column) -> Column:
     return F.when((F.max("pos") > 0) & (F.max("neg") > 0), value).otherwise(F.lit(0.0))
 
 
-def roc_auc(rows: DataFrame, by: str, score: str = "score", label: str = "label") -> DataFrame:
+def roc_auc(rows: DataFrame, by: str, score: str = "score", label: str = "label", *, most_rows: int = prefix.MOST_ROWS) -> DataFrame:
     """Area under the ROC curve; pairs of equal scores count half."""
-    c = _cumulative(rows, by, score, label)
+    return _roc_auc(_cumulative(rows, by, score, label, most_rows), by)
+
+
+def _roc_auc(c: DataFrame, by: str) -> DataFrame:
     wins = F.sum(F.col("n") * (F.col("tp") - F.col("p")) + 0.5 * F.col("n") * F.col("p"))
-    return c.groupBy(by).agg(_both(wins / (F.max("pos") * F.max("neg"))).alias("roc_auc"))
+    return c.groupBy(by).agg(_both(F.try_divide(wins, F.max("pos") * F.max("neg"))).alias("roc_auc"))
+
+
+def average_precision(rows: DataFrame, by: str, score: str = "score", label: str = "label", *, most_rows: int = prefix.MOST_ROWS) -> DataFrame:
+    return _average_precision(_cumulative(rows, by, score, label, most_rows), by)
+
+
+def _average_precision(c: DataFrame, by: str) -> DataFrame:
+    return c.groupBy(by).agg(_both(F.sum(F.try_divide("p", "pos") * F.col("tp") / (F.col("tp") + F.col("fp")))).alias("average_precision"))
 
 
-def average_precision(rows: DataFrame, by: str, score: str = "score", label: str = "label") -> DataFrame:
-    c = _cumulative(rows, by, score, label)
-    return c.groupBy(by).agg(_both(F.sum(F.col("p") / F.col("pos") * F.col("tp") / (F.col("tp") + F.col("fp")))).alias("average_precision"))
+def tpr_at_fpr(rows: DataFrame, by: str, key: str, target: float, score: str = "score", label: str = "label", *, most_rows: int = prefix.MOST_ROWS) -> DataFrame:
+    """True positive rate while the false positive rate stays within the target; ties go by key."""
+    return _tpr_at_fpr(rows, _cumulative(rows, by, score, label, most_rows), by, key, (target,), score, label, most_rows).select(by, F.col("tprs")[0].alias("tpr"))
 
 
-def tpr_at_fpr(rows: DataFrame, by: str, key: str, target: float, score: str = "score", label: str = "label") -> DataFrame:
-    """True positive rate while the false positive rate stays within the target; ties go by key.
+def _tpr_at_fpr(rows: DataFrame, c: DataFrame, by: str, key: str, targets: tuple[float, ...], score: str, label: str, most_rows: int) -> DataFrame:
+    """(group, tprs): one rate for each target.
 
     A prefix ends at the first negative beyond the target, so what counts is how many positives stand
     before the (floor(target * N) + 1)-th negative. The score of that negative is found over counted scores;
-    only the rows of that one score are ordered.
+    only the rows of these few scores are ordered.
     """
-    c = _cumulative(rows, by, score, label).withColumn("allowed", F.floor(F.col("neg") * F.lit(target) + F.lit(1e-9)).cast("long"))
+    limits = F.posexplode(F.array(*(F.floor(F.col("neg") * F.lit(t) + F.lit(1e-9)).cast("long") for t in targets))).alias("which", "allowed")
     # the group's row of the score at which the first negative too many stands; without one, all positives count
-    at = c.where((F.col("fp") > F.col("allowed")) & (F.col("fp") - F.col("n") <= F.col("allowed"))).select(F.col(by).alias("_by"), F.col(score).alias("_at"), (F.col("tp") - F.col("p")).alias("_above"), (F.col("allowed") - F.col("fp") + F.col("n")).alias("_left"))
-    tied = rows.join(at, (F.col(by) == F.col("_by")) & (F.col(score) == F.col("_at")))
-    neg = (F.col(label) != 1).cast("long")
-    tied = tied.withColumn("_fp", F.sum(neg).over(Window.partitionBy(by).orderBy(key)))
-    more = tied.groupBy(by).agg(F.count_if((F.col(label) == 1) & (F.col("_fp") <= F.col("_left"))).alias("_more"), F.max("_above").alias("_above"))
-    whole = c.groupBy(by).agg(F.max("pos").alias("pos"), F.max("neg").alias("neg"))
-    hit = F.coalesce(F.col("_above") + F.col("_more"), F.col("pos"))
-    return whole.join(more, by, "left").select(by, F.when((F.col("pos") > 0) & (F.col("neg") > 0), F.try_divide(hit, F.col("pos"))).otherwise(F.lit(0.0)).alias("tpr"))
+    at = c.select("*", limits).where((F.col("fp") > F.col("allowed")) & (F.col("fp") - F.col("n") <= F.col("allowed")))
+    at = at.select(F.col(by).alias("_by"), F.col(score).alias("_at"), "which", (F.col("tp") - F.col("p")).alias("_above"), (F.col("allowed") - F.col("fp") + F.col("n")).alias("_left"))
+    meets = F.col(by).eqNullSafe(F.col("_by")) & (F.col(score) == F.col("_at"))
+    tied = rows.join(at, meets).select(by, "which", "_above", "_left", F.col(key).alias("_key"), (F.col(label) == 1).cast("long").alias("_p"), (F.col(label) != 1).cast("long").alias("_neg"))
+    tied = prefix.running(tied, [by, "which"], [F.col("_key")], {"_fp": "_neg"}, most_rows=most_rows)
+    more = tied.groupBy(by, "which").agg((F.sum(F.when(F.col("_fp") <= F.col("_left"), F.col("_p")).otherwise(0)) + F.max("_above")).alias("_hit"))
+    hits = more.groupBy(by).agg(F.map_from_entries(F.collect_list(F.struct("which", "_hit"))).alias("_hits"))  # one entry for each target
+    whole = c.groupBy(by).agg(F.max("pos").alias("pos"), F.max("neg").alias("neg")).alias("w").join(hits.alias("h"), F.col(f"w.{by}").eqNullSafe(F.col(f"h.{by}")), "left")
+    rate = lambda i: F.when((F.col("pos") > 0) & (F.col("neg") > 0), F.try_divide(F.coalesce(F.try_element_at("_hits", F.lit(i)), F.col("pos")), F.col("pos"))).otherwise(F.lit(0.0))
+    return whole.select(F.col(f"w.{by}").alias(by), F.array(*(rate(i) for i in range(len(targets)))).alias("tprs"))
+
+
+#: False positive rates at which detection is reported.
+RATES = (0.01, 0.001, 0.0001)
+
+
+def rate_name(rate: float) -> str:
+    """The column of a rate, which it names by its share in a million."""
+    return f"tpr_at_{round(rate * 1_000_000)}_ppm"
+
+
+def rank_metrics(rows: DataFrame, by: str, key: str, score: str = "score", label: str = "label", rates: tuple[float, ...] = RATES, *, most_rows: int = prefix.MOST_ROWS) -> DataFrame:
+    """Area under the curve, average precision, and the true positive rate at each rate, of scores that are counted and summed once."""
+    rows = written(rows.select(by, key, score, label), "labelled")
+    c = written(_cumulative(rows, by, score, label, most_rows), "cumulative")
+    found = _roc_auc(c, by).join(_average_precision(c, by), by).join(_tpr_at_fpr(rows, c, by, key, rates, score, label, most_rows), by)
+    return found.select(by, "roc_auc", "average_precision", *(F.col("tprs")[i].alias(rate_name(r)) for i, r in enumerate(rates)))
 
 
 def hashed_order(key: str, seed: int) -> Column:

@@ -65,3 +65,12 @@ def written(df: DataFrame, label: str) -> DataFrame:
     path = shared_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def input_bytes(df: DataFrame) -> int | None:
+    """Bytes of the files and tables that a plan reads, as Spark estimates them before running it; unknown (null) for remote sessions."""
+    plan = getattr(df, "_jdf", None)
+    if plan is None:
+        return None
+    leaves = plan.queryExecution().optimizedPlan().collectLeaves()
+    return sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
