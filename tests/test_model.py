@@ -155,3 +155,64 @@ def test_cluster_scores_in_blocks_equal_one_matrix(spark):
         for p in (0, 1, None):
             rows = [(np.array(x), y) for q, x, y in data if q == p]
             assert abs(found[p] - model.multi_scale(np.array([x for x, _ in rows]), np.array([y for _, y in rows]), delta)) < 1e-9
+
+
+def test_peers_without_pairs_train_like_pairs(spark, sf):
+    """Departments and collaborators by sums over groups, against every pair as a member of its context's set."""
+    e, org = accepted(spark, sf).where("actor_idx < 14").cache(), adapter.principals(spark, sf)
+    acc, static = features.accessors(e), features.static_profiles(e, org).cache()
+    people = tensors.vocabulary(tensors.key_union([(acc, "principal_key"), (static, "principal_key")]))
+    resources = tensors.vocabulary(tensors.key_union([(acc, "resource_key")]))
+    vocabularies = {n: tensors.categorical_vocabulary(static, n) for n in model.CONTEXT_FIELDS[5:]}
+    manager = features.manager_peers(static, org)
+    context = model.contexts(static, features.history(e), manager, people, resources, vocabularies)
+    together = features.collaboration(e).select("principal_key", F.col("collaborator_key").alias("peer_key"), F.lit("collaboration").alias("peer_type"), F.col("co_access_weight").alias("peer_weight"))
+    paired = model.contexts(static, features.history(e), manager.unionByName(features.department_peers(static)).unionByName(together), people, resources, vocabularies)
+    pairs = tensors.training_pairs(acc, static)
+    profiled = tensors.vocabulary(tensors.key_union([(static, "principal_key")])).withColumnRenamed("key", "principal_key")
+    rows = model.examples(pairs, tensors.negative_samples(pairs, profiled, 3)).cache()
+    a = model.towers(model.members(acc, people, context), peers=model.peers_of(static, acc, people))
+    b = model.towers(model.members(acc, people, paired))
+    x, y = ({(r.side, r.key): r.x for r in model.pooled(t).collect()} for t in (a, b))
+    assert x.keys() == y.keys() and all(np.allclose(x[k], y[k]) for k in x) and len({side for side, _ in x}) > 3
+    (one, losses), (two, expected) = model.train(rows, a, 3), model.train(rows, b, 3)
+    assert np.allclose(losses, expected, rtol=1e-9) and losses[-1] < losses[0]
+    scores = [{(r.resource_key, r.principal_key): r.raw for r in model.distances(rows, t).collect()} for t in (one, two)]
+    assert all(np.allclose(scores[0][k], scores[1][k], atol=1e-6) for k in scores[1])
+    for f in (e, static, rows):
+        f.unpersist()
+
+
+def test_gate_has_a_case_for_each_reason(spark):
+    good, bad = (0.5, 0.9, 0.2), (0.1, 0.9, 0.2)
+    frame = lambda rows: spark.createDataFrame([(s, n, *m) for s, n, m in rows], "source string, pairs long, top_1 double, win_rate double, mean_margin double")
+    judge = lambda rows, **more: model.activation(model.gate(frame(rows)), **more).first()
+    both = [("__all__", 30, good), ("okta", 5, good), ("github", 9, good)]
+    assert judge(both).eligible and judge(both).reason == "sampled_retrieval_gate_pass" and judge(both, training_pairs=9, final_loss=0.1).eligible
+    cases = {
+        "no_training_pairs": (both, {"training_pairs": 0, "final_loss": 0.1}), "final_loss_invalid": (both, {"training_pairs": 3, "final_loss": float("nan")}),
+        "heldout_eval_missing": ([("__all__", 0, good)], {}), "sampled_top1_accuracy_below_threshold": ([("__all__", 30, bad), *both[1:]], {}),
+        "pairwise_win_rate_below_threshold": ([("__all__", 30, (0.5, 0.5, 0.2)), *both[1:]], {}), "mean_margin_below_threshold": ([("__all__", 30, (0.5, 0.9, 0.0)), *both[1:]], {}),
+        "source_gate_failed:github,okta": ([both[0], ("okta", 5, bad), ("github", 5, bad), ("snowflake", 5, good)], {}),
+        "coverage_gate_failed:insufficient_covered_sources": ([*both[:2], ("github", 4, bad)], {}),
+        "coverage_gate_failed:identity_source_coverage_missing": ([both[0], both[2], ("snowflake", 5, good)], {}),
+        "coverage_gate_failed:resource_source_coverage_missing": ([*both[:2], ("other", 5, good)], {}),
+    }
+    for reason, (rows, more) in cases.items():
+        found = judge(rows, **more)
+        assert (found.eligible, found.reason) == (False, reason)
+    assert judge(cases["final_loss_invalid"][0], training_pairs=3).covered == []
+
+
+def test_policies_by_hand(spark):
+    rows = [("__all__", 50, 0.2, 0.5, 0.52), ("okta", 3, 0.4, 0.3, 0.9), ("github", 2, 0.1, 0.2, 0.3), ("snowflake", 9, 0.98, 1.5, 1.6), ("gworkspace", 9, 0.01, 0.02, 0.9)]
+    m = spark.createDataFrame(rows, "source string, pairs long, own_p95 double, other_p50 double, other_p90 double")
+    found = {x.source: (x.detection_threshold, x.high_severity_threshold, x.calibration_source, x.calibration_reason.split("_")[0]) for x in model.policies(m).collect()}
+    assert found == {
+        None: (0.35, 0.52, "heldout", "heldout"), "okta": (0.6, 0.9, "heldout:okta", "fallback"),
+        "snowflake": (0.99, 0.99, "heldout:snowflake", "heldout"), "gworkspace": (0.05, 0.9, "heldout:gworkspace", "heldout"),
+    }
+    events = spark.createDataFrame([("okta",), ("github",)], "source string")
+    got = {x.source: (x.policy_scope, x.detection_threshold) for x in model.policy_of(events, model.policies(m)).collect()}
+    assert got == {"okta": ("okta", 0.6), "github": ("global", 0.35)}
+    assert {x.detection_threshold for x in model.policy_of(events, model.policies(m).limit(0)).collect()} == {0.6}

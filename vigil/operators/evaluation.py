@@ -45,8 +45,8 @@ def source_behaviour(obs: DataFrame) -> DataFrame:
     return obs.groupBy("source").agg(F.count_if(base).alias("baseline_events"), F.count_if(attack).alias("attack_events"), rounded(rate(base), 2).alias("baseline_alert_rate"), rounded(rate(attack), 2).alias("attack_recall"))
 
 
-def nearest_rank(obs: DataFrame, by: str, value: str = "score", quantiles: dict[str, float] | None = None, *, most_rows: int = prefix.MOST_ROWS) -> DataFrame:
-    """Exact nearest-rank quantiles: (group, quantile, value).
+def nearest_rank(obs: DataFrame, by: str, value: str = "score", quantiles: dict[str, float] | None = None, *, half_even: bool = False, most_rows: int = prefix.MOST_ROWS) -> DataFrame:
+    """Exact nearest-rank quantiles: (group, quantile, value). A rank midway between two is rounded up, or with ``half_even`` to the even one.
 
     Values are counted first, so the running sum sees each distinct value once; a group with many is summed by ranges.
     """
@@ -54,7 +54,8 @@ def nearest_rank(obs: DataFrame, by: str, value: str = "score", quantiles: dict[
     counted = obs.groupBy(by, value).agg(F.count(F.lit(1)).alias("_n"))
     rows = prefix.running(counted, [by], [F.col(value)], {"_upto": "_n"}, most_rows=most_rows)
     last = F.col("_upto") - 1
-    ask = F.explode(F.array(*(F.struct(F.lit(n).alias("quantile"), F.floor((F.col("_upto_all") - 1) * F.lit(p) + F.lit(0.5)).cast("long").alias("rank")) for n, p in wanted.items())))
+    rank = lambda p: F.rint((F.col("_upto_all") - 1) * F.lit(p)) if half_even else F.floor((F.col("_upto_all") - 1) * F.lit(p) + F.lit(0.5))
+    ask = F.explode(F.array(*(F.struct(F.lit(n).alias("quantile"), rank(p).cast("long").alias("rank")) for n, p in wanted.items())))
     found = rows.select(by, value, "_n", last.alias("_last"), ask.alias("q")).where((F.col("q.rank") <= F.col("_last")) & (F.col("q.rank") > F.col("_last") - F.col("_n")))
     return found.select(by, F.col("q.quantile").alias("quantile"), F.col(value).alias("value"))
 

@@ -3,7 +3,10 @@
 An action is a weighted set of the principals that access its resource; a context is a principal's
 history, its four kinds of peers and its static attributes. Each tower pools the embeddings of every
 field by weight, concatenates the fields, and applies one hidden layer and a projection to unit length.
-Distance is 1 less the cosine, within 0 and 1. Gradients are written out by hand.
+There is an action tower for each source. Distance is 1 less the cosine, within 0 and 1. Gradients are written out by hand.
+
+Peers of a department and collaborators are never paired. Both pool by a symmetric weight of two principals, so the sum
+over all others follows from sums over groups (``Peers``), and gradients go back by the same sums.
 
 The embeddings and their moments are tables, as their number grows with principals and resources. A round
 joins them with the members of every set and sums, sends the pooled rows through the layers, joins the
@@ -26,12 +29,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vigil.operators.evaluation import nearest_rank
+from vigil.operators.normalize import SOURCES
 from vigil.session import written
 
 #: Fields of a context: mean over the history, then weighted sums of peers, then attributes.
 CONTEXT_FIELDS = ("history", "department", "manager", "group", "collaboration", "role", "location", "employment_duration_bucket", "privilege_level")
 MARGIN, OMEGA = 0.1, 2.0
 SET = "array<struct<i:bigint,w:double>>"
+#: Field numbers of departments' and collaborators' pooled vectors; first number of the sources' own towers' fields.
+DEPARTMENT, COLLABORATION, OWN = 2, 5, 100
 
 
 @dataclass
@@ -92,21 +98,29 @@ class Tower:
 
 @dataclass
 class TwoTower:
+    """A tower for contexts, one for actions, and those of sources that have their own."""
+
     action: Tower
     context: Tower
+    own: dict[str, Tower] = field(default_factory=dict)
+
+    def sides(self) -> dict[str, Tower]:
+        return {"a": self.action, "c": self.context, **{f"a|{s}": t for s, t in self.own.items()}}
 
     def packed(self) -> bytes:
-        out = io.BytesIO()
-        np.savez(out, **{f"a_{k}": v for k, v in self.action.p.items()}, **{f"c_{k}": v for k, v in self.context.p.items()}, sizes_a=self.action.sizes, sizes_c=self.context.sizes, shape=(self.action.dim, self.action.hidden, self.action.out))
+        out, sides = io.BytesIO(), self.sides()
+        arrays = {f"{side}_{k}": v for side, t in sides.items() for k, v in t.p.items()}
+        np.savez(out, **arrays, **{f"sizes_{side}": t.sizes for side, t in sides.items()}, shape=(self.action.dim, self.action.hidden, self.action.out))
         return out.getvalue()
 
     @classmethod
     def unpacked(cls, data: bytes) -> TwoTower:
         x = np.load(io.BytesIO(data))
         dim, hidden, out = map(int, x["shape"])
-        part = lambda s: {k[2:]: x[k] for k in x.files if k.startswith(s)}
+        part = lambda s: {k.removeprefix(s): x[k] for k in x.files if k.startswith(s)}
         tower = lambda s: Tower(tuple(map(int, x[f"sizes_{s}"])), dim, hidden, out, p=part(f"{s}_"))
-        return cls(tower("a"), tower("c"))
+        own = [k.removeprefix("sizes_a|") for k in x.files if k.startswith("sizes_a|")]
+        return cls(tower("a"), tower("c"), {s: tower(f"a|{s}") for s in own})
 
     def loss(self, actions: list, contexts: list[list]) -> tuple[float, np.ndarray, dict, dict]:
         """Sum of squared mean margins over rows, the margins' means, and gradients of both towers.
@@ -159,9 +173,16 @@ def contexts(static: DataFrame, history: DataFrame, peers: DataFrame, principals
 
 
 def members(accessors: DataFrame, principals: DataFrame, context: DataFrame) -> DataFrame:
-    """(side, key, f, i, w): all members of every set. Field 0 is a resource's accessors, the others are the contexts'."""
+    """(side, key, f, i, w): all members of every set.
+
+    A resource's accessors are side ``a|source`` with a field of the source's tower, or side ``a`` and field 0 if the source has none;
+    the others are the contexts'.
+    """
     idx = principals.select(F.col("key").alias("principal_key"), F.col("idx").alias("i"))
-    a = accessors.join(idx, "principal_key").select(F.lit("a").alias("side"), F.col("resource_key").alias("key"), F.lit(0).alias("f"), "i", F.col("accessor_weight").cast("double").alias("w"))
+    number = F.array_position(F.array(*map(F.lit, SOURCES)), F.col("source"))
+    side = F.when(number > 0, F.concat(F.lit("a|"), "source")).otherwise("a").alias("side")
+    f = F.when(number > 0, number - 1 + OWN).otherwise(0).cast("int").alias("f")
+    a = accessors.join(idx, "principal_key").select(side, F.col("resource_key").alias("key"), f, "i", F.col("accessor_weight").cast("double").alias("w"))
     none = F.array(F.struct(F.lit(0).cast("long").alias("i"), F.lit(0.0).alias("w")))  # weighs nothing, but keeps contexts without members
     each = context.select("principal_key", F.posexplode("context").alias("n", "s")).select("principal_key", "n", F.explode(F.when((F.col("n") == 0) & (F.size("s") == 0), none).otherwise(F.col("s"))).alias("s"))
     return a.unionByName(each.select(F.lit("c").alias("side"), F.col("principal_key").alias("key"), (F.col("n") + 1).alias("f"), "s.i", "s.w"))
@@ -174,6 +195,62 @@ def examples(pairs: DataFrame, negatives: DataFrame) -> DataFrame:
     return pairs.join(listed, keys)
 
 
+@dataclass
+class Peers:
+    """Principals' departments (key, i, department, total), shared resources (resource_key, key, i, c, n) and collaborators' total weights (key, total).
+
+    Two principals of a department weigh 1. Two that access a resource weigh the smaller of their counts by the number n of
+    those who access it, summed over resources. A principal's weights are divided by their total.
+    """
+
+    departments: DataFrame | None
+    shared: DataFrame | None
+    totals: DataFrame | None
+
+    def tables(self) -> dict[int, DataFrame]:
+        """Per field that is there, the numbers of its principals."""
+        found = {DEPARTMENT: self.departments, COLLABORATION: self.shared}
+        return {f: t.select("key", "i").distinct() for f, t in found.items() if t is not None}
+
+    def spread(self, f: int, values: DataFrame, names: list[str]) -> DataFrame:
+        """(key, names): for each principal the sum over all others of weight times values. ``values`` has the key and these columns."""
+        if f == DEPARTMENT:
+            rows = self.departments.select("key", "department").join(values, "key")
+            sums = rows.groupBy("department").agg(*(F.sum(c).alias(f"_{c}") for c in names))
+            return rows.join(sums, "department").select("key", *((F.col(f"_{c}") - F.col(c)).alias(c) for c in names))
+        # of those with a smaller count the count decides, of the others the own one: sums up to each count of a resource
+        rows = self.shared.select("resource_key", "key", "c", "n").join(values, "key")
+        counts = rows.groupBy("resource_key", "c").agg(*(F.sum(c).alias(f"_{c}") for c in names))
+        whole = Window.partitionBy("resource_key")
+        upto = whole.orderBy("c")
+        low = [F.sum(F.col("c") * F.col(f"_{c}")).over(upto).alias(f"_low_{c}") for c in names]
+        high = [(F.sum(f"_{c}").over(whole) - F.sum(f"_{c}").over(upto)).alias(f"_high_{c}") for c in names]
+        both = rows.join(counts.select("resource_key", "c", *low, *high), ["resource_key", "c"])
+        return both.groupBy("key").agg(*(F.sum((F.col(f"_low_{c}") + F.col("c") * (F.col(f"_high_{c}") - F.col(c))) / F.col("n")).alias(c) for c in names))
+
+    def divided(self, f: int, values: DataFrame, names: list[str]) -> DataFrame:
+        """Values by each principal's total weight. Principals without others go."""
+        total = self.departments.select("key", "total") if f == DEPARTMENT else self.totals
+        return values.join(total.where("total > 0"), "key").select("key", *((F.col(c) / F.col("total")).alias(c) for c in names))
+
+
+def peers_of(static: DataFrame, accessors: DataFrame, principals: DataFrame, blank: tuple[str, ...] = ()) -> Peers:
+    """Departments of profiled principals and shared resources of all; ``blank`` names those that are left out."""
+    idx = principals.select(F.col("key"), F.col("idx").alias("i"))
+    own, shared, totals = None, None, None
+    if "department" not in blank:
+        rows = static.select(F.col("principal_key").alias("key"), "department").join(idx, "key")
+        size = rows.groupBy("department").agg((F.count(F.lit(1)) - 1).cast("double").alias("total"))
+        own = written(rows.join(size, "department").select("key", "i", "department", "total"), "departments")
+    if "collaboration" not in blank:
+        rows = accessors.select("resource_key", F.col("principal_key").alias("key"), F.col("access_count").cast("double").alias("c")).join(idx, "key")
+        size = rows.groupBy("resource_key").agg(F.count(F.lit(1)).cast("double").alias("n")).where("n > 1")
+        shared = written(rows.join(size, "resource_key").select("resource_key", "key", "i", "c", "n"), "shared")
+        ones = shared.select("key").distinct().withColumn("total", F.lit(1.0))
+        totals = written(Peers(None, shared, None).spread(COLLABORATION, ones, ["total"]), "collaborators")
+    return Peers(own, shared, totals)
+
+
 @dataclass
 class Towers:
     """Both towers. ``layers`` has no embeddings; they are rows (f, i, e0, ..., m0, ..., v0, ...) of a table."""
@@ -181,6 +258,7 @@ class Towers:
     layers: TwoTower
     members: DataFrame
     embeddings: DataFrame
+    peers: Peers = field(default_factory=lambda: Peers(None, None, None))
 
     def names(self, letter: str) -> list[str]:
         return [f"{letter}{j}" for j in range(self.layers.action.dim)]
@@ -201,22 +279,37 @@ def seeded_tower(side: str, fields: int, seed: int) -> Tower:
     return t
 
 
-def towers(members: DataFrame, seed: int = 3) -> Towers:
+def embedding(f: Column) -> Column:
+    """The embeddings that a field's members have: all kinds of peers share theirs."""
+    return F.when(f.between(DEPARTMENT, COLLABORATION), DEPARTMENT).otherwise(f).cast("int")
+
+
+def towers(members: DataFrame, seed: int = 3, peers: Peers | None = None) -> Towers:
     """Untrained towers: layers and embeddings normal by hash of their names, numbers and places."""
-    layers = TwoTower(seeded_tower("a", 1, seed), seeded_tower("c", len(CONTEXT_FIELDS), seed))
+    peers = peers or Peers(None, None, None)
+    layers = TwoTower(seeded_tower("a", 1, seed), seeded_tower("c", len(CONTEXT_FIELDS), seed), {s: seeded_tower(f"a|{s}", 1, seed) for s in SOURCES})
     dim = layers.action.dim
     even = lambda j, salt: (F.conv(F.substring(F.md5(F.concat_ws("|", F.lit("e"), "f", "i", F.lit(str(j)), F.lit(str(seed)), F.lit(str(salt))).cast("binary")), 1, 12), 16, 10).cast("double") + F.lit(0.5)) / F.lit(2.0**48)
     normal = lambda j: 0.3 * F.sqrt(-2.0 * F.log(even(j, 0))) * F.cos(2 * np.pi * even(j, 1))
     start = [normal(j).alias(f"e{j}") for j in range(dim)] + [F.lit(0.0).alias(f"{x}{j}") for x in "mv" for j in range(dim)]
-    return Towers(layers, members, written(members.select("f", "i").distinct().select("f", "i", *start), "embeddings"))
+    numbers = members.select(embedding(F.col("f")).alias("f"), "i")
+    for f, own in peers.tables().items():
+        numbers = numbers.unionByName(own.select(embedding(F.lit(f)).alias("f"), "i"))
+    return Towers(layers, members, written(numbers.distinct().select("f", "i", *start), "embeddings"), peers)
 
 
 def pooled(t: Towers) -> DataFrame:
     """(side, key, x): for each resource and principal its fields' weighted sums of embeddings, one after the other."""
     e = t.names("e")
-    sums = t.members.join(t.embeddings.select("f", "i", *e), ["f", "i"]).groupBy("side", "key", "f").agg(*(F.sum(F.col("w") * F.col(x)).alias(x) for x in e))
+    each = t.members.withColumn("t", embedding(F.col("f"))).join(t.embeddings.select(F.col("f").alias("t"), "i", *e), ["t", "i"])
+    sums = each.groupBy("side", "key", "f").agg(*(F.sum(F.col("w") * F.col(x)).alias(x) for x in e))
+    contexts_ = t.members.where("side = 'c'").select("key").distinct()
+    for f, own in t.peers.tables().items():
+        values = own.join(t.embeddings.where(F.col("f") == embedding(F.lit(f))).select("i", *e), "i").select("key", *e)
+        found = t.peers.divided(f, t.peers.spread(f, values, e), e).join(contexts_, "key", "left_semi")
+        sums = sums.unionByName(found.select(F.lit("c").alias("side"), "key", F.lit(f).alias("f"), *e))
     by_field = sums.groupBy("side", "key").agg(F.map_from_entries(F.collect_list(F.struct("f", F.array(*e)))).alias("x"))
-    fields = F.when(F.col("side") == "a", F.array(F.lit(0))).otherwise(F.sequence(F.lit(1), F.lit(len(CONTEXT_FIELDS))))
+    fields = F.when(F.col("side") != "c", F.map_keys("x")).otherwise(F.sequence(F.lit(1), F.lit(len(CONTEXT_FIELDS))))
     zero = F.array_repeat(F.lit(0.0), len(e))
     return by_field.select("side", "key", F.flatten(F.transform(fields, lambda f: F.coalesce(F.try_element_at("x", f), zero))).alias("x"))
 
@@ -231,7 +324,7 @@ def _lists(x: np.ndarray) -> pa.Array:
 
 def _sides(b: pa.RecordBatch, layers: TwoTower):
     """The batch's rows of each tower, with their pooled vectors."""
-    for side, tower in (("a", layers.action), ("c", layers.context)):
+    for side, tower in layers.sides().items():
         part = b.filter(pc.equal(b.column("side"), side))
         if part.num_rows:
             yield part, tower, _matrix(part.column("x"), tower.dim * len(tower.sizes))
@@ -254,12 +347,12 @@ def _met(rows: DataFrame, unit: DataFrame) -> DataFrame:
     slots = rows.select(*keys, F.posexplode(F.concat(F.array("principal_key"), "others")).alias("slot", "who"))
     c = unit.where("side = 'c'").select(F.col("key").alias("who"), F.col("u").alias("c"))
     listed = slots.join(c, "who").groupBy(keys).agg(F.sort_array(F.collect_list(F.struct("slot", "who", "c"))).alias("s"))
-    a = unit.where("side = 'a'").select(F.col("key").alias("resource_key"), F.col("u").alias("a"))
+    a = unit.where("side <> 'c'").select(F.col("key").alias("resource_key"), F.col("u").alias("a"))
     return listed.join(a, "resource_key").select(*keys, "a", F.col("s.who").alias("who"), F.flatten("s.c").alias("c"))
 
 
 def _unit_gradients(met: DataFrame, width: int) -> DataFrame:
-    """(side, key, d): gradients of unit vectors in sum; side "loss" has the losses' sum and their number."""
+    """(side, key, d): gradients of unit vectors in sum, side "a" for all resources; side "loss" has the losses' sum and their number."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -296,7 +389,8 @@ def _layer_gradients(x: DataFrame, d: DataFrame, layers: TwoTower) -> DataFrame:
                 side, key = part.column("side").to_pylist(), part.column("key").to_pylist()
                 yield pa.RecordBatch.from_arrays([pa.array([*side, side[0]]), pa.array([*key, None], pa.string()), pa.array([*d_x, flat], pa.list_(pa.float64()))], names=["side", "key", "d"])
 
-    return x.join(d, ["side", "key"]).select("side", "key", "x", "d").mapInArrow(work, "side string, key string, d array<double>")
+    of = d.select(F.col("side").alias("_of"), "key", "d")
+    return x.withColumn("_of", F.when(F.col("side") == "c", "c").otherwise("a")).join(of, ["_of", "key"]).select("side", "key", "x", "d").mapInArrow(work, "side string, key string, d array<double>")
 
 
 LAYERS = ("w1", "b1", "w2", "b2")
@@ -304,7 +398,7 @@ LAYERS = ("w1", "b1", "w2", "b2")
 
 def train(rows: DataFrame, start: Towers, epochs: int = 5, rate: float = 0.02) -> tuple[Towers, list[float]]:
     """Synchronous rounds of Adam over all rows. Returns the losses before each round."""
-    t = Towers(TwoTower.unpacked(start.layers.packed()), start.members, start.embeddings)
+    t = Towers(TwoTower.unpacked(start.layers.packed()), start.members, start.embeddings, start.peers)
     moments: dict[str, tuple[np.ndarray, np.ndarray]] = {}
     losses = []
     for epoch in range(1, epochs + 1):
@@ -317,11 +411,13 @@ def train(rows: DataFrame, start: Towers, epochs: int = 5, rate: float = 0.02) -
         losses.append((loss / n) ** (1 / OMEGA))
         back = written(_layer_gradients(x, d.where("side <> 'loss'"), t.layers), "layer-gradients")
         flat = back.where("key IS NULL").select("side", F.posexplode("d").alias("j", "g")).groupBy("side", "j").agg(F.sum("g").alias("g"))
-        sums: dict[str, dict[int, float]] = {"a": {}, "c": {}}
+        sums: dict[str, dict[int, float]] = {side: {} for side in t.layers.sides()}
         for r in flat.collect():  # the layers' size
             sums[r.side][r.j] = r.g / n
-        t = Towers(t.layers, t.members, _embeddings_after(t, back.where("key IS NOT NULL"), n, epoch, rate))
-        for side, tower in (("a", t.layers.action), ("c", t.layers.context)):
+        t = Towers(t.layers, t.members, _embeddings_after(t, back.where("key IS NOT NULL"), n, epoch, rate), t.peers)
+        for side, tower in t.layers.sides().items():
+            if not sums[side]:
+                continue  # no resource of this source in any pair
             g, at = np.array([sums[side][j] for j in range(len(sums[side]))]), 0
             for k in LAYERS:
                 own = g[at : at + tower.p[k].size].reshape(tower.p[k].shape)
@@ -338,9 +434,16 @@ def _embeddings_after(t: Towers, back: DataFrame, n: float, epoch: int, rate: fl
     """The embeddings after a step of Adam: gradients of pooled rows go to all members by weight."""
     e, m, v = (t.names(x) for x in "emv")
     dim = len(e)
-    offset = F.greatest(F.col("f") - 1, F.lit(0)) * dim
-    shares = [F.sum(F.col("w") * F.get("d", (offset + j).cast("int"))).alias(f"g{j}") for j in range(dim)]
-    g = t.members.join(back, ["side", "key"]).groupBy("f", "i").agg(*shares)
+    place = lambda f: F.when(f < OWN, F.greatest(f - 1, F.lit(0))).otherwise(0) * dim
+    shares = [(F.col("w") * F.get("d", (place(F.col("f")) + j).cast("int"))).alias(f"g{j}") for j in range(dim)]
+    each = t.members.join(back, ["side", "key"]).select(embedding(F.col("f")).alias("f"), "i", *shares)
+    names = [f"g{j}" for j in range(dim)]
+    for f, own in t.peers.tables().items():
+        # by the same sums: the weight of two principals is that of the two the other way round
+        mine = back.where("side = 'c'").select("key", *(F.get("d", (f - 1) * dim + j).alias(f"g{j}") for j in range(dim)))
+        found = t.peers.spread(f, own.select("key").join(t.peers.divided(f, mine, names), "key", "left").fillna(0.0, names), names)
+        each = each.unionByName(found.join(own, "key").select(embedding(F.lit(f)).alias("f"), "i", *names))
+    g = each.groupBy("f", "i").agg(*(F.sum(c).alias(c) for c in names))
     rows = t.embeddings.join(g, ["f", "i"], "left")
     grad = [F.coalesce(F.col(f"g{j}"), F.lit(0.0)) / n for j in range(dim)]
     moved = rows.select("f", "i", *e, *((0.9 * F.col(m[j]) + 0.1 * grad[j]).alias(m[j]) for j in range(dim)), *((0.999 * F.col(v[j]) + 0.001 * grad[j] * grad[j]).alias(v[j]) for j in range(dim)))
@@ -349,75 +452,121 @@ def _embeddings_after(t: Towers, back: DataFrame, n: float, epoch: int, rate: fl
 
 
 def distances(rows: DataFrame, t: Towers) -> DataFrame:
-    """Adds ``distances`` of the pair's resource to its own context and then to those of its negatives."""
+    """Adds ``distances`` of the pair's resource to its own context and then to those of its negatives, and ``raw`` before they are kept within 0 and 1."""
     met = _met(rows, written(units(pooled(t), t.layers), "units"))
     width = t.layers.action.out
     inner = lambda k: F.aggregate(F.zip_with("a", F.slice("c", k * width + 1, width), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    each = F.transform(F.sequence(F.lit(0), F.size("who") - 1), lambda k: F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - inner(k))))
-    return met.withColumn("distances", each).drop("a", "who", "c")
+    met = met.withColumn("raw", F.transform(F.sequence(F.lit(0), F.size("who") - 1), lambda k: 1 - inner(k)))
+    return met.withColumn("distances", F.transform("raw", lambda d: F.greatest(F.lit(0.0), F.least(F.lit(1.0), d)))).drop("a", "who", "c")
+
+
+#: What the gate asks for, and how many pairs a source needs to be judged and to have a policy of its own.
+LEAST_TOP_1, LEAST_WIN_RATE, LEAST_MARGIN = 0.15, 0.55, 0.0
+GATE_PAIRS, POLICY_PAIRS = 5, 3
+#: Sources of identities and of resources, of which the gate asks for one each, and for two sources in all.
+IDENTITY_SOURCES, RESOURCE_SOURCES, LEAST_SOURCES = ("okta",), ("github", "gworkspace", "snowflake"), 2
+#: Thresholds without calibration, and bounds of calibrated ones.
+DEFAULT_THRESHOLD, DEFAULT_HIGH, LEAST_THRESHOLD, MOST_THRESHOLD = 0.60, 0.80, 0.05, 0.99
 
 
 def retrieval(scored: DataFrame) -> DataFrame:
-    """Per source and in all: top-1 share, pairwise win rate and mean margin of own over sampled contexts, and medians and 95th percentiles of both distances."""
-    own, others = F.get("distances", 0), F.slice("distances", 2, 1_000_000)
-    rows = scored.select("source", own.alias("own"), others.alias("others"), (own < F.array_min(others)).cast("double").alias("top"), (F.size(F.filter(others, lambda x: x > own)) / F.size(others)).alias("wins"), (F.aggregate(others, F.lit(0.0), lambda s, x: s + x) / F.size(others) - own).alias("margin"))
+    """Per source and in all, over pairs and their samples: share of pairs that no sample is nearer than, share nearer than the
+    samples' mean, mean of that mean less the own distance, 95th percentile of own distances, and 50th and 90th of the samples' means.
+    """
+    own, others = F.get("raw", 0), F.slice("raw", 2, 1_000_000)
+    mean = F.aggregate(others, F.lit(0.0), lambda s, x: s + x) / F.size(others)
+    rows = scored.select("source", own.alias("own"), mean.alias("other"), (own <= F.array_min(others)).cast("double").alias("top"))
     both = written(rows.unionByName(rows.withColumn("source", F.lit("__all__"))), "retrieval")
-    means = both.groupBy("source").agg(F.count(F.lit(1)).alias("pairs"), F.avg("top").alias("top_1"), F.avg("wins").alias("win_rate"), F.avg("margin").alias("mean_margin"))
-    wanted = {"p50": 0.5, "p95": 0.95}
-    at = lambda df, name: nearest_rank(df, "source", "x", wanted).groupBy("source").agg(*(F.max(F.when(F.col("quantile") == q, F.col("value"))).alias(f"{name}_{q}") for q in wanted))
-    found = means.join(at(both.select("source", F.col("own").alias("x")), "own"), "source")
-    return found.join(at(both.select("source", F.explode("others").alias("x")), "other"), "source")
+    means = both.groupBy("source").agg(
+        F.count(F.lit(1)).alias("pairs"), F.avg("top").alias("top_1"), F.avg((F.col("own") < F.col("other")).cast("double")).alias("win_rate"),
+        F.avg(F.col("other") - F.col("own")).alias("mean_margin"), F.avg("own").alias("own_mean"), F.avg("other").alias("other_mean"),
+    )
+    at = lambda name, wanted: nearest_rank(both, "source", name, wanted, half_even=True).groupBy("source").agg(*(F.max(F.when(F.col("quantile") == q, F.col("value"))).alias(f"{name}_{q}") for q in wanted))
+    return means.join(at("own", {"p95": 0.95}), "source").join(at("other", {"p50": 0.5, "p90": 0.9}), "source")
 
 
-def gate(metrics: DataFrame, top_1: float = 0.15, win_rate: float = 0.55, least_pairs: int = 5) -> DataFrame:
-    """Whether each source with enough pairs, and all together, are good enough to be switched on."""
-    enough = F.col("pairs") >= least_pairs
-    good = (F.col("top_1") >= top_1) & (F.col("win_rate") >= win_rate) & (F.col("mean_margin") > 0)
-    return metrics.withColumn("passes", F.when(enough, good))
+def gate(metrics: DataFrame) -> DataFrame:
+    """Adds whether each source with enough pairs, and all together, are good enough to be switched on, and the reason."""
+    top, wins, margin = F.col("top_1") >= LEAST_TOP_1, F.col("win_rate") >= LEAST_WIN_RATE, F.col("mean_margin") > LEAST_MARGIN
+    judged = (F.col("source") == "__all__") | (F.col("pairs") >= GATE_PAIRS)
+    good = F.when(F.col("source") == "__all__", "sampled_retrieval_gate_pass").otherwise("source_sampled_retrieval_gate_pass")
+    reason = F.when(top & wins & margin, good).when(~top, "sampled_top1_accuracy_below_threshold").when(~wins, "pairwise_win_rate_below_threshold").otherwise("mean_margin_below_threshold")
+    return metrics.withColumn("passes", F.when(judged, top & wins & margin)).withColumn("reason", F.when(judged, reason))
 
 
-def activation(gated: DataFrame, coverage: DataFrame, least_coverage: float = 0.5) -> DataFrame:
-    """One row: whether the model may be switched on, the sources that fail, and both coverages.
+def activation(gated: DataFrame, training_pairs: int | None = None, final_loss: float | None = None) -> DataFrame:
+    """One row: whether the model may be switched on, and why or why not; the sources that fail; and whether the sources that
+    were judged cover identities and resources. ``training_pairs`` and ``final_loss`` are those of training, if it was done.
 
-    All sources together and every source with enough pairs must pass, and the model must know enough of the
-    principals (identity) and of the resources; ``coverage`` has one row with both shares.
+    A source that fails stops the model whatever the overall result; coverage is asked for only if all pass.
     """
-    whole = F.col("source") == "__all__"
+    whole, judged = F.col("source") == "__all__", F.col("passes").isNotNull()
+    covered = F.sort_array(F.collect_list(F.when(~whole & judged, F.col("source"))))  # a few sources
     flags = gated.agg(
-        F.coalesce(F.bool_and("passes"), F.lit(False)).alias("sources_pass"), F.count_if(whole & F.col("passes")).alias("overall"),
-        F.sort_array(F.collect_list(F.when(~whole & ~F.col("passes"), F.col("source")))).alias("failing"), F.count_if(~whole & F.col("passes").isNotNull()).alias("judged_sources"),
+        F.coalesce(F.bool_or(whole & F.col("passes")), F.lit(False)).alias("overall"), F.max(F.when(whole, F.col("reason"))).alias("overall_reason"), F.coalesce(F.max(F.when(whole, F.col("pairs"))), F.lit(0)).alias("held_out_pairs"),
+        F.sort_array(F.collect_list(F.when(~whole & ~F.col("passes"), F.col("source")))).alias("failing"), covered.alias("covered"),
     )
-    out = flags.join(F.broadcast(coverage))  # one row
-    covered = (F.col("identity_coverage") >= least_coverage) & (F.col("resource_coverage") >= least_coverage)
-    return out.withColumn("eligible", F.col("sources_pass") & (F.col("overall") > 0) & covered).drop("overall")
-
-
-def coverage(pairs: DataFrame, static: DataFrame, accessors: DataFrame) -> DataFrame:
-    """One row: shares of the profiled principals and of the resources that have a pair."""
-    share = lambda own, every, key: own.select(key).distinct().agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(every.select(key).distinct().agg(F.count(F.lit(1)).alias("all")))).select(F.try_divide("n", "all"))  # noqa: E731  one row
-    people = share(pairs, static, "principal_key").toDF("identity_coverage")
-    return people.join(F.broadcast(share(pairs, accessors, "resource_key").toDF("resource_coverage")))
-
-
-def calibrated(scored: DataFrame, default: float = 0.60) -> DataFrame:
-    """Threshold per source: midway between own pairs' 95th and samples' 50th percentile, if these are apart."""
-    own = nearest_rank(scored.select("source", F.get("distances", 0).alias("score")), "source", quantiles={"p95": 0.95}).select("source", F.col("value").alias("p95"))
-    other = nearest_rank(scored.select("source", F.explode(F.slice("distances", 2, 1_000_000)).alias("score")), "source", quantiles={"p50": 0.5}).select("source", F.col("value").alias("p50"))
-    midway = F.when(F.col("p95") < F.col("p50"), (F.col("p95") + F.col("p50")) / 2).otherwise(F.lit(default))
-    return own.join(other, "source").select("source", F.greatest(F.lit(0.05), F.least(F.lit(0.95), midway)).alias("detection_threshold"))
-
-
-def with_policy(observations: DataFrame, policy: DataFrame, default: float = 0.60) -> DataFrame:
-    """Each source's threshold, else the global one."""
-    return observations.join(F.broadcast(policy.select("source", "detection_threshold")), "source", "left").withColumn("threshold", F.coalesce("detection_threshold", F.lit(default))).drop("detection_threshold")  # few sources
-
-
-def observations(events: DataFrame, found: DataFrame, policy: DataFrame, default: float = 0.60) -> DataFrame:
+    any_of = lambda names: F.arrays_overlap("covered", F.array(*map(F.lit, names)))
+    coverage = F.when(F.size("covered") < LEAST_SOURCES, "insufficient_covered_sources").when(~any_of(IDENTITY_SOURCES), "identity_source_coverage_missing")
+    coverage = coverage.when(~any_of(RESOURCE_SOURCES), "resource_source_coverage_missing").otherwise("cross_domain_coverage_gate_pass")
+    # what makes a judgement impossible comes first
+    blocked = None
+    if training_pairs is not None and training_pairs <= 0:
+        blocked = "no_training_pairs"
+    elif training_pairs is not None and (final_loss is None or not np.isfinite(final_loss)):
+        blocked = "final_loss_invalid"
+    stop = F.when(F.lit(blocked is not None), F.lit(blocked)).when(F.col("held_out_pairs") == 0, "heldout_eval_missing")
+    out = flags.withColumn("_stop", stop).withColumn("coverage_reason", F.coalesce("_stop", coverage))
+    out = out.withColumns({c: F.when(F.col("_stop").isNull(), F.col(c)).otherwise(F.array().cast("array<string>")) for c in ("failing", "covered")})
+    passes = F.col("coverage_reason") == "cross_domain_coverage_gate_pass"
+    sources = F.size("failing") == 0
+    reason = F.when(F.col("_stop").isNotNull(), F.col("_stop")).when(~sources, F.concat(F.lit("source_gate_failed:"), F.array_join("failing", ",")))
+    reason = reason.when(F.col("overall") & ~passes, F.concat(F.lit("coverage_gate_failed:"), "coverage_reason")).otherwise(F.col("overall_reason"))
+    eligible = F.col("_stop").isNull() & F.col("overall") & sources & passes
+    return out.select(eligible.alias("eligible"), reason.alias("reason"), "failing", "covered", passes.alias("coverage_eligible"), "coverage_reason")
+
+
+def policies(metrics: DataFrame, scope: str = "heldout") -> DataFrame:
+    """Thresholds of each source with enough pairs, and of all together (source null, the global policy), rounded to 4 digits.
+
+    The detection threshold is midway between the own distances' 95th and the samples' 50th percentile where these are apart; the one of
+    high severity is the samples' 90th, at least 0.1 above. ``calibration_source`` and ``calibration_reason`` say where they come from.
+    """
+    c, bounded = F.col, lambda x: F.greatest(F.lit(LEAST_THRESHOLD), F.least(x, F.lit(MOST_THRESHOLD)))
+    whole, apart = c("source") == "__all__", c("other_p50") > c("own_p95")
+    rows = metrics.where(whole | (c("pairs") >= POLICY_PAIRS)).withColumn("t", bounded(F.when(apart, (c("own_p95") + c("other_p50")) / 2.0).otherwise(F.lit(DEFAULT_THRESHOLD))))
+    most = F.lit(MOST_THRESHOLD)
+    high = F.greatest(c("t") + 0.1, F.least(F.greatest(c("other_p90"), c("t") + 0.05), most))
+    high = F.greatest(c("t"), F.least(high, most))
+    reason = F.when(apart, "heldout_midpoint_between_positive_p95_and_negative_p50").otherwise("fallback_default_threshold_due_to_overlap")
+    source = F.when(whole, F.lit(scope)).otherwise(F.concat(F.lit(f"{scope}:"), "source"))
+    return rows.select(F.when(~whole, c("source")).alias("source"), F.round("t", 4).alias("detection_threshold"), F.round(high, 4).alias("high_severity_threshold"), source.alias("calibration_source"), reason.alias("calibration_reason"), F.when(~whole, c("pairs")).alias("pairs"))
+
+
+def calibrated(scored: DataFrame) -> DataFrame:
+    """The policies of pairs and their samples."""
+    return policies(retrieval(scored))
+
+
+def policy_of(rows: DataFrame, policy: DataFrame) -> DataFrame:
+    """Adds the policy of each row's source, else the global one, else the defaults, and ``policy_scope`` (the source or ``global``)."""
+    names = ("detection_threshold", "high_severity_threshold", "calibration_source", "calibration_reason")
+    few = policy.select(F.col("source").alias("_source"), *(F.col(c).alias(f"_{c}") for c in names))  # a row per source and one more
+    common = F.broadcast(few.where("_source IS NULL").drop("_source").agg(*(F.max(f"_{c}").alias(f"_global_{c}") for c in names)))
+    out = rows.join(F.broadcast(few.where("_source IS NOT NULL")), F.col("source") == F.col("_source"), "left").join(common)
+    own = F.col("_source").isNotNull()
+    defaults = {"detection_threshold": F.lit(DEFAULT_THRESHOLD), "high_severity_threshold": F.lit(DEFAULT_HIGH), "calibration_source": F.lit(None).cast("string"), "calibration_reason": F.lit(None).cast("string")}
+    out = out.withColumns({c: F.when(own, F.col(f"_{c}")).otherwise(F.coalesce(F.col(f"_global_{c}"), defaults[c])) for c in names})
+    out = out.withColumn("policy_scope", F.when(own, F.col("source")).otherwise("global")).withColumn("high_severity_threshold", F.greatest("high_severity_threshold", "detection_threshold"))
+    return out.drop("_source", *(f"_{c}" for c in names), *(f"_global_{c}" for c in names))
+
+
+def observations(events: DataFrame, found: DataFrame, policy: DataFrame) -> DataFrame:
     """One row per event scored by rules: the distance of its resource and principal if there is one, else the rules' score."""
     pairs = found.select("resource_key", "principal_key", F.get("distances", 0).alias("_distance"))  # a resource has one source
-    rows = with_policy(events.join(pairs, ["resource_key", "principal_key"], "left"), policy, default)
+    rows = policy_of(events.join(pairs, ["resource_key", "principal_key"], "left"), policy)
     modelled = F.col("_distance").isNotNull()
-    score, threshold = F.coalesce("_distance", "score"), F.when(modelled, F.col("threshold")).otherwise(F.lit(default))
+    score, threshold = F.coalesce("_distance", "score"), F.when(modelled, F.col("detection_threshold")).otherwise(F.lit(DEFAULT_THRESHOLD))
     return rows.select("event_id", "source", "truth", F.round(score, 2).alias("score"), threshold.alias("threshold"), (score >= threshold).alias("detected"), F.when(modelled, "model").otherwise("rules").alias("scoring_mode"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from vigil.functions import scalars
-from vigil.operators import features, model, modes, rules, tensors
+from vigil.operators import features, model, modes, normalize, rules, tensors
 from vigil.plans.common import accepted, detections, scored, sql
 from vigil.session import table, written
 from vigil.sources import adapter
@@ -26,7 +26,8 @@ def checked(oracle: str, *needs: str):
     return add
 
 
-_NEEDS = ("accessors", "static", "history", "manager_peers", "team_peers", "vocab", "pairs")
+_NEEDS = ("accessors", "static", "history", "department_peers", "manager_peers", "team_peers", "collaboration", "vocab", "pairs")
+_SOURCES = list(normalize.SOURCES)
 _HALF = "(('0x' || substr(md5({} || '|3|{}'), 1, 12))::BIGINT + 0.5::DOUBLE) / 281474976710656::DOUBLE"
 
 
@@ -35,21 +36,30 @@ def _sql_normal(key: str) -> str:
 
 
 _STATIC = model.CONTEXT_FIELDS[5:]
-_DISTANCE = "greatest(0, least(1, 1 - list_inner_product(a.u, c.u)))"
+_DISTANCE = "1 - list_inner_product(a.u, c.u)"
+
+
+def _rank(column: str, share: float) -> str:
+    """The value at a share of the ranks; midway the even rank."""
+    return f"list({column} ORDER BY {column})[round_even((count(*) - 1) * {share}::DOUBLE, 0)::BIGINT + 1]"
+
+
 #: The forward pass of untrained towers in SQL: pooling, layers, unit vectors, distances of pairs and samples.
 _FORWARD = f"""
   rvocab AS (SELECT key, row_number() OVER (ORDER BY key) - 1 AS idx FROM (SELECT DISTINCT resource_key AS key FROM accessors)),
   windows AS (SELECT principal_key, resource_key, count(*) OVER (PARTITION BY principal_key, window_start) AS n, window_start FROM history),
   whist AS (SELECT principal_key, count(DISTINCT window_start) AS windows FROM history GROUP BY principal_key),
-  mpeers AS (SELECT principal_key, peer_key, peer_type, peer_weight / sum(peer_weight) OVER (PARTITION BY principal_key, peer_type) AS w FROM (SELECT * FROM manager_peers UNION ALL SELECT * FROM team_peers)),
-  members AS (SELECT 'a' AS side, resource_key AS key, 0 AS f, idx AS i, accessor_weight AS w FROM accessors JOIN vocab ON vocab.key = principal_key
+  mpeers AS (SELECT principal_key, peer_key, peer_type, peer_weight / sum(peer_weight) OVER (PARTITION BY principal_key, peer_type) AS w
+    FROM (SELECT * FROM department_peers UNION ALL SELECT * FROM manager_peers UNION ALL SELECT * FROM team_peers UNION ALL SELECT principal_key, collaborator_key, 'collaboration', co_access_weight FROM collaboration)),
+  members AS (SELECT 'a|' || source AS side, resource_key AS key, 99 + list_position({_SOURCES}, source) AS f, idx AS i, accessor_weight AS w FROM accessors JOIN vocab ON vocab.key = principal_key
     UNION ALL SELECT 'c', principal_key, 1, idx, sum(1::DOUBLE / n / windows) FROM windows JOIN whist USING (principal_key) JOIN rvocab ON rvocab.key = resource_key JOIN static USING (principal_key) GROUP BY ALL
-    UNION ALL SELECT 'c', principal_key, CASE peer_type WHEN 'manager' THEN 3 ELSE 4 END, idx, w FROM mpeers JOIN vocab ON vocab.key = peer_key
+    UNION ALL SELECT 'c', principal_key, CASE peer_type WHEN 'department' THEN 2 WHEN 'manager' THEN 3 WHEN 'group' THEN 4 ELSE 5 END, idx, w FROM mpeers JOIN vocab ON vocab.key = peer_key
     {" ".join(f"UNION ALL SELECT 'c', principal_key, {6 + k}, coalesce(i, 0), 1 FROM static LEFT JOIN (SELECT {c} AS v, row_number() OVER (ORDER BY {c}) AS i FROM (SELECT DISTINCT {c} FROM static)) ON v = {c}" for k, c in enumerate(_STATIC))}),
-  emb AS (SELECT f, i, j, 0.3::DOUBLE * {_sql_normal("'e|' || f || '|' || i || '|' || j")} AS e FROM (SELECT DISTINCT f, i FROM members), range(0, 8) r(j)),
-  x AS (SELECT side, key, greatest(f - 1, 0) * 8 + j AS c, sum(w * e) AS x FROM members JOIN emb USING (f, i) WHERE f NOT IN (-1) GROUP BY ALL),
-  w1 AS (SELECT side, c, h, {_sql_normal("side || '|w1|' || c || '|' || h")} / sqrt(n) AS w FROM (SELECT 'a' AS side, unnest(range(0, 8)) AS c, 8 AS n UNION ALL SELECT 'c', unnest(range(0, 72)), 72), range(0, 32) r(h)),
-  w2 AS (SELECT side, h, o, {_sql_normal("side || '|w2|' || h || '|' || o")} / sqrt(32) AS w FROM (VALUES ('a'), ('c')) s(side), range(0, 32) r(h), range(0, 16) q(o)),
+  tabled AS (SELECT *, CASE WHEN f BETWEEN 2 AND 5 THEN 2 ELSE f END AS t FROM members WHERE f NOT IN (-1)),
+  emb AS (SELECT t, i, j, 0.3::DOUBLE * {_sql_normal("'e|' || t || '|' || i || '|' || j")} AS e FROM (SELECT DISTINCT t, i FROM tabled), range(0, 8) r(j)),
+  x AS (SELECT side, key, CASE WHEN f >= 100 THEN 0 ELSE greatest(f - 1, 0) END * 8 + j AS c, sum(w * e) AS x FROM tabled JOIN emb USING (t, i) GROUP BY ALL),
+  w1 AS (SELECT side, c, h, {_sql_normal("side || '|w1|' || c || '|' || h")} / sqrt(n) AS w FROM (SELECT 'a|' || unnest({_SOURCES}) AS side, c, 8 AS n FROM range(0, 8) q(c) UNION ALL SELECT 'c', unnest(range(0, 72)), 72), range(0, 32) r(h)),
+  w2 AS (SELECT side, h, o, {_sql_normal("side || '|w2|' || h || '|' || o")} / sqrt(32) AS w FROM (SELECT 'a|' || unnest({_SOURCES}) AS side UNION ALL SELECT 'c') s, range(0, 32) r(h), range(0, 16) q(o)),
   hid AS (SELECT side, key, h, greatest(0, sum(x * w)) AS v FROM x JOIN w1 USING (side, c) GROUP BY ALL),
   z AS (SELECT side, key, o, sum(v * w) + 0.01::DOUBLE AS z FROM hid JOIN w2 USING (side, h) GROUP BY ALL),
   u AS (SELECT side, key, list(z / greatest(1e-12, n) ORDER BY o) AS u FROM (SELECT *, sqrt(sum(z * z) OVER (PARTITION BY side, key)) AS n FROM z) GROUP BY side, key),
@@ -59,17 +69,19 @@ _FORWARD = f"""
   sampled AS (SELECT *, ('0x' || substr(sha256(resource_key || ':' || principal_key || ':' || source || ':' || i || ':7'), 1, 8))::BIGINT % (n - 1) AS y FROM drawn),
   slots AS (SELECT resource_key, principal_key, source, 0 AS slot, principal_key AS who FROM pairs
     UNION ALL SELECT s.resource_key, s.principal_key, s.source, s.i, o.principal_key FROM sampled s JOIN people_ o ON o.idx = CASE WHEN y >= s.idx THEN y + 1 ELSE y END),
-  dist AS (SELECT resource_key, principal_key, source, slot, {_DISTANCE} AS d FROM slots JOIN u a ON a.side = 'a' AND a.key = resource_key JOIN u c ON c.side = 'c' AND c.key = who),
-  own AS (SELECT resource_key, principal_key, source, d FROM dist WHERE slot = 0),
-  metric AS (SELECT o.source, o.d, (o.d < min(s.d))::INT::DOUBLE AS top, count(*) FILTER (s.d > o.d) / count(*)::DOUBLE AS wins, avg(s.d) - o.d AS margin FROM own o JOIN dist s USING (resource_key, principal_key, source) WHERE slot > 0 GROUP BY o.resource_key, o.principal_key, o.source, o.d),
-  metric2 AS (SELECT * FROM metric UNION ALL SELECT '__all__', d, top, wins, margin FROM metric),
-  samples2 AS (SELECT source, d FROM dist WHERE slot > 0 UNION ALL SELECT '__all__', d FROM dist WHERE slot > 0),
-  pct AS (SELECT source, list(d ORDER BY d)[floor((count(*) - 1) * 0.5::DOUBLE + 0.5)::BIGINT + 1] AS p50, list(d ORDER BY d)[floor((count(*) - 1) * 0.95::DOUBLE + 0.5)::BIGINT + 1] AS p95 FROM metric2 GROUP BY source),
-  pct_o AS (SELECT source, list(d ORDER BY d)[floor((count(*) - 1) * 0.5::DOUBLE + 0.5)::BIGINT + 1] AS p50, list(d ORDER BY d)[floor((count(*) - 1) * 0.95::DOUBLE + 0.5)::BIGINT + 1] AS p95 FROM samples2 GROUP BY source),
-  metrics AS (SELECT m.source, count(*) AS pairs, avg(top) AS top_1, avg(wins) AS win_rate, avg(margin) AS mean_margin, any_value(p.p50) AS own_p50, any_value(p.p95) AS own_p95, any_value(q.p50) AS other_p50, any_value(q.p95) AS other_p95
-    FROM metric2 m JOIN pct p ON p.source = m.source JOIN pct_o q ON q.source = m.source GROUP BY m.source),
-  gated AS (SELECT *, CASE WHEN pairs >= 5 THEN top_1 >= 0.15 AND win_rate >= 0.55 AND mean_margin > 0 END AS passes FROM metrics),
-  policy AS (SELECT p.source, greatest(0.05::DOUBLE, least(0.95::DOUBLE, CASE WHEN p.p95 < q.p50 THEN (p.p95 + q.p50) / 2 ELSE 0.6::DOUBLE END)) AS detection_threshold FROM pct p JOIN pct_o q ON q.source = p.source WHERE p.source <> '__all__')"""
+  dist AS (SELECT resource_key, principal_key, source, slot, {_DISTANCE} AS r, greatest(0, least(1, {_DISTANCE})) AS d FROM slots JOIN u a ON a.side <> 'c' AND a.key = resource_key JOIN u c ON c.side = 'c' AND c.key = who),
+  own AS (SELECT resource_key, principal_key, source, d, r FROM dist WHERE slot = 0),
+  metric AS (SELECT o.source, o.r AS own, avg(s.r) AS other, (o.r <= min(s.r))::INT::DOUBLE AS top FROM own o JOIN dist s USING (resource_key, principal_key, source) WHERE slot > 0 GROUP BY o.resource_key, o.principal_key, o.source, o.r),
+  metric2 AS (SELECT * FROM metric UNION ALL SELECT '__all__', own, other, top FROM metric),
+  metrics AS (SELECT source, count(*) AS pairs, avg(top) AS top_1, avg((own < other)::INT) AS win_rate, avg(other - own) AS mean_margin, avg(own) AS own_mean, avg(other) AS other_mean,
+    {_rank("own", 0.95)} AS own_p95, {_rank("other", 0.5)} AS other_p50, {_rank("other", 0.9)} AS other_p90 FROM metric2 GROUP BY source),
+  judged AS (SELECT *, source = '__all__' OR pairs >= 5 AS judged, top_1 >= 0.15 AND win_rate >= 0.55 AND mean_margin > 0 AS good FROM metrics),
+  gated AS (SELECT * EXCLUDE (judged, good), CASE WHEN judged THEN good END AS passes, CASE WHEN NOT judged THEN NULL WHEN good AND source = '__all__' THEN 'sampled_retrieval_gate_pass' WHEN good THEN 'source_sampled_retrieval_gate_pass'
+    WHEN top_1 < 0.15 THEN 'sampled_top1_accuracy_below_threshold' WHEN win_rate < 0.55 THEN 'pairwise_win_rate_below_threshold' ELSE 'mean_margin_below_threshold' END AS reason FROM judged),
+  raised AS (SELECT *, other_p50 > own_p95 AS apart, greatest(0.05::DOUBLE, least(CASE WHEN other_p50 > own_p95 THEN (own_p95 + other_p50) / 2 ELSE 0.6::DOUBLE END, 0.99::DOUBLE)) AS t FROM metrics WHERE source = '__all__' OR pairs >= 3),
+  policy AS (SELECT CASE WHEN source <> '__all__' THEN source END AS source, round(t, 4) AS detection_threshold, round(greatest(t, least(greatest(t + 0.1::DOUBLE, least(greatest(other_p90, t + 0.05::DOUBLE), 0.99::DOUBLE)), 0.99::DOUBLE)), 4) AS high_severity_threshold,
+    CASE WHEN source = '__all__' THEN 'heldout' ELSE 'heldout:' || source END AS calibration_source, CASE WHEN apart THEN 'heldout_midpoint_between_positive_p95_and_negative_p50' ELSE 'fallback_default_threshold_due_to_overlap' END AS calibration_reason,
+    CASE WHEN source <> '__all__' THEN pairs END AS pairs FROM raised)"""
 
 
 def _examples(spark, d, blank: tuple[str, ...] = ()):
@@ -84,10 +96,11 @@ def _examples(spark, d, blank: tuple[str, ...] = ()):
     peers = features.manager_peers(static, org).unionByName(features.team_peers(static, org, adapter.teams(spark, d)))
     context = model.contexts(static, features.history(e), peers, people, resources, vocabularies)
     context = model.blanked(context, blank) if blank else context
+    others = model.peers_of(static, acc, people, blank)
     pairs = tensors.held_out_pairs(tensors.training_pairs(acc, static))
     negatives = tensors.negative_samples(pairs.drop("held_out"), profiled.withColumnRenamed("key", "principal_key"), 3)
     rows = written(model.examples(pairs, negatives), "examples")
-    return rows, model.towers(written(model.members(acc, people, context), "members"))
+    return rows, model.towers(written(model.members(acc, people, context), "members"), peers=others)
 
 
 #: Models by application and input, so that queries on one model train it once; their tables are in the shared folder.
@@ -143,6 +156,14 @@ def calibrated_policy(spark, d):
     return model.calibrated(_held_out(rows, trained))
 
 
+@query
+def model_activation(spark, d):
+    """The gate's judgement of the trained model."""
+    rows, trained, losses = _trained(spark, d)
+    found = model.activation(model.gate(model.retrieval(_held_out(rows, trained))), rows.where("NOT held_out").count(), losses[-1] if losses else None)
+    return found.withColumns({c: F.array_join(c, ",") for c in ("failing", "covered")})
+
+
 @query
 def model_observations(spark, d):
     """Every event with its pair's distance and its source's threshold, or else its score by rules."""
@@ -200,28 +221,44 @@ def seeded_distances(spark, d):
     return found.withColumn("slot", F.col("slot").cast("long")).withColumn("distance", F.round("distance", 6))
 
 
-@checked("SELECT source, pairs, round(top_1, 6) AS top_1, round(win_rate, 6) AS win_rate, round(mean_margin, 6) AS mean_margin, round(own_p50, 6) AS own_p50, round(own_p95, 6) AS own_p95, round(other_p50, 6) AS other_p50, round(other_p95, 6) AS other_p95, passes FROM gated")
+_METRICS = ("top_1", "win_rate", "mean_margin", "own_mean", "other_mean", "own_p95", "other_p50", "other_p90")
+
+
+@checked(f"SELECT source, pairs, passes, reason, {', '.join(f'round({c}, 6) AS {c}' for c in _METRICS)} FROM gated")
 def seeded_retrieval(spark, d):
     found = model.gate(model.retrieval(_seeded(spark, d)))
-    return found.select("source", "pairs", "passes", *(F.round(c, 6).alias(c) for c in found.columns if c not in ("source", "pairs", "passes")))
+    return found.select("source", "pairs", "passes", "reason", *(F.round(c, 6).alias(c) for c in _METRICS))
 
 
-@checked("SELECT source, round(detection_threshold, 6) AS detection_threshold FROM policy")
+@checked("SELECT * FROM policy")
 def seeded_policy(spark, d):
-    return model.calibrated(_seeded(spark, d)).withColumn("detection_threshold", F.round("detection_threshold", 6))
+    """Thresholds of each source and of all together, with where they come from."""
+    return model.calibrated(_seeded(spark, d))
 
 
-@checked(
-    """SELECT coalesce(bool_and(passes), false) AS sources_pass, coalesce(string_agg(source, ',' ORDER BY source) FILTER (source <> '__all__' AND NOT passes), '') AS failing, count(*) FILTER (source <> '__all__' AND passes IS NOT NULL) AS judged_sources,
-  round(any_value(ic), 6) AS identity_coverage, round(any_value(rc), 6) AS resource_coverage, coalesce(bool_and(passes), false) AND any_value(ic) >= 0.5 AND any_value(rc) >= 0.5 AS eligible
-  FROM gated, (SELECT (SELECT count(DISTINCT principal_key) FROM pairs WHERE source <> 'okta') / (SELECT count(*) FROM static)::DOUBLE AS ic, (SELECT count(DISTINCT resource_key) FROM pairs WHERE source <> 'okta') / (SELECT count(DISTINCT resource_key) FROM accessors)::DOUBLE AS rc)"""
-)
+#: What the gate is asked about: all sources, and as if some had no held-out pairs.
+GATES = {"all": "true", "no_identity": "source <> 'okta'", "no_resource": "source IN ('okta', 'other', '__all__')", "identity_and_one": "source IN ('okta', 'github', '__all__')", "nothing": "false"}
+
+
+def _sql_gate(name: str, which: str) -> str:
+    covered = "list_sort(list(source) FILTER (source <> '__all__' AND passes IS NOT NULL))"
+    return f"""SELECT '{name}' AS variant, CASE WHEN n = 0 THEN 'heldout_eval_missing' WHEN len(failing) > 0 THEN 'source_gate_failed:' || array_to_string(failing, ',') WHEN overall AND why <> 'cross_domain_coverage_gate_pass' THEN 'coverage_gate_failed:' || why ELSE overall_reason END AS reason,
+    n > 0 AND overall AND len(failing) = 0 AND why = 'cross_domain_coverage_gate_pass' AS eligible, CASE WHEN n > 0 THEN array_to_string(failing, ',') ELSE '' END AS failing, CASE WHEN n > 0 THEN array_to_string(covered, ',') ELSE '' END AS covered,
+    n > 0 AND why = 'cross_domain_coverage_gate_pass' AS coverage_eligible, CASE WHEN n = 0 THEN 'heldout_eval_missing' ELSE why END AS coverage_reason
+  FROM (SELECT *, CASE WHEN len(covered) < 2 THEN 'insufficient_covered_sources' WHEN NOT list_contains(covered, 'okta') THEN 'identity_source_coverage_missing' WHEN NOT list_has_any(covered, ['github', 'gworkspace', 'snowflake']) THEN 'resource_source_coverage_missing' ELSE 'cross_domain_coverage_gate_pass' END AS why
+  FROM (SELECT coalesce(max(pairs) FILTER (source = '__all__'), 0) AS n, coalesce(bool_or(passes) FILTER (source = '__all__'), false) AS overall, max(reason) FILTER (source = '__all__') AS overall_reason,
+    coalesce(list_sort(list(source) FILTER (source <> '__all__' AND NOT passes)), []) AS failing, coalesce({covered}, []) AS covered FROM gated WHERE {which}))"""
+
+
+@checked(" SELECT * FROM (" + " UNION ALL ".join(_sql_gate(n, w) for n, w in GATES.items()) + ")")
 def activation_gate(spark, d):
-    """Whether the untrained model would be switched on, if it knew the pairs of three sources alone."""
-    found, e = _seeded(spark, d), accepted(spark, d)
-    covered = model.coverage(found.where("source <> 'okta'"), features.static_profiles(e, adapter.principals(spark, d)), features.accessors(e))
-    out = model.activation(model.gate(model.retrieval(found)), covered)
-    return out.withColumn("failing", F.array_join("failing", ",")).withColumns({c: F.round(c, 6) for c in ("identity_coverage", "resource_coverage")})
+    """Whether the untrained model would be switched on, and why not, by what its sources have."""
+    gated = written(model.gate(model.retrieval(_seeded(spark, d))), "gated")
+    out = None
+    for name, which in GATES.items():
+        one = model.activation(gated.where(which)).select(F.lit(name).alias("variant"), "reason", "eligible", *(F.array_join(c, ",").alias(c) for c in ("failing", "covered")), "coverage_eligible", "coverage_reason")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def _by_model(spark, d):
@@ -233,24 +270,25 @@ def _scored_by_model(spark, d):
     e, found = accepted(spark, d), _seeded(spark, d)
     requests = modes.scoring_requests(e, features.accessors(e), features.static_profiles(e, adapter.principals(spark, d)))
     known = found.where("NOT held_out").select("resource_key", "principal_key", F.round(F.get("distances", 0), 4).alias("model_score"))
-    policy = model.calibrated(found).where("source <> 'okta'").withColumn("detection_threshold", F.round("detection_threshold", 4))
+    policy = model.calibrated(found).where("source IS NULL OR source <> 'okta'")  # one source takes the global policy
     return written(modes.with_model_scores(scored(spark, d), requests, known, policy), "modes")
 
 
 _MODES = """, requests AS (SELECT a.event_id, a.resource_key, a.principal_key FROM accepted a SEMI JOIN accessors c ON c.resource_key = a.resource_key AND c.source = a.source SEMI JOIN static s ON s.principal_key = a.principal_key),
   known AS (SELECT resource_key, principal_key, round(d, 4) AS model_score FROM own JOIN held USING (resource_key, principal_key, source) WHERE NOT held_out),
-  modes AS (SELECT s.*, k.model_score, coalesce(p.t, 0.6::DOUBLE) AS detection_threshold, CASE WHEN p.t IS NULL THEN 'global' ELSE s.source END AS policy_scope, greatest(0.8::DOUBLE, coalesce(p.t, 0.6::DOUBLE)) AS high_severity_threshold
-    FROM scored s LEFT JOIN (SELECT event_id, model_score FROM requests JOIN known USING (resource_key, principal_key)) k ON k.event_id = s.event_id LEFT JOIN (SELECT source, round(detection_threshold, 4) AS t FROM policy WHERE source <> 'okta') p ON p.source = s.source),
+  modes AS (SELECT s.*, k.model_score, coalesce(p.detection_threshold, g.detection_threshold) AS detection_threshold, CASE WHEN p.source IS NULL THEN 'global' ELSE s.source END AS policy_scope,
+      greatest(coalesce(p.high_severity_threshold, g.high_severity_threshold), coalesce(p.detection_threshold, g.detection_threshold)) AS high_severity_threshold, coalesce(p.calibration_source, g.calibration_source) AS calibration_source, coalesce(p.calibration_reason, g.calibration_reason) AS calibration_reason
+    FROM scored s LEFT JOIN (SELECT event_id, model_score FROM requests JOIN known USING (resource_key, principal_key)) k ON k.event_id = s.event_id LEFT JOIN (SELECT * FROM policy WHERE source <> 'okta') p ON p.source = s.source, (SELECT * FROM policy WHERE source IS NULL) g),
   final AS (SELECT *, coalesce(model_score, score) AS s, CASE WHEN model_score IS NULL THEN 0.6::DOUBLE ELSE detection_threshold END AS t FROM modes),
   found AS (SELECT 'det-' || substr(sha256(event_id || ':' || scenario), 1, 12) AS detection_id, event_id, source, scenario, floor(s * 100 + 0.5::DOUBLE) / 100 AS score, CASE WHEN s >= CASE WHEN model_score IS NULL THEN 0.8::DOUBLE ELSE high_severity_threshold END THEN 'high' ELSE 'medium' END AS severity,
-    CASE WHEN model_score IS NULL THEN 'rules-heuristics-fusion-v1' ELSE 'two-tower-v1' END AS model_version, CASE WHEN model_score IS NOT NULL THEN policy_scope END AS policy_scope, CASE WHEN model_score IS NOT NULL THEN round(greatest(0, s - t), 4) END AS score_margin, CASE WHEN model_score IS NULL THEN 'no_model_score' END AS fallback_reason FROM final WHERE s >= t)"""
+    CASE WHEN model_score IS NULL THEN 'rules-heuristics-fusion-v1' ELSE 'two-tower-v1' END AS model_version, CASE WHEN model_score IS NOT NULL THEN policy_scope END AS policy_scope, CASE WHEN model_score IS NOT NULL THEN calibration_source END AS calibration_source, CASE WHEN model_score IS NOT NULL THEN calibration_reason END AS calibration_reason, CASE WHEN model_score IS NOT NULL THEN high_severity_threshold END AS high_threshold, CASE WHEN model_score IS NOT NULL THEN round(greatest(0, s - t), 4) END AS score_margin, CASE WHEN model_score IS NULL THEN 'no_model_score' END AS fallback_reason FROM final WHERE s >= t)"""
 
 
 @checked(f"{_MODES} SELECT * FROM found", "accepted", "scored")
 def model_detections(spark, d):
     """Detections by the model, with its policy by source, and by the rules where it has no score."""
     found = modes.model_detections(_by_model(spark, d))
-    return found.select("detection_id", "event_id", "source", "scenario", "score", "severity", "model_version", "model_rationale.policy_scope", F.round("model_rationale.score_margin", 4).alias("score_margin"), "fallback_reason")
+    return found.select("detection_id", "event_id", "source", "scenario", "score", "severity", "model_version", "model_rationale.policy_scope", "model_rationale.calibration_source", "model_rationale.calibration_reason", F.col("model_rationale.high_severity_threshold").alias("high_threshold"), F.round("model_rationale.score_margin", 4).alias("score_margin"), "fallback_reason")
 
 
 @checked(
@@ -304,22 +342,25 @@ def principal_scores(spark, d):
     return model.cluster_scores(own.join(unit, "resource_key").select(F.col("principal_key").alias("principal"), "vector", "score"))
 
 
+SEEDED_ABLATIONS = ("no_history", "no_collaboration", "no_static")
+
+
 def _ablated_sql(config: str) -> str:
     gone = ", ".join(str(model.CONTEXT_FIELDS.index(n) + 1) for n in ABLATIONS[config])
     return f"SELECT '{config}' AS config, * FROM (WITH {_FORWARD.replace('NOT IN (-1)', f'NOT IN ({gone})').replace(_DISTANCE, f'round({_DISTANCE}, 9)')} SELECT pairs, round(top_1, 6) AS top_1, round(win_rate, 6) AS win_rate, round(mean_margin, 6) AS mean_margin FROM metrics WHERE source = '__all__')"
 
 
 def seeded_ablation(spark, d):
-    """Retrieval by untrained towers without histories, and without static attributes."""
+    """Retrieval by untrained towers without histories, without collaborators, and without static attributes."""
     out = None
-    for config in ("no_history", "no_static"):
+    for config in SEEDED_ABLATIONS:
         rows, towers = _examples(spark, d, ABLATIONS[config])
         # contexts that became equal must tie, whatever the order of the sums
-        found = model.distances(rows, towers).withColumn("distances", F.transform("distances", lambda x: F.round(x, 9)))
+        found = model.distances(rows, towers).withColumn("raw", F.transform("raw", lambda x: F.round(x, 9)))
         one = model.retrieval(found).where("source = '__all__'").select(F.lit(config).alias("config"), "pairs", *(F.round(c, 6).alias(c) for c in ("top_1", "win_rate", "mean_margin")))
         out = one if out is None else out.unionByName(one)
     return out
 
 
 QUERIES["seeded_ablation"] = seeded_ablation
-SQL["seeded_ablation"] = sql(" UNION ALL ".join(map(_ablated_sql, ("no_history", "no_static"))), *_NEEDS)
+SQL["seeded_ablation"] = sql(" UNION ALL ".join(map(_ablated_sql, SEEDED_ABLATIONS)), *_NEEDS)
