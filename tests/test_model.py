@@ -216,3 +216,35 @@ def test_policies_by_hand(spark):
     got = {x.source: (x.policy_scope, x.detection_threshold) for x in model.policy_of(events, model.policies(m)).collect()}
     assert got == {"okta": ("okta", 0.6), "github": ("global", 0.35)}
     assert {x.detection_threshold for x in model.policy_of(events, model.policies(m).limit(0)).collect()} == {0.6}
+
+
+def greedy(vectors, sizes, delta):
+    """The closest two clusters merge, one pair at a time."""
+    clusters = [([i], float(n)) for i, n in enumerate(sizes)]
+    cosine = np.clip(1 - vectors @ vectors.T, 0, 2)
+    far = lambda a, b: sum(sizes[i] * sizes[j] * cosine[i, j] for i in a[0] for j in b[0]) / (a[1] * b[1])
+    while len(clusters) > 1:
+        d, i, j = min((far(clusters[i], clusters[j]), i, j) for i in range(len(clusters)) for j in range(i + 1, len(clusters)))
+        if d > delta:
+            break
+        b = clusters.pop(j)
+        clusters[i] = (clusters[i][0] + b[0], clusters[i][1] + b[1])
+    return {tuple(sorted(c)) for c, _ in clusters}
+
+
+def test_chain_of_neighbours_equals_closest_first():
+    import time
+
+    r = np.random.default_rng(8)
+    for n in (1, 2, 3, 25, 40):
+        for delta in (0.05, 0.3, 0.8, 2.0):
+            v = r.normal(size=(n, 3))
+            v /= np.linalg.norm(v, axis=1, keepdims=True)
+            sizes = r.integers(1, 6, n)
+            label = model.average_linkage(v, sizes, delta)
+            assert {tuple(np.flatnonzero(label == c).tolist()) for c in np.unique(label)} == greedy(v, sizes, delta)
+    v = r.normal(size=(2048, 8))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    began = time.perf_counter()
+    model.average_linkage(v, np.ones(2048), 0.4)
+    assert time.perf_counter() - began < 10  # about 1 s on an idle core

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -109,20 +111,25 @@ def cases(detections: DataFrame, hours: int = CASE_GAP_HOURS) -> DataFrame:
     """Detections with the case they belong to: per principal in time order, a detection more than so many
     hours after its case's first one begins a new case.
 
-    The fold walks one principal's detections, of which there are few by their nature.
+    Where a case begins depends on where the one before began, so a principal's detections are read in order, one
+    after the other; the task holds the running case alone, however many there are.
     """
-    item = F.struct("observed_at", "detection_id")
-    gap = F.expr(f"INTERVAL {hours} HOURS")
-
-    def step(acc: Column, x: Column) -> Column:
-        fresh = acc["at"].isNull() | (x["observed_at"] > acc["at"] + gap)
-        at = F.when(fresh, x["observed_at"]).otherwise(acc["at"])
-        anchor = F.when(fresh, x["detection_id"]).otherwise(acc["anchor"])
-        return F.struct(at.alias("at"), anchor.alias("anchor"), F.array_append(acc["out"], F.struct(x["detection_id"].alias("detection_id"), anchor.alias("anchor"))).alias("out"))
-
-    start = F.struct(F.lit(None).cast("timestamp_ntz").alias("at"), F.lit(None).cast("string").alias("anchor"), F.array().cast("array<struct<detection_id:string,anchor:string>>").alias("out"))
-    folded = detections.groupBy("principal_id").agg(F.array_sort(F.collect_list(item)).alias("all")).select("principal_id", F.aggregate("all", start, step)["out"].alias("out"))
-    return folded.select("principal_id", F.explode("out").alias("x")).select("principal_id", "x.detection_id", F.concat(F.lit("case-"), "x.anchor").alias("case_id"))
+    kinds = dict(detections.dtypes)
+    rows = detections.select("principal_id", "detection_id", F.unix_micros(F.col("observed_at").cast("timestamp")).alias("at"))
+    rows = rows.repartition("principal_id").sortWithinPartitions("principal_id", "at", "detection_id")
+    gap = hours * 3_600_000_000
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        who, began, anchor, fresh = None, None, None, True
+        for b in batches:
+            anchors_ = []
+            for person, detection, at in zip(*(c.to_pylist() for c in b.columns)):
+                if fresh or person != who or (at is not None and (began is None or at > began + gap)):
+                    who, began, anchor, fresh = person, at, detection, False
+                anchors_.append(f"case-{anchor}")
+            yield pa.record_batch([b.column(0), b.column(1), pa.array(anchors_, pa.string())], ["principal_id", "detection_id", "case_id"])
+
+    return rows.mapInArrow(work, f"principal_id {kinds['principal_id']}, detection_id {kinds['detection_id']}, case_id string")
 
 
 def case_summaries(case_rows: DataFrame, detections: DataFrame) -> DataFrame:

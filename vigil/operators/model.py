@@ -571,19 +571,38 @@ def observations(events: DataFrame, found: DataFrame, policy: DataFrame) -> Data
 
 
 def average_linkage(vectors: np.ndarray, sizes: np.ndarray, delta: float) -> np.ndarray:
-    """Cluster of each unit vector: the closest clusters by mean cosine distance merge while they are within ``delta``."""
+    """Cluster of each unit vector: the closest clusters by mean cosine distance merge while they are within ``delta``.
+
+    A chain of nearest neighbours ends in two that are nearest to each other. These can merge at once, since a merger never brings
+    clusters nearer to others than the nearer of both was; a cluster whose nearest is beyond ``delta`` is done for the same reason. So
+    each vector costs a few rows of the matrix.
+    """
     d = np.clip(1 - vectors @ vectors.T, 0, 2)
     np.fill_diagonal(d, np.inf)
-    label, size = np.arange(len(vectors)), sizes.astype(float)
-    while len(vectors) > 1:
-        i, j = divmod(int(d.argmin()), len(d))
-        if not d[i, j] <= delta:
-            break
-        merged = (size[i] * d[i] + size[j] * d[j]) / (size[i] + size[j])
-        d[i], d[:, i] = merged, merged
-        d[i, i], d[j], d[:, j] = np.inf, np.inf, np.inf
-        size[i] += size[j]
-        label[label == j] = i
+    label, size, left = np.arange(len(vectors)), sizes.astype(float), np.ones(len(vectors), bool)
+    for start in range(len(vectors)):
+        chain = []
+        while left[start]:  # smaller ones are done, so a merger with this one keeps its number
+            chain = chain or [start]
+            x = chain[-1]
+            y = int(d[x].argmin())
+            if len(chain) > 1 and d[x, chain[-2]] <= d[x, y]:
+                y = chain[-2]
+            if not d[x, y] <= delta:
+                left[x] = False
+                d[x], d[:, x] = np.inf, np.inf
+                chain.pop()
+            elif len(chain) > 1 and y == chain[-2]:
+                i, j = min(x, y), max(x, y)
+                merged = (size[i] * d[i] + size[j] * d[j]) / (size[i] + size[j])
+                d[i], d[:, i] = merged, merged
+                d[i, i], d[j], d[:, j] = np.inf, np.inf, np.inf
+                size[i] += size[j]
+                label[label == j] = i
+                left[j] = False
+                del chain[-2:]
+            else:
+                chain.append(y)
     return label
 
 

@@ -141,6 +141,24 @@ def index_cardinalities(events: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, [one(events.select(refs("actor_email", "principal_key").alias("x")), "principals"), one(events.select(refs("resource_id", "resource_key").alias("x")), "resources"), one(events.select(F.col("department").alias("x")), "departments")])
 
 
+def index_sketches(events: DataFrame) -> DataFrame:
+    """(index, day, sketch): a sketch of an index's references for each day of observation. Sketches of any days can be merged."""
+    refs = F.array(
+        F.struct(F.lit("principals").alias("index"), F.col("actor_email").alias("x")), F.struct(F.lit("principals").alias("index"), F.concat(F.lit("entity::"), "principal_key").alias("x")),
+        F.struct(F.lit("resources").alias("index"), F.col("resource_id").alias("x")), F.struct(F.lit("resources").alias("index"), F.concat(F.lit("entity::"), "resource_key").alias("x")),
+        F.struct(F.lit("departments").alias("index"), F.col("department").alias("x")),
+    )
+    rows = events.select(F.to_date("observed_at").alias("day"), F.explode(refs).alias("r")).where("r.x IS NOT NULL")
+    return rows.groupBy("r.index", "day").agg(F.hll_sketch_agg("r.x", F.lit(14)).alias("sketch"))
+
+
+def cardinalities(sketches: DataFrame, ranges: DataFrame) -> DataFrame:
+    """(range, index, n): estimated distinct references of the days of each range (name, first, last), within about 1 %."""
+    few = ranges.select(F.col("name").alias("range"), "first", "last")
+    rows = sketches.join(F.broadcast(few), F.col("day").between(F.col("first"), F.col("last")))  # ranges that a report asks for
+    return rows.groupBy("range", "index").agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("n"))
+
+
 _FIELDS = ("source_event_id", "integration_id", "observed_at", "received_at", "actor_email", "actor_name", "department", "role", "event_type", "resource_id", "resource_name", "resource_kind", "sensitivity", "geo", "privileged", "external", "rows_read", "expected_transition", "role_change_window", "approved_travel", "incident_response_window", "incident_ticket", "quarter_close_window", "approved_workflow", "scenario", "actor_idx")
 SQL = {
     "daily": """

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from vigil.functions import scalars
 from vigil.operators import features, normalize, stats
 from vigil.plans.common import accepted, sql
+from vigil.session import written
 from vigil.sources import adapter
 
 QUERIES, SQL = {}, {}
@@ -149,6 +150,31 @@ def index_cardinalities(spark, d):
     return stats.index_cardinalities(accepted(spark, d))
 
 
+#: Days of which cardinalities are asked.
+RANGES = {"first_week": ("2024-01-01", "2024-01-07"), "ten_days": ("2024-01-05", "2024-01-14"), "all": ("2000-01-01", "2100-01-01")}
+
+
+def _sql_exact(name: str, low: str, high: str) -> str:
+    own = f"FROM accepted WHERE observed_at::DATE BETWEEN DATE '{low}' AND DATE '{high}'"
+    both = lambda a, b: f"SELECT {a} AS x {own} UNION ALL SELECT 'entity::' || {b} {own}"
+    parts = {"principals": both("actor_email", "principal_key"), "resources": both("resource_id", "resource_key"), "departments": f"SELECT department AS x {own}"}
+    return " UNION ALL ".join(f"""SELECT '{name}' AS "range", '{i}' AS "index", count(DISTINCT x) AS exact, true AS within FROM ({q})""" for i, q in parts.items())
+
+
+@query(" UNION ALL ".join(_sql_exact(n, *r) for n, r in RANGES.items()), "accepted")
+def index_cardinality_ranges(spark, d):
+    """Distinct references of ranges of days by merged daily sketches, held within 3 % of the exact numbers."""
+    events = written(accepted(spark, d).select("observed_at", "actor_email", "principal_key", "resource_id", "resource_key", "department"), "events")
+    sketches = written(stats.index_sketches(events), "sketches")
+    ranges = spark.createDataFrame([(n, *r) for n, r in RANGES.items()], "name string, first string, last string").selectExpr("name", "to_date(first) AS first", "to_date(last) AS last")
+    estimated = stats.cardinalities(sketches, ranges)
+    exact = None
+    for name, (low, high) in RANGES.items():
+        one = stats.index_cardinalities(events.where(F.to_date("observed_at").between(F.to_date(F.lit(low)), F.to_date(F.lit(high))))).select(F.lit(name).alias("range"), "index", F.col("n").alias("exact"))
+        exact = one if exact is None else exact.unionByName(one)
+    return exact.join(estimated, ["range", "index"]).select("range", "index", "exact", (F.abs(F.col("n") - F.col("exact")) <= 0.03 * F.col("exact")).alias("within"))
+
+
 @query("SELECT t AS \"table\", n AS rows, t <> 'collaboration' AS required, true AS ready FROM (SELECT 'accessors' AS t, count(*) AS n FROM accessors UNION ALL SELECT 'history', count(*) FROM history UNION ALL SELECT 'static', count(*) FROM static UNION ALL SELECT 'collaboration', count(*) FROM collaboration UNION ALL SELECT 'peers', count(*) FROM peers)", "accessors", "history", "static", "collaboration", "peers")
 def feature_readiness(spark, d):
     e, static, org = accepted(spark, d), _static(spark, d), adapter.principals(spark, d)

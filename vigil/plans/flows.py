@@ -81,13 +81,17 @@ def raw_lake_round_trip(spark, d):
     return rows.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("source_event_id").alias("ids"))
 
 
-@query("SELECT detection_id, event_id AS primary_event_id, score FROM detections", "detections")
+_DAYS = "(SELECT count(DISTINCT observed_at::DATE) FROM detections {})"
+_EARLY = _DAYS.format("WHERE observed_at < TIMESTAMP '2024-01-15'")
+
+
+@query(f"SELECT detection_id, event_id AS primary_event_id, score, {_EARLY} AS touched_0, {_DAYS.format('')} AS touched_1, {_EARLY} AS touched_2 FROM detections", "detections")
 def detection_lake_append(spark, d):
     path = shared_path(spark, "detections")
     rows = rules.detection_rows(detections(spark, d))
-    lake.append_detections(rows, path, hourly=False)
-    lake.append_detections(rows, path, hourly=False)  # the second time adds nothing
-    return lake.read_detections(spark, path).select("detection_id", "primary_event_id", "score")
+    early = rows.where("observed_at < '2024-01-15'")
+    parts = [lake.append_detections(df, path, hourly=False) for df in (early, rows, early)]  # the second time adds the late ones, the third nothing
+    return lake.read_detections(spark, path).select("detection_id", "primary_event_id", "score", *(F.lit(n).cast("long").alias(f"touched_{i}") for i, n in enumerate(parts)))
 
 
 @query("SELECT 'accessors' AS name, count(*) AS n FROM accessors UNION ALL SELECT 'history', count(*) FROM history UNION ALL SELECT 'static', count(*) FROM static", "accessors", "history", "static")

@@ -56,11 +56,11 @@ def raw_by_receipt(spark, d):
     return search.by_receipt(adapter.raw_events(spark, d)).select("source", "source_event_id", "received")
 
 
-@query("SELECT event_id FROM accepted WHERE department = 'dept3' AND resource_name IN ('res1', 'res2', 'res3', 'res4') AND actor_email IN (SELECT actor_email FROM accepted WHERE privileged)", "accepted")
+@query("SELECT event_id FROM accepted WHERE department = 'dept2' AND resource_name IN ('res1', 'res2', 'res3', 'res4') AND actor_email IN (SELECT actor_email FROM accepted WHERE privileged)", "accepted")
 def postings_intersection(spark, d):
     rows = written(accepted(spark, d).select("event_id", "actor_email", "resource_name", "department", "privileged"), "events")
     people = rows.join(rows.where("privileged").select("actor_email").distinct(), "actor_email", "left_semi")
-    return search.in_postings(rows, rows.where("department = 'dept3'"), rows.where("resource_name IN ('res1', 'res2', 'res3', 'res4')"), people).select("event_id")
+    return search.in_postings(rows, rows.where("department = 'dept2'"), rows.where("resource_name IN ('res1', 'res2', 'res3', 'res4')"), people).select("event_id")
 
 
 _CURSOR = "replace(replace(to_base64(encode('{\"observed_at\":\"' || strftime(observed_at, '%Y-%m-%dT%H:%M:%S.%fZ') || '\",\"event_id\":\"' || event_id || '\"}')), '+', '-'), '/', '_')"

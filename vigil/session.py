@@ -67,6 +67,23 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _path(spark: SparkSession, path: str):
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return jvm_path, jvm_path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is a file or folder, in any store that Spark reads."""
+    found, fs = _path(spark, path)
+    return fs.exists(found)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Removes a folder."""
+    found, fs = _path(spark, path)
+    fs.delete(found, True)
+
+
 def input_bytes(df: DataFrame) -> int | None:
     """Bytes of the files and tables that a plan reads, as Spark estimates them before running it; unknown (null) for remote sessions."""
     plan = getattr(df, "_jdf", None)
