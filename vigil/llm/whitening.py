@@ -93,7 +93,7 @@ def _sums(blocks: DataFrame, d: int, f: Callable[[np.ndarray], np.ndarray], size
         yield pa.record_batch([pa.array([total], pa.list_(pa.float64() if kind == "double" else pa.int64()))], ["v"])
 
     rows = blocks.select("kind", "data").mapInArrow(work, f"v array<{kind}>")
-    found = rows.agg(*(F.sum(F.col("v")[i]).alias(f"s{i}") for i in range(size))).first()
+    found = rows.selectExpr(*(f"sum(v[{i}]) AS s{i}" for i in range(size))).first()
     return np.array([x or 0 for x in found], np.float64 if kind == "double" else object)
 
 
