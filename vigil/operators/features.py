@@ -25,6 +25,34 @@ def accessors(events: DataFrame) -> DataFrame:
     return counts.select("resource_key", "principal_key", "access_count", (F.col("access_count") / F.sum("access_count").over(whole)).alias("accessor_weight"), F.min("first").over(whole)["source"].alias("source"))
 
 
+def with_snapshot(events: DataFrame, cuts: list[str]) -> DataFrame:
+    """Events before the last cut, with ``snapshot``: the number of the first cut that they are before."""
+    at = [F.col("observed_at") < F.lit(c).cast("timestamp_ntz") for c in cuts]
+    number = reduce(lambda rest, i: F.when(at[i], i).otherwise(rest), reversed(range(len(cuts))), F.lit(None).cast("int"))
+    return events.withColumn("snapshot", number).where("snapshot IS NOT NULL")
+
+
+def nested(events: DataFrame, n: int) -> dict[str, DataFrame]:
+    """Accessors, history and latest attributes as they stood at each of ``n`` nested snapshots, with a column ``snapshot``.
+
+    Events are counted once, by the first snapshot that holds them; what a snapshot adds goes to it and to all later ones.
+    """
+    later = F.explode(F.sequence("first_in", F.lit(n - 1))).alias("snapshot")
+    rows = events.withColumnRenamed("snapshot", "first_in")
+    first = F.min(F.struct("observed_at", "event_id", "source")).alias("first")
+    added = rows.groupBy("first_in", "resource_key", "principal_key").agg(F.count(F.lit(1)).alias("c"), first)
+    counts = added.select("*", later).groupBy("snapshot", "resource_key", "principal_key").agg(F.sum("c").alias("access_count"), F.min("first").alias("first"))
+    whole = counts.groupBy("snapshot", "resource_key").agg(F.sum("access_count").alias("_all"), F.min("first")["source"].alias("source"))
+    acc = counts.join(whole, ["snapshot", "resource_key"]).select("snapshot", "resource_key", "principal_key", "access_count", (F.col("access_count") / F.col("_all")).alias("accessor_weight"), "source")
+    windows = rows.groupBy("principal_key", F.window("observed_at", "2 hours")["start"].alias("window_start"), "resource_key").agg(F.min("first_in").alias("first_in"))
+    latest = F.max_by(F.struct("actor_email", "department", "role", "geo"), F.struct("observed_at", "event_id")).alias("l")
+    at = F.max(F.struct("observed_at", "event_id")).alias("at")
+    own = rows.groupBy("first_in", "principal_key").agg(latest, at).select("*", later).groupBy("snapshot", "principal_key").agg(F.max_by("l", "at").alias("l"))
+    known = F.lit("unknown")
+    profile = own.select("snapshot", "principal_key", nonempty(F.col("l.actor_email"), known).alias("principal_id"), nonempty(F.col("l.department"), known).alias("department"), nonempty(F.col("l.role"), known).alias("role"), nonempty(F.col("l.geo"), known).alias("location"))
+    return {"accessors": acc, "history": windows.select("*", later).drop("first_in"), "latest": profile}
+
+
 def history(events: DataFrame, trailing_days: int | None = None) -> DataFrame:
     """Distinct resources of each principal per two-hour window; optionally of the days before the latest event alone."""
     if trailing_days is not None:
@@ -63,8 +91,13 @@ def latest_static(events: DataFrame) -> DataFrame:
 
 def static_profiles(events: DataFrame, principals: DataFrame) -> DataFrame:
     """Latest attributes, overridden by what the organisation says, with tenure and privilege."""
+    return profiles(latest_static(events), principals)
+
+
+def profiles(latest: DataFrame, principals: DataFrame) -> DataFrame:
+    """The same from the latest attributes."""
     org = principals.select(F.col("email"), "idx", *(F.col(c).alias(f"org_{c}") for c in ("department", "role", "location")))
-    rows = latest_static(events).join(org, F.col("principal_id") == F.col("email"), "left")
+    rows = latest.join(org, F.col("principal_id") == F.col("email"), "left")
     pick = lambda c: F.coalesce(nonempty(F.col(f"org_{c}")), F.col(c)).alias(c)
     out = rows.select("principal_key", "principal_id", pick("department"), pick("role"), pick("location"), F.when(F.col("idx").isNull(), "1-3yr").otherwise(tenure_bucket(F.col("idx"))).alias("employment_duration_bucket"))
     return out.withColumn("privilege_level", privilege_level(F.col("role")))

@@ -451,13 +451,21 @@ def _embeddings_after(t: Towers, back: DataFrame, n: float, epoch: int, rate: fl
     return written(moved.select("f", "i", *((F.col(e[j]) - step(j)).alias(e[j]) for j in range(dim)), *m, *v), "embeddings")
 
 
+def inner(a: Column | str, b: Column | str) -> Column:
+    """Inner product of two arrays."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+
+
+def clamped(d: Column) -> Column:
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), d))
+
+
 def distances(rows: DataFrame, t: Towers) -> DataFrame:
     """Adds ``distances`` of the pair's resource to its own context and then to those of its negatives, and ``raw`` before they are kept within 0 and 1."""
     met = _met(rows, written(units(pooled(t), t.layers), "units"))
     width = t.layers.action.out
-    inner = lambda k: F.aggregate(F.zip_with("a", F.slice("c", k * width + 1, width), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    met = met.withColumn("raw", F.transform(F.sequence(F.lit(0), F.size("who") - 1), lambda k: 1 - inner(k)))
-    return met.withColumn("distances", F.transform("raw", lambda d: F.greatest(F.lit(0.0), F.least(F.lit(1.0), d)))).drop("a", "who", "c")
+    met = met.withColumn("raw", F.transform(F.sequence(F.lit(0), F.size("who") - 1), lambda k: 1 - inner("a", F.slice("c", k * width + 1, width))))
+    return met.withColumn("distances", F.transform("raw", clamped)).drop("a", "who", "c")
 
 
 #: What the gate asks for, and how many pairs a source needs to be judged and to have a policy of its own.

@@ -12,8 +12,8 @@ FRAGMENTS = {k: v for m in (adapter, normalize, context, rules, *_WITH_NEEDS) fo
 NEEDS = {"checked": ["raw"], "accepted": ["checked"], "context": ["accepted"], "scored": ["context"], "detections": ["scored"]} | {k: v for m in _WITH_NEEDS for k, v in m.NEEDS.items()}
 
 
-def sql(body: str, *needs: str) -> str:
-    """The query with all fragments that it needs."""
+def sql(body: str, *needs: str, before: str | None = None) -> str:
+    """The query with all fragments that it needs; of accepted events, those before a time alone, if one is given."""
     order: list[str] = []
 
     def visit(name: str) -> None:
@@ -24,7 +24,8 @@ def sql(body: str, *needs: str) -> str:
 
     for n in needs:
         visit(n)
-    ctes = ",\n".join(f"{n} AS MATERIALIZED ({FRAGMENTS[n]})" for n in order)
+    own = {"accepted": f"SELECT * FROM ({FRAGMENTS['accepted']}) WHERE observed_at < TIMESTAMP '{before}'"} if before else {}
+    ctes = ",\n".join(f"{n} AS MATERIALIZED ({own.get(n, FRAGMENTS[n])})" for n in order)
     body = f"SELECT * FROM ({body}) q" if body.lstrip().startswith("WITH") else body
     return f"WITH RECURSIVE {ctes}\n{body}" if order else body
 

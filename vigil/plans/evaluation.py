@@ -170,18 +170,19 @@ def _sql_rate(rate: float) -> str:
     return f"CASE WHEN max(pos) > 0 AND max(neg) > 0 THEN round(count(*) FILTER (label = 1 AND fp <= floor(neg * {rate}::DOUBLE + 1e-9)) / max(pos)::DOUBLE, 9) ELSE 0 END"
 
 
-@query(
-    f"""WITH s AS (SELECT DISTINCT truth AS scenario FROM obs WHERE truth <> 'baseline' UNION ALL SELECT 'none' UNION ALL SELECT '__all__'),
-  l AS (SELECT scenario, event_id, score, (truth <> 'baseline')::INT AS label FROM s JOIN obs ON truth = 'baseline' OR truth = scenario OR scenario = '__all__'),
+#: Metrics of each scenario and of all over a table of event_id, truth and score, whose name stands for ``obs``.
+SCENARIO_METRICS = f"""WITH s AS (SELECT DISTINCT truth AS scenario FROM {{obs}} WHERE truth <> 'baseline' UNION ALL SELECT 'none' UNION ALL SELECT '__all__'),
+  l AS (SELECT scenario, event_id, score, (truth <> 'baseline')::INT AS label FROM s JOIN {{obs}} ON truth = 'baseline' OR truth = scenario OR scenario = '__all__'),
   a AS (SELECT scenario, round({_AUC}, 9) AS roc_auc, count(*) FILTER (label = 1) AS attacks FROM (SELECT *, rank() OVER (PARTITION BY scenario ORDER BY score) + (count(*) OVER (PARTITION BY scenario, score) - 1) / 2.0::DOUBLE AS r FROM l) GROUP BY scenario),
   c AS (SELECT scenario, score, count(*) FILTER (label = 1) AS p, count(*) FILTER (label <> 1) AS n FROM l GROUP BY ALL),
   d AS (SELECT *, sum(p) OVER w AS tp, sum(n) OVER w AS fp, sum(p) OVER (PARTITION BY scenario) AS pos, sum(n) OVER (PARTITION BY scenario) AS neg FROM c WINDOW w AS (PARTITION BY scenario ORDER BY score DESC)),
   v AS (SELECT scenario, CASE WHEN max(pos) > 0 AND max(neg) > 0 THEN round(sum(p::DOUBLE / pos * tp / (tp + fp)), 9) ELSE 0 END AS average_precision FROM d GROUP BY scenario),
   k AS (SELECT *, sum((label <> 1)::INT) OVER (PARTITION BY scenario ORDER BY score DESC, event_id) AS fp, sum((label <> 1)::INT) OVER (PARTITION BY scenario) AS neg, sum(label) OVER (PARTITION BY scenario) AS pos FROM l),
   t AS (SELECT scenario, {", ".join(f"{_sql_rate(r)} AS {evaluation.rate_name(r)}" for r in evaluation.RATES)} FROM k GROUP BY scenario)
-  SELECT a.scenario, attacks, roc_auc, average_precision, t.* EXCLUDE (scenario) FROM a JOIN v ON v.scenario = a.scenario JOIN t ON t.scenario = a.scenario""",
-    "obs",
-)
+  SELECT a.scenario, attacks, roc_auc, average_precision, t.* EXCLUDE (scenario) FROM a JOIN v ON v.scenario = a.scenario JOIN t ON t.scenario = a.scenario"""
+
+
+@query(SCENARIO_METRICS.format(obs="obs"), "obs")
 def scenario_metrics(spark, d):
     """Area under the curve, average precision and true positive rates at 1, 0.1 and 0.01 % false ones, per scenario and in all; 0 where a class is empty."""
     rows = evaluation.by_scenario(_obs(spark, d), ("none",))

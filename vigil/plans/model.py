@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import functions as F
 
 from vigil.functions import scalars
-from vigil.operators import features, model, modes, normalize, rules, tensors
+from vigil.operators import evaluation, features, model, modes, normalize, rules, tensors
+from vigil.plans import evaluation as metrics_sql
 from vigil.plans.common import accepted, detections, scored, sql
 from vigil.session import table, written
 from vigil.sources import adapter
@@ -87,20 +90,24 @@ _FORWARD = f"""
 def _examples(spark, d, blank: tuple[str, ...] = ()):
     """Examples with three negatives each, written down once, and untrained towers over all members."""
     e, org = accepted(spark, d), adapter.principals(spark, d)
-    static = features.static_profiles(e, org)
-    acc = features.accessors(e)
+    static, acc = features.static_profiles(e, org), features.accessors(e)
+    towers, profiled = _towers(spark, d, acc, static, features.history(e), org, blank)
+    pairs = tensors.held_out_pairs(tensors.training_pairs(acc, static))
+    negatives = tensors.negative_samples(pairs.drop("held_out"), profiled.withColumnRenamed("key", "principal_key"), 3)
+    return written(model.examples(pairs, negatives), "examples"), towers
+
+
+def _towers(spark, d, acc, static, history, org, blank: tuple[str, ...] = ()):
+    """Untrained towers over feature tables, and the numbered principals that have a context."""
     people = tensors.vocabulary(tensors.key_union([(acc, "principal_key"), (static, "principal_key")]))
     profiled = tensors.vocabulary(tensors.key_union([(static, "principal_key")]))  # those with a context
     resources = tensors.vocabulary(tensors.key_union([(acc, "resource_key")]))
     vocabularies = {n: tensors.categorical_vocabulary(static, n) for n in model.CONTEXT_FIELDS[5:]}
     peers = features.manager_peers(static, org).unionByName(features.team_peers(static, org, adapter.teams(spark, d)))
-    context = model.contexts(static, features.history(e), peers, people, resources, vocabularies)
+    context = model.contexts(static, history, peers, people, resources, vocabularies)
     context = model.blanked(context, blank) if blank else context
     others = model.peers_of(static, acc, people, blank)
-    pairs = tensors.held_out_pairs(tensors.training_pairs(acc, static))
-    negatives = tensors.negative_samples(pairs.drop("held_out"), profiled.withColumnRenamed("key", "principal_key"), 3)
-    rows = written(model.examples(pairs, negatives), "examples")
-    return rows, model.towers(written(model.members(acc, people, context), "members"), peers=others)
+    return model.towers(written(model.members(acc, people, context), "members"), peers=others), profiled
 
 
 #: Models by application and input, so that queries on one model train it once; their tables are in the shared folder.
@@ -327,8 +334,6 @@ def _sql_report(mode: str, rows: str) -> str:
 )
 def mode_report(spark, d):
     """Alert rates, recalls and score quantiles of both modes."""
-    from vigil.operators import evaluation
-
     rows = _by_model(spark, d)
     return modes.report(written(evaluation.observations(rows, rules.MEDIUM), "obs"), "rules").unionByName(modes.report(written(modes.observations(rows), "obs"), "model"))
 
@@ -364,3 +369,53 @@ def seeded_ablation(spark, d):
 
 QUERIES["seeded_ablation"] = seeded_ablation
 SQL["seeded_ablation"] = sql(" UNION ALL ".join(map(_ablated_sql, SEEDED_ABLATIONS)), *_NEEDS)
+
+
+#: Days of history after which detection is tried, on the five days after them, of thirty.
+COLD_DAYS, TEST_DAYS, ALL_DAYS, FIRST_DAY = (3, 7, 14, 20, 25), 5, 30, datetime.date(2024, 1, 1)
+
+
+def _day(n: int) -> str:
+    return (FIRST_DAY + datetime.timedelta(days=n)).isoformat()
+
+
+_UPTO = {n: n + min(TEST_DAYS, ALL_DAYS - n) for n in COLD_DAYS}
+
+
+def _sql_cold(days: int) -> str:
+    """All feature tables built anew from the events before the day, where the query has one pass for all days."""
+    metrics = metrics_sql.SCENARIO_METRICS.format(obs="tried")
+    body = f"""WITH {_FORWARD}, tried AS (SELECT a.event_id, coalesce(scenario, 'baseline') AS truth, round(greatest(0, least(1, {_DISTANCE.replace("a.u", "r.u")})), 9) AS score
+      FROM accepted a JOIN u r ON r.side <> 'c' AND r.key = a.resource_key JOIN u c ON c.side = 'c' AND c.key = a.principal_key WHERE a.observed_at >= TIMESTAMP '{_day(days)}'), {metrics.removeprefix("WITH ")}"""
+    return f"SELECT {days} AS days, * FROM ({sql(body, *_NEEDS, 'accepted', before=_day(_UPTO[days]))})"
+
+
+def cold_start(spark, d):
+    """How well events of the days after so many days of history are told apart by untrained towers, per scenario and in all."""
+    days, org = list(_UPTO), adapter.principals(spark, d)
+    events = written(features.with_snapshot(accepted(spark, d), [_day(n) for n in _UPTO.values()]), "snapshots")
+    found = {name: written(df, f"nested-{name}") for name, df in features.nested(events, len(days)).items()}
+    tried = None
+    for i, n in enumerate(days):
+        now = {name: df.where(F.col("snapshot") == i).drop("snapshot") for name, df in found.items()}
+        towers, _ = _towers(spark, d, now["accessors"], features.profiles(now["latest"], org), now["history"], org)
+        unit = written(model.units(model.pooled(towers), towers.layers), "units")
+        a, c = unit.where("side <> 'c'").select(F.col("key").alias("resource_key"), F.col("u").alias("a")), unit.where("side = 'c'").select(F.col("key").alias("principal_key"), F.col("u").alias("c"))
+        late = events.where((F.col("snapshot") <= i) & (F.col("observed_at") >= F.lit(_day(n)).cast("timestamp_ntz")))
+        pairs = late.select("resource_key", "principal_key").distinct().join(a, "resource_key").join(c, "principal_key")
+        scores = pairs.select("resource_key", "principal_key", F.round(model.clamped(1 - model.inner("a", "c")), 9).alias("score"))
+        one = late.join(scores, ["resource_key", "principal_key"]).select(F.lit(n).alias("days"), "event_id", F.coalesce("scenario", F.lit("baseline")).alias("truth"), "score")
+        tried = one if tried is None else tried.unionByName(one)
+    tried = written(tried, "tried")
+    out = None
+    for n in days:
+        rows = evaluation.by_scenario(tried.where(F.col("days") == n), ("none",)).withColumn("for", F.concat(F.lit(f"{n}|"), "for"))
+        out = rows if out is None else out.unionByName(rows)
+    rows = written(out, "by-scenario")
+    found = evaluation.rank_metrics(rows, "for", "event_id").join(rows.groupBy("for").agg(F.count_if(F.col("label") == 1).alias("attacks")), "for")
+    part = F.split("for", "\\|")
+    return found.select(part[0].cast("int").alias("days"), part[1].alias("scenario"), "attacks", *(F.round(c, 9).alias(c) for c in found.columns if c not in ("for", "attacks")))
+
+
+QUERIES["cold_start"] = cold_start
+SQL["cold_start"] = " UNION ALL ".join(map(_sql_cold, COLD_DAYS))
