@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.llm.helpers import store
-from vigil.llm import lm_bloom, near_dedup, pii, quality_fm, quality_rules, secrets, sentencepiece_bpe, url_rules, warc, winnowing
+from vigil.llm import cross_tokens, lm_bloom, near_dedup, pii, quality_fm, quality_rules, secrets, sentencepiece_bpe, url_rules, warc, winnowing
 from vigil.llm.common import shared_path, tokenizer_path
 
 LONG = " ".join(f"Word{i % 977} and{i % 13}" for i in range(60_000))
@@ -32,6 +32,10 @@ def model():
     return sentencepiece_bpe.read_model(tokenizer_path())
 
 
+def tokenizers():
+    return [cross_tokens.read_file(tokenizer_path(n)) for n in ("byte_bpe_50k.json", "piece_bpe_32k.model")]
+
+
 #: Operator: function of (spark, documents), and whether it gives a row for each row.
 OPERATORS = {
     "lm_bloom": (lambda s, d: lm_bloom.score(d), False),
@@ -39,6 +43,7 @@ OPERATORS = {
     "secrets": (lambda s, d: secrets.find(d, to="found"), True),
     "quality_fm": (lambda s, d: quality_fm.judge(d, labels(s)), True),
     "quality_rules": (lambda s, d: quality_rules.keep(d, labels(s)), False),
+    "cross_tokens": (lambda s, d: cross_tokens.align(d, *tokenizers(), to="found"), True),
     "pii": (lambda s, d: pii.find(d, to="found"), True),
     "near_dedup": (lambda s, d: near_dedup.groups(d), False),
     "winnowing": (lambda s, d: winnowing.decontaminate(d, benchmark(s), to="found"), True),
