@@ -43,6 +43,15 @@ def test_hosts_paths_and_given_rules(spark, tmp_path):
     assert queries.op2_url_rules(spark, empty).count() == 0
 
 
+def plain_limit(wrong, seen, z=url_rules.SURE):
+    """The least share under which ``wrong`` of ``seen`` lies within z standard errors, by bisection."""
+    low, high = 0.0, wrong / seen
+    for _ in range(100):
+        mid = (low + high) / 2
+        low, high = (low, mid) if wrong / seen - mid <= z * (mid * (1 - mid) / seen) ** 0.5 else (mid, high)
+    return high
+
+
 def site(n=400):
     pages = [(i, f"https://{'spam' if i % 5 == 0 else 'good'}.example.net/{'a' if i % 2 else 'b'}/{i}?k{i % 4}=1") for i in range(n)]
     bad = {i: (i % 10 == 0) or i % 7 == 3 and i % 2 == 1 for i in range(n - 40)}
@@ -66,15 +75,48 @@ def test_mined_rules_equal_counting(spark, most_items, most_rules):
             for c in itertools.combinations(sorted(own[i]), n):
                 seen[c] += 1
                 wrong[c] += is_bad
-    cut = 2 * sum(bad.values()) / len(bad)
-    rules = {c: wrong[c] / seen[c] for c in seen if wrong[c] >= 20 and wrong[c] / seen[c] >= cut}
+    cut = url_rules.LIFT * sum(bad.values()) / len(bad)
+    rules = {c: x for c in seen if wrong[c] >= 20 and (x := plain_limit(wrong[c], seen[c])) >= cut}
     assert {len(c) for c in rules if not any(set(r) < set(c) for r in rules)} >= {2, 3} or {len(c) for c in rules} >= {2}
     least = {c: x for c, x in rules.items() if not any(set(r) < set(c) for r in rules)}
-    best = lambda i: min(((len(c), -x, " & ".join(c)) for c, x in least.items() if set(c) <= own[i]), default=(0, 0, None))[2]
+    best = lambda i: min(((len(c), -round(x, 9), " & ".join(c)) for c, x in least.items() if set(c) <= own[i]), default=(0, 0, None))[2]
     assert all(out[i].mined == best(i) and (out[i].verdict == "block") == (best(i) is not None) for i in own)
     assert any(r.verdict == "block" for r in out.values()) and any(r.verdict == "allow" for r in out.values())
 
 
+def test_tokens_of_hosts(spark):
+    url = "https://m.casino-win.Example.com/a_b/12?q=1"
+    found = url_rules.parts(spark.createDataFrame([(url,), ("x://casino-/",)], "url string"), "url").collect()
+    assert set(found[0].tokens) == {"scheme:https", "host:m.casino-win.example.com", "top:com", "domain:example.com", "label:m", "label:casino-win", "label:example",
+                                    "word:casino", "word:win", "path:a", "path:b", "path:#", "key:q"}
+    assert set(found[1].tokens) == {"scheme:x", "host:casino-", "top:casino-", "word:casino"}
+
+
+def test_one_wide_page_leaves_growth_on(spark, monkeypatch):
+    """A page of 200 tokens that all are frequent: FP-growth mines, by classes, the rules that counting finds."""
+    wide = [f"t{i}" for i in range(200)]
+    rows = [([*wide[i % 20 :: 20], "x"], i % 20 in (3, 4) or i % 9 == 0) for i in range(600)] + [(wide, True)]
+    used = []
+    fit = url_rules.FPGrowth.fit
+    monkeypatch.setattr(url_rules.FPGrowth, "fit", lambda self, df: used.append(df.count()) or fit(self, df))
+    pages = spark.createDataFrame(rows, "tokens array<string>, bad boolean")
+    found = {tuple(r.tokens): r.confidence for r in url_rules.mined(pages, least=3, support=0, lift=3.0).collect()}
+    seen, wrong = Counter(), Counter()
+    for own, is_bad in rows:
+        for n in (1, 2, 3):
+            if len(own) == 200:  # its combinations that no other page has are below the support
+                sets = (c for k in range(20) for c in itertools.combinations(sorted(wide[k::20]), n))
+            else:
+                sets = itertools.combinations(sorted(own), n)
+            for c in sets:
+                seen[c] += 1
+                wrong[c] += is_bad
+    cut = 3.0 * sum(b for _, b in rows) / len(rows)
+    rules = {c: x for c in seen if wrong[c] >= 3 and (x := plain_limit(wrong[c], seen[c])) >= cut}
+    least = {c: x for c, x in rules.items() if not any(set(r) < set(c) for r in rules)}
+    assert used and set(found) == set(least) and all(abs(found[c] - least[c]) < 1e-9 for c in least) and least
+
+
 def test_sql_agrees_where_mined_rules_decide(spark, tmp_path):
     pages, bad = site()
     rows = [(1000 + i, u.split("?")[0] + (".html" if i % 3 else "/"), "h") for i, u in pages] + [(5000 + i, u, "h") for i, u in enumerate(URLS)]
