@@ -149,9 +149,9 @@ def _by_growth(pages: DataFrame, least: int, confidence: float, sure: float, mos
     classes = _classes(pages, most_items)
     items = F.transform("tokens", lambda x: F.concat("block", F.lit("|"), x))
     items = F.when(F.col("bad"), F.array_append(items, F.lit(BAD))).otherwise(items)
-    parts = written(_baskets(pages, classes), "parts")
-    open_ = parts.where("bad").groupBy("block").count().where(F.col("count") >= least)
-    baskets = written(parts.join(open_, "block", "left_semi").select(items.alias("items")), "baskets")
+    each = written(_baskets(pages, classes), "parts")
+    open_ = each.where("bad").groupBy("block").count().where(F.col("count") >= least)
+    baskets = written(each.join(open_, "block", "left_semi").select(items.alias("items")), "baskets")
     n = max(1, baskets.count())
     model = FPGrowth(itemsCol="items", minSupport=min(1.0, (least - 0.5) / n)).fit(baskets)
     sets = model.freqItemsets.select(F.filter("items", lambda x: x != BAD).alias("items"), F.array_contains("items", BAD).alias("with"), "freq")
