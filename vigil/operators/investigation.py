@@ -165,6 +165,26 @@ def peer_comparison(detections: DataFrame, static: DataFrame, peers: DataFrame,
     return rows.select("detection_id", "department", "role", "location", "privilege_level", (F.col("department_size") - 1).alias("department_peers"), zero("manager").alias("manager_peers"), zero("group").alias("group_peers"), zero("peer_group_resource_principals").alias("peer_group_resource_principals"))
 
 
+#: Counters of prior history and their names in a peer comparison.
+BEHAVIOUR = {"prior_events": "principal_prior_event_count", "prior_actions": "principal_prior_action_count", "prior_resource": "principal_prior_resource_access_count", "peer_resource": "peer_group_resource_access_count", "geo_seen": "geo_seen_before"}
+
+
+def full_comparison(detections: DataFrame, context: DataFrame, static: DataFrame, peers: DataFrame, accessors: DataFrame) -> DataFrame:
+    """``peer_comparison`` with the principal's events by its action rows, the size of its group, what was known before the event, and the reasons.
+
+    A detection of an event without context, or of a principal without action rows, has zeros and false there. One whose
+    principal has no profile has no comparison by feature tables and no row here; ``department_scan`` serves it.
+    """
+    compared = peer_comparison(detections, static, peers, accessors)
+    total = accessors.groupBy("principal_key").agg(F.sum("access_count").alias("principal_total_events"))
+    before = context.select("event_id", *(F.col(c).alias(to) for c, to in BEHAVIOUR.items()))
+    own = detections.select("detection_id", "event_id", "principal_id", "principal_key", "resource_id", F.col("reasons").alias("detection_reasons"))
+    rows = own.join(compared, "detection_id").join(total, "principal_key", "left").join(before, "event_id", "left").drop("event_id", "principal_key")
+    counts = [c for c in rows.columns if c.startswith("principal_prior") or c in ("principal_total_events", "peer_group_resource_access_count")]
+    filled = {c: F.coalesce(c, F.lit(0)).cast("long") for c in counts} | {"geo_seen_before": F.coalesce("geo_seen_before", F.lit(False))}
+    return rows.withColumns(filled).withColumn("peer_group_principal_count", F.col("department_peers") + 1)
+
+
 def department_scan(detections: DataFrame, events: DataFrame) -> DataFrame:
     """Without feature tables: principals of the department, and of those on the resource, from the events."""
     size = events.groupBy("department").agg(F.count_distinct("actor_email").alias("department_principals"))

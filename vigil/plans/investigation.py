@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from vigil.operators import features, investigation, search
-from vigil.plans.common import accepted, detections, sql
+from vigil.operators import features, investigation, rules, search
+from vigil.plans.common import accepted, detections, scored, sql
 from vigil.sources import adapter
 
 QUERIES, SQL = {}, {}
@@ -162,6 +162,26 @@ def peer_comparison(spark, d):
     return investigation.peer_comparison(detections(spark, d), static, peers, features.access_counts(events))
 
 
+@query(
+    """WITH n AS (SELECT principal_key, count(DISTINCT peer_key) FILTER (peer_type = 'manager') AS m, count(DISTINCT peer_key) FILTER (peer_type = 'group') AS g FROM (SELECT * FROM manager_peers UNION ALL SELECT * FROM team_peers) GROUP BY ALL),
+  s AS (SELECT department, count(*) AS n FROM static GROUP BY ALL), r AS (SELECT resource_key, department, count(DISTINCT a.principal_key) AS n FROM accessors a JOIN static USING (principal_key) GROUP BY ALL)
+  SELECT d.detection_id, t.department, t.role, t.location, t.privilege_level, s.n - 1 AS department_peers, coalesce(m, 0) AS manager_peers, coalesce(g, 0) AS group_peers,
+    coalesce(r.n, 0) AS peer_group_resource_principals, d.principal_id, d.resource_id, array_to_string(d.reasons, ',') AS detection_reasons, s.n AS peer_group_principal_count,
+    (SELECT count(*) FROM accepted x WHERE x.principal_key = d.principal_key) AS principal_total_events, e.prior_events AS principal_prior_event_count, e.prior_actions AS principal_prior_action_count,
+    e.prior_resource AS principal_prior_resource_access_count, e.peer_resource AS peer_group_resource_access_count, e.geo_seen AS geo_seen_before
+  FROM detections d JOIN context e USING (event_id) JOIN static t ON t.principal_key = d.principal_key JOIN s ON s.department = t.department
+    LEFT JOIN r ON r.resource_key = d.resource_key AND r.department = t.department LEFT JOIN n ON n.principal_key = d.principal_key""",
+    "detections", "static", "accessors", "manager_peers", "team_peers",
+)
+def peer_comparison_context(spark, d):
+    """Peer comparison of every detection with action rows and what was known before its event."""
+    events, org, rows = accepted(spark, d), adapter.principals(spark, d), scored(spark, d)
+    static = features.static_profiles(events, org)
+    peers = features.manager_peers(static, org).unionByName(features.team_peers(static, org, adapter.teams(spark, d)))
+    found = investigation.full_comparison(rules.detections(rows), rows, static, peers, features.access_counts(events))
+    return found.withColumn("detection_reasons", F.array_join("detection_reasons", ","))
+
+
 @query(
     """WITH s AS (SELECT department, count(DISTINCT actor_email) AS n FROM accepted GROUP BY ALL), r AS (SELECT department, resource_id, count(DISTINCT actor_email) AS n, count(*) AS k FROM accepted GROUP BY ALL)
   SELECT detection_id, s.n AS department_principals, r.n AS resource_principals, r.k AS resource_events FROM detections d JOIN accepted a USING (event_id) JOIN s ON s.department = a.department JOIN r ON r.department = a.department AND r.resource_id = a.resource_id""",
