@@ -110,15 +110,22 @@ def _towers(spark, d, acc, static, history, org, blank: tuple[str, ...] = ()):
     return model.towers(written(model.members(acc, people, context), "members"), peers=others), profiled
 
 
-#: Models by application and input, so that queries on one model train it once; their tables are in the shared folder.
+#: Models by application and input folder, with the input's signature, so that queries on one model train it once; their tables are in the shared folder.
 _MODELS: dict[tuple, tuple] = {}
 
 
-def _once(spark, key: tuple, make):
-    full = (spark.sparkContext.applicationId, *key)
-    if full not in _MODELS:
-        _MODELS[full] = make()
-    return _MODELS[full]
+def _signature(spark, d) -> tuple:
+    """Number of the input's files and an order-free hash of their paths, sizes and times; no file is opened."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(d)
+    return tuple(files.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("path", "length", "modificationTime"))).first())
+
+
+def _once(spark, kind: str, d, make, blank: tuple[str, ...] = (), again: bool = False):
+    """What was made of the same files before, or what is made now and then takes the place of what is there."""
+    key, now = (spark.sparkContext.applicationId, kind, d, blank), _signature(spark, d)
+    if again or key not in _MODELS or _MODELS[key][0] != now:
+        _MODELS[key] = now, make()
+    return _MODELS[key][1]
 
 
 def _train(spark, d, epochs: int = 4, blank: tuple[str, ...] = ()):
@@ -128,7 +135,7 @@ def _train(spark, d, epochs: int = 4, blank: tuple[str, ...] = ()):
 
 
 def _trained(spark, d, blank: tuple[str, ...] = ()):
-    return _once(spark, ("trained", d, blank), lambda: _train(spark, d, blank=blank))
+    return _once(spark, "trained", d, lambda: _train(spark, d, blank=blank), blank)
 
 
 def _held_out(rows, trained):
@@ -138,9 +145,7 @@ def _held_out(rows, trained):
 @query
 def train_two_tower(spark, d):
     """Loss before each round. Always trains, and leaves the model to the queries below."""
-    found = _train(spark, d)
-    _MODELS[spark.sparkContext.applicationId, "trained", d, ()] = found
-    losses = found[2]
+    losses = _once(spark, "trained", d, lambda: _train(spark, d), again=True)[2]
     return spark.createDataFrame(list(enumerate(losses)), "round long, loss double")
 
 
@@ -215,11 +220,7 @@ def cluster_score(spark, d):
 def _seeded(spark, d):
     """All pairs with their distances by untrained towers, whose weights follow from hashes, so that SQL has them too."""
 
-    def make():
-        rows, towers = _examples(spark, d)
-        return (written(model.distances(rows, towers), "distances"),)
-
-    return _once(spark, ("seeded", d), make)[0]
+    return _once(spark, "seeded", d, lambda: written(model.distances(*_examples(spark, d)), "distances"))
 
 
 @checked("SELECT resource_key, principal_key, source, slot, round(d, 6) AS distance FROM dist")
@@ -269,7 +270,7 @@ def activation_gate(spark, d):
 
 
 def _by_model(spark, d):
-    return _once(spark, ("modes", d), lambda: (_scored_by_model(spark, d),))[0]
+    return _once(spark, "modes", d, lambda: _scored_by_model(spark, d))
 
 
 def _scored_by_model(spark, d):
@@ -390,6 +391,27 @@ def _sql_cold(days: int) -> str:
     return f"SELECT {days} AS days, * FROM ({sql(body, *_NEEDS, 'accepted', before=_day(_UPTO[days]))})"
 
 
+def _tried(events, towers):
+    """Distance of each event's pair by untrained towers, with what the event truly is."""
+    unit = written(model.units(model.pooled(towers), towers.layers), "units")
+    a, c = unit.where("side <> 'c'").select(F.col("key").alias("resource_key"), F.col("u").alias("a")), unit.where("side = 'c'").select(F.col("key").alias("principal_key"), F.col("u").alias("c"))
+    pairs = events.select("resource_key", "principal_key").distinct().join(a, "resource_key").join(c, "principal_key")
+    scores = pairs.select("resource_key", "principal_key", F.round(model.clamped(1 - model.inner("a", "c")), 9).alias("score"))
+    return events.join(scores, ["resource_key", "principal_key"]).select("event_id", F.coalesce("scenario", F.lit("baseline")).alias("truth"), "score")
+
+
+def _told_apart(tried, by: str, values):
+    """Rank metrics per value of a column and scenario, and over all scenarios."""
+    tried, out = written(tried, "tried"), None
+    for v in values:
+        rows = evaluation.by_scenario(tried.where(F.col(by) == v), ("none",)).withColumn("for", F.concat(F.lit(f"{v}|"), "for"))
+        out = rows if out is None else out.unionByName(rows)
+    rows = written(out, "by-scenario")
+    found = evaluation.rank_metrics(rows, "for", "event_id").join(rows.groupBy("for").agg(F.count_if(F.col("label") == 1).alias("attacks")), "for")
+    part = F.split("for", "\\|")
+    return found.select(part[0].alias(by), part[1].alias("scenario"), "attacks", *(F.round(c, 9).alias(c) for c in found.columns if c not in ("for", "attacks")))
+
+
 def cold_start(spark, d):
     """How well events of the days after so many days of history are told apart by untrained towers, per scenario and in all."""
     days, org = list(_UPTO), adapter.principals(spark, d)
@@ -399,23 +421,36 @@ def cold_start(spark, d):
     for i, n in enumerate(days):
         now = {name: df.where(F.col("snapshot") == i).drop("snapshot") for name, df in found.items()}
         towers, _ = _towers(spark, d, now["accessors"], features.profiles(now["latest"], org), now["history"], org)
-        unit = written(model.units(model.pooled(towers), towers.layers), "units")
-        a, c = unit.where("side <> 'c'").select(F.col("key").alias("resource_key"), F.col("u").alias("a")), unit.where("side = 'c'").select(F.col("key").alias("principal_key"), F.col("u").alias("c"))
         late = events.where((F.col("snapshot") <= i) & (F.col("observed_at") >= F.lit(_day(n)).cast("timestamp_ntz")))
-        pairs = late.select("resource_key", "principal_key").distinct().join(a, "resource_key").join(c, "principal_key")
-        scores = pairs.select("resource_key", "principal_key", F.round(model.clamped(1 - model.inner("a", "c")), 9).alias("score"))
-        one = late.join(scores, ["resource_key", "principal_key"]).select(F.lit(n).alias("days"), "event_id", F.coalesce("scenario", F.lit("baseline")).alias("truth"), "score")
+        one = _tried(late, towers).select(F.lit(n).alias("days"), "event_id", "truth", "score")
         tried = one if tried is None else tried.unionByName(one)
-    tried = written(tried, "tried")
-    out = None
-    for n in days:
-        rows = evaluation.by_scenario(tried.where(F.col("days") == n), ("none",)).withColumn("for", F.concat(F.lit(f"{n}|"), "for"))
-        out = rows if out is None else out.unionByName(rows)
-    rows = written(out, "by-scenario")
-    found = evaluation.rank_metrics(rows, "for", "event_id").join(rows.groupBy("for").agg(F.count_if(F.col("label") == 1).alias("attacks")), "for")
-    part = F.split("for", "\\|")
-    return found.select(part[0].cast("int").alias("days"), part[1].alias("scenario"), "attacks", *(F.round(c, 9).alias(c) for c in found.columns if c not in ("for", "attacks")))
+    return _told_apart(tried, "days", days).withColumn("days", F.col("days").cast("int"))
 
 
 QUERIES["cold_start"] = cold_start
 SQL["cold_start"] = " UNION ALL ".join(map(_sql_cold, COLD_DAYS))
+
+
+SCENARIO_ABLATIONS = ("full", *SEEDED_ABLATIONS, "no_peers", "history_only", "peers_only")
+
+
+def _sql_tried(config: str) -> str:
+    gone = ", ".join(str(model.CONTEXT_FIELDS.index(n) + 1) for n in ABLATIONS[config]) or "-1"
+    metrics = metrics_sql.SCENARIO_METRICS.format(obs="tried")
+    return f"""SELECT '{config}' AS config, * FROM (WITH {_FORWARD.replace('NOT IN (-1)', f'NOT IN ({gone})')}, tried AS (SELECT a.event_id, coalesce(scenario, 'baseline') AS truth, round(greatest(0, least(1, {_DISTANCE.replace("a.u", "r.u")})), 9) AS score
+      FROM accepted a JOIN u r ON r.side <> 'c' AND r.key = a.resource_key JOIN u c ON c.side = 'c' AND c.key = a.principal_key), {metrics.removeprefix("WITH ")})"""
+
+
+def scenario_ablation(spark, d):
+    """How well attacks are told apart, per scenario, with groups of context fields left out of untrained towers."""
+    events, org, tried = written(accepted(spark, d), "events"), adapter.principals(spark, d), None
+    acc, static, history = features.accessors(events), features.static_profiles(events, org), features.history(events)
+    for config in SCENARIO_ABLATIONS:
+        towers, _ = _towers(spark, d, acc, static, history, org, ABLATIONS[config])
+        one = _tried(events, towers).withColumn("config", F.lit(config))
+        tried = one if tried is None else tried.unionByName(one)
+    return _told_apart(tried, "config", SCENARIO_ABLATIONS)
+
+
+QUERIES["scenario_ablation"] = scenario_ablation
+SQL["scenario_ablation"] = sql(" UNION ALL ".join(map(_sql_tried, SCENARIO_ABLATIONS)), *_NEEDS, "accepted")
