@@ -118,8 +118,8 @@ def cosine_distance(a: Column, b: Column) -> Column:
 
 
 def huber_like(x: Column, beta: float = 1.0) -> Column:
-    """Quadratic near zero, linear beyond ``beta``."""
-    return F.when(F.abs(x) < beta, 0.5 * x * x / beta).otherwise(F.abs(x) - 0.5 * beta)
+    """Quadratic up to ``beta``, linear beyond."""
+    return F.when(F.abs(x) <= beta, 0.5 * x * x).otherwise(beta * (F.abs(x) - 0.5 * beta))
 
 
 def power_mean(x: Column, w: float) -> Column:

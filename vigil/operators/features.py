@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vigil.functions.scalars import nonempty, privilege_level, tenure_bucket
@@ -17,12 +17,13 @@ def access_counts(events: DataFrame) -> DataFrame:
 def accessors(events: DataFrame) -> DataFrame:
     """Share of each principal in the accesses of each resource, with the resource's first source.
 
-    The shares are taken after counting, so the window sees one row per resource and principal.
+    Counts per resource and principal are summed by resource and joined, so a popular resource isn't one task's.
     """
     first = F.min(F.struct("observed_at", "event_id", "source")).alias("first")
     counts = events.groupBy("resource_key", "principal_key").agg(F.count(F.lit(1)).alias("access_count"), first)
-    whole = Window.partitionBy("resource_key")
-    return counts.select("resource_key", "principal_key", "access_count", (F.col("access_count") / F.sum("access_count").over(whole)).alias("accessor_weight"), F.min("first").over(whole)["source"].alias("source"))
+    whole = counts.groupBy("resource_key").agg(F.sum("access_count").alias("_all"), F.min("first")["source"].alias("source"))
+    share = (F.col("access_count") / F.col("_all")).alias("accessor_weight")
+    return counts.join(whole, "resource_key").select("resource_key", "principal_key", "access_count", share, "source")
 
 
 def with_snapshot(events: DataFrame, cuts: list[str]) -> DataFrame:

@@ -145,10 +145,10 @@ def evidence(detections: DataFrame, raw: DataFrame) -> DataFrame:
 
 
 def timelines(detections: DataFrame, events: DataFrame) -> DataFrame:
-    """Event ids of each detection's principal."""
+    """The events of principals with detections, a row each; a detection's timeline is those of its principal."""
     people = detections.select("principal_id").distinct()
-    ids = events.join(people, F.col("actor_email") == F.col("principal_id")).groupBy("principal_id").agg(F.sort_array(F.collect_set("event_id")).alias("event_ids"))
-    return detections.select("detection_id", "principal_id").join(ids, "principal_id")
+    own = events.select(F.col("actor_email").alias("principal_id"), "event_id", "observed_at")
+    return own.join(people, "principal_id", "left_semi").dropDuplicates(["event_id"])
 
 
 def peer_comparison(detections: DataFrame, static: DataFrame, peers: DataFrame, accessors: DataFrame) -> DataFrame:

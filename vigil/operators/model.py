@@ -28,6 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vigil.functions.scalars import huber_like, power_mean
 from vigil.operators.evaluation import nearest_rank
 from vigil.operators.normalize import SOURCES
 from vigil.session import written
@@ -502,6 +503,15 @@ def gate(metrics: DataFrame) -> DataFrame:
     return metrics.withColumn("passes", F.when(judged, top & wins & margin)).withColumn("reason", F.when(judged, reason))
 
 
+def ranking_loss(rows: DataFrame) -> DataFrame:
+    """The training loss of scored examples per source and over all: Huber's loss of each margin, the mean over a pair's samples, and the power mean over pairs."""
+    margin = lambda x: F.greatest(F.lit(0.0), F.lit(MARGIN) + F.get("raw", 0) - x)
+    points = F.transform(F.slice("raw", 2, F.size("raw") - 1), lambda x: huber_like(margin(x)))
+    own = rows.where(F.size("raw") > 1).select("source", (F.aggregate(points, F.lit(0.0), lambda a, x: a + x) / (F.size("raw") - 1)).alias("x"))
+    every = own.select(F.explode(F.array(F.col("source"), F.lit("__all__"))).alias("source"), "x")
+    return every.groupBy("source").agg(F.count(F.lit(1)).alias("pairs"), power_mean(F.col("x"), OMEGA).alias("loss"))
+
+
 def activation(gated: DataFrame, training_pairs: int | None = None, final_loss: float | None = None) -> DataFrame:
     """One row: whether the model may be switched on, and why or why not; the sources that fail; and whether the sources that
     were judged cover identities and resources. ``training_pairs`` and ``final_loss`` are those of training, if it was done.

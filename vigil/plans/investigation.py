@@ -145,7 +145,9 @@ def evidence_state(spark, d):
 
 @query("SELECT detection_id, n FROM detections JOIN (SELECT actor_email, count(*) AS n FROM accepted GROUP BY actor_email) ON actor_email = principal_id", "detections", "accepted")
 def detection_timelines(spark, d):
-    return investigation.timelines(detections(spark, d), accepted(spark, d)).select("detection_id", F.size("event_ids").cast("long").alias("n"))
+    found = detections(spark, d).select("detection_id", "principal_id")
+    n = investigation.timelines(found, accepted(spark, d)).groupBy("principal_id").agg(F.count(F.lit(1)).alias("n"))
+    return found.join(n, "principal_id").select("detection_id", "n")
 
 
 @query(

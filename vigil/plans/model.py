@@ -229,6 +229,18 @@ def seeded_distances(spark, d):
     return found.withColumn("slot", F.col("slot").cast("long")).withColumn("distance", F.round("distance", 6))
 
 
+_HUBER = "CASE WHEN m <= 1 THEN 0.5::DOUBLE * m * m ELSE m - 0.5::DOUBLE END"
+
+
+@checked(
+    f""", points AS (SELECT o.source, o.resource_key, o.principal_key, avg({_HUBER}) AS x FROM (SELECT s.*, greatest(0, {model.MARGIN}::DOUBLE + o.r - s.r) AS m FROM dist s JOIN own o USING (resource_key, principal_key, source) WHERE slot > 0) o GROUP BY ALL)
+  SELECT source, count(*) AS pairs, round(sqrt(avg(x * x)), 6) AS loss FROM (SELECT source, x FROM points UNION ALL SELECT '__all__', x FROM points) GROUP BY source"""
+)
+def seeded_loss(spark, d):
+    """The ranking loss that training starts from, per source."""
+    return model.ranking_loss(_seeded(spark, d)).withColumn("loss", F.round("loss", 6))
+
+
 _METRICS = ("top_1", "win_rate", "mean_margin", "own_mean", "other_mean", "own_p95", "other_p50", "other_p90")
 
 

@@ -136,3 +136,12 @@ def vendor_pages(spark, d):
             break
         after = tuple(last)
     return out
+
+
+@query("SELECT source, CASE WHEN source IN ('okta', 'gworkspace', 'github', 'snowflake') OR rows_read % 2 = 0 THEN source_event_id ELSE 'unknown' END AS vendor_id, count(*) AS n FROM raw GROUP BY ALL", "raw")
+def vendor_ids(spark, d):
+    """The id of each exported line, from whichever field its source has; some lines of other sources have none."""
+    line = F.to_json(F.struct(F.when(F.col("rows_read") % 2 == 0, F.col("source_event_id")).alias("source_event_id"), "source"))
+    for source in vendor.MAPPERS:
+        line = F.when(F.col("source") == source, F.to_json(_record(source))).otherwise(line)
+    return adapter.raw_events(spark, d).groupBy("source", vendor.vendor_id(line).alias("vendor_id")).agg(F.count(F.lit(1)).alias("n"))

@@ -28,6 +28,14 @@ def parsed(lines: DataFrame, source: str, column: str = "value") -> DataFrame:
     return lines.select(F.from_json(column, SCHEMAS[source]).alias("r")).select("r.*")
 
 
+def vendor_id(line: Column) -> Column:
+    """The id in a line of JSON of any source: the first field that a source has, else ``unknown``; also of lines that no mapper takes."""
+    at = lambda path: F.get_json_object(line, path)
+    nested = F.startswith(F.ltrim(at("$.id")), F.lit("{"))
+    own = F.when(nested, F.coalesce(at("$.id.uniqueQualifier"), F.lit("unknown"))).otherwise(at("$.id"))
+    return F.coalesce(at("$.uuid"), own, at("$.QUERY_ID"), at("$.source_event_id"), F.lit("unknown"))
+
+
 def _or(value: Column | str, default: str) -> Column:
     return F.coalesce(F.col(value) if isinstance(value, str) else value, F.lit(default))
 
