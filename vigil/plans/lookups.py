@@ -63,12 +63,11 @@ def postings_intersection(spark, d):
     return search.in_postings(rows, rows.where("department = 'dept2'"), rows.where("resource_name IN ('res1', 'res2', 'res3', 'res4')"), people).select("event_id")
 
 
-@query("SELECT event_id FROM accepted WHERE department IN ('dept1', 'dept2', 'dept3') AND resource_id IN (SELECT resource_id FROM accepted WHERE verb IN (SELECT max(verb) FROM accepted)) AND actor_email IN (SELECT actor_email FROM accepted WHERE privileged)", "accepted")
+@query("SELECT event_id FROM accepted WHERE department IN ('dept1', 'dept2', 'dept3') AND resource_id IN (SELECT resource_id FROM accepted WHERE verb = 'read') AND actor_email IN (SELECT actor_email FROM accepted WHERE privileged)", "accepted")
 def postings_found(spark, d):
-    """Events in three posting lists at once: of some departments, of resources on which the last verb was seen, and of people who were privileged once."""
+    """Events in three posting lists at once: of some departments, of resources that were read, and of people who were privileged once."""
     rows = written(accepted(spark, d).select("event_id", "actor_email", "resource_id", "department", "privileged", "verb"), "events")
-    last = rows.agg(F.max("verb").alias("verb"))
-    on = rows.join(F.broadcast(last), "verb").select("resource_id").distinct()  # one row
+    on = rows.where("verb = 'read'").select("resource_id").distinct()
     people = rows.where("privileged").select("actor_email").distinct()
     return search.in_postings(rows, rows.where("department IN ('dept1', 'dept2', 'dept3')"), rows.join(on, "resource_id", "left_semi"), rows.join(people, "actor_email", "left_semi")).select("event_id")
 
