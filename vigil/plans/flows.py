@@ -5,6 +5,8 @@ A stream reads a copy of the raw events that the query writes to the shared fold
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -198,18 +200,24 @@ def stream_pipeline(spark, d):
     return service.detections(spark, root).select("detection_id", "event_id", "score", "severity")
 
 
-@query("SELECT detection_id, event_id, score, severity, array_to_string(reasons, ',') AS reasons FROM detections", "detections")
-def stream_late_pipeline(spark, d):
+def run_dealt(spark: SparkSession, d: str, **how) -> str:
     """The whole path in four batches dealt by a hash, not by time, so that each has rows older than those before it; stopped after two.
 
-    Semantic duplicates come in one batch.
+    Semantic duplicates come in one batch. ``how`` goes to ``service.start``. Returns the service's folder.
     """
     raw, root = adapter.raw_events(spark, d), shared_path(spark, "service")
     part = F.pmod(F.xxhash64("actor_email", "event_type", "resource_id", "observed_at"), F.lit(4))
     for numbers in ((0, 1), (2, 3)):
         for i in numbers:
             raw.where(part == i).coalesce(1).write.mode("append").parquet(f"{root}/in")
-        service.start(intake.read_raw(spark, f"{root}/in", raw.schema), root).awaitTermination()
+        service.start(intake.read_raw(spark, f"{root}/in", raw.schema), root, **how).awaitTermination()
+    return root
+
+
+@query("SELECT detection_id, event_id, score, severity, array_to_string(reasons, ',') AS reasons FROM detections", "detections")
+def stream_late_pipeline(spark, d):
+    """Detections of batches with late rows, after all corrections."""
+    root = run_dealt(spark, d)
     return service.detections(spark, root).select("detection_id", "event_id", "score", "severity", F.array_join("reasons", ",").alias("reasons"))
 
 
@@ -222,3 +230,26 @@ def stream_statistics(spark, d):
     counted = service.table(spark, root, "stats").groupBy("source").agg(F.sum("raw_events").alias("raw_events"), F.sum("dead_letters").alias("dead_letters"), F.sum("late_events").alias("late_events"))
     kept = service.table(spark, root, "accepted").groupBy("source").agg(F.count(F.lit(1)).alias("accepted"))
     return counted.join(kept, "source", "left").fillna(0, ["accepted"])
+
+
+_TABLES = """SELECT 'accessors' AS "table", resource_key AS k1, principal_key AS k2, source AS detail, access_count::DOUBLE AS n, round(accessor_weight, 9) AS weight FROM accessors
+  UNION ALL SELECT 'history', principal_key, resource_key, strftime(window_start, '%Y-%m-%d %H:%M:%S'), 1, 1 FROM history
+  UNION ALL SELECT 'static', principal_key, principal_id, concat_ws('|', department, role, location, employment_duration_bucket, privilege_level), 1, 1 FROM static
+  UNION ALL SELECT 'collaboration', principal_key, collaborator_key, '', 1, round(co_access_weight, 9) FROM collaboration
+  UNION ALL SELECT 'peers', principal_key, peer_key, peer_type, 1, round(peer_weight, 9) FROM peers"""
+
+
+@query(_TABLES, "accessors", "history", "static", "collaboration", "peers")
+def stream_feature_tables(spark, d):
+    """All five feature tables as four batches with late rows left them, row by row in one form."""
+    root, one = run_dealt(spark, d, tables=True), F.lit(1.0)
+    now = service.features_now(spark, root, adapter.principals(spark, d), adapter.teams(spark, d))
+    forms = {
+        "accessors": ("resource_key", "principal_key", F.col("source"), F.col("access_count").cast("double"), F.round("accessor_weight", 9)),
+        "history": ("principal_key", "resource_key", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss"), one, one),
+        "static": ("principal_key", "principal_id", F.concat_ws("|", "department", "role", "location", "employment_duration_bucket", "privilege_level"), one, one),
+        "collaboration": ("principal_key", "collaborator_key", F.lit(""), one, F.round("co_access_weight", 9)),
+        "peers": ("principal_key", "peer_key", F.col("peer_type"), one, F.round("peer_weight", 9)),
+    }
+    rows = [now[name].select(F.lit(name).alias("table"), F.col(a).alias("k1"), F.col(b).alias("k2"), c.alias("detail"), n.alias("n"), w.alias("weight")) for name, (a, b, c, n, w) in forms.items()]
+    return reduce(DataFrame.unionByName, rows)

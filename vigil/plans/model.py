@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 from vigil.functions import scalars
 from vigil.operators import evaluation, features, model, modes, normalize, rules, tensors
 from vigil.plans import evaluation as metrics_sql
+from vigil.plans import flows
 from vigil.plans.common import accepted, detections, scored, sql
-from vigil.session import table, written
+from vigil.session import shared_path, table, written
 from vigil.sources import adapter
+from vigil.streaming import service
 
 QUERIES, SQL = {}, {}
 
@@ -311,6 +313,20 @@ def model_detections(spark, d):
     return found.select("detection_id", "event_id", "source", "scenario", "score", "severity", "model_version", "model_rationale.policy_scope", "model_rationale.calibration_source", "model_rationale.calibration_reason", F.col("model_rationale.high_severity_threshold").alias("high_threshold"), F.round("model_rationale.score_margin", 4).alias("score_margin"), "fallback_reason")
 
 
+@checked(f"{_MODES} SELECT detection_id, event_id, source, scenario, score, severity, model_version, policy_scope, score_margin, fallback_reason FROM found", "accepted", "scored")
+def stream_model_pipeline(spark, d):
+    """The streamed path with a published model, in four batches with late rows: untrained towers' vectors, their policy, and the rules where they have no score."""
+    rows, towers = _examples(spark, d)
+    unit, found = written(model.units(model.pooled(towers), towers.layers), "units"), _seeded(spark, d)
+    side = lambda which, key, vector: unit.where(which).select(F.col("key").alias(key), F.col("u").alias(vector))
+    sources = features.accessors(accepted(spark, d)).select("resource_key", "source").distinct()
+    resources = side("side <> 'c'", "resource_key", "a").join(sources, "resource_key")
+    policy = model.calibrated(found).where("source IS NULL OR source <> 'okta'")  # one source takes the global policy
+    published = service.Published.publish(shared_path(spark, "published"), resources, side("side = 'c'", "principal_key", "c"), rows.where("held_out"), policy)
+    out = service.detections(spark, flows.run_dealt(spark, d, published=published))
+    return out.select("detection_id", "event_id", "source", "scenario", "score", "severity", "model_version", "policy_scope", F.round("score_margin", 4).alias("score_margin"), "fallback_reason")
+
+
 @checked(
     f"""{_MODES} SELECT 'event' AS by, count(*) FILTER (a AND b) AS "both", count(*) FILTER (a AND NOT b) AS left_only, count(*) FILTER (b AND NOT a) AS right_only FROM (SELECT score >= 0.6::DOUBLE AS a, s >= t AS b FROM final)
   UNION ALL SELECT 'detection', count(*) FILTER (a AND b), count(*) FILTER (a AND NOT b), count(*) FILTER (b AND NOT a) FROM (SELECT score >= 0.6::DOUBLE AS a, s >= t AS b FROM final)""",

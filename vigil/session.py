@@ -78,6 +78,12 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(found)
 
 
+def children(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder; none if there is no such folder."""
+    found, fs = _path(spark, path)
+    return sorted(f.getPath().getName() for f in fs.listStatus(found)) if fs.exists(found) else []
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Removes a folder."""
     found, fs = _path(spark, path)
