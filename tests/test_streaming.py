@@ -6,10 +6,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from vigil.operators import context, normalize, rules
+from vigil.operators import context, features, normalize, rules
 from vigil.session import shared_path
 from vigil.sources import adapter
-from vigil.streaming import intake, service
+from vigil.streaming import feature_tables, intake, service
 from vigil.streaming.store import KeyedStore, bloom, may_hold
 
 
@@ -103,3 +103,82 @@ def test_rows_in_order_open_no_scored_rows(spark, sf):
     assert opened["rows"] == 0
     assert service.table(spark, root, "detections").where("op = 'delete' OR late").count() == 0
     raw.unpersist()
+
+
+EVENTS = "event_id string, observed_at timestamp_ntz, source string, principal_key string, resource_key string, actor_email string, department string, role string, geo string"
+
+
+def accesses(n, seed):
+    """Events over few keys with equal times, null and empty attributes, and a principal with a third of all rows."""
+    random = np.random.default_rng(seed)
+    rows = []
+    for i in range(n):
+        p = 0 if random.random() < 0.33 else int(random.integers(1, 9))
+        at = datetime.datetime(2024, 1, 1) + datetime.timedelta(hours=int(random.integers(0, 40)))
+        text = lambda name: [None, "", f"{name}{int(random.integers(3))}"][int(random.integers(3))]
+        rows.append((f"e{seed}-{i}", at, f"s{int(random.integers(2))}", f"p{p}", f"r{int(random.integers(6))}", f"u{p}@x", text("d"), text("role"), text("g")))
+    return rows
+
+
+def test_feature_tables_equal_those_of_all_events(spark):
+    """In any order of batches, with an empty one, one that runs twice, and files that are merged meanwhile."""
+    principals = spark.createDataFrame([(0, "u0@x", None, "d9", None, ""), (1, "u1@x", 0, None, "manager", "g1"), (2, "u2@x", 0, "", "", None)], "idx long, email string, manager_idx long, department string, role string, location string")
+    teams = spark.createDataFrame([("t", [0, 1, 2])], "team string, member_indices array<long>")
+    root, batches = shared_path(spark, "features"), [accesses(15, 1), [], accesses(40, 2), accesses(3, 3), accesses(25, 4), accesses(6, 5)]
+    for number, rows in enumerate(batches):
+        for _ in range(2 if number == 2 else 1):
+            feature_tables.update(spark.createDataFrame(rows, EVENTS), number, root)
+        if number in (2, 5):
+            found = feature_tables.tables(spark, root, number, principals, teams)
+            events = spark.createDataFrame([r for b in batches[: number + 1] for r in b], EVENTS).cache()
+            static = features.static_profiles(events, principals)
+            expected = {"accessors": features.accessors(events), "history": features.history(events), "static": static, "collaboration": features.collaboration(events), "peers": features.peer_groups(static, principals, teams)}
+            assert set(found) == set(expected) == set(feature_tables.NAMES)
+            for name, df in expected.items():
+                plain = lambda t: sorted((tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in t.select(df.columns).collect()), key=repr)
+                assert plain(found[name]) == plain(df) and plain(df), name
+            events.unpersist()
+
+
+def test_changed_weights(spark):
+    """Only pairs whose weight changes have a row; the changes lead from the weights before to those after."""
+    schema = "key string, principal_key string, n long"
+    was = {("r", "a"): 2, ("r", "b"): 5, ("r", "c"): 1, ("s", "a"): 1, ("s", "b"): 1, ("alone", "a"): 9}
+    more = {("r", "a"): 1, ("s", "d"): 4, ("new", "b"): 2, ("new", "d"): 3, ("alone", "a"): 1}
+
+    def weights(counts):
+        out = {}
+        for r in {k for k, _ in counts}:
+            own = {p: n for (k, p), n in counts.items() if k == r}
+            for x in own:
+                for y in own:
+                    if x != y:
+                        out[x, y] = out.get((x, y), 0) + min(own[x], own[y]) / len(own)
+        return out
+
+    frame = lambda counts: spark.createDataFrame([(*k, n) for k, n in counts.items()], schema)
+    found = {(r.key, r.collaborator_key): r.weight for r in feature_tables.changed_weights(frame(was), frame(more)).collect()}
+    before, after = weights(was), weights({k: was.get(k, 0) + more.get(k, 0) for k in {*was, *more}})
+    expected = {k: after[k] - before.get(k, 0) for k in after if abs(after[k] - before.get(k, 0)) > 1e-12}
+    assert {k: round(v, 12) for k, v in found.items()} == {k: round(v, 12) for k, v in expected.items()}
+    assert ("b", "c") not in found and ("a", "c") not in found  # r: b, c and the number of accessors are as before; of a and c the least is
+    assert feature_tables.changed_weights(frame(was).limit(0), frame(more).limit(0)).count() == 0
+
+
+def test_published_model_scores_what_it_knows(spark):
+    """Pairs with both vectors and of the resource's own source, but for those left out; the others fall back to the rules."""
+    vector = lambda x: [float(x), float((1 - x * x) ** 0.5)]
+    resources = spark.createDataFrame([("r", "github", vector(1)), ("q", "okta", vector(0.6))], "resource_key string, source string, a array<double>")
+    principals = spark.createDataFrame([("p", vector(0)), ("o", vector(1))], "principal_key string, c array<double>")
+    left_out = spark.createDataFrame([("q", "o"), ("q", "o")], "resource_key string, principal_key string")
+    policy = spark.createDataFrame([("github", 0.5, 0.9, "heldout:github", "x", 7), (None, 0.3, 0.4, "heldout", "y", None)], "source string, detection_threshold double, high_severity_threshold double, calibration_source string, calibration_reason string, pairs long")
+    published = service.Published.publish(shared_path(spark, "published"), resources, principals, left_out, policy)
+    rows = spark.createDataFrame(
+        [("1", "r", "p", "github"), ("2", "r", "o", "github"), ("3", "r", "p", "okta"), ("4", "q", "p", "okta"), ("5", "q", "o", "okta"), ("6", "q", "z", "okta"), ("7", "r", "p", "github")],
+        "event_id string, resource_key string, principal_key string, source string",
+    ).withColumn("score", F.lit(0.1))
+    found = {r.event_id: (r.model_score, r.policy_scope, r.detection_threshold) for r in published.scored(rows).collect()}
+    assert found == {"1": (1.0, "github", 0.5), "2": (0.0, "github", 0.5), "3": (None, "global", 0.3), "4": (0.2, "global", 0.3), "5": (None, "global", 0.3), "6": (None, "global", 0.3), "7": (1.0, "github", 0.5)}
+    assert published.scored(rows.limit(0)).count() == 0
+    with pytest.raises(ValueError):
+        service.features_now(spark, shared_path(spark, "nothing"), rows, rows)
