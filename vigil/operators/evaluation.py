@@ -218,6 +218,10 @@ def numpy_units(rows: DataFrame, key: str, vector: str, to: str) -> DataFrame:
     return rows.select(key, vector).mapInArrow(work, f"{key} {dict(rows.dtypes)[key]}, {to} array<double>")
 
 
+#: How far two ways to the same vectors may be apart.
+TOLERANCE = 1e-9
+
+
 def max_difference(a: DataFrame, b: DataFrame, key: str, vector: str) -> DataFrame:
     """Largest absolute difference of two tables of vectors."""
     rows = a.select(key, F.col(vector).alias("_a")).join(b.select(key, F.col(vector).alias("_b")), key)

@@ -25,7 +25,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vigil.functions.scalars import huber_like, power_mean
@@ -342,6 +342,22 @@ def units(x: DataFrame, layers: TwoTower) -> DataFrame:
     return x.select("side", "key", "x").mapInArrow(work, "side string, key string, u array<double>")
 
 
+def layer_table(spark: SparkSession, layers: TwoTower) -> DataFrame:
+    """The layers as a table, a row for each tower: (side, w1, b1, w2, b2), matrices by output. Its size doesn't depend on the input."""
+    rows = [(side, t.p["w1"].T.tolist(), t.p["b1"].tolist(), t.p["w2"].T.tolist(), t.p["b2"].tolist()) for side, t in layers.sides().items()]
+    return spark.createDataFrame(rows, "side string, w1 array<array<double>>, b1 array<double>, w2 array<array<double>>, b2 array<double>")
+
+
+def units_by_expressions(x: DataFrame, layers: DataFrame) -> DataFrame:
+    """What ``units`` gives, without Python workers: from pooled rows and a table of layers. Rows of a side without layers are left out."""
+    product = lambda v, w, b: F.zip_with(w, b, lambda row, c: inner(row, v) + c)
+    met = x.select("side", "key", "x").join(F.broadcast(layers), "side")  # a row per tower
+    hidden = met.withColumn("h", F.transform(product(F.col("x"), F.col("w1"), F.col("b1")), lambda v: F.greatest(F.lit(0.0), v)))
+    z = hidden.select("side", "key", product(F.col("h"), F.col("w2"), F.col("b2")).alias("z"))
+    norm = z.withColumn("n", F.greatest(F.lit(1e-12), F.sqrt(inner("z", "z"))))
+    return norm.select("side", "key", F.transform("z", lambda v: v / F.col("n")).alias("u"))
+
+
 def _met(rows: DataFrame, unit: DataFrame) -> DataFrame:
     """Pairs with their resource's unit vector ``a`` and, own ones first, keys ``who`` and unit vectors ``c`` of contexts."""
     keys = [c for c in rows.columns if c != "others"]

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vigil.functions.keys import sort_key
-from vigil.functions.scalars import contains_folded, iso
+from vigil.functions.scalars import contains_folded, epoch_ceiling, iso
 
 #: Columns whose text a search looks at.
 SEARCHED = ("event_id", "source", "source_event_id", "actor_email", "actor_name", "department", "role", "resource_id", "resource_name", "resource_kind", "sensitivity", "verb", "category", "geo", "incident_ticket", "scenario")
@@ -74,6 +74,15 @@ def page(events: DataFrame, limit: int, cursor: tuple[str, str] | None = None) -
     return events.orderBy(F.desc("observed_at"), F.desc("event_id")).limit(limit + 1)
 
 
+def within(events: DataFrame, since: str | None, until: str | None) -> DataFrame:
+    """Events from ``since`` up to before ``until`` as an index sees them that holds whole seconds: both bounds are rounded up, so part of a
+    second at the start is left out and at the end is in. A null bound is open. Compares times themselves, so partitions and files are pruned.
+    """
+    whole = lambda text: F.timestamp_seconds(epoch_ceiling(F.lit(text).cast("timestamp_ntz"))).cast("timestamp_ntz")
+    events = events if since is None else events.where(F.col("observed_at") >= whole(since))
+    return events if until is None else events.where(F.col("observed_at") < whole(until))
+
+
 def page_by_hash(events: DataFrame, limit: int, after: tuple[str, int] | None = None) -> DataFrame:
     """Newest first, ties by a hash of the id, after (time, hash)."""
     rows = events.withColumn("tie", sort_key(F.col("event_id")))

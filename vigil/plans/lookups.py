@@ -84,6 +84,12 @@ def cursors(spark, d):
     return rows.select("event_id", cursor.alias("cursor"), scalars.decode_cursor(cursor, "observed_at string, event_id string")["event_id"].alias("decoded"), escaped.alias("escaped"), scalars.epoch_ceiling(F.col("observed_at")).alias("until"))
 
 
+@query("SELECT event_id FROM accepted WHERE observed_at >= TIMESTAMP '2024-01-03 04:05:07' AND observed_at < TIMESTAMP '2024-01-19 10:00:00'", "accepted")
+def event_search_range(spark, d):
+    """Events of a range whose bounds aren't whole seconds."""
+    return search.within(accepted(spark, d), "2024-01-03 04:05:06.25", "2024-01-19 09:59:59.000001").select("event_id")
+
+
 @query("SELECT source_event_id, privileged, rows_read, coalesce(incident_ticket, 'none') AS ticket, false AS wrong, '{\"event_type\":\"' || event_type || '\",\"source\":\"' || source || '\"}' AS canonical FROM raw", "raw")
 def typed_attributes(spark, d):
     """Attributes of records by type, and JSON with sorted keys."""

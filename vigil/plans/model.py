@@ -231,6 +231,18 @@ def seeded_distances(spark, d):
     return found.withColumn("slot", F.col("slot").cast("long")).withColumn("distance", F.round("distance", 6))
 
 
+@checked(" SELECT side, key, place - 1 AS place, round(v, 6) AS value, true AS same FROM (SELECT side, key, unnest(u) AS v, unnest(range(1, 17)) AS place FROM u)")
+def tower_vectors(spark, d):
+    """Vectors of all resources and principals by towers in NumPy, and whether the forward pass by expressions gives the same."""
+    _, towers = _examples(spark, d)
+    rows = written(model.pooled(towers), "pooled")
+    by_numpy, by_spark = model.units(rows, towers.layers), model.units_by_expressions(rows, model.layer_table(spark, towers.layers))
+    both = by_numpy.join(by_spark.withColumnRenamed("u", "e"), ["side", "key"], "full")
+    each = both.select("side", "key", F.posexplode(F.arrays_zip("u", "e")).alias("place", "z"))
+    same = F.coalesce(F.abs(F.col("z.u") - F.col("z.e")) <= evaluation.TOLERANCE, F.lit(False))
+    return each.select("side", "key", F.col("place").cast("long").alias("place"), F.round("z.u", 6).alias("value"), same.alias("same"))
+
+
 _HUBER = "CASE WHEN m <= 1 THEN 0.5::DOUBLE * m * m ELSE m - 0.5::DOUBLE END"
 
 
