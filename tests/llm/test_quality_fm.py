@@ -28,6 +28,59 @@ def test_gradient_lowers_the_loss():
     assert loss(m) < before / 2
 
 
+def brute_force(rows, keys, rounds, parts):
+    """The same training with sums over all pairs of features: rows are (features, label), keys the hashes of their ids."""
+    start = quality_fm.Machine()
+    b, w, v = 0.0, start.weights.copy(), start.factors.copy()
+    for r in range(rounds):
+        found = []
+        for part in range(parts):
+            own = [rows[i] for i in sorted(range(len(rows)), key=lambda i: keys[i]) if keys[i] % parts == part]
+            if not own:
+                continue
+            pb, pw, pv = b, w.astype(float), v.astype(float)
+            gb, gw, gv = 1.0, np.full(len(w), 0.01), np.full(v.shape, 0.01)
+            order = np.random.default_rng(1000 * r + part).permutation(len(own))
+            for at in range(0, len(order), quality_fm.BATCH):
+                batch, db, dw, dv = [own[i] for i in order[at : at + quality_fm.BATCH]], 0.0, {}, {}
+                for f, y in batch:
+                    raw = pb + sum(pw[i] * x for i, x in f) + sum(x * z * (pv[i] @ pv[j]) for n, (i, x) in enumerate(f) for j, z in f[:n])
+                    error = (1 / (1 + np.exp(-raw)) - y) / len(batch)
+                    db += error
+                    for n, (i, x) in enumerate(f):
+                        others = sum(z * pv[j] for m, (j, z) in enumerate(f) if m != n)
+                        dw[i], dv[i] = dw.get(i, 0.0) + error * x, dv.get(i, 0.0) + error * x * others
+                gb += db * db
+                pb -= quality_fm.RATE * db / np.sqrt(gb)
+                for i in dw:
+                    sw, sv = dw[i] + quality_fm.DECAY * pw[i], dv[i] + quality_fm.DECAY * pv[i]
+                    gw[i] += sw * sw
+                    gv[i] += sv * sv
+                    pw[i] -= quality_fm.RATE * sw / np.sqrt(gw[i])
+                    pv[i] -= quality_fm.RATE * sv / np.sqrt(gv[i])
+            found.append((len(own), pb, pw, pv))
+        n = sum(x[0] for x in found)
+        b, w, v = (sum(x[0] / n * x[k] for x in found) for k in (1, 2, 3))
+    return b, w, v
+
+
+def test_training_equals_brute_force_over_pairs(spark):
+    """Parts, rounds, averages and scores, with repeated rows, an empty text and a text with one word many times."""
+    r = random.Random(5)
+    texts = [" ".join(r.choice(["alpha", "beta", "gamma!", "Delta", "#x"]) + str(r.randrange(4)) for _ in range(r.randint(1, 7))) for _ in range(70)]
+    texts = ["", None, "word " * 500, texts[0], texts[0], *texts]
+    labelled = [(i, t, int(t is not None and "!" not in t)) for i, t in enumerate(texts)]
+    rows = spark.createDataFrame(labelled, "key long, text string, label int")
+    keys = [x.h for x in rows.select("key", F.xxhash64("key").alias("h")).orderBy("key").collect()]
+    machine = quality_fm.train(rows, rounds=3, parts=3)
+    listed = [[(int(i), float(x)) for i, x in zip(*quality_fm.features(t))] for t in texts]
+    b, w, v = brute_force([(f, y) for f, (_, _, y) in zip(listed, labelled)], keys, 3, 3)
+    assert abs(machine.bias - b) < 1e-4 and np.abs(machine.weights - w).max() < 1e-4 and np.abs(machine.factors - v).max() < 1e-4
+    raw = [b + sum(w[i] * x for i, x in f) + sum(x * z * (v[i] @ v[j]) for n, (i, x) in enumerate(f) for j, z in f[:n]) for f in listed]
+    scored = {x.key: x.score for x in quality_fm.score(rows, machine).collect()}
+    assert all(abs(scored[k] - 1 / (1 + np.exp(-y))) < 1e-4 for k, y in enumerate(raw)) and len(set(scored.values())) > 30
+
+
 def test_query_learns_and_holds_out(spark, tmp_path):
     r = random.Random(2)
     texts = list(AWKWARD)
