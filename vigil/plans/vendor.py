@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +12,7 @@ from vigil.functions.scalars import iso
 from vigil.plans.common import sql
 from vigil.session import shared_path
 from vigil.sources import adapter, vendor
+from vigil.streaming import intake
 
 QUERIES, SQL = {}, {}
 
@@ -45,13 +48,19 @@ def _record(source: str):
     return name(("QUERY_ID", F.col("source_event_id")), ("START_TIME", at), ("INGESTED_AT", ingested), ("QUERY_TYPE", kind), ("USER_NAME", F.col("actor_email")), ("DISPLAY_NAME", shown), ("DEPARTMENT", F.col("department")), ("ROLE_NAME", role), ("OBJECT_NAME", F.col("resource_name")), ("SENSITIVITY", level), ("WAREHOUSE_NAME", F.when(F.col("privileged"), "main")), ("ROWS_PRODUCED", F.when(F.col("rows_read") % 3 == 0, F.col("rows_read"))))
 
 
-def _exported(spark: SparkSession, d: str, source: str) -> DataFrame:
-    """The source's export as gzip JSON lines, some of which are broken, read back."""
+def _export(spark: SparkSession, d: str, source: str, files: int | None = None) -> str:
+    """Writes the source's export as gzip JSON lines, some of which are broken."""
     path = shared_path(spark, f"export-{source}")
     rows = adapter.raw_events(spark, d).where(F.col("source") == source)
     broken = F.col("rows_read") % 97 == 0
-    rows.select(F.when(broken, F.concat(F.lit("broken "), "source_event_id")).otherwise(F.to_json(_record(source))).alias("value")).write.option("compression", "gzip").text(path)
-    return vendor.read_lines(spark, path, source)
+    lines = rows.select(F.when(broken, F.concat(F.lit("broken "), "source_event_id")).otherwise(F.to_json(_record(source))).alias("value"))
+    (lines if files is None else lines.repartition(files)).write.option("compression", "gzip").text(path)
+    return path
+
+
+def _exported(spark: SparkSession, d: str, source: str) -> DataFrame:
+    """The export, read back."""
+    return vendor.read_lines(spark, _export(spark, d, source), source)
 
 
 def _mapped(spark: SparkSession, d: str, source: str) -> DataFrame:
@@ -145,3 +154,20 @@ def vendor_ids(spark, d):
     for source in vendor.MAPPERS:
         line = F.when(F.col("source") == source, F.to_json(_record(source))).otherwise(line)
     return adapter.raw_events(spark, d).groupBy("source", vendor.vendor_id(line).alias("vendor_id")).agg(F.count(F.lit(1)).alias("n"))
+
+
+_MAPPED = " UNION ALL ".join(f"SELECT source, source_event_id, event_type, resource_id, received_at, mapping_error FROM ({b})" for b in _BODIES.values())
+
+
+@query(f"{_MAPPED} UNION ALL SELECT source, source_event_id, NULL, NULL, NULL, 'not_json' FROM raw WHERE source IN {tuple(vendor.MAPPERS)} AND rows_read % 97 = 0", "raw")
+def stream_vendor(spark, d):
+    """Exports of all sources as streams of three files each, a file a batch; with the lines that aren't JSON."""
+    parts = []
+    for source in vendor.MAPPERS:
+        root = shared_path(spark, f"mapped-{source}")
+        intake.map_lines(vendor.stream_lines(spark, _export(spark, d, source, 3), source), source, root).awaitTermination()
+        parts.append(spark.read.parquet(f"{root}/events").select("source", "source_event_id", "event_type", "resource_id", "received_at", "mapping_error"))
+        null = lambda kind: F.lit(None).cast(kind)
+        broken = spark.read.parquet(f"{root}/broken").select("source", F.substring("line", 8, 40).alias("source_event_id"))
+        parts.append(broken.select("*", null("string").alias("event_type"), null("string").alias("resource_id"), null("timestamp_ntz").alias("received_at"), F.lit("not_json").alias("mapping_error")))
+    return reduce(DataFrame.unionByName, parts)

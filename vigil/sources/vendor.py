@@ -20,7 +20,9 @@ def read_lines(spark: SparkSession, path: str, source: str) -> DataFrame:
 
 
 def stream_lines(spark: SparkSession, path: str, source: str, files_at_once: int = 1) -> DataFrame:
-    return spark.readStream.schema(SCHEMAS[source]).option("maxFilesPerTrigger", files_at_once).json(path)
+    """The same for files as they come into a folder."""
+    lines = spark.readStream.schema(f"{SCHEMAS[source]}, _corrupt string").option("maxFilesPerTrigger", files_at_once)
+    return lines.json(path, mode="PERMISSIVE", columnNameOfCorruptRecord="_corrupt")
 
 
 def parsed(lines: DataFrame, source: str, column: str = "value") -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from vigil.operators import normalize
+from vigil.sources import vendor
 from vigil.streaming.store import KeyedStore, Opened
 
 #: Lateness up to which rows count for duplicates and windows; later ones are still written by ``accept``.
@@ -81,6 +82,25 @@ def accept(raw: DataFrame, path: str, checkpoint: str, dead_path: str | None = N
     return raw.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def map_lines(lines: DataFrame, source: str, path: str) -> StreamingQuery:
+    """Vendor exports as they come (``vendor.stream_lines``): raw events with ``mapping_error`` in ``path/events``, lines that aren't JSON in ``path/broken``.
+
+    A batch that is run again writes the same folders again.
+    """
+
+    def batch(df: DataFrame, number: int) -> None:
+        df = df.persist()  # texts of broken lines alone can't be asked of a JSON source
+        try:
+            rows = vendor.mapped({source: df.where("_corrupt IS NULL").drop("_corrupt")})
+            rows.write.mode("overwrite").parquet(f"{path}/events/batch={number}")
+            broken = df.where("_corrupt IS NOT NULL").select(F.lit(source).alias("source"), F.col("_corrupt").alias("line"))
+            broken.write.mode("overwrite").parquet(f"{path}/broken/batch={number}")
+        finally:
+            df.unpersist()
+
+    return lines.writeStream.foreachBatch(batch).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+
+
 def accept_batches(incoming: DataFrame, accepted: DataFrame, *order: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Batches by idempotency key: new ones, repeats of the same payload, and conflicts of another payload. Every row is in one of them.
 
