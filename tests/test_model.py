@@ -2,7 +2,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from vigil.operators import model
-from vigil.operators import evaluation, features, tensors
+from vigil.operators import evaluation, features, search, tensors
 from vigil.plans.common import accepted, scored
 from vigil.plans.model import ABLATIONS, QUERIES, _examples
 from vigil.sources import adapter
@@ -248,3 +248,25 @@ def test_chain_of_neighbours_equals_closest_first():
     began = time.perf_counter()
     model.average_linkage(v, np.ones(2048), 0.4)
     assert time.perf_counter() - began < 10  # about 1 s on an idle core
+
+
+def test_forward_pass_by_expressions(spark):
+    """As NumPy's, with a zero row; rows of a side without layers are left out; no rows give none."""
+    layers = model.TwoTower(model.seeded_tower("a", 1, 3), model.seeded_tower("c", 2, 3), {"okta": model.seeded_tower("a|okta", 1, 3)})
+    random = np.random.default_rng(4)
+    rows = [(side, f"k{i}", random.normal(size=8 * (2 if side == "c" else 1)).tolist()) for i, side in enumerate(["a", "c", "a|okta"] * 5)] + [("c", "zero", [0.0] * 16)]
+    x = spark.createDataFrame(rows, "side string, key string, x array<double>")
+    table = model.layer_table(spark, layers)
+    plain = lambda df: {(r.side, r.key): r.u for r in df.collect()}
+    found, expected = plain(model.units_by_expressions(x.unionByName(x.where("key = 'zero'").withColumn("side", F.lit("none"))), table)), plain(model.units(x, layers))
+    assert found.keys() == expected.keys() and len(found) == 16
+    assert max(np.abs(np.array(found[k]) - np.array(expected[k])).max() for k in found) < 1e-12
+    assert model.units_by_expressions(x.limit(0), table).count() == 0
+
+
+def test_range_of_whole_seconds(spark):
+    times = ["2024-01-01 00:00:00", "2024-01-01 00:00:00.5", "2024-01-01 00:00:01", "2024-01-01 00:00:01.9", "2024-01-01 00:00:02"]
+    rows = spark.createDataFrame([(str(i), t) for i, t in enumerate(times)] + [("none", None)], "event_id string, t string").withColumn("observed_at", F.col("t").cast("timestamp_ntz"))
+    ids = lambda since, until: [r.event_id for r in search.within(rows, since, until).orderBy("event_id").collect()]
+    assert ids("2024-01-01 00:00:00.1", None) == ["2", "3", "4"] and ids("2024-01-01 00:00:01", "2024-01-01 00:00:01.000001") == ["2", "3"]
+    assert ids(None, "2024-01-01 00:00:01") == ["0", "1"] and ids(None, None) == ["0", "1", "2", "3", "4", "none"] and ids("2025-01-01", "2024-01-01") == []
