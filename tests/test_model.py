@@ -183,6 +183,29 @@ def test_peers_without_pairs_train_like_pairs(spark, sf):
         f.unpersist()
 
 
+def test_teams_are_pooled_without_pairs(spark):
+    """Sums over teams against every pair of peers; a member listed twice counts twice, and one without a profile counts in the size."""
+    static = spark.createDataFrame([(f"p{i}", f"e{i}") for i in range(9)], "principal_key string, principal_id string")
+    org = spark.createDataFrame([(i, f"e{i}", None) for i in range(10)], "idx long, email string, manager_idx long")
+    teams = spark.createDataFrame([("a", [0, 1, 2, 2, 9]), ("b", [1, 2, 3]), ("c", [4]), ("d", [5, 9]), ("e", [6, 7])], "team string, member_indices array<long>")
+    numbers = spark.createDataFrame([(f"p{i}", i) for i in range(9)], "key string, idx long")
+    peers = model.peers_of(static, None, numbers, ("department", "collaboration"), features.team_members(static, org, teams))
+    values = spark.createDataFrame([(f"p{i}", float(i * i + 1)) for i in range(9)], "key string, v double")
+    found = {x.key: x.v for x in peers.divided(model.GROUP, peers.spread(model.GROUP, values, ["v"]), ["v"]).collect()}
+    pairs = features.team_peers(static, org, teams).collect()
+    total = {}
+    for x in pairs:
+        total[x.principal_key] = total.get(x.principal_key, 0) + x.peer_weight
+    want = {k: sum(x.peer_weight * (int(x.peer_key[1:]) ** 2 + 1) for x in pairs if x.principal_key == k) / w for k, w in total.items()}
+    assert found.keys() == want.keys() == {"p0", "p1", "p2", "p3", "p6", "p7"} and all(abs(found[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_contexts_hold_no_team_peers(spark, sf):
+    """Members of sets grow with the events, not with a team's square."""
+    _, towers = _examples(spark, sf)
+    assert towers.members.where(F.col("f") == model.GROUP).isEmpty() and towers.peers.teams.count() > 0
+
+
 def test_gate_has_a_case_for_each_reason(spark):
     good, bad = (0.5, 0.9, 0.2), (0.1, 0.9, 0.2)
     frame = lambda rows: spark.createDataFrame([(s, n, *m) for s, n, m in rows], "source string, pairs long, top_1 double, win_rate double, mean_margin double")
