@@ -134,3 +134,39 @@ def test_tensors_have_fixed_lengths(spark):
     p = spark.createDataFrame([("p", "manager", 4, 0.5), ("p", "group", 1, 0.25)], "principal string, kind string, idx long, weight double")
     peers = tensors.peer_tensors(p, 2).first().peers
     assert [x.tokens for x in peers] == [[0, 0], [5, 0], [2, 0], [0, 0]] and sum(sum(x.mask) for x in peers) == 2
+
+
+def test_peers_are_counted_without_pairs(spark):
+    """Counts and first peers against all pairs; a member that is listed twice, one without a profile, and two entries with one profile."""
+    static = spark.createDataFrame([(f"p{i}", f"e{i}", f"d{i % 2}") for i in range(9)], "principal_key string, principal_id string, department string")
+    org = spark.createDataFrame([(i, f"e{i % 11}", i // 3) for i in range(12)], "idx long, email string, manager_idx long")
+    teams = spark.createDataFrame([("a", [0, 1, 2, 2, 9]), ("b", [1, 2, 3, 8, 7, 6]), ("c", [4]), ("d", [5, 9]), ("e", [0, 11, 7])], "team string, member_indices array<long>")
+    pairs = features.peer_groups(static, org, teams)
+    want = {(x.principal_key, x.peer_type): x.n for x in pairs.groupBy("principal_key", "peer_type").agg(F.count("*").alias("n")).collect()}
+    assert {(x.principal_key, x.peer_type): x.n for x in features.peer_counts(static, org, teams).collect()} == want and want["p0", "group"] == 4
+    numbers = spark.createDataFrame([(f"p{i}", 8 - i) for i in range(9)], "key string, idx long")
+    for n in (1, 2, 5):
+        first = lambda rows: {(k, i): round(w, 9) for k in {r[0] for r in rows} for i, w in sorted((i, w) for p, i, w in rows if p == k)[:n]}  # noqa: B023, E731
+        found = features.first_team_peers(features.team_members(static, org, teams), numbers, n).collect()
+        every = [(x.principal_key, 8 - int(x.peer_key[1:]), x.peer_weight) for x in features.team_peers(static, org, teams).collect()]
+        assert first(found) == first(every)
+
+
+def test_collaboration_by_blocks(spark, monkeypatch):
+    """Blocks of three principals in stripes of two, against all pairs by hand; the number of rows without them."""
+    monkeypatch.setattr(features, "BLOCK", 3)
+    monkeypatch.setattr(features, "STRIPE", 2)
+    rows = [(f"r{i * j % 5}", f"p{i}") for i in range(13) for j in range(7)] + [("lone", "p1"), ("r0", None)]
+    events = spark.createDataFrame(rows, "resource_key string, principal_key string")
+    counts, want = {}, {}
+    for r, p in rows:
+        counts.setdefault(r, {})[p] = counts.setdefault(r, {}).get(p, 0) + 1
+    for own in counts.values():
+        for x in own:
+            for y in own:
+                if x != y and x and y:
+                    want[x, y] = want.get((x, y), 0) + min(own[x], own[y]) / len(own)
+    found = features.collaboration(events)
+    assert {(x.principal_key, x.collaborator_key): round(x.co_access_weight, 9) for x in found.collect()} == {k: round(v, 9) for k, v in want.items()}
+    assert features.collaboration_size(events).first().rows == len(want)
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString().split("FlatMapGroupsInArrow")[0]
