@@ -170,3 +170,12 @@ def test_collaboration_by_blocks(spark, monkeypatch):
     assert {(x.principal_key, x.collaborator_key): round(x.co_access_weight, 9) for x in found.collect()} == {k: round(v, 9) for k, v in want.items()}
     assert features.collaboration_size(events).first().rows == len(want)
     assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString().split("FlatMapGroupsInArrow")[0]
+
+
+def test_queries_check_events_once(spark, sf):
+    """Queries that need accepted events in several places read what was written."""
+    from vigil.plans import registry
+
+    for name in ("feature_set_round_trip", "feature_lake_round_trip", "department_scan"):
+        plan = registry.queries()[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+        assert "event_type" not in plan and "Window" not in plan, name
