@@ -7,9 +7,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from vigil.operators import context, features, normalize, rules
+from vigil.plans import flows
 from vigil.session import shared_path
 from vigil.sources import adapter
 from vigil.streaming import feature_tables, intake, service
+from vigil.streaming import store as store_module
 from vigil.streaming.store import KeyedStore, bloom, may_hold
 
 
@@ -182,3 +184,48 @@ def test_published_model_scores_what_it_knows(spark):
     assert published.scored(rows.limit(0)).count() == 0
     with pytest.raises(ValueError):
         service.features_now(spark, shared_path(spark, "nothing"), rows, rows)
+
+
+def test_files_of_a_bucket_are_cut_by_rows(spark, monkeypatch):
+    """A batch of many rows goes to files of few, each with its filter; they are merged by batches, not by files."""
+    monkeypatch.setattr(store_module, "MOST_ROWS", 50)
+    monkeypatch.setattr(store_module, "CHUNK", 7)
+    store = KeyedStore(spark, shared_path(spark, "store"), "at", buckets=2, fan=3)
+    rows = [[(f"k{batch}-{i}", day(batch), i) for i in range(1000)] for batch in range(4)]
+    for batch, new in enumerate(rows):
+        store.append(spark.createDataFrame(new, SCHEMA), batch)
+        live = [r.asDict() for r in store._listing(batch + 1).collect()]
+        assert sum(f["rows"] for f in live) == 1000 * (batch + 1) and max(f["rows"] for f in live) <= 200
+        assert {f["level"] for f in live} == ({0} if batch < 3 else {0, 1})
+    wanted = [("k1-3", None, None), ("k3-999", None, None), *((f"never{i}", None, None) for i in range(40))]
+    found, report = store.look_up(asked(spark, wanted), 4, SCHEMA)
+    assert sorted(r.key for r in found.collect()) == ["k1-3", "k3-999"] and report.opened == 2 < report.live
+
+
+def test_parts_of_a_stream_hold_every_row_in_many_files(spark, monkeypatch):
+    monkeypatch.setattr(flows, "FILE_ROWS", 5)
+    rows = spark.createDataFrame([(i, None if i == 0 else day(i % 30)) for i in range(100)], "i long, observed_at timestamp_ntz").coalesce(1)
+    path, batches = shared_path(spark, "fed"), []
+
+    def start(df):
+        run = lambda part, number: batches.append((number, len(part.inputFiles()), [r.i for r in part.collect()]))
+        return df.writeStream.foreachBatch(run).option("checkpointLocation", f"{path}-state").trigger(availableNow=True).start()
+
+    flows._fed(flows._parts(rows), path, start)
+    assert [number for number, _, _ in batches] == [0, 1, 2, 3] and sorted(i for _, _, part in batches for i in part) == list(range(100))
+    assert 0 in batches[0][2] and len(spark.read.parquet(path).inputFiles()) >= 20
+
+
+def test_streamed_contexts_equal_batch_ones(spark):
+    """Batches in order of time, with equal times, empty geographies and a principal with a third of all rows."""
+    rows = spark.createDataFrame(accesses(150, 9), EVENTS).selectExpr("event_id", "observed_at", "actor_email", "department", "resource_key AS resource_id", "source AS verb", "geo").cache()
+    root, cuts = shared_path(spark, "contexts"), ["2024-01-01 00:00", "2024-01-01 09:00", "2024-01-02 01:00", "2024-01-04 00:00"]
+    parts = [rows.where(f"observed_at >= timestamp_ntz'{a}:00' AND observed_at < timestamp_ntz'{b}:00'") for a, b in zip(cuts, cuts[1:])]
+    flows._fed(parts, f"{root}/in", lambda df: service.start_context(df, root))
+    flows._fed(parts, f"{root}-p/in", lambda df: service.start_peer_context(df, f"{root}-p"))
+    batch = context.detection_context(rows)
+    for schema, path in ((service.CONTEXT, root), (service.PEERS, f"{root}-p")):
+        found = spark.read.schema(schema).parquet(f"{path}/context").drop("batch")
+        want = batch.select(*(F.col(f.name).cast(f.dataType) for f in found.schema))
+        assert found.count() == 150 and found.exceptAll(want).count() == want.exceptAll(found).count() == 0
+    rows.unpersist()
