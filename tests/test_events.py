@@ -179,3 +179,15 @@ def test_queries_check_events_once(spark, sf):
     for name in ("feature_set_round_trip", "feature_lake_round_trip", "department_scan"):
         plan = registry.queries()[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
         assert "event_type" not in plan and "Window" not in plan, name
+
+
+def test_detections_carry_no_other_columns(spark, sf, monkeypatch):
+    """What large inputs write down for their context is what rules and detections need; detections are those of whole rows."""
+    from vigil.plans import common
+
+    given, plain = [], context.detection_context
+    monkeypatch.setattr(context, "detection_context", lambda events: given.append(events.columns) or plain(events))
+    narrow, whole = common.detections(spark, sf), rules.detections(common.scored(spark, sf))
+    assert set(given[0]) == set(common.DETECTION_COLUMNS) < set(given[1]) and narrow.columns == whole.columns
+    row = lambda df: df.drop("feature_attributions")
+    assert row(narrow).exceptAll(row(whole)).count() == row(whole).exceptAll(row(narrow)).count() == 0 and narrow.count() > 0
