@@ -51,3 +51,11 @@ def test_cases_follow_each_other(spark):
                 anchor = i
             assert found[f"{p}{i}"] == f"case-{p}{anchor}"
     assert len(found) == len(rows)
+
+
+def test_tree_is_compressed(spark, sf):
+    from vigil.plans import lakes
+
+    files = lakes.QUERIES["tree_or_lake"](spark, sf).inputFiles()
+    trees = [f for f in files if ".json" in f]
+    assert trees and all(f.endswith(".json.gz") for f in trees)
