@@ -152,6 +152,32 @@ def test_peers_are_counted_without_pairs(spark):
         assert first(found) == first(every)
 
 
+def shuffled(plan) -> int:
+    """Records that the shuffles of a plan that ran have written."""
+    leaves, n = plan.collectLeaves(), 0
+    for leaf in (leaves.apply(i) for i in range(leaves.size())):
+        if leaf.getClass().getSimpleName().endswith("QueryStageExec"):
+            below = leaf.plan()
+            if below.getClass().getSimpleName() == "ShuffleExchangeExec":
+                n += below.metrics().apply("shuffleRecordsWritten").value()
+            n += shuffled(below.children().head()) if below.children().size() == 1 else shuffled(below)
+    return n
+
+
+def test_department_peers_are_dealt_out(spark, monkeypatch):
+    """Pairs of one large department come from several tasks, in runs, and equal all pairs; none without a key or a department."""
+    monkeypatch.setattr(features, "PEERS", 16, raising=False)
+    monkeypatch.setattr(features, "RUN", 3, raising=False)
+    rows = [(f"p{i}", "d") for i in range(100)] + [("x", "e"), ("y", "e"), ("z", "f"), (None, "d"), ("n", None)]
+    df = features.department_peers(spark.createDataFrame(rows, "principal_key string, department string")).withColumn("task", F.spark_partition_id())
+    found = df.collect()
+    want = sorted((a, b) for a, d in rows for b, e in rows if a and b and d and d == e and a != b)
+    assert sorted((x.principal_key, x.peer_key) for x in found) == want and {(x.peer_type, x.peer_weight) for x in found} == {("department", 1.0)}
+    own = [sum(x.task == t for x in found) for t in {x.task for x in found}]
+    assert max(own) < len(found) / 2
+    assert shuffled(df._jdf.queryExecution().executedPlan().executedPlan()) < len(found) / 4
+
+
 def test_collaboration_by_blocks(spark, monkeypatch):
     """Blocks of three principals in stripes of two, against all pairs by hand; the number of rows without them."""
     monkeypatch.setattr(features, "BLOCK", 3)
