@@ -178,6 +178,30 @@ def test_department_peers_are_dealt_out(spark, monkeypatch):
     assert shuffled(df._jdf.queryExecution().executedPlan().executedPlan()) < len(found) / 4
 
 
+def test_team_peers_without_shuffled_pairs(spark, monkeypatch):
+    """Against all entries by hand: members twice in a team, two of one profile, one with two profiles, teams of one name, none and one member."""
+    monkeypatch.setattr(features, "PEERS", 5, raising=False)
+    monkeypatch.setattr(features, "RUN", 2, raising=False)
+    static = [(f"p{i:02}", f"e{i}", "d") for i in range(40)] + [("p00b", "e0", "d")]
+    org = [(i, f"e{i % 41}", 0) for i in range(44)] + [(7, "e8", 0), (7, "e7", 0), (9, "e30", 0)]
+    teams = [("a", list(range(0, 44, 2))), ("b", list(range(0, 44, 3))), ("c", [1, 2, 2, 7, 8, 9, 42]), ("c", [3, 7, 9, 41, 0]), ("lone", [5]), ("none", []), (None, [1, 2]), ("whole", list(range(44)))]
+    key = {e: max(k for k, x, _ in static if x == e) for _, e, _ in static}
+    entries = [(t, len(m), i, key[e]) for t, m in teams if t and len(m) > 1 for i in m for j, e, _ in org if i == j and e in key]
+    want = {}
+    for t, n, i, p in entries:
+        for u, _, j, q in entries:
+            if t == u and i != j:
+                want[p, q] = want.get((p, q), 0) + 1 / n
+    frames = spark.createDataFrame(static, "principal_key string, principal_id string, department string"), spark.createDataFrame(org, "idx long, email string, manager_idx long"), spark.createDataFrame(teams, "team string, member_indices array<long>")
+    found = features.team_peers(*frames).collect()
+    assert len(found) == len(want) and {(x.principal_key, x.peer_key): round(x.peer_weight, 9) for x in found} == {k: round(v, 9) for k, v in want.items()}
+    assert ("p00b", "p00b") in want and ("p07", "p08") in want
+    monkeypatch.undo()
+    plain = features.team_peers(frames[0].where("principal_key <> 'p00b'"), frames[1].where("idx < 40").distinct().where("idx = substr(email, 2)"), spark.createDataFrame([("t", list(range(40))), ("u", list(range(40)))], "team string, member_indices array<long>"))
+    n = len(plain.collect())
+    assert n == 40 * 39 and shuffled(plain._jdf.queryExecution().executedPlan().executedPlan()) < n / 4
+
+
 def test_collaboration_by_blocks(spark, monkeypatch):
     """Blocks of three principals in stripes of two, against all pairs by hand; the number of rows without them."""
     monkeypatch.setattr(features, "BLOCK", 3)
