@@ -241,3 +241,28 @@ def test_detections_carry_no_other_columns(spark, sf, monkeypatch):
     assert set(given[0]) == set(common.DETECTION_COLUMNS) < set(given[1]) and narrow.columns == whole.columns
     row = lambda df: df.drop("feature_attributions")
     assert row(narrow).exceptAll(row(whole)).count() == row(whole).exceptAll(row(narrow)).count() == 0 and narrow.count() > 0
+
+
+def test_first_peers_of_departments_and_collaborators(spark):
+    """First peers and their weights against all pairs; one alone in its department, one without others at its resource."""
+    static = spark.createDataFrame([(f"p{i}", f"e{i}", f"d{i % 2}") for i in range(9)] + [("p9", "e9", "alone")], "principal_key string, principal_id string, department string")
+    numbers = spark.createDataFrame([(f"p{i}", 9 - i) for i in range(10)], "key string, idx long")
+    some = [(f"r{i * k % 4}", f"p{i}") for i in range(9) for k in range(1, 5)] + [("own", "p9")]
+    when = F.lit("2024-01-01").cast("timestamp_ntz")
+    events = spark.createDataFrame(some, "resource_key string, principal_key string").select("*", when.alias("observed_at"), F.lit("e").alias("event_id"), F.lit("okta").alias("source"))
+    departments = [(x.principal_key, 9 - int(x.peer_key[1:]), x.peer_weight) for x in features.department_peers(static).collect()]
+    together = [(x.principal_key, 9 - int(x.collaborator_key[1:]), x.co_access_weight) for x in features.collaboration(events).collect()]
+    first = lambda rows, n: {(k, i): round(w, 9) for k in {r[0] for r in rows} for i, w in sorted((i, w) for p, i, w in rows if p == k)[:n]}
+    for n in (1, 2, 5):
+        assert first(features.first_department_peers(static, numbers, n).collect(), n) == first(departments, n)
+        assert first(features.first_collaborators(features.accessors(events), numbers, n).collect(), n) == first(together, n)
+    assert len(first(departments, 2)) == 18 and len(first(together, 1)) == 9
+
+
+def test_peer_tensors_hold_all_four_kinds(spark, sf):
+    import json
+
+    from vigil.plans import registry
+
+    kinds = [json.loads(x.tokens) for x in registry.queries()["peer_tensors"](spark, sf).collect()]
+    assert all(any(sum(k[i]) for k in kinds) for i in range(4))

@@ -196,18 +196,27 @@ def history_tensors(spark, d):
     return tensors.history_tensors(rows, 3, 4).select("principal", F.to_json("history").alias("history"))
 
 
+_KINDS = ", ".join(f"coalesce(any_value(x) FILTER (kind = '{k}'), [0, 0, 0, 0, 0])" for k in tensors.PEER_KINDS)
+
+
 @query(
-    """WITH p AS (SELECT principal_key, peer_key, 'manager' AS kind FROM manager_peers UNION ALL SELECT principal_key, peer_key, 'group' FROM team_peers), t AS (SELECT principal_key, kind, list_resize((list(idx + 1 ORDER BY idx))[1:5], 5, 0) AS x FROM p JOIN vocab ON key = peer_key GROUP BY ALL)
-  SELECT principal_key AS principal, replace([[0, 0, 0, 0, 0], coalesce(any_value(x) FILTER (kind = 'manager'), [0, 0, 0, 0, 0]), coalesce(any_value(x) FILTER (kind = 'group'), [0, 0, 0, 0, 0]), [0, 0, 0, 0, 0]]::VARCHAR, ' ', '') AS tokens FROM t GROUP BY principal_key""",
-    "manager_peers", "team_peers", "vocab",
+    f"""WITH p AS (SELECT principal_key, peer_key, 'department' AS kind FROM department_peers UNION ALL SELECT principal_key, peer_key, 'manager' FROM manager_peers UNION ALL SELECT principal_key, peer_key, 'group' FROM team_peers
+    UNION ALL SELECT principal_key, collaborator_key, 'collaboration' FROM collaboration), t AS (SELECT principal_key, kind, list_resize((list(idx + 1 ORDER BY idx))[1:5], 5, 0) AS x FROM p JOIN vocab ON key = peer_key GROUP BY ALL)
+  SELECT principal_key AS principal, replace([{_KINDS}]::VARCHAR, ' ', '') AS tokens FROM t GROUP BY principal_key""",
+    "department_peers", "manager_peers", "team_peers", "collaboration", "vocab",
 )
 def peer_tensors(spark, d):
+    """The first five peers of each of the four kinds, by number."""
     e, org = feature_events(spark, d), written(adapter.principals(spark, d), "principals")
-    static = written(features.static_profiles(e, org), "static")
-    vocab = written(tensors.vocabulary(tensors.key_union([(features.accessors(e), "principal_key"), (static, "principal_key")])), "vocabulary")
-    manager = tensors.indexed(features.manager_peers(static, org), "peer_key", vocab, "idx").select(F.col("principal_key").alias("principal"), F.col("peer_type").alias("kind"), "idx", F.col("peer_weight").alias("weight"))
-    team = features.first_team_peers(features.team_members(static, org, adapter.teams(spark, d)), vocab, 5)
-    rows = manager.unionByName(team.select(F.col("principal_key").alias("principal"), F.lit("group").alias("kind"), "idx", "weight"))
+    static, acc = written(features.static_profiles(e, org), "static"), written(features.accessors(e), "accessors")
+    vocab = written(tensors.vocabulary(tensors.key_union([(acc, "principal_key"), (static, "principal_key")])), "vocabulary")
+    first = {
+        "department": features.first_department_peers(static, vocab, 5),
+        "manager": tensors.indexed(features.manager_peers(static, org), "peer_key", vocab, "idx").withColumnRenamed("peer_weight", "weight"),
+        "group": features.first_team_peers(features.team_members(static, org, adapter.teams(spark, d)), vocab, 5),
+        "collaboration": features.first_collaborators(acc, vocab, 5),
+    }
+    rows = reduce(DataFrame.unionByName, [t.select(F.col("principal_key").alias("principal"), F.lit(k).alias("kind"), "idx", "weight") for k, t in first.items()])
     return tensors.peer_tensors(rows, 5).select("principal", F.to_json(F.transform("peers", lambda x: x["tokens"])).alias("tokens"))
 
 
