@@ -322,3 +322,18 @@ def test_principal_scores_have_every_active_principal(spark, sf):
     found = {x.principal: x.score for x in QUERIES["principal_scores"](spark, sf).collect()}
     assert found.keys() == want.keys() and len(found) > 10
     assert all(abs(found[p] - model.multi_scale(np.stack([v for v, _ in x]), np.array([s for _, s in x]))) < 1e-6 for p, x in want.items())
+
+
+def test_configurations_share_their_examples(spark, sf, monkeypatch):
+    """Events are read once for all configurations, and each gives its row."""
+    from vigil.plans import model as plans
+
+    read, made = [], plans.feature_events
+    monkeypatch.setattr(plans, "feature_events", lambda *a: read.append(a) or made(*a))
+    monkeypatch.setattr(plans, "_MODELS", {})
+    monkeypatch.setattr(model, "train", lambda rows, start, epochs: (start, [0.0]))
+    found = {x.config: x for x in QUERIES["ablation"](spark, sf).collect()}
+    assert set(found) == set(ABLATIONS) and len(read) == 1
+    examples, towers = _examples(spark, sf, ABLATIONS["no_peers"])
+    want = model.retrieval(model.distances(examples.where("held_out").drop("held_out"), towers)).where("source = '__all__'").first()
+    assert abs(found["no_peers"].mean_margin - want.mean_margin) < 1e-9 and found["no_peers"].pairs == want.pairs
