@@ -229,3 +229,18 @@ def test_streamed_contexts_equal_batch_ones(spark):
         want = batch.select(*(F.col(f.name).cast(f.dataType) for f in found.schema))
         assert found.count() == 150 and found.exceptAll(want).count() == want.exceptAll(found).count() == 0
     rows.unpersist()
+
+
+def test_batches_keep_no_pairs(spark):
+    """Of accessors of one resource a batch keeps the counts; their pairs are made when the tables are read."""
+    from vigil.session import children
+
+    root = shared_path(spark, "features")
+    one = [(f"e{i}", datetime.datetime(2024, 1, 1, 0, i), "s", f"p{i}", "r", f"u{i}@x", "d", "role", "g") for i in range(30)]
+    for number in range(2):
+        feature_tables.update(spark.createDataFrame(one[15 * number : 15 * number + 15], EVENTS), number, root)
+    stores = children(spark, f"{root}/store/features")
+    assert sum(spark.read.parquet(f"{root}/store/features/{name}/data").count() for name in stores) == 90
+    principals = spark.createDataFrame([], "idx long, email string, manager_idx long, department string, role string, location string")
+    found = feature_tables.tables(spark, root, 1, principals, spark.createDataFrame([], "team string, member_indices array<long>"))
+    assert found["collaboration"].count() == 30 * 29
